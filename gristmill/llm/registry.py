@@ -6,19 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import simhash
+from gristmill.llm import linespread, pfair, simhash
 from gristmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_linespread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linespread.digest(table(spark, sf_dir, "documents"))
+
+
+def op4_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Query]:
-    return {"op7_simhash": op7_simhash}
+    return {f.__name__: f for f in (op3_linespread, op4_pfair, op7_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_linespread": linespread.digest_sql(), "op4_pfair": "SELECT doc_id, source, n_chars, block, release, deadline, slot, place FROM " + pfair.mix_sql("documents")}
