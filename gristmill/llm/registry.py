@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import linespread, pfair, simhash
+from gristmill.llm import linespread, mil, nnpu, pfair, simhash
 from gristmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_linespread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linespread.digest(table(spark, sf_dir, "documents"))
 
@@ -20,12 +24,16 @@ def op4_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"))
 
 
+def op6_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nnpu.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_linespread, op4_pfair, op7_simhash)}
+    return {f.__name__: f for f in (op2_mil, op3_linespread, op4_pfair, op6_nnpu, op7_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
