@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import linespread, mil, nnpu, packing, pfair, simhash
+from gristmill.llm import linespread, mil, nnpu, packing, pfair, simhash, suffix
 from gristmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,8 +36,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_mil, op3_linespread, op4_pfair, op6_nnpu, op7_simhash, op9_packing)}
+    return {f.__name__: f for f in (op2_mil, op3_linespread, op4_pfair, op6_nnpu, op7_simhash, op9_packing, op10_suffix)}
 
 
 def oracle_sql() -> dict[str, str]:
