@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import linespread, mil, nnpu, packing, pfair, simhash, suffix
+from gristmill.llm import anisotropic, linespread, mil, mtree, nnpu, packing, pfair, simhash, suffix
 from gristmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anisotropic.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,6 +36,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op8_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -41,7 +49,7 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_mil, op3_linespread, op4_pfair, op6_nnpu, op7_simhash, op9_packing, op10_suffix)}
+    return {f.__name__: f for f in (op1_anisotropic, op2_mil, op3_linespread, op4_pfair, op6_nnpu, op7_simhash, op8_mtree, op9_packing, op10_suffix)}
 
 
 def oracle_sql() -> dict[str, str]:
