@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import anisotropic, linespread, mil, mtree, nnpu, packing, pfair, simhash, suffix
+from gristmill.llm import anisotropic, linespread, mil, mtree, nnpu, packing, pfair, simhash, skipchain, suffix
 from gristmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"))
 
 
+def op5_skipchain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skipchain.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nnpu.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,7 +53,7 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_anisotropic, op2_mil, op3_linespread, op4_pfair, op6_nnpu, op7_simhash, op8_mtree, op9_packing, op10_suffix)}
+    return {f.__name__: f for f in (op1_anisotropic, op2_mil, op3_linespread, op4_pfair, op5_skipchain, op6_nnpu, op7_simhash, op8_mtree, op9_packing, op10_suffix)}
 
 
 def oracle_sql() -> dict[str, str]:
