@@ -26,6 +26,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gristmill-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors reach."""
+    ensure_checkpoint_dir(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and reads it from there; survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from gristmill.llm import anisotropic, linespread, mil, mtree, nnpu, packing, pfair, simhash, skipchain, suffix
 from gristmill.llm.common import table
 
@@ -53,7 +54,7 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_anisotropic, op2_mil, op3_linespread, op4_pfair, op5_skipchain, op6_nnpu, op7_simhash, op8_mtree, op9_packing, op10_suffix)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_anisotropic, op2_mil, op3_linespread, op4_pfair, op5_skipchain, op6_nnpu, op7_simhash, op8_mtree, op9_packing, op10_suffix)}
 
 
 def oracle_sql() -> dict[str, str]:

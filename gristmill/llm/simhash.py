@@ -123,11 +123,15 @@ def shingle_spans(texts: list[bytes], words_per_shingle: int) -> tuple[bytes, np
 
 def fingerprint_texts(texts: list[bytes], words_per_shingle: int, seed: int) -> np.ndarray:
     """One unsigned 64-bit fingerprint a text: a bit is 1 if set in over half the shingle hashes."""
-    out = np.zeros(len(texts), np.uint64)
     raw, starts, lengths, owner = shingle_spans(texts, words_per_shingle)
+    return majority(xxh64_spans(raw, starts, lengths, seed) if len(owner) else np.zeros(0, np.uint64), owner, len(texts))
+
+
+def majority(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Bitwise votes of the hashes of each owner; zero for those without any."""
+    out = np.zeros(n, np.uint64)
     if not len(owner):
         return out
-    hashes = xxh64_spans(raw, starts, lengths, seed)
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     begin = np.flatnonzero(np.diff(owner, prepend=-1))
     sums = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
@@ -173,16 +177,17 @@ def _shifted(plane: np.ndarray, words: np.ndarray, d: int) -> np.ndarray:
 def close_pairs(values: np.ndarray, groups: np.ndarray, radius: int, every: int = 8):
     """Yields (i, j) index arrays of pairs of one group within the radius.
 
-    values: unsigned 64-bit, sorted by group. One round compares all lanes with those d
-    places further; blocks of 64 lanes leave once all their counters exceed the radius.
+    values: unsigned 64-bit, sorted by group; two-dimensional for wider fingerprints. One round compares all lanes
+    with those d places further; blocks of 64 lanes leave once all their counters exceed the radius.
     """
     n = len(values)
     if n < 2:
         return
+    columns = values.reshape(n, -1)
     begin = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
     sizes = np.diff(np.append(begin, n))
     last = np.repeat(begin + sizes - 1, sizes)  # the last lane of each lane's group
-    planes = np.pad(_planes(values, 64), ((0, 0), (0, 2)))
+    planes = np.pad(np.concatenate([_planes(np.ascontiguousarray(columns[:, c]), 64) for c in range(columns.shape[1])]), ((0, 0), (0, 2)))
     reach = last - np.arange(n)
     width = planes.shape[1] - 2
     lanes = np.zeros(width * 64, np.int64)
@@ -194,7 +199,7 @@ def close_pairs(values: np.ndarray, groups: np.ndarray, radius: int, every: int
         valid = np.packbits(lanes.reshape(-1, 64)[words] >= d, axis=1, bitorder="little").view("<u8").ravel()
         count = [np.zeros(len(words), np.uint64) for _ in range(counters)]
         over = ~valid
-        for b in range(64):
+        for b in range(len(planes)):
             carry = planes[b][words] ^ _shifted(planes[b], words, d)
             for k in range(counters):
                 count[k], carry = count[k] ^ carry, count[k] & carry
