@@ -26,15 +26,16 @@ from gristmill.llm import vectors as V
 
 SCALE = 64
 #: Entries of a page.
-PAGE = 128
+PAGE = 256
 MARGIN = 1e-6
 
 
 class Node:
-    __slots__ = ("points", "rows", "to_parent", "radius", "children")
+    __slots__ = ("rows", "points", "to_parent", "radius", "children")
 
-    def __init__(self, rows, to_parent, radius=None, children=None):
+    def __init__(self, rows, points, to_parent, radius=None, children=None):
         self.rows = rows  # the entries' rows in the tree's table
+        self.points = points  # and their vectors, together
         self.to_parent = to_parent  # their distances to the routing object of this page
         self.radius = radius  # covering radii of their subtrees; none in a leaf
         self.children = children
@@ -44,9 +45,10 @@ class MTree:
     def __init__(self, points: np.ndarray, seed: int = 3):
         """points: integer-valued doubles."""
         norms = (points * points).sum(axis=1)
-        self.points = points
         self.top = float(norms.max(initial=0.0))
         self.lifted = np.hstack([points, np.sqrt(self.top - norms)[:, None]])
+        # single precision holds every partial sum of a product exactly up to 2^24
+        self.points = points.astype(np.float32) if self.top < 1 << 22 else points
         self.rng = np.random.default_rng(seed)
         rows = np.arange(len(points))
         self.root = self._build(rows, np.zeros(len(rows)))
@@ -57,7 +59,7 @@ class MTree:
 
     def _build(self, rows: np.ndarray, to_parent: np.ndarray) -> Node:
         if len(rows) <= PAGE:
-            return Node(rows, to_parent)
+            return Node(rows, self.points[rows], to_parent)
         fan = int(min(PAGE, max(2, -(-len(rows) // (PAGE * 3 // 4)))))
         routes = [int(rows[self.rng.integers(len(rows))])]
         near = self._distances(rows, routes[0])
@@ -69,11 +71,9 @@ class MTree:
             owner[closer] = len(routes) - 1
             near = np.where(closer, d, near)
         if len(routes) == 1:  # copies of one point: any split does
-            owner = np.arange(len(rows)) // PAGE
-            routes = [int(rows[i]) for i in range(0, len(rows), PAGE)]
-            if len(routes) > PAGE:
-                owner = owner * PAGE // len(routes)
-                routes = routes[:PAGE]
+            share = max(PAGE, -(-len(rows) // PAGE))
+            owner = np.arange(len(rows)) // share
+            routes = [int(rows[i]) for i in range(0, len(rows), share)]
         children, radius, kept, where = [], [], [], {int(r): i for i, r in enumerate(rows)}
         for j, r in enumerate(routes):
             mine = np.flatnonzero(owner == j)
@@ -83,43 +83,48 @@ class MTree:
             radius.append(float(near[mine].max()))
             children.append(self._build(rows[mine], near[mine]))
         kept = np.array(kept)
-        return Node(kept, to_parent[[where[int(r)] for r in kept]], np.array(radius), children)
+        return Node(kept, self.points[kept], to_parent[[where[int(r)] for r in kept]], np.array(radius), children)
 
     def search(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, products) of the k largest products, ties included where they may matter."""
-        length = float(q @ q) + self.top
+        """(rows, products) of the k largest products; of equal ones the smaller rows."""
+        norm = float(q @ q)
+        length = norm + self.top
+        q = q.astype(np.float32) if self.points.dtype == np.float32 and norm < 1 << 22 else q
         best_rows, best = np.zeros(0, np.int64), np.zeros(0)
-        bound = np.inf
+        bound, least_product = np.inf, -np.inf
         queue: list = [(0.0, 0, None, self.root)]
         pushed = 0
         while queue:
             least, _, parent, node = heapq.heappop(queue)
             if least > bound:
                 break
-            rows, radius = node.rows, node.radius
-            pick = None
+            points, rows, radius, pick = node.points, node.rows, node.radius, None
             if parent is not None and bound < np.inf:  # |d(q, parent) - d(entry, parent)| bounds d(q, entry)
                 floor = np.abs(parent - node.to_parent)
-                pick = np.flatnonzero((floor if radius is None else floor - radius) <= bound)
-                if not len(pick):
+                may = (floor if radius is None else floor - radius) <= bound
+                found = int(np.count_nonzero(may))
+                if not found:
                     continue
-                rows = rows[pick]
-                radius = radius if radius is None else radius[pick]
-            product = self.points[rows] @ q
-            distance = np.sqrt(np.maximum(length - 2 * product, 0))
+                if 2 * found < len(rows):  # for more, the whole page at once costs less than picking them
+                    pick = np.flatnonzero(may)
+                    points, rows, radius = points[pick], rows[pick], radius if radius is None else radius[pick]
+            product = points @ q
             if radius is None:
-                good = distance <= bound
+                good = np.flatnonzero(product >= least_product)
+                if not len(good):
+                    continue
                 best_rows, best = np.append(best_rows, rows[good]), np.append(best, product[good])
-                if len(best) > k:
+                if len(best) >= k:
                     order = np.lexsort((best_rows, -best))[:k]
                     best_rows, best = best_rows[order], best[order]
-                if len(best) == k:
-                    bound = float(np.sqrt(max(length - 2 * best.min(), 0))) + MARGIN
+                    least_product = best[-1]
+                    bound = float(np.sqrt(max(length - 2 * least_product, 0))) + MARGIN
             else:
-                for j, (d, r) in enumerate(zip(distance.tolist(), radius.tolist(), strict=True)):
-                    if d - r - MARGIN <= bound:
-                        pushed += 1
-                        heapq.heappush(queue, (max(0.0, d - r - MARGIN), pushed, d, node.children[j if pick is None else int(pick[j])]))
+                reach = np.sqrt(np.maximum(length - 2 * product.astype(np.float64), 0))
+                lower = reach - radius - MARGIN
+                for j in np.flatnonzero(lower <= bound).tolist():
+                    pushed += 1
+                    heapq.heappush(queue, (max(0.0, float(lower[j])), pushed, float(reach[j]), node.children[j if pick is None else int(pick[j])]))
         return best_rows, best
 
 
