@@ -38,7 +38,9 @@ GRAM = 32
 #: Bytes of text that one numpy pass takes; longer texts are cut into slices that overlap by length - 1.
 CHUNK = 1 << 21
 #: Bytes of contexts under one suffix array.
-BLOCK = 8 << 20
+BLOCK = 3 << 20
+#: Shards of contexts for each shuffle partition; a shard is mostly one block.
+SHARDS = 4
 #: A gram that a chunk holds this often is reported; the sums decide which are frequent.
 REPORT = 8
 #: Frequent grams that tasks are told of at most: 16 MB.
@@ -470,7 +472,7 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             known = seen.setdefault(text, k)
             if known == k:
                 first.append(k)
-                shard.append(zlib.crc32(text[a : a + GRAM]) % n)
+                shard.append(zlib.crc32(text[a : a + GRAM]) % (SHARDS * n))
             elif doc[known] != d or place[known] != p:
                 later.append(k)
         out = []
@@ -560,13 +562,13 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:4]), pa.array(cols[4], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.repartitionById(n, "target")
+    def dealt(df: DataFrame, parts: int = n) -> DataFrame:
+        return df.repartitionById(parts, "target")
 
     stored = texts.mapInArrow(sent, SCHEMA)
     replies = dealt(texts.mapInArrow(anchors, SCHEMA)).mapInArrow(answers, SCHEMA)
     contexts = dealt(stored.unionByName(replies)).mapInArrow(cut_out, SCHEMA)
-    intervals = dealt(contexts).mapInArrow(judged, SCHEMA)
+    intervals = dealt(contexts, SHARDS * n).mapInArrow(judged, SCHEMA)
     return dealt(stored.unionByName(intervals)).mapInArrow(finished, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
