@@ -20,13 +20,21 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
         _ORACLE[name] = sql
 
 
+def _load() -> None:
+    """Importing these modules registers their queries."""
+    from gristmill.plans import score_queries, text_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLE)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Match scores of all pairs, the flagship formula."""
+    return queries()["m1_match_score"](spark, sf_dir)
