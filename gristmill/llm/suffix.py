@@ -158,9 +158,11 @@ def _emit(rows: list[tuple]) -> pa.RecordBatch:
 
 def _deal(target: np.ndarray, kind: int, arrays: list[np.ndarray]) -> list[tuple]:
     """A row for each target that has records."""
+    if not len(target):
+        return []
     order = np.argsort(target, kind="stable")
     target, arrays = target[order], [a[order] for a in arrays]
-    cut = np.flatnonzero(np.append(True, target[1:] != target[:-1])) if len(target) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
     ends = np.append(cut[1:], len(target))
     return [(int(target[i]), kind, int(j - i), _pack(*(a[i:j] for a in arrays))) for i, j in zip(cut, ends, strict=True)]
 
