@@ -543,7 +543,7 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         order = np.lexsort((start, crc, doc))
         doc, crc, start, end = doc[order], crc[order], start[order], end[order]
         new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1]))) if len(doc) else np.zeros(0, np.int64)
-        where = {(int(doc[i]), int(crc[i])): (i, j) for i, j in zip(new, np.append(new[1:], len(doc)), strict=True)}
+        where = {(int(doc[i]), int(crc[i])): (i, j) for i, j in zip(new, np.append(new[1:], len(doc)), strict=True)} if len(doc) else {}
         for blob, rows in docs:
             out = []
             for i, c, text in held(blob, rows):
