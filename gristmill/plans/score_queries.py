@@ -136,15 +136,15 @@ dual("j19_common_ids", lambda d, t: f"SELECT d.doc_id AS doc_id, l.quality AS qu
 dual("j20_gap_values", lambda d, t: f"SELECT pair, {d.ordered('CAST(req AS STRING)', 'req', ' / ')} AS gaps FROM {requirements(d, t)} r_ WHERE tier = 'required' AND coverage = 'none' GROUP BY pair", "lineitem", "orders")
 dual("w2_numbering", lambda d, t: f"SELECT conv_id, turn, concat('e', CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS STRING)) AS id FROM {t('conversations')}", "conversations")
 dual("w3_carry_forward", lambda d, t: f"SELECT conv_id, turn, {d.last('CASE WHEN turn % 3 = 0 THEN role END', 'PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')} AS current_role_ FROM {t('conversations')}", "conversations")
-dual("w4_result_order", lambda d, t: f"SELECT pair, req, row_number() OVER (PARTITION BY pair ORDER BY (req * 7919) % 5 DESC, req) AS ord FROM {requirements(d, t)} r_", "lineitem", "orders")
+dual("w4_result_order", lambda d, t: f"SELECT pair, req, CAST(row_number() OVER (PARTITION BY pair ORDER BY (req * 7919) % 5 DESC, req) AS BIGINT) AS ord FROM {requirements(d, t)} r_", "lineitem", "orders")
 dual("w5_blocks", lambda d, t: f"SELECT conv_id, turn, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM {t('conversations')}", "conversations")
 dual("w8_validation_batches", lambda d, t: f"SELECT event_id, {d.idiv('row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1', str(X.VALIDATION_BATCH))} AS batch FROM {t('events')}", "events")
 dual("w10_section_batches", lambda d, t: f"SELECT conv_id, turn, {d.idiv('turn', str(X.SECTION_BATCH))} AS batch FROM {t('conversations')}", "conversations")
-dual("o1_top_options", lambda d, t: f"SELECT req, opt, rn FROM (SELECT req, opt, row_number() OVER (PARTITION BY req ORDER BY p DESC, opt) AS rn FROM {answers(d, t)} a_) x_ WHERE rn <= 2", "events")
-dual("o2_retrieve", lambda d, t: f"SELECT unit, req, opt, rn FROM (SELECT unit, req, opt, row_number() OVER (PARTITION BY unit ORDER BY p DESC, req, opt) AS rn FROM {answers(d, t)} a_ WHERE p >= {X.RETRIEVE_FLOOR} AND k < 4) x_ WHERE rn <= {X.RETRIEVE_K}", "events")
+dual("o1_top_options", lambda d, t: f"SELECT req, opt, CAST(rn AS BIGINT) AS rn FROM (SELECT req, opt, row_number() OVER (PARTITION BY req ORDER BY p DESC, opt) AS rn FROM {answers(d, t)} a_) x_ WHERE rn <= 2", "events")
+dual("o2_retrieve", lambda d, t: f"SELECT unit, req, opt, CAST(rn AS BIGINT) AS rn FROM (SELECT unit, req, opt, row_number() OVER (PARTITION BY unit ORDER BY p DESC, req, opt) AS rn FROM {answers(d, t)} a_ WHERE p >= {X.RETRIEVE_FLOOR} AND k < 4) x_ WHERE rn <= {X.RETRIEVE_K}", "events")
 dual("o3_top_reject", lambda d, t: f"SELECT req, opt FROM (SELECT req, opt, row_number() OVER (PARTITION BY req ORDER BY p DESC, opt) AS rn FROM {answers(d, t)} a_ WHERE opt IN ('o2', 'o3')) x_ WHERE rn = 1", "events")
-dual("o4_evidence_order", lambda d, t: f"SELECT pair, req, row_number() OVER (PARTITION BY pair ORDER BY {RANK} DESC, req % 7 DESC, req) AS ord FROM {requirements(d, t)} r_", "lineitem", "orders")
-dual("o5_group_order", lambda d, t: f"SELECT pair, grp, row_number() OVER (PARTITION BY pair ORDER BY min(req)) AS ord FROM {requirements(d, t)} r_ WHERE grp IS NOT NULL GROUP BY pair, grp", "lineitem", "orders")
+dual("o4_evidence_order", lambda d, t: f"SELECT pair, req, CAST(row_number() OVER (PARTITION BY pair ORDER BY {RANK} DESC, req % 7 DESC, req) AS BIGINT) AS ord FROM {requirements(d, t)} r_", "lineitem", "orders")
+dual("o5_group_order", lambda d, t: f"SELECT pair, grp, CAST(row_number() OVER (PARTITION BY pair ORDER BY min(req)) AS BIGINT) AS ord FROM {requirements(d, t)} r_ WHERE grp IS NOT NULL GROUP BY pair, grp", "lineitem", "orders")
 dual("o6_top_disagreements", lambda d, t: f"SELECT pair, abs(score - reference) AS err FROM {match(d, t)} m_ ORDER BY err DESC, pair LIMIT 10", "orders")
 dual("u1_union_first", lambda d, t: f"SELECT v, src FROM (SELECT v, src, row_number() OVER (PARTITION BY lower(v) ORDER BY src) AS rn FROM (SELECT DISTINCT c_name AS v, 1 AS src FROM {t('customer')} UNION ALL SELECT DISTINCT upper(c_name), 2 FROM {t('customer')}) u_) x_ WHERE rn = 1", "customer")
 dual("u6_pair_intersection", lambda d, t: f"SELECT l_suppkey AS a, l_partkey AS b FROM {t('lineitem')} WHERE l_returnflag = 'A' INTERSECT SELECT l_suppkey, l_partkey FROM {t('lineitem')} WHERE l_returnflag = 'R'", "lineitem")
@@ -152,7 +152,7 @@ dual("u7_cascade", lambda d, t: f"SELECT CASE WHEN p_size < 10 THEN 'filler' WHE
 dual("e3_attribute_miss", lambda d, t: f"SELECT req, min(stage) AS stage FROM (SELECT req, CASE WHEN coverage = 'none' THEN '1 refinement' WHEN tier = 'mentioned' THEN '2 chunk' ELSE '3 sentence' END AS stage FROM {requirements(d, t)} r_ UNION ALL SELECT req, '4 not in text' FROM {requirements(d, t)} q_) x_ GROUP BY req", "lineitem", "orders")
 dual("e9_compare_judge", lambda d, t: f"SELECT m.pair AS pair, m.score AS score, m.reference AS reference, j.judged AS judged FROM {match(d, t)} m JOIN (SELECT o_orderkey, o_custkey % 101 AS judged FROM {t('orders')} WHERE o_orderkey % 2 = 0) j ON j.o_orderkey = m.pair", "orders")
 dual("k8_confusion_pivot", lambda d, t: f"SELECT tier, count(CASE WHEN coverage = 'strong' THEN 1 END) AS strong, count(CASE WHEN coverage = 'weak' THEN 1 END) AS weak FROM {requirements(d, t)} r_ GROUP BY tier", "lineitem", "orders")
-dual("k11_pairs_by_error", lambda d, t: f"SELECT pair, row_number() OVER (ORDER BY coalesce(abs(score - reference), -1) DESC, pair) AS ord FROM {match(d, t)} m_ WHERE pair <= 2000", "orders")
+dual("k11_pairs_by_error", lambda d, t: f"SELECT pair, CAST(row_number() OVER (ORDER BY coalesce(abs(score - reference), -1) DESC, pair) AS BIGINT) AS ord FROM {match(d, t)} m_ WHERE pair <= 2000", "orders")
 dual("k13_metrics_text", lambda d, t: f"SELECT concat(event_type, ' n=', CAST(count(*) AS STRING), ' max=', CAST(max(user_id) AS STRING)) AS line FROM {t('events')} GROUP BY event_type", "events")
 dual("k14_upsert", lambda d, t: f"SELECT coalesce(n.k, o.k) AS k, coalesce(n.v, o.v) AS v FROM (SELECT c_custkey AS k, 1 AS v FROM {t('customer')} WHERE c_custkey % 2 = 0) o FULL OUTER JOIN (SELECT c_custkey AS k, 2 AS v FROM {t('customer')} WHERE c_custkey % 3 = 0) n ON o.k = n.k", "customer")
 dual("s11_violations", lambda d, t: f"SELECT 'dup' AS problem, CAST(doc_id AS STRING) AS id FROM {t('documents')} GROUP BY doc_id HAVING count(*) > 1 UNION ALL SELECT 'group', CAST(grp AS STRING) FROM {requirements(d, t)} r_ WHERE grp IS NOT NULL GROUP BY grp HAVING count(*) < 2", "documents", "lineitem", "orders")
