@@ -33,8 +33,9 @@ def skills_chunks(d, source: str, keep: str, line: str) -> str:
 
 def units(d, source: str) -> str:
     """(doc_id, ord, id, text, section, role, company, dates)."""
-    rows = d.explode(source, "doc_id, text AS whole", d.split("text", "\n"), "line_no", "raw")
-    a = f"(SELECT doc_id, line_no, {T.trim(d, 'raw')} AS line, {d.like('whole', '(?m)^\\s*#\\s')} AS marked FROM {rows} r_)"
+    told = f"(SELECT doc_id, text, {d.like('text', '(?m)^\\s*#\\s')} AS marked FROM {source}) m_"
+    rows = d.explode(told, "doc_id, marked", d.split("text", "\n"), "line_no", "raw")
+    a = f"(SELECT doc_id, line_no, {T.trim(d, 'raw')} AS line, marked FROM {rows} r_)"
     kind = f"CASE WHEN {d.like('line', '^#\\s+')} THEN 'section' WHEN line = '' THEN 'blank' WHEN {d.like('line', '^#{2,6}\\s+')} THEN 'entry' WHEN {d.like('line', '^[-*•·▪◦●‣]\\s+')} THEN 'bullet' ELSE 'text' END"
     b = f"(SELECT *, {kind} AS kind FROM {a} a_)"
     frame = "PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING"

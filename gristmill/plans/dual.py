@@ -19,6 +19,12 @@ def run(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
     return spark.sql(sql)
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """A text table in fewer partitions than cores, as from one small file, dealt out; larger inputs stay as they are."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def dual(name: str, build: Callable, *tables: str) -> None:
     """build(d, t): the query's SQL in dialect d, t(table) naming a table."""
     wrong = set(tables) - set(TABLES)
@@ -26,6 +32,9 @@ def dual(name: str, build: Callable, *tables: str) -> None:
         raise ValueError(f"no such table: {wrong}")
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return run(spark, build(SPARK, lambda t: f"gm_{t}"), **{f"gm_{t}": spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in tables})
+        frames = {f"gm_{t}": spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in tables}
+        if "gm_documents" in frames:
+            frames["gm_documents"] = spread(frames["gm_documents"])
+        return run(spark, build(SPARK, lambda t: f"gm_{t}"), **frames)
 
     register(name, query, build(DUCK, lambda t: t).replace(" AS STRING)", " AS VARCHAR)"))
