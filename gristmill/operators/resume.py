@@ -6,29 +6,30 @@ from gristmill.functions import lexicon as X
 from gristmill.functions import text as T
 
 
-def skills_chunks(d, source: str, keep: str, line: str) -> str:
-    """source with `pieces`: the chunks of a skills line, balanced, six items at most, each with the line's label.
+def skills_chunks(d, source: str, key: str, line: str) -> str:
+    """(key..., part, piece): a skills line in balanced chunks of six items at most, each with the line's label.
 
-    Items part at commas outside brackets. Each step is a column of its own, so nothing is computed twice.
+    source: (key..., line), one line a key. Items part at commas outside brackets: running sums over the pieces between
+    commas tell which commas those are. A short line is one piece, unchanged.
     """
-    a = f"(SELECT *, substr({line}, 1, greatest(instr({line}, ':') - 1, 0)) AS k_head FROM {source})"
+    a = f"(SELECT {key}, {line} AS k_line, substr({line}, 1, greatest(instr({line}, ':') - 1, 0)) AS k_head FROM {source})"
     words = d.size(d.keep(d.split(T.squeeze(d, "k_head"), " "), "lw", "lw <> ''"))
-    b = f"(SELECT *, (k_head <> '' AND instr(k_head, ',') = 0 AND {words} <= 4) AS k_labelled FROM {a} ka_)"
-    c = f"(SELECT *, CASE WHEN k_labelled THEN concat(k_head, ': ') ELSE '' END AS k_label, {d.split(f'CASE WHEN k_labelled THEN substr({line}, instr({line}, {d.lit(chr(58))}) + 1) ELSE {line} END', ',')} AS k_cut FROM {b} kb_)"
-    open_ = f"{d.length('kc')} - {d.length(d.sub('kc', '[(\\[]'))}"
-    shut = f"{d.length('kc')} - {d.length(d.sub('kc', '[)\\]]'))}"
-    e = f"(SELECT *, {d.map('k_cut', 'kc', f'({open_}) - ({shut})')} AS k_depth FROM {c} kc_)"
-    # a comma inside brackets: more of them have opened than closed before it
-    total = d.total(d.slice("k_depth", "1", "<ki>"))
-    joined = d.join(d.mapi("k_cut", "kp", "ki", f"concat(<kp>, CASE WHEN {total} > 0 THEN ',' ELSE {d.lit(chr(1))} END)"), "")
-    f = f"(SELECT *, {joined} AS k_joined FROM {e} ke_)"
-    g = f"(SELECT *, {d.map(d.split(d.sub('k_joined', chr(1) + '$|,$'), chr(1)), 'it', 'trim(it)')} AS k_items FROM {f} kf_)"
-    n = d.size("k_items")
-    k = d.idiv(f"{n} + {X.SKILL_ITEMS - 1}", str(X.SKILL_ITEMS))
-    h = f"(SELECT *, {n} AS k_n, {k} AS k_k FROM {g} kg_)"
-    low, high = d.idiv("(ci - 1) * k_n + k_k - 1", "k_k"), d.idiv("ci * k_n + k_k - 1", "k_k")
-    chunk = f"concat(k_label, {d.join(d.slice('k_items', f'{low} + 1', f'{high} - {low}'), ', ')})"
-    return f"(SELECT {keep}, CASE WHEN k_n <= {X.SKILL_ITEMS} THEN {d.split(line, chr(3))} ELSE {d.map(d.seq('k_k'), 'ci', chunk)} END AS pieces FROM {h} kh_)"
+    b = f"(SELECT {key}, k_line, k_head, (k_head <> '' AND instr(k_head, ',') = 0 AND {words} <= 4) AS k_labelled FROM {a} ka_)"
+    label, rest = "CASE WHEN k_labelled THEN concat(k_head, ': ') ELSE '' END", "CASE WHEN k_labelled THEN substr(k_line, instr(k_line, ':') + 1) ELSE k_line END"
+    c = d.explode(f"{b} kb_", f"{key}, k_line, {label} AS k_label", d.split(rest, ","), "k_pos", "k_piece")
+    depth = f"({d.length(d.sub('k_piece', '[)\\]]'))} - {d.length(d.sub('k_piece', '[(\\[]'))})"
+    frame = f"PARTITION BY {key} ORDER BY k_pos ROWS"
+    e = f"(SELECT *, sum({depth}) OVER ({frame} UNBOUNDED PRECEDING) AS k_open FROM {c} kc_)"
+    f = f"(SELECT *, k_open - least(0, min(k_open) OVER ({frame} UNBOUNDED PRECEDING)) AS k_level FROM {e} ke_)"
+    g = f"(SELECT *, CASE WHEN coalesce(lag(k_level) OVER (PARTITION BY {key} ORDER BY k_pos), 0) = 0 THEN 1 ELSE 0 END AS k_new FROM {f} kf_)"
+    h = f"(SELECT *, sum(k_new) OVER ({frame} UNBOUNDED PRECEDING) - 1 AS k_item FROM {g} kg_)"
+    i = f"(SELECT {key}, min(k_line) AS k_line, min(k_label) AS k_label, k_item, trim({d.ordered('k_piece', 'k_pos', ',')}) AS k_text FROM {h} kh_ GROUP BY {key}, k_item)"
+    j = f"(SELECT *, CAST(count(*) OVER (PARTITION BY {key}) AS BIGINT) AS k_n FROM {i} ki_)"
+    n = str(X.SKILL_ITEMS)
+    part = d.idiv(f"k_item * {d.idiv(f'k_n + {X.SKILL_ITEMS - 1}', n)}", "k_n")
+    k = f"(SELECT *, CASE WHEN k_n <= {n} THEN CAST(0 AS BIGINT) ELSE {part} END AS part FROM {j} kj_)"
+    joined = d.ordered("k_text", "k_item", ", ")
+    return f"(SELECT {key}, part, CASE WHEN min(k_n) <= {n} THEN min(k_line) ELSE concat(min(k_label), {joined}) END AS piece FROM {k} kk_ GROUP BY {key}, part)"
 
 
 def units(d, source: str) -> str:
@@ -55,8 +56,8 @@ def units(d, source: str) -> str:
     )
     keys = "doc_id, line_no, section, role, company, dates"
     skills = skills_chunks(d, f"{body} b0_ WHERE section = 'skills'", keys, "said")
-    others = f"SELECT {keys}, CASE WHEN bulleted = 1 THEN {d.split('said', chr(3))} ELSE {T.split_line(d, 'said')} END AS pieces FROM {body} b1_ WHERE section <> 'skills'"
-    said = d.explode(f"(SELECT {keys}, pieces FROM {skills} b2_ UNION ALL {others}) b3_", keys, "pieces", "part", "piece")
+    rest = f"(SELECT {keys}, CASE WHEN bulleted = 1 THEN {d.split('said', chr(3))} ELSE {T.split_line(d, 'said')} END AS pieces FROM {body} b1_ WHERE section <> 'skills') b2_"
+    said = f"(SELECT {keys}, part, piece FROM {skills} b3_ UNION ALL SELECT {keys}, part, piece FROM {d.explode(rest, keys, 'pieces', 'part', 'piece')} b4_)"
     titled = f"SELECT doc_id, line_no, section, {meta}, CAST(0 AS BIGINT) AS part, {named} AS piece FROM {g} g2_ WHERE kind = 'entry' AND section IN ('education', 'certifications')"
     h = f"(SELECT doc_id, line_no, part, section, role, company, dates, {T.squeeze(d, 'piece')} AS text FROM (SELECT doc_id, line_no, section, role, company, dates, part, piece FROM {said} s_ UNION ALL {titled}) u_)"
     i = f"(SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no, part) AS BIGINT) AS ord FROM {h} h_ WHERE {d.like('text', T.ALNUM)})"

@@ -44,7 +44,9 @@ dual("t4_split_line", lambda d, t: f"SELECT doc_id, part_no, part FROM {d.explod
 dual("t5_abbreviations", lambda d, t: f"SELECT w AS word, count(*) AS n FROM {d.explode(_some(d, t), 'doc_id', d.split('text', ' '), 'pos', 'w')} q_ WHERE {d.has(d.words(*X.ABBREVIATIONS), 'lower(w)')} OR {d.like('w', '[^.]+[.][^.]+')} GROUP BY w", "documents")
 dual("t6_letter_tests", lambda d, t: f"SELECT doc_id, {d.like('text', T.ALNUM)} AS alnum, {d.like('text', '[\\p{L}]')} AS letter, {d.like('text', '^[\\p{Lu}\\p{Nd}]')} AS starts FROM {t('documents')}", "documents")
 dual("t7_list_marker", lambda d, t: f"SELECT mk, count(*) AS n FROM {P.headed_lines(d, _headed(d, t))} q_ GROUP BY mk", "documents")
+dual("t8_resume_units", lambda d, t: f"SELECT doc_id, ord, id, text, section, role, company, dates FROM {R.units(d, _headed(d, t))} q_", "documents")
 dual("t9_resume_section", lambda d, t: f"SELECT s_name, {T.resume_section(d, 's_name')} AS section FROM (SELECT DISTINCT concat(CASE c_nationkey % 4 WHEN 0 THEN 'Work History ' WHEN 1 THEN 'Licenses ' WHEN 2 THEN 'Tech Stack ' ELSE 'Project Experience ' END, c_mktsegment) AS s_name FROM {t('customer')}) x_", "customer")
+dual("t12_split_skills", lambda d, t: f"SELECT doc_id, part, piece FROM {R.skills_chunks(d, '(SELECT doc_id, concat(CASE doc_id % 2 WHEN 0 THEN ' + d.lit('Stack: ') + ' ELSE ' + d.lit('') + ' END, replace(substr(' + d.sub('text', '\\s+', ' ') + ', 1, 200), ' + d.lit(' ') + ', CASE doc_id % 3 WHEN 0 THEN ' + d.lit(', (') + ' ELSE ' + d.lit('), ') + ' END)) AS line FROM ' + t('documents') + ') x_', 'doc_id', 'line')} q_", "documents")
 dual("t13_tokens", lambda d, t: f"SELECT doc_id, ord, tok, text, break_after FROM {P.tokens(d, _sentence_source(d, t), 'doc_id, ord', False)} q_", "benchmark")
 dual("t14_tokens_slashes", lambda d, t: f"SELECT doc_id, tok, text, break_after FROM {P.tokens(d, '(SELECT p_partkey AS doc_id, replace(replace(concat(p_type, ' + d.lit(', (') + ', p_name, ' + d.lit(') ') + ', p_brand), ' + d.lit(' ') + ', ' + d.lit('/') + '), ' + d.lit('#') + ', ' + d.lit(' ') + ') AS text FROM ' + t('part') + ') x_', 'doc_id', True)} q_", "part")
 dual("t15_strip_label", lambda d, t: f"SELECT item_id, {T.strip_label(d, 'text')} AS text FROM (SELECT item_id, concat(CASE item_id % 3 WHEN 0 THEN 'Deep Backend Expertise: ' WHEN 1 THEN 'Bonus: ' ELSE 'Kubernetes: ' END, text) AS text FROM {t('benchmark')}) x_", "benchmark")

@@ -3,7 +3,7 @@ import pytest
 
 from gristmill.functions import text as T
 from gristmill.functions.dialect import DUCK, SPARK
-from gristmill.operators import posting, score
+from gristmill.operators import posting, resume, score
 from gristmill.plans import catalog
 from gristmill.streaming.score_stream import score_stream
 
@@ -41,6 +41,16 @@ def test_headings_and_chunks(spark):
     assert [r.text for r in spark.sql(f"SELECT * FROM {posting.chunks(SPARK, 'src', 'doc_id')} q ORDER BY chunk_no").collect()] == ["Go", "SQL", "Docker", "Compose"]
 
 
+def test_resume_units(spark):
+    text = "Ann\n# Experience\n## Engineer | Acme | 2020\n- Built it\nand ran it\n\nLed a team. Shipped.\n# Skills\nStack: a, b (c, d), e, f, g, h, i\n# Education\n## BSc | MIT | 2015"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").createOrReplaceTempView("src")
+    rows = spark.sql(f"SELECT * FROM {resume.units(SPARK, 'src')} q ORDER BY ord").collect()
+    assert [(r.text, r.section, r.role) for r in rows] == [
+        ("Built it and ran it", "experience", "Engineer"), ("Led a team.", "experience", "Engineer"), ("Shipped.", "experience", "Engineer"),
+        ("Stack: a, b (c, d), e, f", "skills", ""), ("Stack: g, h, i", "skills", ""), ("BSc, MIT", "education", "BSc"),
+    ]
+
+
 def test_match_and_fit(spark):
     one = spark.createDataFrame([("a", 0.9875, 0.13, 0.05)], "pair string, role_match double, experience_short double, blocker double")
     assert score_stream(one).first().score == 87
