@@ -104,6 +104,10 @@ class Spark:
     def sha(self, s: str) -> str:
         return f"sha2({s}, 256)"
 
+    def hex24(self, s: str, start: int) -> str:
+        """Six hexadecimal digits as a number."""
+        return f"CAST(conv(substr({s}, {start}, 6), 16, 10) AS BIGINT)"
+
     def json(self, s: str, key: str) -> str:
         return f"get_json_object({s}, '$.{key}')"
 
@@ -207,6 +211,9 @@ class Duck:
     def sha(self, s):
         return f"sha256({s})"
 
+    def hex24(self, s, start):
+        return f"CAST(concat('0x', substr({s}, {start}, 6)) AS BIGINT)"
+
     def json(self, s, key):
         return f"json_extract_string({s}, '$.{key}')"
 

@@ -39,16 +39,21 @@ def items(d, t):
 
 def signals(d, t):
     """(pair, role_match, experience_short, blocker, reference)."""
-    return _num(d, f"(SELECT o_orderkey AS pair, o_custkey % 40 AS resume, (o_orderkey * 7919 % 401) / 400.0D AS role_match, (o_orderkey * 104729 % 1000) / 1000.0D AS experience_short, CASE WHEN o_orderkey % 5 = 0 THEN (o_custkey % 100) / 100.0D ELSE 0.0D END AS blocker, CAST(round(o_totalprice) AS BIGINT) % 101 AS reference FROM {t('orders')})")
+    return _num(d, f"(SELECT o_orderkey AS pair, o_custkey AS report, o_custkey % 40 AS resume, (o_orderkey * 7919 % 401) / 400.0D AS role_match, (o_orderkey * 104729 % 1000) / 1000.0D AS experience_short, CASE WHEN o_orderkey % 5 = 0 THEN (o_custkey % 100) / 100.0D ELSE 0.0D END AS blocker, CAST(round(o_totalprice) AS BIGINT) % 101 AS reference FROM {t('orders')})")
 
 
 def match(d, t):
-    return _num(d, f"(SELECT pair, resume, reference, CAST(round(greatest(0.0D, least(100.0D, (80.7D + 18.5D * role_match - 55.2D * experience_short) * (1.0D - blocker)))) AS BIGINT) AS score FROM {signals(d, t)} s_)")
+    return _num(d, f"(SELECT pair, report, resume, reference, CAST(round(greatest(0.0D, least(100.0D, (80.7D + 18.5D * role_match - 55.2D * experience_short) * (1.0D - blocker)))) AS BIGINT) AS score FROM {signals(d, t)} s_)")
 
 
 def ratings(d, t):
-    """(grp, id, x, y): small groups of rated things."""
-    return f"(SELECT s_nationkey AS grp, s_suppkey AS id, CAST(floor(s_acctbal) AS BIGINT) % 20 AS x, s_suppkey * 31 % 17 AS y FROM {t('supplier')})"
+    """(grp, id, x, y): the lines of an order, a group of seven at most at every scale, since pairs of a group are compared."""
+    return f"(SELECT l_orderkey AS grp, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS id, CAST(l_quantity AS BIGINT) % 20 AS x, l_suppkey * 31 % 17 AS y FROM {t('lineitem')})"
+
+
+def phrases(d, t):
+    """(grp, id, v): the parts of an order's lines as short phrases."""
+    return f"(SELECT l_orderkey AS grp, l_linenumber * 100000000 + p_partkey AS id, concat(p_name, ' ', lower(p_type)) AS v FROM {t('lineitem')} JOIN {t('part')} ON l_partkey = p_partkey)"
 
 
 def answers(d, t):
@@ -59,6 +64,33 @@ def answers(d, t):
     return f"(SELECT req, unit, opt, k, CAST(w AS DOUBLE) / sum(w) OVER (PARTITION BY req) AS p FROM {a} a_)"
 
 
+def _tallies(d, t):
+    """Distinct tallies of a pair's coverage with the number of pairs that have them: few rows at every scale."""
+    cases = ", ".join(f"sum(CASE WHEN coverage = '{c}' THEN 1 ELSE 0 END) AS {a}" for c, a in (("strong", "strong"), ("partial", "n_partial"), ("weak", "n_weak")))
+    a = f"(SELECT pair, {cases}, count(*) AS n, pair % 101 AS reference FROM {requirements(d, t)} r_ GROUP BY pair)"
+    return f"(SELECT strong, n_partial, n_weak, n, reference, count(*) AS m FROM {a} a_ GROUP BY strong, n_partial, n_weak, n, reference)"
+
+
+def _grid(d, tallies):
+    """Each tally with each credit of the grid in twentieths, weak at most partial."""
+    keep = "strong, n_partial, n_weak, n, reference, m"
+    a = d.explode(f"(SELECT *, {d.seq('21')} AS ps FROM {tallies} t_) ta_", keep, "ps", "pos_p", "p1")
+    b = d.explode(f"(SELECT *, {d.seq('p1')} AS ws FROM {a} tb_) tc_", f"{keep}, p1", "ws", "pos_w", "w1")
+    return f"(SELECT {keep}, p1 - 1 AS partial, w1 - 1 AS weak FROM {b} td_)"
+
+
+def _resamples(d, t, reps):
+    """(report, rep, err): a pair's error drawn for each slot of each resample of its report."""
+    a = f"(SELECT report, abs(score - reference) AS err, row_number() OVER (PARTITION BY report ORDER BY pair) - 1 AS idx, count(*) OVER (PARTITION BY report) AS n FROM {match(d, t)} m_)"
+    slots = d.explode(f"(SELECT report, idx AS slot, n, {d.seq(str(reps))} AS reps FROM {a} a_) s_", "report, slot, n", "reps", "pos", "rep")
+    picks = f"(SELECT report, rep, (rep * 7919 + slot * 104729 + rep * slot * 31 + (rep * rep) % 1009) % n AS idx FROM {slots} k_)"
+    return f"(SELECT p.report AS report, p.rep AS rep, b.err AS err FROM {picks} p JOIN {a} b ON p.report = b.report AND p.idx = b.idx)"
+
+
+def _percentile(d, x, q):
+    return f"percentile({x}, {q})" if d.name == "spark" else f"quantile_cont({x}, {q})"
+
+
 #: Credits in tenths and weights in halves, so that sums are whole numbers and rounding doesn't depend on their order.
 CREDIT10 = "CASE coverage WHEN 'strong' THEN 10 WHEN 'partial' THEN 6 WHEN 'weak' THEN 3 ELSE 0 END"
 WEIGHT2 = "CASE tier WHEN 'required' THEN 6 WHEN 'preferred' THEN 3 ELSE 2 END"
@@ -68,16 +100,16 @@ N = "CAST(sum({}) AS BIGINT)".format
 dual("m1_match_score", lambda d, t: f"SELECT pair, reference, score FROM {match(d, t)} m_", "orders")
 dual("m2_percent", lambda d, t: f"SELECT s_nationkey, CAST(round(100 * CAST(sum(CASE WHEN s_acctbal > 0 THEN 1 ELSE 0 END) AS DOUBLE) / count(*)) AS BIGINT) AS pct FROM {t('supplier')} GROUP BY s_nationkey", "supplier")
 dual("m3_score_share", lambda d, t: f"SELECT event_id, CAST(event_id % 5 AS DOUBLE) / 4 AS share FROM {t('events')}", "events")
-dual("m4_pearson", lambda d, t: f"SELECT grp, {R6('coalesce(' + d.div('n * sxy - sx * sy', 'nullif(sqrt(n * sxx - sx * sx) * sqrt(n * syy - sy * sy), 0)') + ', 0)')} AS r FROM (SELECT grp, CAST(count(*) AS DOUBLE) AS n, CAST(sum(x) AS DOUBLE) AS sx, CAST(sum(y) AS DOUBLE) AS sy, CAST(sum(x * y) AS DOUBLE) AS sxy, CAST(sum(x * x) AS DOUBLE) AS sxx, CAST(sum(y * y) AS DOUBLE) AS syy FROM {ratings(d, t)} r_ GROUP BY grp) g_", "supplier")
-dual("m5_kendall_tau_b", lambda d, t: f"SELECT grp, {R6('coalesce(' + d.div('c', 'nullif(sqrt(CAST(n0 - tx AS DOUBLE) * (n0 - ty)), 0)') + ', 0)')} AS tau FROM (SELECT a.grp AS grp, sum(sign(a.x - b.x) * sign(a.y - b.y)) AS c, count(*) AS n0, sum(CASE WHEN a.x = b.x THEN 1 ELSE 0 END) AS tx, sum(CASE WHEN a.y = b.y THEN 1 ELSE 0 END) AS ty FROM {ratings(d, t)} a JOIN {ratings(d, t)} b ON a.grp = b.grp AND a.id < b.id GROUP BY a.grp) g_", "supplier")
+dual("m4_pearson", lambda d, t: f"SELECT grp, {R6('coalesce(' + d.div('n * sxy - sx * sy', 'nullif(sqrt(n * sxx - sx * sx) * sqrt(n * syy - sy * sy), 0)') + ', 0)')} AS r FROM (SELECT grp, CAST(count(*) AS DOUBLE) AS n, CAST(sum(x) AS DOUBLE) AS sx, CAST(sum(y) AS DOUBLE) AS sy, CAST(sum(x * y) AS DOUBLE) AS sxy, CAST(sum(x * x) AS DOUBLE) AS sxx, CAST(sum(y * y) AS DOUBLE) AS syy FROM {ratings(d, t)} r_ GROUP BY grp) g_", "lineitem")
+dual("m5_kendall_tau_b", lambda d, t: f"SELECT grp, {R6('coalesce(' + d.div('c', 'nullif(sqrt(CAST(n0 - tx AS DOUBLE) * (n0 - ty)), 0)') + ', 0)')} AS tau FROM (SELECT a.grp AS grp, sum(sign(a.x - b.x) * sign(a.y - b.y)) AS c, count(*) AS n0, sum(CASE WHEN a.x = b.x THEN 1 ELSE 0 END) AS tx, sum(CASE WHEN a.y = b.y THEN 1 ELSE 0 END) AS ty FROM {ratings(d, t)} a JOIN {ratings(d, t)} b ON a.grp = b.grp AND a.id < b.id GROUP BY a.grp) g_", "lineitem")
 dual("m7_fuzzy_jaccard", lambda d, t: f"SELECT a_id, b_id, {R6(T.fuzzy_jaccard(d, 'ca', 'cb'))} AS j FROM (SELECT a.item_id AS a_id, b.item_id AS b_id, a.c AS ca, b.c AS cb FROM (SELECT item_id, {T.content(d, 'text')} AS c FROM {t('benchmark')}) a JOIN (SELECT item_id, {T.content(d, 'text')} AS c FROM {t('benchmark')}) b ON b.item_id = a.item_id + 1) p_", "benchmark")
 dual("m9_normal_equations", lambda d, t: f"SELECT resume % 8 AS fold, {R6('sum(a * a)')} AS s_aa, {R6('sum(a * b)')} AS s_ab, {R6('sum(b * b)')} AS s_bb, {R6('sum(a * reference)')} AS s_ay, {R6('sum(b * reference)')} AS s_by, {R6('sum(c * c)')} AS s_cc FROM (SELECT resume, reference, (1 - blocker) AS c, role_match * (1 - blocker) AS a, experience_short * (1 - blocker) AS b FROM {signals(d, t)} s_) f_ GROUP BY resume % 8", "orders")
 dual("m10_predict", lambda d, t: f"SELECT pair, CAST({'bround(v)' if d.name == 'spark' else 'round_even(v, 0)'} AS BIGINT) AS predicted FROM (SELECT pair, greatest(0, least(100, 10 + CAST(reference AS DOUBLE) / 2)) AS v FROM {signals(d, t)} s_) v_", "orders")
 dual("m12_feature_products", lambda d, t: f"SELECT pair, round(role_match * experience_short, 9) AS ab, round(role_match * blocker, 9) AS ac FROM {signals(d, t)} s_", "orders")
 dual("m13_calibrated_fit", lambda d, t: f"SELECT pair, CAST(floor(10 * {d.div('sum(w * c)', 'sum(w)')} + CAST(0.5 AS DOUBLE)) AS BIGINT) AS fit FROM (SELECT pair, {WEIGHT2} AS w, {CREDIT10} AS c FROM {items(d, t)} i_) x_ GROUP BY pair", "lineitem", "orders")
-dual("m14_credit_grid", lambda d, t: f"SELECT partial, weak, {R6('avg(abs(100 * fit - reference))')} AS mae FROM (SELECT g.partial AS partial, g.weak AS weak, n.reference AS reference, CAST(20 * n.strong + n.n_partial * g.partial + n.n_weak * g.weak AS DOUBLE) / (20 * n.n) AS fit FROM (SELECT pair, sum(CASE WHEN coverage = 'strong' THEN 1 ELSE 0 END) AS strong, sum(CASE WHEN coverage = 'partial' THEN 1 ELSE 0 END) AS n_partial, sum(CASE WHEN coverage = 'weak' THEN 1 ELSE 0 END) AS n_weak, count(*) AS n, pair % 101 AS reference FROM {requirements(d, t)} r_ GROUP BY pair) n CROSS JOIN (SELECT p.v AS partial, w.v AS weak FROM {d.explode('(SELECT ' + d.seq('21') + ' AS vs) a_', '1 AS one', 'vs', 'pos', 'v')} p JOIN {d.explode('(SELECT ' + d.seq('21') + ' AS vs) b_', '1 AS one', 'vs', 'pos', 'v')} w ON w.v <= p.v) g) x_ GROUP BY partial, weak", "lineitem", "orders")
+dual("m14_credit_grid", lambda d, t: f"SELECT partial, weak, {R6(d.div('sum(m * err)', 'sum(m)'))} AS mae FROM (SELECT partial, weak, m, abs(100 * CAST(20 * strong + n_partial * partial + n_weak * weak AS DOUBLE) / (20 * n) - reference) AS err FROM {_grid(d, _tallies(d, t))} g_) x_ GROUP BY partial, weak", "lineitem", "orders")
 dual("m15_price", lambda d, t: f"SELECT event_id, round(CASE WHEN tin < 1 THEN CAST(chars AS DOUBLE) / 16 ELSE CAST(tin AS DOUBLE) / 4 END / 1000 + CAST(tout AS DOUBLE) / 500, 9) AS milli_usd FROM (SELECT event_id, user_id % 900 AS tin, event_id % 300 AS tout, {d.length('props')} AS chars FROM {t('events')}) e_", "events")
-dual("m16_bootstrap", lambda d, t: f"SELECT rep, {R6('avg(abs(m.score - m.reference))')} AS mae FROM (SELECT rep, slot, (rep * 7919 + slot * 104729 + rep * slot * 31) % 50 AS pick FROM {d.explode('(SELECT rep, ' + d.seq('50') + ' AS slots FROM ' + d.explode('(SELECT ' + d.seq('200') + ' AS reps) a_', '1 AS one', 'reps', 'pos', 'rep') + ' b_) c_', 'rep', 'slots', 'pos2', 'slot')} z_) k JOIN (SELECT row_number() OVER (ORDER BY pair) - 1 AS idx, score, reference FROM {match(d, t)} q_ WHERE pair <= 400) m ON m.idx = k.pick GROUP BY rep", "orders")
+dual("m16_bootstrap", lambda d, t: f"SELECT report, count(*) AS reps, {R6(_percentile(d, 'mae', 0.025))} AS low, {R6(_percentile(d, 'mae', 0.975))} AS high FROM (SELECT report, rep, avg(CAST(err AS DOUBLE)) AS mae FROM {_resamples(d, t, 200)} r_ GROUP BY report, rep) x_ GROUP BY report", "orders")
 dual("m17_legacy_match", lambda d, t: f"SELECT pair, CAST(round(greatest(0, least(100, 44.2 + 31.7 * role_match + 46.2 * experience_short - 17.5 * blocker))) AS BIGINT) AS score FROM {signals(d, t)} s_", "orders")
 dual("a1_tier_for", lambda d, t: f"SELECT pair, CASE max({TIER_RANK}) WHEN 2 THEN 'required' WHEN 1 THEN 'preferred' ELSE 'mentioned' END AS tier FROM {requirements(d, t)} r_ GROUP BY pair", "lineitem", "orders")
 dual("a2_unique_values", lambda d, t: f"SELECT lower(event_type) AS v, count(*) AS mentions, min(event_id) AS first_ref, count(DISTINCT user_id) AS refs FROM {t('events')} GROUP BY lower(event_type)", "events")
@@ -93,44 +125,43 @@ dual("a12_checker_totals", lambda d, t: f"SELECT {R6('coalesce(' + d.div('sum(hi
 dual("a13_baseline_totals", lambda d, t: f"SELECT {N('user_id % 900')} AS tokens, {N('CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 7 END')} AS cost, count(CASE WHEN event_id % 4 = 0 THEN NULL ELSE 1 END) AS known FROM {t('events')}", "events")
 dual("a14_e2e_totals", lambda d, t: f"SELECT {d.idiv('sum(greatest(event_id % 500, user_id % 700))', 'count(*)')} AS mean_ms, {N('CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END')} AS failures FROM {t('events')}", "events")
 dual("a15_agree", lambda d, t: f"SELECT count(*) AS n, {R6('avg(CAST(score - reference AS DOUBLE))')} AS bias, {R6('avg(CAST(abs(score - reference) AS DOUBLE))')} AS mae, max(abs(score - reference)) AS worst, count(CASE WHEN abs(score - reference) <= 5 THEN 1 END) AS within_5, count(CASE WHEN abs(score - reference) <= 10 THEN 1 END) AS within_10 FROM {match(d, t)} m_", "orders")
-dual("a16_tier_order", lambda d, t: f"SELECT a.grp AS grp, {R6('avg(CASE WHEN a.y > b.y THEN CAST(1 AS DOUBLE) WHEN a.y = b.y THEN CAST(0.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)')} AS ordered FROM {ratings(d, t)} a JOIN {ratings(d, t)} b ON a.grp = b.grp AND a.x % 3 > b.x % 3 GROUP BY a.grp", "supplier")
-dual("a17_group_pairs_f1", lambda d, t: f"SELECT {R6(d.div('2 * sum(CASE WHEN e.a IS NOT NULL AND g.a IS NOT NULL THEN 1 ELSE 0 END)', 'count(e.a) + count(g.a)'))} AS f1 FROM (SELECT DISTINCT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM {ratings(d, t)} x JOIN {ratings(d, t)} y ON x.grp = y.grp AND x.id <> y.id) e FULL OUTER JOIN (SELECT DISTINCT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM {ratings(d, t)} x JOIN {ratings(d, t)} y ON x.x = y.x AND x.id <> y.id) g ON e.a = g.a AND e.b = g.b", "supplier")
+dual("a16_tier_order", lambda d, t: f"SELECT a.grp AS grp, {R6('avg(CASE WHEN a.y > b.y THEN CAST(1 AS DOUBLE) WHEN a.y = b.y THEN CAST(0.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)')} AS ordered FROM {ratings(d, t)} a JOIN {ratings(d, t)} b ON a.grp = b.grp AND a.x % 3 > b.x % 3 GROUP BY a.grp", "lineitem")
+dual("a17_group_pairs_f1", lambda d, t: f"SELECT {R6(d.div('2 * sum(CASE WHEN e.a IS NOT NULL AND g.a IS NOT NULL THEN 1 ELSE 0 END)', 'count(e.a) + count(g.a)'))} AS f1 FROM (SELECT DISTINCT x.grp AS grp, least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM {ratings(d, t)} x JOIN {ratings(d, t)} y ON x.grp = y.grp AND x.id <> y.id) e FULL OUTER JOIN (SELECT DISTINCT x.grp AS grp, least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM {ratings(d, t)} x JOIN {ratings(d, t)} y ON x.grp = y.grp AND x.x % 5 = y.x % 5 AND x.id <> y.id) g ON e.grp = g.grp AND e.a = g.a AND e.b = g.b", "lineitem")
 dual("a18_confusion", lambda d, t: f"SELECT tier, coverage, count(*) AS n FROM {requirements(d, t)} r_ GROUP BY tier, coverage", "lineitem", "orders")
 dual("a19_best_strength", lambda d, t: f"SELECT pair, max({RANK}) AS best FROM {requirements(d, t)} r_ GROUP BY pair", "lineitem", "orders")
 dual("a20_ratio", lambda d, t: f"SELECT s_nationkey, {R6('coalesce(' + d.div('sum(CASE WHEN s_acctbal > 5000 THEN 1 ELSE 0 END)', 'sum(CASE WHEN s_acctbal > 0 THEN 1 ELSE 0 END)') + ', 0)')} AS ratio FROM {t('supplier')} GROUP BY s_nationkey", "supplier")
-dual("a21_percentiles", lambda d, t: f"SELECT event_type, max(n) AS n, max(CASE WHEN rn = greatest(1, CAST(floor(0.5 * n + 0.5) AS BIGINT)) THEN v END) AS p50, max(CASE WHEN rn = greatest(1, CAST(floor(0.95 * n + 0.5) AS BIGINT)) THEN v END) AS p95, max(v) AS worst FROM (SELECT event_type, user_id AS v, row_number() OVER (PARTITION BY event_type ORDER BY user_id, event_id) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM {t('events')}) x_ GROUP BY event_type", "events")
-dual("a22_labels_hash", lambda d, t: f"SELECT substr({d.sha(d.ordered(chr(39).join(['concat(CAST(doc_id AS STRING), ', ':', ', CAST(quality AS STRING))']), 'doc_id', ','))}, 1, 12) AS labels_hash FROM {t('labels')}", "labels")
+dual("a21_percentiles", lambda d, t: f"SELECT event_type, max(n) AS n, min(CASE WHEN upto >= greatest(1, CAST(floor(0.5 * n + 0.5) AS BIGINT)) THEN v END) AS p50, min(CASE WHEN upto >= greatest(1, CAST(floor(0.95 * n + 0.5) AS BIGINT)) THEN v END) AS p95, max(v) AS worst FROM (SELECT event_type, v, CAST(sum(c) OVER (PARTITION BY event_type ORDER BY v ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto, CAST(sum(c) OVER (PARTITION BY event_type) AS BIGINT) AS n FROM (SELECT event_type, user_id AS v, count(*) AS c FROM {t('events')} GROUP BY event_type, user_id) c_) x_ GROUP BY event_type", "events")
+dual("a22_labels_hash", lambda d, t: f"SELECT substr({d.sha("concat(CAST(count(*) AS STRING), ':', CAST(sum(h1) AS STRING), ':', CAST(sum(h2) AS STRING))")}, 1, 12) AS labels_hash FROM (SELECT {d.hex24('h', 1)} AS h1, {d.hex24('h', 7)} AS h2 FROM (SELECT {d.sha("concat(CAST(doc_id AS STRING), ':', CAST(quality AS STRING), ':', CAST(toxic AS STRING))")} AS h FROM {t('labels')}) x_) y_", "labels")
 dual("a23_judge_median", lambda d, t: f"SELECT user_id, CAST({'median' if d.name == 'duck' else 'median'}(event_id % 101) AS DOUBLE) AS score, {R6('avg(CAST(event_id % 3 AS DOUBLE) / 2)')} AS quote_rate FROM {t('events')} GROUP BY user_id", "events")
 dual("a24_resume_mae", lambda d, t: f"SELECT resume, {R6('avg(CAST(abs(score - reference) AS DOUBLE))')} AS mae FROM {match(d, t)} m_ GROUP BY resume", "orders")
 dual("a25_counts_pivot", lambda d, t: f"SELECT tier, count(CASE WHEN coverage = 'strong' THEN 1 END) AS strong, count(CASE WHEN coverage = 'partial' THEN 1 END) AS partial, count(CASE WHEN coverage = 'weak' THEN 1 END) AS weak, count(CASE WHEN coverage = 'none' THEN 1 END) AS none FROM {items(d, t)} i_ GROUP BY tier", "lineitem", "orders")
 dual("a26_noise", lambda d, t: f"SELECT s_nationkey, CAST(median(s_suppkey % 37) AS DOUBLE) AS med, max(s_suppkey % 37) - min(s_suppkey % 37) AS spread FROM {t('supplier')} GROUP BY s_nationkey", "supplier")
-dual("f1_section_filter", lambda d, t: f"SELECT event_id FROM {t('events')} WHERE event_type NOT IN ('view', 'other') AND event_id % 9 <> 0", "events")
 dual("f3_requirement_mass", lambda d, t: f"SELECT req, {R6('sum(p)')} AS mass FROM {answers(d, t)} a_ WHERE k < 4 GROUP BY req HAVING sum(p) >= {X.REQUIREMENT_MASS}", "events")
 dual("f4_filler", lambda d, t: f"SELECT req FROM (SELECT req, coalesce(max(CASE WHEN opt = 'o1' THEN p END), 0) AS p FROM {answers(d, t)} a_ GROUP BY req) x_ WHERE p >= {X.KEEP_MASS}", "events")
 dual("f5_retrieval_floor", lambda d, t: f"SELECT req, opt FROM {answers(d, t)} a_ WHERE p >= 0.1 AND opt <> 'o4'", "events")
 dual("f6_gate", lambda d, t: f"SELECT req, CASE WHEN g THEN 'graded' ELSE 'ungated' END AS gate FROM (SELECT req, max(CASE WHEN k = 1 THEN p END) >= 0.3 AS g, sum(CASE WHEN k < 4 THEN p ELSE 0 END) AS mass FROM {answers(d, t)} a_ GROUP BY req) x_ WHERE g OR mass >= 0.5", "events")
 dual("f7_without_mentioned", lambda d, t: f"SELECT pair, req, CASE WHEN count(*) OVER (PARTITION BY pair, grp) >= 2 AND grp IS NOT NULL THEN grp END AS grp FROM {requirements(d, t)} r_ WHERE tier <> 'mentioned'", "lineitem", "orders")
-dual("f9_strict_match", lambda d, t: f"SELECT a.p_partkey AS a_key, b.p_partkey AS b_key FROM (SELECT p_partkey, {T.normal(d, 'p_name')} AS n FROM {t('part')}) a JOIN (SELECT p_partkey, {T.normal(d, 'upper(p_name)')} AS n FROM {t('part')}) b ON a.n = b.n AND a.p_partkey < b.p_partkey", "part")
-dual("f10_loose_match", lambda d, t: f"SELECT a.p_partkey AS a_key, b.p_partkey AS b_key FROM (SELECT p_partkey, p_brand, {T.content(d, 'concat(p_name, chr(32), p_type)')} AS c FROM {t('part')} WHERE p_size < 6) a JOIN (SELECT p_partkey, p_brand, {T.content(d, 'p_name')} AS c FROM {t('part')}) b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey WHERE {T.loose_match(d, 'b.c', 'a.c')}", "part")
+dual("f9_strict_match", lambda d, t: f"SELECT a.grp AS grp, a.id AS a_id, b.id AS b_id FROM (SELECT grp, id, {T.normal(d, 'v')} AS n FROM {phrases(d, t)} a_) a JOIN (SELECT grp, id, {T.normal(d, 'upper(v)')} AS n FROM {phrases(d, t)} b_) b ON a.grp = b.grp AND a.n = b.n AND a.id < b.id", "lineitem", "part")
+dual("f10_loose_match", lambda d, t: f"SELECT a.grp AS grp, a.id AS a_id, b.id AS b_id FROM (SELECT grp, id, {T.content(d, 'v')} AS c FROM {phrases(d, t)} a_) a JOIN (SELECT grp, id, {T.content(d, 'v')} AS c FROM {phrases(d, t)} b_) b ON a.grp = b.grp AND a.id <> b.id WHERE {T.loose_match(d, 'b.c', 'a.c')}", "lineitem", "part")
 dual("f12_contains_any", lambda d, t: f"SELECT doc_id FROM {t('documents')} WHERE {d.like('lower(text)', '(^|[^a-z0-9])(the|of|and)($|[^a-z0-9+#])')}", "documents")
 dual("f13_contains_word", lambda d, t: f"SELECT doc_id FROM {t('documents')} WHERE {d.like('lower(text)', '(^|[^\\p{L}\\p{Nd}])(est|zur|pour)($|[^\\p{L}\\p{Nd}])')}", "documents")
-dual("f14_similar", lambda d, t: f"SELECT a.p_partkey AS a_key, b.p_partkey AS b_key FROM (SELECT p_partkey, p_brand, p_name, {T.trigrams(d, 'lower(p_name)')} AS g FROM {t('part')} WHERE p_size < 6) a JOIN (SELECT p_partkey, p_brand, p_name, {T.trigrams(d, 'lower(p_name)')} AS g FROM {t('part')} WHERE p_size < 6) b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE {T.similar(d, 'a.p_name', 'b.p_name', 'a.g', 'b.g')}", "part")
+dual("f14_similar", lambda d, t: f"SELECT a.grp AS grp, a.id AS a_id, b.id AS b_id FROM (SELECT grp, id, v, {T.trigrams(d, 'v')} AS g FROM {phrases(d, t)} a_) a JOIN (SELECT grp, id, v, {T.trigrams(d, 'v')} AS g FROM {phrases(d, t)} b_) b ON a.grp = b.grp AND a.id < b.id WHERE {T.similar(d, 'a.v', 'b.v', 'a.g', 'b.g')}", "lineitem", "part")
 dual("f15_skip", lambda d, t: f"SELECT o_orderkey FROM {t('orders')} LEFT ANTI JOIN {t('customer')} ON o_custkey = c_custkey AND c_acctbal < 0" if d.name == "spark" else f"SELECT o_orderkey FROM {t('orders')} ANTI JOIN {t('customer')} ON o_custkey = c_custkey AND c_acctbal < 0", "orders", "customer")
 dual("f16_quote_rate", lambda d, t: f"SELECT lang, round(avg(CASE WHEN {'contains' }(text, ' de ') THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 2) AS rate FROM {t('documents')} GROUP BY lang", "documents")
 dual("f17_invalid_answers", lambda d, t: f"SELECT req FROM {answers(d, t)} a_ GROUP BY req HAVING abs(sum(p) - 1) > 0.000001 OR min(p) < 0 OR max(p) > 1", "events")
 dual("f19_capped_units", lambda d, t: f"SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'weak' ELSE 'strong' END AS strength FROM {t('events')}", "events")
 dual("j1_chunk_sentence", lambda d, t: f"SELECT l_orderkey, l_linenumber, o_orderpriority FROM {t('lineitem')} JOIN {t('orders')} ON l_orderkey = o_orderkey", "lineitem", "orders")
 dual("j2_mentions", lambda d, t: f"SELECT DISTINCT conv_id, role FROM {t('conversations')}", "conversations")
-dual("j3_same_sentence", lambda d, t: f"SELECT a.l_partkey AS v, b.l_partkey AS other, min(a.l_orderkey) AS first_ref FROM {t('lineitem')} a JOIN {t('lineitem')} b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey WHERE a.l_partkey < 50 GROUP BY a.l_partkey, b.l_partkey", "lineitem")
+dual("j3_same_sentence", lambda d, t: f"SELECT a.l_partkey AS v, b.l_partkey AS other, min(a.l_orderkey) AS first_ref FROM {t('lineitem')} a JOIN {t('lineitem')} b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY a.l_partkey, b.l_partkey", "lineitem")
 dual("j5_mutual", lambda d, t: f"SELECT DISTINCT a.u AS a_id, a.v AS b_id FROM (SELECT DISTINCT l_suppkey AS u, l_partkey % 100 AS v FROM {t('lineitem')}) a JOIN (SELECT DISTINCT l_suppkey AS u, l_partkey % 100 AS v FROM {t('lineitem')}) b ON a.u = b.v AND a.v = b.u WHERE a.u < a.v", "lineitem")
 dual("j6_shortest_context", lambda d, t: f"SELECT conv_id, text FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY {d.octets('text')}, turn) AS rn FROM {t('conversations')}) x_ WHERE rn = 1", "conversations")
-dual("j7_unit_requirement", lambda d, t: f"SELECT s_suppkey, r_regionkey FROM {t('supplier')} CROSS JOIN {t('region')}", "supplier", "region")
+dual("j7_unit_requirement", lambda d, t: f"SELECT a.grp AS pair, a.id AS unit, b.id AS req FROM {ratings(d, t)} a JOIN {ratings(d, t)} b ON a.grp = b.grp", "lineitem")
 dual("j8_linked_units", lambda d, t: f"SELECT c_custkey FROM {t('customer')} WHERE c_custkey IN (SELECT o_custkey FROM {t('orders')})", "customer", "orders")
 dual("j9_first_group", lambda d, t: f"SELECT pair, req, min(grp) AS grp FROM {requirements(d, t)} r_ GROUP BY pair, req", "lineitem", "orders")
 dual("j10_resolve_quote", lambda d, t: f"SELECT item_id, min(doc_id) AS doc_id FROM {t('benchmark')} b JOIN {t('documents')} x ON contains(x.text, b.text) GROUP BY item_id HAVING count(*) = 1", "benchmark", "documents")
-dual("j12_want_got", lambda d, t: f"SELECT coalesce(w.k, g.k) AS k, CASE WHEN w.k IS NULL THEN 'false' WHEN g.k IS NULL THEN 'missed' ELSE 'correct' END AS link FROM (SELECT o_orderkey AS k FROM {t('orders')} WHERE o_orderkey % 2 = 0) w FULL OUTER JOIN (SELECT o_orderkey AS k FROM {t('orders')} WHERE o_orderkey % 3 = 0) g ON w.k = g.k", "orders")
+dual("j12_want_got", lambda d, t: f"SELECT coalesce(w.k, g.k) AS k, CASE WHEN w.k IS NULL THEN 'false' WHEN g.k IS NULL THEN 'missed' ELSE 'correct' END AS link FROM (SELECT o_orderkey AS k FROM {t('orders')} WHERE o_orderstatus = 'F') w FULL OUTER JOIN (SELECT o_orderkey AS k FROM {t('orders')} WHERE o_totalprice > 100000) g ON w.k = g.k", "orders")
 dual("j14_pairs_current", lambda d, t: f"SELECT o.o_orderkey AS pair, c.c_acctbal AS reference FROM {t('orders')} o LEFT JOIN (SELECT * FROM {t('customer')} WHERE c_acctbal > 0) c ON o.o_custkey = c.c_custkey", "orders", "customer")
-dual("j15_replay", lambda d, t: f"SELECT a.event_id AS event_id, b.score AS score FROM (SELECT event_id, {d.sha('concat(event_type, CAST(event_id AS STRING))')} AS request FROM {t('events')}) a LEFT JOIN (SELECT {d.sha('concat(event_type, CAST(event_id AS STRING))')} AS request, event_id % 5 AS score FROM {t('events')} WHERE event_id % 10 <> 0) b ON a.request = b.request", "events")
+dual("j15_replay", lambda d, t: f"SELECT a.event_id AS event_id, b.score AS score FROM (SELECT event_id, {d.sha('concat(event_type, CAST(event_id AS STRING))')} AS request FROM {t('events')}) a LEFT JOIN (SELECT {d.sha('concat(event_type, CAST(event_id AS STRING))')} AS request, event_id % 5 AS score FROM {t('events')} WHERE event_type <> 'error') b ON a.request = b.request", "events")
 dual("j18_retrieval_recall", lambda d, t: f"SELECT {R6(d.div('sum(CASE WHEN r.opt IS NOT NULL THEN 1 ELSE 0 END)', 'count(*)'))} AS recall FROM (SELECT DISTINCT req FROM {answers(d, t)} a_) w LEFT JOIN (SELECT req, opt FROM {answers(d, t)} b_ WHERE k = 1 AND p >= 0.25) r ON w.req = r.req", "events")
 dual("j19_common_ids", lambda d, t: f"SELECT d.doc_id AS doc_id, l.quality AS quality FROM {t('documents')} d JOIN {t('labels')} l ON d.doc_id = l.doc_id", "documents", "labels")
 dual("j20_gap_values", lambda d, t: f"SELECT pair, {d.ordered('CAST(req AS STRING)', 'req', ' / ')} AS gaps FROM {requirements(d, t)} r_ WHERE tier = 'required' AND coverage = 'none' GROUP BY pair", "lineitem", "orders")
@@ -138,7 +169,7 @@ dual("w2_numbering", lambda d, t: f"SELECT conv_id, turn, concat('e', CAST(row_n
 dual("w3_carry_forward", lambda d, t: f"SELECT conv_id, turn, {d.last('CASE WHEN turn % 3 = 0 THEN role END', 'PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')} AS current_role_ FROM {t('conversations')}", "conversations")
 dual("w4_result_order", lambda d, t: f"SELECT pair, req, CAST(row_number() OVER (PARTITION BY pair ORDER BY (req * 7919) % 5 DESC, req) AS BIGINT) AS ord FROM {requirements(d, t)} r_", "lineitem", "orders")
 dual("w5_blocks", lambda d, t: f"SELECT conv_id, turn, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM {t('conversations')}", "conversations")
-dual("w8_validation_batches", lambda d, t: f"SELECT event_id, {d.idiv('row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1', str(X.VALIDATION_BATCH))} AS batch FROM {t('events')}", "events")
+dual("w8_validation_batches", lambda d, t: f"SELECT user_id, event_id, {d.idiv('row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1', str(X.VALIDATION_BATCH))} AS batch FROM {t('events')}", "events")
 dual("w10_section_batches", lambda d, t: f"SELECT conv_id, turn, {d.idiv('turn', str(X.SECTION_BATCH))} AS batch FROM {t('conversations')}", "conversations")
 dual("o1_top_options", lambda d, t: f"SELECT req, opt, CAST(rn AS BIGINT) AS rn FROM (SELECT req, opt, row_number() OVER (PARTITION BY req ORDER BY p DESC, opt) AS rn FROM {answers(d, t)} a_) x_ WHERE rn <= 2", "events")
 dual("o2_retrieve", lambda d, t: f"SELECT unit, req, opt, CAST(rn AS BIGINT) AS rn FROM (SELECT unit, req, opt, row_number() OVER (PARTITION BY unit ORDER BY p DESC, req, opt) AS rn FROM {answers(d, t)} a_ WHERE p >= {X.RETRIEVE_FLOOR} AND k < 4) x_ WHERE rn <= {X.RETRIEVE_K}", "events")
@@ -150,11 +181,11 @@ dual("u1_union_first", lambda d, t: f"SELECT v, src FROM (SELECT v, src, row_num
 dual("u6_pair_intersection", lambda d, t: f"SELECT l_suppkey AS a, l_partkey AS b FROM {t('lineitem')} WHERE l_returnflag = 'A' INTERSECT SELECT l_suppkey, l_partkey FROM {t('lineitem')} WHERE l_returnflag = 'R'", "lineitem")
 dual("u7_cascade", lambda d, t: f"SELECT CASE WHEN p_size < 10 THEN 'filler' WHEN p_retailprice < 1000 THEN 'acceptable' WHEN p_partkey % 5 = 0 THEN 'duplicate' ELSE 'extra' END AS kind, count(*) AS n FROM {t('part')} GROUP BY 1", "part")
 dual("e3_attribute_miss", lambda d, t: f"SELECT req, min(stage) AS stage FROM (SELECT req, CASE WHEN coverage = 'none' THEN '1 refinement' WHEN tier = 'mentioned' THEN '2 chunk' ELSE '3 sentence' END AS stage FROM {requirements(d, t)} r_ UNION ALL SELECT req, '4 not in text' FROM {requirements(d, t)} q_) x_ GROUP BY req", "lineitem", "orders")
-dual("e9_compare_judge", lambda d, t: f"SELECT m.pair AS pair, m.score AS score, m.reference AS reference, j.judged AS judged FROM {match(d, t)} m JOIN (SELECT o_orderkey, o_custkey % 101 AS judged FROM {t('orders')} WHERE o_orderkey % 2 = 0) j ON j.o_orderkey = m.pair", "orders")
+dual("e9_compare_judge", lambda d, t: f"SELECT m.pair AS pair, m.score AS score, m.reference AS reference, j.judged AS judged FROM {match(d, t)} m JOIN (SELECT o_orderkey, o_custkey % 101 AS judged FROM {t('orders')} WHERE o_orderstatus <> 'P') j ON j.o_orderkey = m.pair", "orders")
 dual("k8_confusion_pivot", lambda d, t: f"SELECT tier, count(CASE WHEN coverage = 'strong' THEN 1 END) AS strong, count(CASE WHEN coverage = 'weak' THEN 1 END) AS weak FROM {requirements(d, t)} r_ GROUP BY tier", "lineitem", "orders")
-dual("k11_pairs_by_error", lambda d, t: f"SELECT pair, CAST(row_number() OVER (ORDER BY coalesce(abs(score - reference), -1) DESC, pair) AS BIGINT) AS ord FROM {match(d, t)} m_ WHERE pair <= 2000", "orders")
+dual("k11_pairs_by_error", lambda d, t: f"SELECT report, pair, CAST(row_number() OVER (PARTITION BY report ORDER BY coalesce(abs(score - reference), -1) DESC, pair) AS BIGINT) AS ord FROM {match(d, t)} m_", "orders")
 dual("k13_metrics_text", lambda d, t: f"SELECT concat(event_type, ' n=', CAST(count(*) AS STRING), ' max=', CAST(max(user_id) AS STRING)) AS line FROM {t('events')} GROUP BY event_type", "events")
-dual("k14_upsert", lambda d, t: f"SELECT coalesce(n.k, o.k) AS k, coalesce(n.v, o.v) AS v FROM (SELECT c_custkey AS k, 1 AS v FROM {t('customer')} WHERE c_custkey % 2 = 0) o FULL OUTER JOIN (SELECT c_custkey AS k, 2 AS v FROM {t('customer')} WHERE c_custkey % 3 = 0) n ON o.k = n.k", "customer")
+dual("k14_upsert", lambda d, t: f"SELECT coalesce(n.k, o.k) AS k, coalesce(n.v, o.v) AS v FROM (SELECT c_custkey AS k, 1 AS v FROM {t('customer')} WHERE c_acctbal > 0) o FULL OUTER JOIN (SELECT c_custkey AS k, 2 AS v FROM {t('customer')} WHERE c_mktsegment = 'BUILDING') n ON o.k = n.k", "customer")
 dual("s11_violations", lambda d, t: f"SELECT 'dup' AS problem, CAST(doc_id AS STRING) AS id FROM {t('documents')} GROUP BY doc_id HAVING count(*) > 1 UNION ALL SELECT 'group', CAST(grp AS STRING) FROM {requirements(d, t)} r_ WHERE grp IS NOT NULL GROUP BY grp HAVING count(*) < 2", "documents", "lineitem", "orders")
-dual("s14_load_pairs", lambda d, t: f"SELECT d.doc_id AS doc_id, l.quality AS quality FROM {t('documents')} d LEFT JOIN {t('labels')} l ON d.doc_id = l.doc_id WHERE CAST(d.doc_id AS STRING) LIKE '1%'", "documents", "labels")
+dual("s14_load_pairs", lambda d, t: f"SELECT d.doc_id AS doc_id, l.quality AS quality, coalesce(l.doc_id IS NOT NULL, false) AS labelled, (CAST(d.doc_id AS STRING) LIKE '1%' OR CAST(d.doc_id AS STRING) LIKE '27%') AS selected FROM {t('documents')} d LEFT JOIN {t('labels')} l ON d.doc_id = l.doc_id", "documents", "labels")
 dual("s24_pool_reports", lambda d, t: f"SELECT user_id, {R6('avg(coalesce(CASE WHEN event_id % 6 = 0 THEN NULL ELSE value END, 0))')} AS v FROM {t('events')} GROUP BY user_id", "events")

@@ -7,6 +7,7 @@ from gristmill.functions import text as T
 from gristmill.operators import posting as P
 from gristmill.operators import resume as R
 from gristmill.plans.dual import dual
+from gristmill.plans.score_queries import phrases
 
 
 def _some(d, t, cond="true"):
@@ -46,7 +47,7 @@ dual("t6_letter_tests", lambda d, t: f"SELECT doc_id, {d.like('text', T.ALNUM)}
 dual("t7_list_marker", lambda d, t: f"SELECT mk, count(*) AS n FROM {P.headed_lines(d, _headed(d, t))} q_ GROUP BY mk", "documents")
 dual("t8_resume_units", lambda d, t: f"SELECT doc_id, ord, id, text, section, role, company, dates FROM {R.units(d, _headed(d, t))} q_", "documents")
 dual("t9_resume_section", lambda d, t: f"SELECT s_name, {T.resume_section(d, 's_name')} AS section FROM (SELECT DISTINCT concat(CASE c_nationkey % 4 WHEN 0 THEN 'Work History ' WHEN 1 THEN 'Licenses ' WHEN 2 THEN 'Tech Stack ' ELSE 'Project Experience ' END, c_mktsegment) AS s_name FROM {t('customer')}) x_", "customer")
-dual("t12_split_skills", lambda d, t: f"SELECT doc_id, part, piece FROM {R.skills_chunks(d, '(SELECT doc_id, concat(CASE doc_id % 2 WHEN 0 THEN ' + d.lit('Stack: ') + ' ELSE ' + d.lit('') + ' END, replace(substr(' + d.sub('text', '\\s+', ' ') + ', 1, 200), ' + d.lit(' ') + ', CASE doc_id % 3 WHEN 0 THEN ' + d.lit(', (') + ' ELSE ' + d.lit('), ') + ' END)) AS line FROM ' + t('documents') + ') x_', 'doc_id', 'line')} q_", "documents")
+dual("t12_split_skills", lambda d, t: f"SELECT doc_id, part, piece FROM {R.skills_chunks(d, '(SELECT doc_id, concat(CASE doc_id % 2 WHEN 0 THEN ' + d.lit('Stack: ') + ' ELSE ' + d.lit('') + ' END, replace(' + d.sub('text', '\\s+', ' ') + ', ' + d.lit(' ') + ', CASE doc_id % 3 WHEN 0 THEN ' + d.lit(', (') + ' ELSE ' + d.lit('), ') + ' END)) AS line FROM ' + t('documents') + ') x_', 'doc_id', 'line')} q_", "documents")
 dual("t13_tokens", lambda d, t: f"SELECT doc_id, ord, tok, text, break_after FROM {P.tokens(d, _sentence_source(d, t), 'doc_id, ord', False)} q_", "benchmark")
 dual("t14_tokens_slashes", lambda d, t: f"SELECT doc_id, tok, text, break_after FROM {P.tokens(d, '(SELECT p_partkey AS doc_id, replace(replace(concat(p_type, ' + d.lit(', (') + ', p_name, ' + d.lit(') ') + ', p_brand), ' + d.lit(' ') + ', ' + d.lit('/') + '), ' + d.lit('#') + ', ' + d.lit(' ') + ') AS text FROM ' + t('part') + ') x_', 'doc_id', True)} q_", "part")
 dual("t15_strip_label", lambda d, t: f"SELECT item_id, {T.strip_label(d, 'text')} AS text FROM (SELECT item_id, concat(CASE item_id % 3 WHEN 0 THEN 'Deep Backend Expertise: ' WHEN 1 THEN 'Bonus: ' ELSE 'Kubernetes: ' END, text) AS text FROM {t('benchmark')}) x_", "benchmark")
@@ -54,12 +55,12 @@ dual("t16_chunks", lambda d, t: f"SELECT doc_id, ord, chunk_no, text FROM {P.chu
 dual("t17_options", lambda d, t: f"SELECT doc_id, ord, chunk_no, opt_ord, option FROM {P.options(d, _sentence_source(d, t), 'doc_id, ord')} q_", "benchmark")
 dual("t18_windows", lambda d, t: f"SELECT doc_id, ord, start, n, text FROM {P.windows(d, _sentence_source(d, t), 'doc_id, ord', True)} q_", "benchmark")
 dual("t20_generic_only", lambda d, t: f"SELECT p_partkey, {T.is_generic_only(d, 'v')} AS generic FROM (SELECT p_partkey, concat(CASE p_partkey % 3 WHEN 0 THEN 'years of ' WHEN 1 THEN 'Strong experience ' ELSE '5+ ' END, CASE p_partkey % 2 WHEN 0 THEN p_brand ELSE 'skills' END) AS v FROM {t('part')}) x_", "part")
-dual("t21_title_words", lambda d, t: f"SELECT doc_id, {d.join(T.title_words(d, 'substr(text, 1, 200)'), '|')} AS words FROM {t('documents')}", "documents")
+dual("t21_title_words", lambda d, t: f"SELECT doc_id, {d.join(T.title_words(d, 'text'), '|')} AS words FROM {t('documents')}", "documents")
 dual("t22_truncate_words", lambda d, t: f"SELECT doc_id, {T.truncate_words(d, 'text', X.SUMMARY_RUNES)} AS summary FROM {t('documents')}", "documents")
-dual("t23_fallback_summary", lambda d, t: f"SELECT doc_id, {T.truncate_words(d, 's', X.FALLBACK_RUNES)} AS summary FROM (SELECT doc_id, {d.ordered('CASE WHEN ' + d.like('text', '[.]$') + ' THEN text ELSE concat(text, ' + d.lit('.') + ') END', 'ord', ' ')} AS s FROM {P.sentences(d, _some(d, t))} q_ WHERE ord % 3 <> 0 GROUP BY doc_id) y_", "documents")
+dual("t23_fallback_summary", lambda d, t: f"SELECT doc_id, {T.truncate_words(d, 's', X.FALLBACK_RUNES)} AS summary FROM (SELECT doc_id, {d.ordered('CASE WHEN ' + d.like('text', '[.]$') + ' THEN text ELSE concat(text, ' + d.lit('.') + ') END', 'ord', ' ')} AS s FROM {P.sentences(d, _some(d, t))} q_ WHERE NOT strong GROUP BY doc_id) y_", "documents")
 dual("t24_split_selection", lambda d, t: f"SELECT p_partkey, pos, v FROM {d.explode('(SELECT p_partkey, replace(p_type, ' + d.lit(' ') + ', ' + d.lit('/') + ') AS sel FROM ' + t('part') + ') x_', 'p_partkey', T.split_slashes(d, 'sel'), 'pos', 'v')} q_", "part")
-dual("t25_normalize", lambda d, t: f"SELECT doc_id, {T.normal(d, 'text')} AS norm FROM {t('documents')} WHERE lang = 'en'", "documents")
-dual("t26_content", lambda d, t: f"SELECT doc_id, {d.join(T.content(d, 'text'), ' ')} AS stems FROM {t('documents')} WHERE lang = 'en'", "documents")
+dual("t25_normalize", lambda d, t: f"SELECT doc_id, {T.normal(d, 'text')} AS norm FROM {t('documents')}", "documents")
+dual("t26_content", lambda d, t: f"SELECT doc_id, {d.join(T.content(d, 'text'), ' ')} AS stems FROM {t('documents')}", "documents")
 dual("t27_stem", lambda d, t: f"SELECT w, {T.stem(d, 'w')} AS stem FROM (SELECT DISTINCT w FROM {d.explode(_some(d, t), 'doc_id', d.split('lower(text)', ' '), 'pos', 'w')} q_) z_", "documents")
 dual("t28_report_cells", lambda d, t: f"SELECT o_orderkey, concat(substr(o_orderpriority, 1, 7), '…') AS clip, replace(o_orderpriority, '-', '\\\\|') AS cell, coalesce(CAST(CAST(round(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice / 1000 END) AS BIGINT) AS STRING), '–') AS fit FROM {t('orders')}" if d.name == "spark" else f"SELECT o_orderkey, concat(substr(o_orderpriority, 1, 7), '…') AS clip, replace(o_orderpriority, '-', '\\|') AS cell, coalesce(CAST(CAST(round(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice / 1000 END) AS BIGINT) AS STRING), '–') AS fit FROM {t('orders')}", "orders")
 dual("t29_baseline_reply", lambda d, t: f"SELECT event_id, greatest(0, least(100, CAST(round(CAST({d.json('j', 'n')} AS DOUBLE)) AS BIGINT))) AS score FROM (SELECT event_id, {d.get('r', '(?s)[{].*[}]')} AS j FROM (SELECT event_id, concat({d.lit('Sure: {' + chr(34) + 'n' + chr(34) + ': ')}, CAST(event_id % 150 AS STRING), {d.lit('.5} bye')}) AS r FROM {t('events')}) x_) y_", "events")
@@ -67,4 +68,5 @@ dual("t30_judge_norm", lambda d, t: f"SELECT doc_id, {T.judge_normal(d, 'text')}
 dual("t31_redact", lambda d, t: f"SELECT event_id, {T.redact(d, 's')} AS s FROM (SELECT event_id, concat(event_type, ' Bearer tok', CAST(event_id AS STRING), ' sk-abcdefgh', CAST(user_id AS STRING), ' end') AS s FROM {t('events')}) x_", "events")
 dual("w6_ngram_frames", lambda d, t: f"SELECT n, count(*) AS windows, count(DISTINCT text) AS texts FROM {P.windows(d, _sentence_source(d, t), 'doc_id, ord', False)} q_ GROUP BY n", "benchmark")
 dual("f2_title_fragment", lambda d, t: f"SELECT p_partkey, {T.is_title_fragment(d, T.title_words(d, 'v'), T.title_words(d, 'ttl'))} AS fragment FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN concat(p_brand, ' Engineer') WHEN 1 THEN p_brand ELSE concat('Senior ', p_brand, ' engineer') END AS v, concat('Senior ', p_brand, ' Engineer') AS ttl FROM {t('part')}) x_", "part")
-dual("m6_trigram_jaccard", lambda d, t: f"SELECT a.p_partkey AS a_key, b.p_partkey AS b_key, round({T.set_jaccard(d, 'a.g', 'b.g')}, 6) AS j FROM (SELECT p_partkey, p_brand, {T.trigrams(d, 'lower(p_name)')} AS g FROM {t('part')} WHERE p_partkey % 7 = 0) a JOIN (SELECT p_partkey, p_brand, {T.trigrams(d, 'lower(p_name)')} AS g FROM {t('part')}) b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey".replace(" WHERE p_partkey % 7 = 0", ""), "part")
+dual("m6_trigram_jaccard", lambda d, t: f"SELECT a.grp AS grp, a.id AS a_id, b.id AS b_id, round({T.set_jaccard(d, 'a.g', 'b.g')}, 6) AS j FROM (SELECT grp, id, {T.trigrams(d, 'v')} AS g FROM {phrases(d, t)} a_) a JOIN (SELECT grp, id, {T.trigrams(d, 'v')} AS g FROM {phrases(d, t)} b_) b ON a.grp = b.grp AND a.id < b.id", "lineitem", "part")
+dual("f1_section_filter", lambda d, t: f"SELECT doc_id, ord, ref FROM (SELECT doc_id, ord, ref, strong, {T.resume_section(d, 'heading')} AS section FROM {P.sentences(d, _headed(d, t))} q_) r_ WHERE NOT strong AND section NOT IN ('summary', 'other')", "documents")
