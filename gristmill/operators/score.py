@@ -9,10 +9,10 @@ from gristmill.functions import lexicon as X
 
 
 def match_score(role_match: Column, experience_short: Column, blocker: Column, weights: tuple[float, float, float] = X.MATCH_WEIGHTS) -> Column:
-    """0 to 100, halves away from zero."""
+    """0 to 100, halves away from zero; null where a signal is."""
     base, role, short = weights
     raw = (F.lit(base) + F.lit(role) * role_match + F.lit(short) * experience_short) * (1 - blocker)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))).cast("int")
+    return F.when(raw.isNotNull(), F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))).cast("int"))
 
 
 def _pick(column: str, values: dict[str, float]) -> Column:

@@ -54,6 +54,7 @@ def test_resume_units(spark):
 def test_match_and_fit(spark):
     one = spark.createDataFrame([("a", 0.9875, 0.13, 0.05)], "pair string, role_match double, experience_short double, blocker double")
     assert score_stream(one).first().score == 87
+    assert score_stream(one.selectExpr("pair", "CAST(NULL AS DOUBLE) AS role_match", "experience_short", "blocker")).first().score is None
     coverage = spark.createDataFrame([("p", 1, "r1", "required", "strong"), ("p", 2, "r2", "preferred", "none"), ("p", 3, "r3", "required", "none"), ("p", 4, "r4", None, "weak")], "pair string, req_ord int, req_id string, tier string, coverage string")
     members = spark.createDataFrame([("p", 1, "g1", "r1"), ("p", 1, "g1", "r2")], "pair string, group_ord int, group_id string, member_id string")
     row = score.score_fit(coverage, members).first()
