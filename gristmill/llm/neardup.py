@@ -5,7 +5,12 @@ of random bits bring likely pairs together: with N texts a key has log2(N / 64)
 eight, and there are as many tables as give 98 % of the pairs at the similarity asked for a common bucket, whatever N.
 In a bucket the bit-sliced comparison (gristmill.llm.simhash) finds the pairs within the radius. Each
 text proposes its nearest ones of every bucket; a proposed pair links if the Jaccard similarity of its sets of
-shingles is `similarity` or more, counted exactly. Components keep their smallest id.
+shingles is `similarity` or more, counted exactly. Texts with the same set are copies.
+
+The tables only save work. What they leave apart is joined exactly: under one order of all shingles, rare ones
+first, two similar sets share a shingle among the first n - ceil(similarity n) + 1 of each, so every pair of different
+components that shares one there, and whose sizes and places allow the similarity, is verified too. Thus the
+components are those of all pairs at the similarity. Components keep their smallest id.
 
 Defined results: null texts count as empty and all empty texts are copies of one another; texts with fewer
 words have one shingle; rows with a null id stay; rows that share an id stay or go together; an empty table
@@ -14,6 +19,7 @@ gives an empty result; all columns pass through.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -32,6 +38,10 @@ RADIUS = 63
 RECALL = 0.98
 #: Pairs that a text proposes in a bucket; in a bucket of near copies these chain through it.
 NEAREST = 3
+#: Counters that estimate how many texts have a shingle; they only order shingles, so their collisions cost time, not links.
+COUNTERS, SLICES = 1 << 20, 16
+#: Pairs that a task expands at once.
+PAIRS = 1 << 20
 _MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -48,9 +58,20 @@ def wide_prints(texts: list[bytes]) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
+def distinct_shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text index) of the distinct shingles, by text and hash."""
+    raw, starts, lengths, owner = simhash.shingle_spans(texts, WORDS)
+    if not len(owner):
+        return np.zeros(0, np.uint64), owner
+    h = simhash.xxh64_spans(raw, starts, lengths, 42)
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))
+    return h[new], owner[new]
+
+
 def shingle_set(text: bytes) -> np.ndarray:
-    raw, starts, lengths, owner = simhash.shingle_spans([text], WORDS)
-    return np.unique(simhash.xxh64_spans(raw, starts, lengths, 42)) if len(owner) else np.zeros(0, np.uint64)
+    return distinct_shingles([text])[0]
 
 
 def plan_tables(n: int, similarity: float = SIMILARITY) -> np.ndarray:
@@ -138,33 +159,150 @@ def proposals(prints: DataFrame, places: np.ndarray) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long").where("a <> b").distinct()
 
 
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """(values, lengths) of a column of shingle lists."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
+    return values, column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(44)).astype(np.int64)
+
+
+def commonness(prints: DataFrame) -> np.ndarray:
+    """(COUNTERS,) binary logarithm of the shingles that fell on each counter. prints: (s array<long>)."""
+    width = COUNTERS // SLICES
+
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            total += np.bincount(_slot(_lists(b.column(0))[0]), minlength=COUNTERS)
+        if total.any():
+            part = np.minimum(total, np.iinfo(np.uint32).max).astype("<u4").reshape(SLICES, width)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in part], pa.binary())], names=["slice", "c"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[k] = total.get(k, np.zeros(width, np.int64)) + np.frombuffer(blob, "<u4")
+        for k, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.log2(x + 1).astype(np.uint8).tobytes()], pa.binary())], names=["slice", "c"])
+
+    out = np.zeros((SLICES, width), np.uint8)
+    for r in prints.select("s").mapInArrow(count, "slice int, c binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, c binary").collect():
+        out[r[0]] = np.frombuffer(r[1], np.uint8)
+    return out.ravel()
+
+
+def postings(prints: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
+    """(token, id, size, pos): the prefix of each set, rare shingles first, without tokens of one id."""
+    rank = commonness(prints)
+
+    def prefixes(batches):
+        for b in batches:
+            h, n = _lists(b.column(2))
+            owner = np.repeat(np.arange(len(n)), n)
+            h = h[np.lexsort((h, rank[_slot(h)], owner))]
+            keep = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+            place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            tokens = h[place < np.repeat(keep, n)].view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(keep)), pa.int32()), pa.array(tokens))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), lists], names=["id", "digest", "size", "tokens"])
+
+    def shared(batches):
+        parts = [tuple(c.to_numpy(zero_copy_only=False) for c in b.columns) for b in batches if b.num_rows]
+        if not parts:
+            return
+        token, ident, size, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(token, kind="stable")
+        token = token[order]
+        same = token[1:] == token[:-1]
+        keep = order[np.append(False, same) | np.append(same, False)]
+        token = token[np.append(False, same) | np.append(same, False)]
+        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(ident[keep]), pa.array(size[keep]), pa.array(pos[keep])], names=["token", "id", "size", "pos"])
+
+    n = shuffle_partitions(prints.sparkSession)
+    heads = prints.select("id", "digest", "s").mapInArrow(prefixes, "id long, digest binary, size int, tokens array<long>")
+    heads = heads.join(first.select("digest", F.col("first_id").alias("id")), ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"])
+    flat = heads.select("id", "size", F.posexplode("tokens").alias("pos", "token")).select("token", "id", "size", "pos")
+    return flat.repartition(n, "token").mapInArrow(shared, "token long, id long, size int, pos int")
+
+
+def crossings(occurrences: DataFrame, roots: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """(a, b): pairs of different components that share a prefix token and may have the similarity.
+
+    every: all of them; else one pair for neighbouring components of a token.
+    """
+
+    def run(batches):
+        parts = [tuple(c.to_numpy(zero_copy_only=False) for c in b.columns) for b in batches if b.num_rows]
+        if not parts:
+            return
+        token, ident, size, pos, root = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((ident, root, token))
+        token, ident, size, pos, root = token[order], ident[order], size[order].astype(np.int64), pos[order].astype(np.int64), root[order]
+        n = len(token)
+        new_token = np.append(True, token[1:] != token[:-1])
+        new_run = new_token | np.append(True, root[1:] != root[:-1])
+        token_end = np.append(np.flatnonzero(new_token)[1:], n)[np.cumsum(new_token) - 1]
+        run_end = np.append(np.flatnonzero(new_run)[1:], n)[np.cumsum(new_run) - 1]
+        partners = token_end - run_end if every else (new_run & (run_end < token_end)).astype(np.int64)
+        rows = np.flatnonzero(partners)
+        done = np.cumsum(partners[rows])
+        lo = 0
+        while lo < len(rows):
+            hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + PAIRS, side="right")))
+            at = rows[lo:hi]
+            lo = hi
+            many = partners[at]
+            i = np.repeat(at, many)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + run_end[i]
+            common = np.minimum(size[i] - pos[i], size[j] - pos[j])  # at most, if this is their first common token
+            may = common >= similarity / (1 + similarity) * (size[i] + size[j]) - 1e-6
+            may &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6
+            i, j = ident[i[may]], ident[j[may]]
+            pairs = np.unique(np.stack([np.maximum(i, j), np.minimum(i, j)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    named = occurrences.join(roots.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "size", "pos", F.coalesce("root", "id").alias("root"))
+    return named.repartition(shuffle_partitions(occurrences.sparkSession), "token").mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets have the similarity."""
+    named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = prints.join(named, "id", "left_semi").dropDuplicates(["id", "digest"]).select("id", "s")
+    both = pairs.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
 def links(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b): pairs of ids, a > b, whose texts are copies or near copies."""
+    """(a, b): pairs of ids, a > b, whose texts are copies or near copies; all components of such pairs come out whole."""
 
     def run(batches):
         for b in batches:
             texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
             for lo, hi in chunks_by_bytes(texts):
                 fp = wide_prints(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(2)[lo:hi], pa.array([x.tobytes() for x in fp.astype("<u8")], pa.binary())], names=["id", "digest", "fp"])
+                h, owner = distinct_shingles(texts[lo:hi])
+                ends = np.searchsorted(owner, np.arange(hi - lo + 1))
+                digests = [hashlib.sha256(h[i:j].tobytes()).digest() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in fp.astype("<u8")], pa.binary()), sets], names=["id", "digest", "fp", "s"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.col("id").isNotNull())
-    prints = cut(texts.withColumn("digest", F.sha2("text", 256)).mapInArrow(run, "id long, digest string, fp binary"))
+    prints = cut(texts.mapInArrow(run, "id long, digest binary, fp binary, s array<long>"))
     first = cut(prints.groupBy("digest").agg(F.min("id").alias("first_id"), F.min("fp").alias("fp")))
     copies = prints.join(first.select("digest", "first_id"), "digest").where("id <> first_id").select(F.col("id").alias("a"), F.col("first_id").alias("b"))
     pairs = cut(proposals(first.select(F.col("first_id").alias("id"), "fp"), plan_tables(first.count(), similarity)))
-
-    def sets(batches):
-        for b in batches:
-            found = [shingle_set(t or b"").view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "s"])
-
-    named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    shingles = texts.join(named, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id long, s array<long>")
-    both = pairs.join(shingles.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(shingles.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    near = both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    return near.unionByName(copies)
+    found = cut(verified(pairs, prints, similarity))
+    occurrences = cut(postings(prints, first, similarity))
+    for every in (False, True):  # a link between neighbours joins whole clumps, so that few pairs are left for the last round
+        pairs = cut(crossings(occurrences, connected_components(found), similarity, every))
+        found = cut(found.unionByName(verified(pairs, prints, similarity)))
+    return found.unionByName(copies)
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -102,3 +102,39 @@ def test_near_duplicates(spark, odd_docs, no_docs):
     kept = sorted((r.doc_id is None, r.doc_id or 0) for r in neardup.deduplicate(odd_docs).collect())
     assert [i for n, i in kept if not n] == [1, 3, 5, 6, 7, 8] or [i for n, i in kept if not n] == [1, 3, 6, 7, 8]
     assert neardup.deduplicate(no_docs).count() == 0
+
+
+def test_near_duplicates_across_clumps(spark):
+    """Pairs between two clumps of near copies, each member with closer siblings of its own."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(words) for _ in range(1500)]
+    other = list(base)
+    for at in range(40, 1480, 52):
+        other[at] = f"other{at}"
+    rows = [(i, " ".join((base if i < 20 else other)[:-1] + [f"last{i}"])) for i in range(40)]
+    assert [r.doc_id for r in neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+
+
+def test_near_duplicates_are_exact(spark):
+    """Components of all pairs at the similarity, against brute force."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(800)]
+    rows = []
+    for i in range(150):
+        if i and rng.random() < 0.7:
+            text = rng.choice(rows)[1].split()
+            for _ in range(rng.randint(1, 8)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+        else:
+            text = [rng.choice(words) for _ in range(rng.choice([6, 40, 200, 300]))]
+        rows.append((i, " ".join(text)))
+    sets = [set(neardup.shingle_set(t.encode()).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    kept = sorted(r.doc_id for r in neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == [i for i, r in enumerate(root) if i == r]
