@@ -1,6 +1,6 @@
 """Near-duplicate removal by wide SimHash fingerprints, bit-sliced comparison and exact verification.
 
-Exact copies collapse first. Every text left gets a 256-bit SimHash of its five-word shingles. Tables
+Exact copies collapse first. Every text left gets a 256-bit SimHash of its set of five-word shingles. Tables
 of random bits bring likely pairs together: with N texts a key has log2(N / 64) bits, at least
 eight, and there are as many tables as give 98 % of the pairs at the similarity asked for a common bucket, whatever N.
 In a bucket the bit-sliced comparison (gristmill.llm.simhash) finds the pairs within the radius. Each
@@ -45,19 +45,6 @@ PAIRS = 1 << 20
 _MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
-def wide_prints(texts: list[bytes]) -> np.ndarray:
-    """(texts, FIELDS) unsigned 64-bit."""
-    raw, starts, lengths, owner = simhash.shingle_spans(texts, WORDS)
-    h = simhash.xxh64_spans(raw, starts, lengths, 42) if len(owner) else np.zeros(0, np.uint64)
-    out = [simhash.majority(h, owner, len(texts))]
-    for m in _MULTIPLY[: FIELDS - 1]:
-        mixed = (h ^ (h >> np.uint64(31))) * m
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= _MULTIPLY[0]
-        out.append(simhash.majority(mixed ^ (mixed >> np.uint64(32)), owner, len(texts)))
-    return np.stack(out, axis=1)
-
-
 def distinct_shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text index) of the distinct shingles, by text and hash."""
     raw, starts, lengths, owner = simhash.shingle_spans(texts, WORDS)
@@ -70,6 +57,22 @@ def distinct_shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h[new], owner[new]
 
 
+def wide_prints(texts: list[bytes]) -> np.ndarray:
+    """(texts, FIELDS) unsigned 64-bit."""
+    return set_prints(*distinct_shingles(texts), len(texts))
+
+
+def set_prints(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """(n, FIELDS) unsigned 64-bit: each distinct shingle of a text votes once, as in the similarity."""
+    out = [simhash.majority(h, owner, n)]
+    for m in _MULTIPLY[: FIELDS - 1]:
+        mixed = (h ^ (h >> np.uint64(31))) * m
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= _MULTIPLY[0]
+        out.append(simhash.majority(mixed ^ (mixed >> np.uint64(32)), owner, n))
+    return np.stack(out, axis=1)
+
+
 def shingle_set(text: bytes) -> np.ndarray:
     return distinct_shingles([text])[0]
 
@@ -285,8 +288,8 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id
         for b in batches:
             texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
             for lo, hi in chunks_by_bytes(texts):
-                fp = wide_prints(texts[lo:hi])
                 h, owner = distinct_shingles(texts[lo:hi])
+                fp = set_prints(h, owner, hi - lo)
                 ends = np.searchsorted(owner, np.arange(hi - lo + 1))
                 digests = [hashlib.sha256(h[i:j].tobytes()).digest() for i, j in zip(ends[:-1], ends[1:], strict=True)]
                 sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))

@@ -138,3 +138,14 @@ def test_near_duplicates_are_exact(spark):
                 root = [min(a, b) if r in (a, b) else r for r in root]
     kept = sorted(r.doc_id for r in neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert kept == [i for i, r in enumerate(root) if i == r]
+
+
+def test_repeats_do_not_rule_fingerprints():
+    rng = random.Random(6)
+    text = " ".join(f"w{rng.randrange(3000)}" for _ in range(300)).encode()
+    line = b" menu home about news contact imprint"
+    once, often = text + line, text + line * 100
+    a, b = neardup.shingle_set(once), neardup.shingle_set(often)
+    assert len(np.intersect1d(a, b)) >= 0.95 * len(np.union1d(a, b))
+    prints = neardup.wide_prints([once, often])
+    assert np.bitwise_count(prints[0] ^ prints[1]).sum() <= neardup.RADIUS
