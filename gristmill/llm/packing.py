@@ -8,8 +8,8 @@ cut), unused documents follow in falling score until the window is full, and the
 cut where the window ends. What remains at the end of a shard is laid out in windows whose
 lengths are powers of two, so there is no padding.
 
-Terms in more than an eighth of a shard's documents have almost no weight in BM25 and aren't queried;
-documents without a scored neighbour follow in the shard's order. No document is left out.
+All terms of the seed are queried. Terms in more than an eighth of a shard's documents have rows of weights
+instead of postings, which costs less; documents without a scored neighbour follow in the shard's order. No document is left out.
 
 Defined results: null and empty texts are the end token alone; a text longer than a window fills
 several; repeated rows are packed as often as they come; an empty table gives an empty result;
@@ -35,6 +35,8 @@ END = 2
 K1, B = 1.2, 0.75
 #: Neighbours that are sorted first; all, if these do not fill the window.
 LOOK = 64
+#: Terms in more than 1 / DENSE of a shard's documents have a row of weights each, at most DENSE numbers for a posting.
+DENSE = 8
 #: Words whose ids a task remembers; then it forgets all.
 CACHE_WORDS = 250_000
 
@@ -209,17 +211,21 @@ class Shard:
         idf = np.log(1 + (n - self.df + 0.5) / (self.df + 0.5))
         norm = K1 * (1 - B + B * self.lengths[self.posting] / self.lengths.mean())
         self.weight = np.repeat(idf, self.df) * tf * (K1 + 1) / (tf + norm)
-        self.telling = self.df <= max(2, n // 8)
+        common = self.df > n // DENSE
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        self.rows = np.zeros((int(common.sum()), n))
+        held = np.repeat(common, self.df)
+        self.rows[np.repeat(self.row, self.df)[held], self.posting[held]] = self.weight[held]
         self.n = n
 
     def scores(self, doc: np.ndarray) -> np.ndarray:
+        """BM25 of every document for all terms of doc."""
         at = np.searchsorted(self.terms, np.unique(doc))
-        at = at[self.telling[at]]
-        if not len(at):
-            return np.zeros(self.n)
+        out = self.rows[self.row[at[self.row[at] >= 0]]].sum(axis=0)
+        at = at[self.row[at] < 0]
         sizes = self.df[at]
         flat = np.repeat(self.start[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        return np.bincount(self.posting[flat], self.weight[flat], self.n)
+        return out + np.bincount(self.posting[flat], self.weight[flat], self.n)
 
 
 def arrange(docs: list[np.ndarray], window: int = WINDOW) -> list[int]:

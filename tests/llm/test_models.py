@@ -101,3 +101,23 @@ def test_packing_round_trip(spark, odd_docs, no_docs):
     assert all(n == 4096 or n & (n - 1) == 0 for n in total.values())
     assert packing.pack(odd_docs).select("doc_id").distinct().count() == 9
     assert packing.pack(no_docs).count() == 0
+
+
+def test_packing_queries_all_terms():
+    """Scores against BM25 in full, and a group of like documents that fills most of its shard."""
+    rng = np.random.default_rng(8)
+    group = rng.integers(100, 300, 60)
+    docs = [np.append(group, [1000 + i]) if i % 3 else rng.integers(3000 + 60 * i, 3060 + 60 * i, 61) for i in range(30)]
+    n, mean = len(docs), np.mean([len(d) for d in docs])
+    shard = packing.Shard(docs)
+    for q in docs[:6]:
+        want = np.zeros(n)
+        for term in set(q.tolist()):
+            df = sum(term in d for d in docs)
+            for i, d in enumerate(docs):
+                tf = int((d == term).sum())
+                want[i] += np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
+        assert shard.scores(q) == pytest.approx(want)
+    order = packing.arrange(docs[1:] + docs[:1], window=61 * 20)
+    assert sorted(order) == list(range(30))
+    assert all((i + 1) % 3 for i in order[:20])
