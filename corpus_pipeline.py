@@ -1,7 +1,7 @@
 """The corpus pipeline: quality, boilerplate lines, near duplicates, mixture, packing.
 
 Each stage takes all rows that the one before kept; every stage but the last returns the columns of
-`documents`. Between stages the rows are written as Parquet into the shared folder and read again.
+`documents`, the mixture also `place`, which packing keeps to. Between stages the rows are written as Parquet into the shared folder and read again.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from gristmill.llm import linespread, mil, neardup, packing, pfair
 from gristmill.llm.common import shared_folder, shuffle_partitions, table
 
+#: Of target shares by characters: 1 keeps the sources' own shares, 0 makes them equal.
+TEMPERATURE = 0.5
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -36,15 +39,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return neardup.deduplicate(docs).select(*docs.columns)
 
 
+def target_weights(docs: DataFrame) -> dict[str, float]:
+    """Target share by source: its characters to the power of TEMPERATURE, so that large sources give way to small ones."""
+    source = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")
+    chars = docs.groupBy(source).agg(F.sum(F.coalesce(F.col("n_chars").cast("long"), F.lit(0))).alias("chars"))
+    return {r.source: max(1, r.chars) ** TEMPERATURE for r in chars.collect()}
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the Pfair schedule, equal shares for the sources: files and rows follow it."""
-    order = pfair.mix(docs).repartitionByRange(shuffle_partitions(spark), "place").sortWithinPartitions("place")
-    return order.select(*docs.columns)
+    """All documents with their place in the Pfair schedule of the target weights; files and rows follow it."""
+    order = pfair.mix(docs, target_weights(docs)).repartitionByRange(shuffle_partitions(spark), "place").sortWithinPartitions("place")
+    return order.select(*docs.columns, "place")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training windows."""
-    return packing.pack(docs)
+    """Pieces of documents in training windows; retrieval stays within consecutive ranges of the schedule."""
+    return packing.pack(docs, order_col="place")
 
 
 STAGES: list[tuple[str, Stage]] = [

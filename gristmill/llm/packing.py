@@ -13,7 +13,7 @@ instead of postings, which costs less; documents without a scored neighbour foll
 
 Defined results: null and empty texts are the end token alone; a text longer than a window fills
 several; repeated rows are packed as often as they come; an empty table gives an empty result;
-other columns are ignored.
+other columns are ignored; the order column, where one is named, has no nulls.
 """
 
 from __future__ import annotations
@@ -177,8 +177,11 @@ def unpack_ids(blob: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<" + raw[:2].decode(), offset=2).astype("<u4")
 
 
-def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sig, ids): compressed little-endian ids, the end token last; 16 bits each where all fit (id_type)."""
+def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
+    """(doc_id, sig, ids): compressed little-endian ids, the end token last; 16 bits each where all fit (id_type).
+
+    With order_col, sig is that column instead of the min-hash.
+    """
 
     def run(batches):
         import zstandard
@@ -186,12 +189,13 @@ def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         encoder, squeeze = WordEncoder(path), zstandard.ZstdCompressor(level=1).compress
         kind = id_type(encoder.tokenizer.get_vocab_size())
         for b in batches:
-            ids = b.column(0)
+            ids, given = b.column(0), b.column(2) if order_col else None
             for lo in range(0, b.num_rows, 256):
                 rows = [np.append(x, END).astype(kind) for x in encoder.encode(b.column(1)[lo : lo + 256].to_pylist())]
-                yield pa.RecordBatch.from_arrays([ids[lo : lo + len(rows)], pa.array([signature(x) for x in rows], pa.int64()), pa.array([squeeze(kind[1:].encode() + x.tobytes()) for x in rows], pa.binary())], names=["doc_id", "sig", "ids"])
+                yield pa.RecordBatch.from_arrays([ids[lo : lo + len(rows)], pa.array([signature(x) for x in rows], pa.int64()) if given is None else given[lo : lo + len(rows)], pa.array([squeeze(kind[1:].encode() + x.tobytes()) for x in rows], pa.binary())], names=["doc_id", "sig", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, sig long, ids binary")
+    given = [F.col(order_col).cast("long").alias("sig")] if order_col else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *given).mapInArrow(run, "doc_id long, sig long, ids binary")
 
 
 class Shard:
@@ -278,22 +282,26 @@ def windows(total: int, window: int = WINDOW) -> np.ndarray:
     return np.array([window] * (total // window) + [1 << k for k in range(window.bit_length() - 1, -1, -1) if rest >> k & 1], np.int64)
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    order_col: shards are consecutive ranges of this column instead of the min-hash; seeds follow it in a shard.
+    """
     spark = docs.sparkSession
     path = path or tokenizer_path()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
-        ids, blobs, shard = [], [], 0
+        ids, blobs, places, shard = [], [], [], 0
         for b in batches:
             if b.num_rows:
                 ids += b.column(0).to_pylist()
                 blobs += b.column(1).to_pylist()
                 shard = b.column(2)[0].as_py()
+                places += b.column(3).to_pylist() if order_col else [0] * b.num_rows
         if not ids:
             return
-        rank = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, blobs[i]))  # whatever order the blocks came in
+        rank = sorted(range(len(ids)), key=lambda i: (places[i], ids[i] is None, ids[i] or 0, blobs[i]))  # whatever order the blocks came in
         docs = [unpack_ids(blobs[i]) for i in rank]
         order = arrange(docs, window)
         lengths = np.array([len(docs[i]) for i in order])
@@ -310,6 +318,6 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col:
         cols = [pa.array(whose, pa.int64()), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(lengths[d]), pa.array((shard << 32) + w), pa.array(begins - np.append(0, win_end)[w])]
         yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    tokens = cut(tokenise(docs, path, id_col, text_col))
+    tokens = cut(tokenise(docs, path, id_col, text_col, order_col))
     shards = tokens.repartitionByRange(shuffle_partitions(spark), "sig", "doc_id")
-    return shards.select("doc_id", "ids", F.spark_partition_id().cast("long").alias("shard")).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return shards.select("doc_id", "ids", F.spark_partition_id().cast("long").alias("shard"), *(["sig"] if order_col else [])).mapInArrow(run, ", ".join(f"{c} long" for c in names))

@@ -121,3 +121,27 @@ def test_packing_queries_all_terms():
     order = packing.arrange(docs[1:] + docs[:1], window=61 * 20)
     assert sorted(order) == list(range(30))
     assert all((i + 1) % 3 for i in order[:20])
+
+
+def test_mixture_reaches_sequences(spark):
+    """Every shard of the sequences has the sources at their target shares, also where one has texts of one kind."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(1000):
+        source = "small" if i % 5 == 0 else "large"
+        text = " ".join(["one kind of page with the same words"] * 5) if source == "small" else " ".join(f"w{rng.randrange(900)}" for _ in range(38))
+        rows.append((i, text, source, 160))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    mixed = corpus_pipeline.mixture(spark, docs, "").cache()
+    place = {r.doc_id: r.place for r in mixed.collect()}
+    pieces = sorted(corpus_pipeline.pack(spark, mixed, "").collect(), key=lambda r: (r.sequence_id, r.offset))
+    shards = {}
+    for r in pieces:
+        shards.setdefault(r.sequence_id >> 32, set()).add(r.doc_id)
+    order = [shards[k] for k in sorted(shards)]
+    assert sum(map(len, order)) == len(place) == 1000
+    assert len(order) > 2 and all(max(place[i] for i in a) < min(place[i] for i in b) for a, b in zip(order, order[1:]))
+    share = [sum(i % 5 == 0 for i in s) / len(s) for s in order]
+    assert abs(share[0] - 1 / 3) < 0.1 and share[-1] < 0.1  # the roots of 1 and 4; at the end the small source has run out
