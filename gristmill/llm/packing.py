@@ -1,8 +1,8 @@
 """Packing documents into training windows with BM25 retrieval.
 
-Documents are tokenised once and laid in shards ordered by a min-hash of their token
-trigrams, so that like documents share a shard; ties go by id, so a large group of copies
-spreads over as many shards as it needs. In each shard a BM25 inverted index over token
+Documents are tokenised once and ordered by a min-hash of their token trigrams, so that like documents
+are neighbours; ties go by id, so a large group of copies spreads over as many shards as it needs. Every
+million tokens in this order are a shard (a longer document is one of its own). In each shard a BM25 inverted index over token
 ids serves one query a window: the seed is the document at hand (or the rest of one that was
 cut), unused documents follow in falling score until the window is full, and the last one is
 cut where the window ends. What remains at the end of a shard is laid out in windows whose
@@ -33,6 +33,10 @@ from gristmill.llm.common import cut, shuffle_partitions
 WINDOW = 4096
 END = 2
 K1, B = 1.2, 0.75
+#: Tokens of a shard: 256 windows, so the cost of a query and the memory of an index don't grow with the data.
+SHARD_TOKENS = 1 << 20
+#: Tokens of a task at most, on the mean; it lays out one shard after the other.
+TASK_TOKENS = 1 << 26
 #: Neighbours that are sorted first; all, if these do not fill the window.
 LOOK = 64
 #: Terms in more than 1 / DENSE of a shard's documents have a row of weights each, at most DENSE numbers for a posting.
@@ -178,7 +182,7 @@ def unpack_ids(blob: bytes) -> np.ndarray:
 
 
 def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
-    """(doc_id, sig, ids): compressed little-endian ids, the end token last; 16 bits each where all fit (id_type).
+    """(doc_id, sig, n, ids): compressed little-endian ids, the end token last; 16 bits each where all fit (id_type).
 
     With order_col, sig is that column instead of the min-hash.
     """
@@ -192,10 +196,10 @@ def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             ids, given = b.column(0), b.column(2) if order_col else None
             for lo in range(0, b.num_rows, 256):
                 rows = [np.append(x, END).astype(kind) for x in encoder.encode(b.column(1)[lo : lo + 256].to_pylist())]
-                yield pa.RecordBatch.from_arrays([ids[lo : lo + len(rows)], pa.array([signature(x) for x in rows], pa.int64()) if given is None else given[lo : lo + len(rows)], pa.array([squeeze(kind[1:].encode() + x.tobytes()) for x in rows], pa.binary())], names=["doc_id", "sig", "ids"])
+                yield pa.RecordBatch.from_arrays([ids[lo : lo + len(rows)], pa.array([signature(x) for x in rows], pa.int64()) if given is None else given[lo : lo + len(rows)], pa.array([len(x) for x in rows], pa.int64()), pa.array([squeeze(kind[1:].encode() + x.tobytes()) for x in rows], pa.binary())], names=["doc_id", "sig", "n", "ids"])
 
     given = [F.col(order_col).cast("long").alias("sig")] if order_col else []
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *given).mapInArrow(run, "doc_id long, sig long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *given).mapInArrow(run, "doc_id long, sig long, n long, ids binary")
 
 
 class Shard:
@@ -282,7 +286,24 @@ def windows(total: int, window: int = WINDOW) -> np.ndarray:
     return np.array([window] * (total // window) + [1 << k for k in range(window.bit_length() - 1, -1, -1) if rest >> k & 1], np.int64)
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
+def laid_out(ids: list, docs: list[np.ndarray], window: int) -> list[np.ndarray]:
+    """The columns of a shard's pieces, doc_id first; sequences count from 0."""
+    order = arrange(docs, window)
+    lengths = np.array([len(docs[i]) for i in order])
+    doc_end = np.cumsum(lengths)
+    win_end = np.cumsum(windows(int(doc_end[-1]), window))
+    ends = np.union1d(doc_end, win_end)
+    begins = np.append(0, ends[:-1])
+    d = np.searchsorted(doc_end, ends)
+    w = np.searchsorted(win_end, ends)
+    start = begins - (doc_end - lengths)[d]
+    size = ends - begins
+    crc = np.array([zlib.crc32(memoryview(docs[order[k]])[s : s + n]) for k, s, n in zip(d, start, size, strict=True)], np.int64)
+    whose = [ids[order[k]] for k in d]
+    return [whose, start, size, crc, lengths[d], w, begins - np.append(0, win_end)[w]]
+
+
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None, shard_tokens: int = SHARD_TOKENS, task_tokens: int = TASK_TOKENS) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     order_col: shards are consecutive ranges of this column instead of the min-hash; seeds follow it in a shard.
@@ -292,32 +313,31 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col:
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
-        ids, blobs, places, shard = [], [], [], 0
+        ids: list = []
+        texts: list[np.ndarray] = []
+        size = before = 0
+
+        def emit():
+            nonlocal ids, texts, size, before
+            whose, *cols, sequence, offset = laid_out(ids, texts, window)
+            rows = [pa.array(whose, pa.int64()), *map(pa.array, cols), pa.array((part << 32) + before + sequence), pa.array(offset)]
+            ids, texts, size, before = [], [], 0, before + int(sequence[-1]) + 1
+            return pa.RecordBatch.from_arrays(rows, names=names)
+
         for b in batches:
-            if b.num_rows:
-                ids += b.column(0).to_pylist()
-                blobs += b.column(1).to_pylist()
-                shard = b.column(2)[0].as_py()
-                places += b.column(3).to_pylist() if order_col else [0] * b.num_rows
-        if not ids:
-            return
-        rank = sorted(range(len(ids)), key=lambda i: (places[i], ids[i] is None, ids[i] or 0, blobs[i]))  # whatever order the blocks came in
-        docs = [unpack_ids(blobs[i]) for i in rank]
-        order = arrange(docs, window)
-        lengths = np.array([len(docs[i]) for i in order])
-        doc_end = np.cumsum(lengths)
-        win_end = np.cumsum(windows(int(doc_end[-1]), window))
-        ends = np.union1d(doc_end, win_end)
-        begins = np.append(0, ends[:-1])
-        d = np.searchsorted(doc_end, ends)
-        w = np.searchsorted(win_end, ends)
-        start = begins - (doc_end - lengths)[d]
-        size = ends - begins
-        crc = [zlib.crc32(memoryview(docs[order[k]])[s : s + n]) for k, s, n in zip(d, start, size, strict=True)]
-        whose = [ids[rank[order[k]]] for k in d]
-        cols = [pa.array(whose, pa.int64()), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(lengths[d]), pa.array((shard << 32) + w), pa.array(begins - np.append(0, win_end)[w])]
-        yield pa.RecordBatch.from_arrays(cols, names=names)
+            for i, blob, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                doc = unpack_ids(blob)
+                if size and size + len(doc) > shard_tokens:
+                    yield emit()
+                ids.append(i)
+                texts.append(doc)
+                size += len(doc)
+        if ids:
+            yield emit()
 
     tokens = cut(tokenise(docs, path, id_col, text_col, order_col))
-    shards = tokens.repartitionByRange(shuffle_partitions(spark), "sig", "doc_id")
-    return shards.select("doc_id", "ids", F.spark_partition_id().cast("long").alias("shard"), *(["sig"] if order_col else [])).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    total = tokens.agg(F.sum("n")).first()[0] or 0
+    parts = max(shuffle_partitions(spark), -(-total // task_tokens))
+    # whatever order the blocks come in, rows of a task are read in this one
+    sorted_rows = tokens.repartitionByRange(parts, "sig", "doc_id").sortWithinPartitions("sig", "doc_id", "ids")
+    return sorted_rows.select("doc_id", "ids", F.spark_partition_id().cast("long").alias("part")).mapInArrow(run, ", ".join(f"{c} long" for c in names))
