@@ -18,11 +18,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder named in spark.checkpoint.dir; a temporary one only where none is named (tests)."""
+    """The folder named in spark.checkpoint.dir, which all machines must share; a temporary one where none is named and all run on this machine."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gristmill-checkpoint-"))
 
 
@@ -38,6 +40,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with underscores added as long as a column has it."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """True for the fold that no model may learn from: crc32 of the id's text, modulo 5, is 0."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import passages
-from gristmill.llm.common import chunks_by_bytes, held_out
+from gristmill.llm.common import chunks_by_bytes, free_name, held_out
 
 #: Labelled documents that training reads at most.
 SAMPLE = 6000
@@ -133,9 +133,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "
 
 
 def score(docs: DataFrame, model: GatedAttention | None) -> DataFrame:
-    """All columns of docs with `score` (0 to 1, higher: better); whole texts, no shuffle."""
+    """All columns of docs with `score` (0 to 1, higher: better); whole texts, no shuffle. Underscores are added to a name that docs has."""
     schema = docs.schema
     names = docs.columns
+    name = free_name("score", names)
     at = names.index("text")
 
     def run(batches):
@@ -145,9 +146,9 @@ def score(docs: DataFrame, model: GatedAttention | None) -> DataFrame:
             for lo, hi in chunks_by_bytes(texts) if model else ():
                 x, bag = passages.encode(texts[lo:hi])
                 values[lo:hi] = model.predict(x.astype(np.float64), np.flatnonzero(np.diff(bag, prepend=-1)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values)], names=[*names, name])
 
-    return docs.mapInArrow(run, type(schema)([*schema.fields]).add("score", "double"))
+    return docs.mapInArrow(run, type(schema)([*schema.fields]).add(name, "double"))
 
 
 def digest(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import held_out
+from gristmill.llm.common import free_name, held_out
 
 #: Documents that training reads at most, of either kind.
 POSITIVES, UNLABELLED = 5000, 12000
@@ -151,17 +151,18 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 
 
 def score(docs: DataFrame, model: StartScorer | None) -> DataFrame:
-    """All columns of docs with `score` (0 to 1, higher: likelier toxic); whole texts, no shuffle."""
+    """All columns of docs with `score` (0 to 1, higher: likelier toxic); whole texts, no shuffle. Underscores are added to a name that docs has."""
     schema = docs.schema
     names = docs.columns
+    name = free_name("score", names)
     at = names.index("text")
 
     def run(batches):
         for b in batches:
             logits = np.array([model.logit(t) for t in b.column(at).to_pylist()] if model else np.full(b.num_rows, -np.inf), float)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(logits, -700, 700))) if model else np.zeros(b.num_rows))], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(logits, -700, 700))) if model else np.zeros(b.num_rows))], names=[*names, name])
 
-    return docs.mapInArrow(run, type(schema)([*schema.fields]).add("score", "double"))
+    return docs.mapInArrow(run, type(schema)([*schema.fields]).add(name, "double"))
 
 
 def digest(docs: DataFrame, labels: DataFrame, toxic_at: float = TOXIC_AT) -> DataFrame:

@@ -10,6 +10,9 @@ import corpus_pipeline
 from gristmill.llm import anisotropic, linespread, mil, mtree, nnpu, packing, pfair, simhash, skipchain, suffix
 from gristmill.llm.common import table
 
+#: Target weights of op4_pfair; sources not named share the mean of these.
+TARGETS = {"src0": 3, "src1": 7, "src2": 0.35, "src3": 2.5, "src4": 1}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,7 +29,7 @@ def op3_linespread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pfair.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"))
+    return pfair.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), TARGETS)
 
 
 def op5_skipchain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +61,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_linespread": linespread.digest_sql(), "op4_pfair": "SELECT doc_id, source, n_chars, block, release, deadline, slot, place FROM " + pfair.mix_sql("documents")}
+    return {"op3_linespread": linespread.digest_sql(), "op4_pfair": "SELECT doc_id, source, n_chars, block, release, deadline, slot, place FROM " + pfair.mix_sql("documents", TARGETS)}
