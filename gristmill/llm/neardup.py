@@ -1,16 +1,18 @@
 """Near-duplicate removal by wide SimHash fingerprints, bit-sliced comparison and exact verification.
 
-Exact copies collapse first. Every text left gets a 256-bit SimHash of its set of five-word shingles. Tables
-of random bits bring likely pairs together: with N texts a key has log2(N / 64) bits, at least
+Exact copies collapse first: texts with the same set of five-word shingles. Every set left gets a 256-bit SimHash.
+Tables of random bits bring likely pairs together: with N sets a key has log2(N / 64) bits, at least
 eight, and there are as many tables as give 98 % of the pairs at the similarity asked for a common bucket, whatever N.
-In a bucket the bit-sliced comparison (gristmill.llm.simhash) finds the pairs within the radius. Each
-text proposes its nearest ones of every bucket; a proposed pair links if the Jaccard similarity of its sets of
-shingles is `similarity` or more, counted exactly. Texts with the same set are copies.
+In a bucket the bit-sliced comparison (gristmill.llm.simhash) finds the pairs within the radius, each row against the
+REACH rows after it. Every set proposes the nearest one it met; a proposed pair links if the Jaccard
+similarity is `similarity` or more, counted exactly.
 
 The tables only save work. What they leave apart is joined exactly: under one order of all shingles, rare ones
 first, two similar sets share a shingle among the first n - ceil(similarity n) + 1 of each, so every pair of different
 components that shares one there, and whose sizes and places allow the similarity, is verified too. Thus the
-components are those of all pairs at the similarity. Components keep their smallest id.
+components are those of all pairs at the similarity, up to 64-bit hashes of shingles. Components keep their smallest id.
+
+Shingles are hashed anew from the texts wherever they are needed: they take more room than the texts.
 
 Defined results: null texts count as empty and all empty texts are copies of one another; texts with fewer
 words have one shingle; rows with a null id stay; rows that share an id stay or go together; an empty table
@@ -36,10 +38,12 @@ FIELDS = 4  # 64-bit words of a fingerprint
 #: Bits of 256 in which texts of the similarity may differ: the mean is 39, the deviation 6.
 RADIUS = 63
 RECALL = 0.98
-#: Pairs that a text proposes in a bucket; in a bucket of near copies these chain through it.
-NEAREST = 3
+#: Rows of a bucket, in the order of their fingerprints, that each is compared with; the exact join finds what lies further apart.
+REACH = 2048
 #: Counters that estimate how many texts have a shingle; they only order shingles, so their collisions cost time, not links.
 COUNTERS, SLICES = 1 << 20, 16
+#: Bits of the table that tells tasks which ids are wanted; ids that fall on a set bit by chance go at the join.
+WANTED = 1 << 26
 #: Pairs that a task expands at once.
 PAIRS = 1 << 20
 _MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -138,98 +142,152 @@ def proposals(prints: DataFrame, places: np.ndarray) -> DataFrame:
             return
         ids, tables, fp = np.concatenate(ids), np.concatenate(tables), np.concatenate(fps)
         key = _mix(fp & masks[tables])
-        order = np.lexsort((ids, key, tables))
+        order = np.lexsort((ids, *fp.T, key, tables))
         ids, tables, fp, key = ids[order], tables[order], fp[order], key[order]
         new = np.append(True, (tables[1:] != tables[:-1]) | (key[1:] != key[:-1]))
         alone = new & np.append(new[1:], True)
         ids, tables, fp, group = ids[~alone], tables[~alone], fp[~alone], np.cumsum(new)[~alone]
-        near = np.full((len(ids), NEAREST), np.iinfo(np.int64).max)  # distance << 32 | row, of the nearest earlier rows
-        for i, j in simhash.close_pairs(fp, group, RADIUS, every=16):
-            code = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1).astype(np.int64) << 32
+        near = np.full(len(ids), np.iinfo(np.int64).max)  # distance << 40 | row, of the nearest row
+        for i, j in simhash.close_pairs(fp, group, RADIUS, every=16, reach=REACH):
+            code = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1).astype(np.int64) << 40
             for me, other in ((j, i), (i, j)):
-                c = code | other
-                for k in range(NEAREST):
-                    worse = np.maximum(c, near[me, k])
-                    near[me, k] = np.minimum(c, near[me, k])
-                    c = worse
-        me, k = np.nonzero(near < np.iinfo(np.int64).max)
-        other = near[me, k] & 0xFFFFFFFF
-        a, b = np.maximum(ids[me], ids[other]), np.minimum(ids[me], ids[other])
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                near[me] = np.minimum(near[me], code | other)  # each row stands once on either side of a round
+        me = np.flatnonzero(near < np.iinfo(np.int64).max)
+        other = ids[near[me] & ((1 << 40) - 1)]
+        order = np.lexsort((other, near[me] >> 40, ids[me]))
+        me, other = me[order], other[order]
+        first = np.append(True, ids[me][1:] != ids[me][:-1]) if len(me) else np.zeros(0, bool)
+        me, other = me[first], other[first]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[me]), pa.array(near[me] >> 40), pa.array(other)], names=["a", "d", "b"])
 
     dealt = prints.mapInArrow(deal, "target int, n int, payload binary").repartitionById(n, "target")
-    return dealt.mapInArrow(compare, "a long, b long").where("a <> b").distinct()
-
-
-def _lists(column) -> tuple[np.ndarray, np.ndarray]:
-    """(values, lengths) of a column of shingle lists."""
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
-    return values, column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    nearest = dealt.mapInArrow(compare, "a long, d long, b long").where("a <> b").groupBy("a").agg(F.min(F.struct("d", "b")).alias("m"))
+    return nearest.select(F.greatest("a", "m.b").alias("a"), F.least("a", "m.b").alias("b")).distinct()
 
 
 def _slot(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(44)).astype(np.int64)
 
 
-def commonness(prints: DataFrame) -> np.ndarray:
-    """(COUNTERS,) binary logarithm of the shingles that fell on each counter. prints: (s array<long>)."""
-    width = COUNTERS // SLICES
+def _sets(texts):
+    """(offset, shingles, begin of each text's) over slices of a column of texts."""
+    rows = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+    for lo, hi in chunks_by_bytes(rows):
+        h, owner = distinct_shingles(rows[lo:hi])
+        yield lo, h, np.searchsorted(owner, np.arange(hi - lo + 1))
+
+
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.sha256(shingles.tobytes()).digest()[:16]
 
-    def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            total += np.bincount(_slot(_lists(b.column(0))[0]), minlength=COUNTERS)
-        if total.any():
-            part = np.minimum(total, np.iinfo(np.uint32).max).astype("<u4").reshape(SLICES, width)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in part], pa.binary())], names=["slice", "c"])
+
+def _added_up(df: DataFrame, run, combine, width: int) -> np.ndarray:
+    """(SLICES, width) bytes: what run's (slice, c) rows of all tasks combine to; each slice meets in one task."""
 
     def add(batches):
+        import zstandard
+
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total[k] = total.get(k, np.zeros(width, np.int64)) + np.frombuffer(blob, "<u4")
+                total[k] = combine(total.get(k), np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8))
         for k, x in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.log2(x + 1).astype(np.uint8).tobytes()], pa.binary())], names=["slice", "c"])
+            x = x if x.dtype == np.uint8 else np.log2(x + 1).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["slice", "c"])
 
     out = np.zeros((SLICES, width), np.uint8)
-    for r in prints.select("s").mapInArrow(count, "slice int, c binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, c binary").collect():
+    for r in df.mapInArrow(run, "slice int, c binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, c binary").collect():
         out[r[0]] = np.frombuffer(r[1], np.uint8)
-    return out.ravel()
+    return out
+
+
+def _slices(table: np.ndarray) -> pa.RecordBatch:
+    import zstandard
+
+    rows = [zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in table.reshape(SLICES, -1)]
+    return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(rows, pa.binary())], names=["slice", "c"])
+
+
+def commonness(texts: DataFrame) -> np.ndarray:
+    """(COUNTERS,) binary logarithm of the shingles that fell on each counter; a task counts to 255. texts: (id, text)."""
 
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for _, h, _ in _sets(b.column(0)):
+                total += np.bincount(_slot(h), minlength=COUNTERS)
+        if total.any():
+            yield _slices(np.minimum(total, 255).astype(np.uint8))
+
+    return _added_up(texts.select("text"), count, lambda a, b: (0 if a is None else a) + b.astype(np.int64), COUNTERS // SLICES).ravel()
 
-def postings(prints: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
-    """(token, id, size, pos): the prefix of each set, rare shingles first, without tokens of one id."""
-    rank = commonness(prints)
+
+def postings(texts: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
+    """(token, id, size, pos): the prefix of each set, rare shingles first, without tokens of one set.
+
+    Copies collapse in each chunk, and in the task of a token.
+    """
+    spark = texts.sparkSession
+    rank = spark.sparkContext.broadcast(commonness(texts))  # COUNTERS bytes
+    n = shuffle_partitions(spark)
 
     def prefixes(batches):
         for b in batches:
-            h, n = _lists(b.column(2))
-            owner = np.repeat(np.arange(len(n)), n)
-            h = h[np.lexsort((h, rank[_slot(h)], owner))]
-            keep = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
-            place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            tokens = h[place < np.repeat(keep, n)].view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(keep)), pa.int32()), pa.array(tokens))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), lists], names=["id", "digest", "size", "tokens"])
+            for _, h, ends in _sets(b.column(0)):
+                sizes = np.diff(ends)
+                digests = [_digest(h[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                kept = np.sort(np.unique(np.array(digests, "S16"), return_index=True)[1])
+                digest = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)[kept]
+                of = np.repeat(np.arange(len(sizes)), sizes)
+                rows = np.isin(of, kept)
+                h, of = h[rows], np.searchsorted(kept, of[rows])
+                sizes = sizes[kept]
+                h = h[np.lexsort((h, rank.value[_slot(h)], of))]
+                keep = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, 0)
+                place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                mine = place < np.repeat(keep, sizes)
+                h, of, place = h[mine], of[mine], place[mine]
+                target = ((h >> np.uint64(7)) % np.uint64(n)).astype(np.int32)
+                order = np.argsort(target, kind="stable")
+                h, of, place, target = h[order], of[order], place[order], target[order]
+                cut_ = np.flatnonzero(np.append(True, target[1:] != target[:-1])) if len(h) else np.zeros(0, np.int64)
+                blobs = []
+                for i, j in zip(cut_, np.append(cut_[1:], len(h))[: len(cut_)], strict=True):
+                    docs, local = np.unique(of[i:j], return_inverse=True)
+                    blobs.append((j - i, len(docs), h[i:j].tobytes() + digest[docs].tobytes() + sizes[docs].astype("<u4").tobytes() + local.astype("<u2").tobytes() + np.minimum(place[i:j], 65535).astype("<u2").tobytes()))
+                if blobs:
+                    yield pa.RecordBatch.from_arrays([pa.array(target[cut_]), *(pa.array([x[k] for x in blobs], pa.int32()) for k in (0, 1)), pa.array([x[2] for x in blobs], pa.binary())], names=["target", "n", "docs", "payload"])
 
     def shared(batches):
-        parts = [tuple(c.to_numpy(zero_copy_only=False) for c in b.columns) for b in batches if b.num_rows]
+        parts = []
+        for b in batches:
+            for m, d, blob in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                local = np.frombuffer(blob, "<u2", m, 8 * m + 20 * d)
+                digest = np.frombuffer(blob, "<u8", 2 * d, 8 * m).reshape(d, 2)[local]
+                parts.append((np.frombuffer(blob, "<u8", m), digest, np.frombuffer(blob, "<u4", d, 8 * m + 16 * d)[local], np.frombuffer(blob, "<u2", m, 10 * m + 20 * d)))
         if not parts:
             return
-        token, ident, size, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+        token, digest, size, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(token, kind="stable")
-        token = token[order]
-        same = token[1:] == token[:-1]
-        keep = order[np.append(False, same) | np.append(same, False)]
-        token = token[np.append(False, same) | np.append(same, False)]
-        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(ident[keep]), pa.array(size[keep]), pa.array(pos[keep])], names=["token", "id", "size", "pos"])
-
-    n = shuffle_partitions(prints.sparkSession)
-    heads = prints.select("id", "digest", "s").mapInArrow(prefixes, "id long, digest binary, size int, tokens array<long>")
-    heads = heads.join(first.select("digest", F.col("first_id").alias("id")), ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"])
-    flat = heads.select("id", "size", F.posexplode("tokens").alias("pos", "token")).select("token", "id", "size", "pos")
-    return flat.repartition(n, "token").mapInArrow(shared, "token long, id long, size int, pos int")
+        same = token[order[1:]] == token[order[:-1]]
+        order = order[np.append(False, same) | np.append(same, False)]
+        token, digest, size, pos = token[order], digest[order], size[order], pos[order]
+        order = np.lexsort((digest[:, 1], digest[:, 0], token))
+        token, digest, size, pos = token[order], digest[order], size[order], pos[order]
+        new = np.append(True, (token[1:] != token[:-1]) | (digest[1:] != digest[:-1]).any(axis=1)) if len(token) else np.zeros(0, bool)
+        token, digest, size, pos = token[new], digest[new], size[new], pos[new]
+        again = token[1:] == token[:-1]
+        again = np.append(False, again) | np.append(again, False) if len(token) else np.zeros(0, bool)
+        token, digest, size, pos = token[again], np.ascontiguousarray(digest[again]), size[again], pos[again]
+        for lo in range(0, len(token), 1 << 16):
+            hi = min(len(token), lo + (1 << 16))
+            raw = pa.py_buffer(digest[lo:hi].tobytes())
+            digests = pa.Array.from_buffers(pa.binary(16), hi - lo, [None, raw]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(token[lo:hi].view(np.int64)), digests, pa.array(size[lo:hi].astype(np.int32)), pa.array(pos[lo:hi].astype(np.int32))], names=["token", "digest", "size", "pos"])
+
+    heads = texts.select("text").mapInArrow(prefixes, "target int, n int, docs int, payload binary").repartitionById(n, "target")
+    found = heads.mapInArrow(shared, "token long, digest binary, size int, pos int")
+    return found.join(first.select("digest", F.col("first_id").alias("id")), "digest").select("token", "id", "size", "pos")
 
 
 def crossings(occurrences: DataFrame, roots: DataFrame, similarity: float, every: bool) -> DataFrame:
@@ -269,14 +327,37 @@ def crossings(occurrences: DataFrame, roots: DataFrame, similarity: float, every
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     named = occurrences.join(roots.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "size", "pos", F.coalesce("root", "id").alias("root"))
+    # tokens of one component stay behind: the shingles of a large group of near copies
+    mixed = named.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("token")
+    named = named.join(mixed, "token", "left_semi")
     return named.repartition(shuffle_partitions(occurrences.sparkSession), "token").mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets have the similarity."""
-    named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = prints.join(named, "id", "left_semi").dropDuplicates(["id", "digest"]).select("id", "s")
-    both = pairs.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
+def verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets have the similarity. texts: (id, text)."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    def mark(batches):
+        bits = np.zeros(WANTED, bool)
+        for b in batches:
+            bits[_mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[:, None]) % np.uint64(WANTED)] = True
+        if bits.any():
+            yield _slices(np.packbits(bits))
+
+    wanted = texts.sparkSession.sparkContext.broadcast(_added_up(named, mark, lambda a, b: b if a is None else a | b, WANTED // 8 // SLICES).ravel())  # WANTED / 8 bytes
+
+    def sets(batches):
+        for b in batches:
+            at = (_mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[:, None]) % np.uint64(WANTED)).astype(np.int64)
+            b = b.filter(pa.array((wanted.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            for lo, h, ends in _sets(b.column(1)):
+                digests = [_digest(h[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + len(digests)], pa.array(digests, pa.binary()), lists], names=["id", "digest", "s"])
+
+    known = first.select("digest", F.col("first_id").alias("id")).join(named, "id", "left_semi")
+    have = texts.mapInArrow(sets, "id long, digest binary, s array<long>").join(known, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("id", "s")
+    both = pairs.join(have.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(have.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
@@ -286,25 +367,22 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id
 
     def run(batches):
         for b in batches:
-            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-            for lo, hi in chunks_by_bytes(texts):
-                h, owner = distinct_shingles(texts[lo:hi])
-                fp = set_prints(h, owner, hi - lo)
-                ends = np.searchsorted(owner, np.arange(hi - lo + 1))
-                digests = [hashlib.sha256(h[i:j].tobytes()).digest() for i, j in zip(ends[:-1], ends[1:], strict=True)]
-                sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in fp.astype("<u8")], pa.binary()), sets], names=["id", "digest", "fp", "s"])
+            for lo, h, ends in _sets(b.column(1)):
+                n = len(ends) - 1
+                fp = set_prints(h, np.repeat(np.arange(n), np.diff(ends)), n)
+                digests = [_digest(h[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + n], pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in fp.astype("<u8")], pa.binary())], names=["id", "digest", "fp"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.col("id").isNotNull())
-    prints = cut(texts.mapInArrow(run, "id long, digest binary, fp binary, s array<long>"))
+    prints = cut(texts.mapInArrow(run, "id long, digest binary, fp binary"))
     first = cut(prints.groupBy("digest").agg(F.min("id").alias("first_id"), F.min("fp").alias("fp")))
     copies = prints.join(first.select("digest", "first_id"), "digest").where("id <> first_id").select(F.col("id").alias("a"), F.col("first_id").alias("b"))
     pairs = cut(proposals(first.select(F.col("first_id").alias("id"), "fp"), plan_tables(first.count(), similarity)))
-    found = cut(verified(pairs, prints, similarity))
-    occurrences = cut(postings(prints, first, similarity))
+    found = cut(verified(pairs, texts, first, similarity))
+    occurrences = cut(postings(texts, first, similarity))
     for every in (False, True):  # a link between neighbours joins whole clumps, so that few pairs are left for the last round
         pairs = cut(crossings(occurrences, connected_components(found), similarity, every))
-        found = cut(found.unionByName(verified(pairs, prints, similarity)))
+        found = cut(found.unionByName(verified(pairs, texts, first, similarity)))
     return found.unionByName(copies)
 
 

@@ -174,11 +174,11 @@ def _shifted(plane: np.ndarray, words: np.ndarray, d: int) -> np.ndarray:
     return (low >> np.uint64(r)) | (plane[..., np.minimum(words + q + 1, n + 1)] << np.uint64(64 - r))
 
 
-def close_pairs(values: np.ndarray, groups: np.ndarray, radius: int, every: int = 8):
+def close_pairs(values: np.ndarray, groups: np.ndarray, radius: int, every: int = 8, reach: int | None = None):
     """Yields (i, j) index arrays of pairs of one group within the radius.
 
     values: unsigned 64-bit, sorted by group; two-dimensional for wider fingerprints. One round compares all lanes
-    with those d places further; blocks of 64 lanes leave once all their counters exceed the radius.
+    with those d places further, up to `reach`; blocks of 64 lanes leave once all their counters exceed the radius.
     """
     n = len(values)
     if n < 2:
@@ -188,10 +188,12 @@ def close_pairs(values: np.ndarray, groups: np.ndarray, radius: int, every: int
     sizes = np.diff(np.append(begin, n))
     last = np.repeat(begin + sizes - 1, sizes)  # the last lane of each lane's group
     planes = np.pad(np.concatenate([_planes(np.ascontiguousarray(columns[:, c]), 64) for c in range(columns.shape[1])]), ((0, 0), (0, 2)))
-    reach = last - np.arange(n)
+    room = last - np.arange(n)
+    if reach is not None:
+        room = np.minimum(room, reach)
     width = planes.shape[1] - 2
     lanes = np.zeros(width * 64, np.int64)
-    lanes[:n] = reach
+    lanes[:n] = room
     furthest = lanes.reshape(-1, 64).max(axis=1)
     counters = max(1, int(radius).bit_length())
     for d in range(1, int(furthest.max(initial=0)) + 1):
