@@ -4,10 +4,13 @@ Patterns give the base spans. A conditional random field then labels the tokens
 with a digit or an @): unary potentials from the token's shape and surroundings, chain potentials between
 neighbours, and skip potentials between distant tokens of one normal form, repeated or, sharing all their digits
 or their letters, similar. Loopy belief propagation passes messages over all of them, so a
-number that is plainly a phone number in one place is one in every place. Tokens that end as an entity and
-lie in no base span of that kind are added; base spans stay. Unary weights are
-logistic regressions fitted to the base spans of a bounded sample of documents; chain and skip weights
-are log ratios of label agreement counted on it.
+number that is plainly a phone number in one place is one in every place. Tokens in base spans are evidence. Others that end as an entity and
+lie in no base span are added; base spans stay.
+
+All potentials are fitted together by pseudo-likelihood, Adam on the conditional likelihood of each token's label given
+those of its neighbours and of its like tokens, over a bounded sample of documents. Labels are the base spans; a token
+outside them that is like one inside has no label, since whether such tokens belong together is what the field is to
+decide. A number of card length that fails the check digit is told apart from one that passes.
 
 Groups of like tokens share their potentials through a hub, so a token that stands a thousand times costs a
 thousand messages, not a million.
@@ -28,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the field is fitted on at most.
-SAMPLE = 3000
+#: Documents that the field is fitted on at most, and tokens of each, evenly spaced over the whole text.
+SAMPLE, SAMPLE_TOKENS = 3000, 1000
 ROUNDS = 8
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,7 +41,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"\S*[0-9@]\S*")
+#: A word with a digit or an @; read once from its start, whatever its length.
+_TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 _EDGE = ".,;:!?()[]{}<>\"'|*#$%&"
 
 
@@ -97,7 +101,8 @@ def tokens(text: str) -> list[tuple[int, int]]:
     return out
 
 
-SHAPES = 18
+SHAPES = 20
+LABELS = len(KINDS) + 1
 
 
 def shape(text: str, begin: int, end: int) -> list[float]:
@@ -107,9 +112,11 @@ def shape(text: str, begin: int, end: int) -> list[float]:
     letters = sum(c.isalpha() for c in word)
     before, after = text[max(0, begin - 2) : begin], text[end : end + 2]
     n = len(word)
+    of_card = digits in range(13, 20)
+    checked = of_card and luhn("".join(c for c in word if c in "0123456789"))
     return [
         1.0, "@" in word, word.count("@") == 1 and "." in word[word.find("@") :], word[0] == "+" or before.endswith("+"), digits / n, letters / n, min(digits, 20) / 20,
-        digits in range(9, 16), digits in range(13, 20), word.count(".") == 3 and digits + 3 == n, "-" in word, "(" in before or ")" in after, digits <= 4 and digits == n, "." in word,
+        digits in range(9, 16), of_card, checked, of_card and not checked, word.count(".") == 3 and digits + 3 == n, "-" in word, "(" in before or ")" in after, digits <= 4 and digits == n, "." in word,
         any(c.isdigit() for c in before), any(c.isdigit() for c in after), n > 24, letters > 0 and digits > 0,
     ]
 
@@ -131,13 +138,15 @@ class Field:
     chain: np.ndarray  # (labels, labels) log potentials
     skip: np.ndarray
 
-    def marginals(self, text: str, spots: list[tuple[int, int]]) -> np.ndarray:
-        """(tokens, labels) by loopy belief propagation."""
+    def marginals(self, text: str, spots: list[tuple[int, int]], known: np.ndarray | None = None) -> np.ndarray:
+        """(tokens, labels) by loopy belief propagation. known: labels of tokens in base spans, which stay; 0 elsewhere."""
         x = np.array([shape(text, b, e) for b, e in spots], float)
         node = x @ self.unary
         node -= node.max(axis=1, keepdims=True)
         node = np.exp(node)
         node /= node.sum(axis=1, keepdims=True)
+        if known is not None:
+            node[known > 0] = np.eye(LABELS)[known[known > 0]]
         n, labels = node.shape
         left, right = [], []
         for i in range(n - 1):
@@ -145,11 +154,7 @@ class Field:
                 left.append(i)
                 right.append(i + 1)
         left, right = np.array(left, np.int64), np.array(right, np.int64)
-        forms: dict[str, list[int]] = {}
-        for i, (b, e) in enumerate(spots):
-            for f in normal_forms(text[b:e]):
-                forms.setdefault(f, []).append(i)
-        groups = [g for g in forms.values() if len(g) > 1]
+        groups = groups_of(text, spots)
         if not groups and not len(left):
             return node
         member = np.array([i for g in groups for i in g], np.int64)
@@ -195,75 +200,95 @@ def label_tokens(spots: list[tuple[int, int]], spans: dict[str, list[tuple[int,
     return out
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, rounds: int = 300) -> Field | None:
+def groups_of(text: str, spots: list[tuple[int, int]]) -> list[list[int]]:
+    """Tokens that share a normal form, two or more."""
+    forms: dict[str, list[int]] = {}
+    for i, (b, e) in enumerate(spots):
+        for f in normal_forms(text[b:e]):
+            forms.setdefault(f, []).append(i)
+    return [g for g in forms.values() if len(g) > 1]
+
+
+def examples(text: str) -> np.ndarray:
+    """(tokens, SHAPES + 3 LABELS + 1): shape, label of the left and of the right neighbour, mean label of like tokens, own label.
+
+    Tokens without a label are left out, and are no neighbours.
+    """
+    spots = tokens(text)
+    y = label_tokens(spots, base_spans(text))
+    hot = np.eye(LABELS)[y]
+    like, many, beside = np.zeros((len(spots), LABELS)), np.zeros(len(spots)), np.zeros(len(spots), bool)
+    groups = groups_of(text, spots)
+    for g in groups:
+        beside[g] |= (y[g] == 0) & (y[g] > 0).any()
+    hot[beside] = 0
+    for g in groups:
+        total = hot[g].sum(axis=0)
+        like[g] += total - hot[g]
+        many[g] += (~beside[g]).sum() - (~beside[g])
+    like /= np.maximum(many, 1)[:, None]
+    near = np.array([spots[i + 1][0] - spots[i][1] <= 3 for i in range(len(spots) - 1)], bool)
+    left, right = np.zeros_like(hot), np.zeros_like(hot)
+    left[1:][near], right[:-1][near] = hot[:-1][near], hot[1:][near]
+    x = np.array([shape(text, s, e) for s, e in spots], float).reshape(len(spots), SHAPES)
+    return np.hstack([x, left, right, like, y[:, None]])[~beside]
+
+
+def train(rows: np.ndarray, rounds: int = 600, rate: float = 0.1, decay: float = 1e-5) -> Field:
+    """All potentials together, by pseudo-likelihood."""
+    x, rest, y = rows[:, :SHAPES], rows[:, SHAPES:-1], np.eye(LABELS)[rows[:, -1].astype(np.int64)]
+    left, right, like = (rest[:, k * LABELS : (k + 1) * LABELS] for k in range(3))
+    w = {"unary": np.zeros((SHAPES, LABELS)), "chain": np.zeros((LABELS, LABELS)), "skip": np.zeros((LABELS, LABELS))}
+    m, v = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}
+    for step in range(1, rounds + 1):
+        z = x @ w["unary"] + left @ w["chain"] + right @ w["chain"].T + like @ w["skip"]
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        d = (p / p.sum(axis=1, keepdims=True) - y) / len(x)
+        skip = like.T @ d
+        grads = {"unary": x.T @ d, "chain": left.T @ d + d.T @ right, "skip": (skip + skip.T) / 2}
+        for k, g in grads.items():
+            g = g + decay * w[k]
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
+            w[k] = w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+    return Field(w["unary"], np.clip(w["chain"], -4, 4), np.clip(w["skip"], -4, 4))
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
     """Fits the field on at most `sample` documents that hold a digit or an @; None without any."""
 
     def run(batches):
         for b in batches:
             rows = []
             for text in b.column(1).to_pylist():
-                text = text or ""
-                spots = tokens(text)
-                if not spots:
-                    continue
-                y = label_tokens(spots, base_spans(text))
-                pairs = [(y[i], y[i + 1]) for i in range(len(spots) - 1) if spots[i + 1][0] - spots[i][1] <= 3]
-                forms: dict[str, list[int]] = {}
-                for i, (s, e) in enumerate(spots):
-                    for f in normal_forms(text[s:e]):
-                        forms.setdefault(f, []).append(i)
-                twins = [(y[g[0]], y[j]) for g in forms.values() for j in g[1:]]
-                count = lambda p: np.bincount([a * 5 + c for a, c in p], minlength=25).astype("<i4")
-                # tokens beyond a thousand of one document add nothing to eighteen weights a label
-                x = np.array([shape(text, s, e) for s, e in spots[:1000]], "<f4")
-                rows.append((len(x), x.tobytes() + y[:1000].astype("<i4").tobytes() + count(pairs).tobytes() + count(twins).tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["n", "x"])
+                found = examples(text or "")
+                if len(found) > SAMPLE_TOKENS:
+                    found = found[np.linspace(0, len(found) - 1, SAMPLE_TOKENS).astype(np.int64)]
+                rows.append(found.astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["x"])
 
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = some.where(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = some.join(F.broadcast(ids.distinct()), "doc_id").mapInArrow(run, "n int, x binary").toArrow().to_pylist()  # `sample` ids at most
-    if not rows:
-        return None
-    rows.sort(key=lambda r: r["x"])
-    x = np.concatenate([np.frombuffer(r["x"], "<f4", r["n"] * SHAPES).reshape(-1, SHAPES) for r in rows]).astype(float)
-    y = np.concatenate([np.frombuffer(r["x"], "<i4", r["n"], 4 * r["n"] * SHAPES) for r in rows])
-    tail = np.array([np.frombuffer(r["x"], "<i4", 50, 4 * r["n"] * (SHAPES + 1)) for r in rows]).sum(axis=0).astype(float)
-    labels = len(KINDS) + 1
-    w, m, v = np.zeros((SHAPES, labels)), np.zeros((SHAPES, labels)), np.zeros((SHAPES, labels))
-    hot = np.eye(labels)[y]
-    for step in range(1, rounds + 1):
-        z = x @ w
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        g = x.T @ (p - hot) / len(x) + 1e-4 * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-
-    def ratio(counts: np.ndarray, symmetric: bool) -> np.ndarray:
-        c = counts.reshape(labels, labels) + 0.5
-        c = c + c.T if symmetric else c
-        joint = c / c.sum()
-        return np.clip(np.log(joint / np.outer(joint.sum(axis=1), joint.sum(axis=0))), -3, 3)
-
-    return Field(w, ratio(tail[:25], False), ratio(tail[25:], True))
+    rows = some.join(F.broadcast(ids.distinct()), "doc_id").mapInArrow(run, "x binary").toArrow().column("x").to_pylist()  # `sample` ids at most
+    found = np.frombuffer(b"".join(sorted(rows)), "<f4").reshape(-1, SHAPES + 3 * LABELS + 1).astype(float)
+    return train(found) if len(found) else None
 
 
 def added_spans(text: str, spans: dict[str, list[tuple[int, int]]], field: Field | None) -> list[tuple[str, int, int]]:
     """Entities that the field finds beyond the base spans: tokens over half likely and outside every base span.
 
-    Neighbouring tokens of one kind are one entity.
+    Neighbouring tokens of a phone number are one entity.
     """
     spots = tokens(text) if field else []
     if not spots:
         return []
-    free = label_tokens(spots, spans) == 0
-    p = field.marginals(text, spots)
+    known = label_tokens(spots, spans)
+    free = known == 0
+    p = field.marginals(text, spots, known)
     best = p[:, 1:].argmax(axis=1)
     out: list[tuple[str, int, int]] = []
     for i in np.flatnonzero(free & (p[:, 1:].max(axis=1) > 0.5)):
         kind, (begin, end) = KINDS[best[i]], spots[i]
-        if out and out[-1][0] == kind and begin - out[-1][2] <= 3 and free[i - 1]:
+        if kind == "phone" and out and out[-1][0] == kind and begin - out[-1][2] <= 3 and free[i - 1]:
             out[-1] = (kind, out[-1][1], end)
         else:
             out.append((kind, begin, end))

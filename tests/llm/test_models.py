@@ -1,5 +1,7 @@
+import dataclasses
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -80,6 +82,44 @@ def test_skip_chain(spark, odd_docs, no_docs):
     assert skipchain.digest(no_docs).count() == 0
 
 
+def test_only_a_skip_edge_decides():
+    """A bare local number is a phone number where the text has it with its prefix, and none elsewhere."""
+    rng = random.Random(4)
+    number = lambda: f"0{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"
+    texts = []
+    for _ in range(150):
+        a, b = number(), number()
+        texts.append(f"call +1 (555) {a} today or later on call +1 (555) {a} again")
+        texts.append(f"the part {b} is out, so take part {b} from the shelf")
+    field = skipchain.train(np.concatenate([skipchain.examples(t) for t in texts]))
+    text = "call +1 (555) 031-4577 today, and if nobody answers for a while then simply ring 031-4577 once more"
+    alone = dataclasses.replace(field, skip=np.zeros_like(field.skip))
+    spans = skipchain.base_spans(text)
+    at = text.rindex("031-4577")
+    assert ("phone", at, at + 8) in skipchain.added_spans(text, spans, field)
+    assert skipchain.added_spans(text, spans, alone) == []
+    other = "the part 031-4577 is out"
+    assert skipchain.added_spans(other, skipchain.base_spans(other), field) == []
+
+
+def test_numbers_that_fail_the_check_digit_are_no_cards():
+    rng = random.Random(5)
+    valid = [str(n) for n in (rng.randrange(10**15, 10**16) for _ in range(4000)) if skipchain.luhn(str(n))]
+    texts = [f"pay with {valid[i]} now, order {rng.randrange(10**15, 10**16)} thanks" for i in range(200)]
+    field = skipchain.train(np.concatenate([skipchain.examples(t) for t in texts]))
+    for i in range(50):
+        text = f"ticket {int(valid[300 + i]) + 1} is open"
+        assert skipchain.added_spans(text, skipchain.base_spans(text), field) == []
+
+
+def test_long_words_take_linear_time():
+    begun = time.perf_counter()
+    for text in ("a" * 500_000 + "7" + "b" * 500_000, "a" * 1_000_000, "1" * 1_000_000, "@" * 200_000, "+1" + "(" * 500_000, "a@" + "b." * 200_000):
+        skipchain.added_spans(text, skipchain.base_spans(text), None)
+        assert len(skipchain.tokens(text)) <= 1
+    assert time.perf_counter() - begun < 10
+
+
 def test_packing_round_trip(spark, odd_docs, no_docs):
     from tokenizers import Tokenizer
 
