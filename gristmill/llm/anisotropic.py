@@ -6,11 +6,14 @@ vector more than the rest, since that part is what changes large inner products.
 its products with the code words, reduced to eight bits; a scan adds two table entries a byte of codes; the
 best by the scan are ranked again exactly, in double precision, on the original vectors.
 
-The codebooks are fitted on at most `sample` vectors picked by a hash of their id; every vector is indexed.
+The codebooks and the centres of the parts are fitted on at most `sample` vectors picked by a hash of their id; every
+vector is indexed. A query goes to as many of the parts nearest to it as hold PROBED of the true neighbours of the
+sample's own vectors in the sample: few where the data has clusters, all where it has none.
 
-Defined results: vectors that are null, zero or hold null or non-finite components take no part; vectors of
+Defined results: vectors that are null, zero or hold null or non-finite components take no part; very large and very
+small components are scaled by powers of two, which changes no cosine; vectors of
 different lengths are compared as if the shorter ended in zeros; repeated vectors have equal codes
-and scores, and ties go to the smaller id; fewer candidates than k give them all; an empty table gives an
+and scores, and ties go to the smaller id; rows alike in id and vector are one; fewer candidates than k give them all; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -18,7 +21,6 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from gristmill.llm import vectors as V
 
@@ -29,12 +31,51 @@ WORDS = 16
 RERANK, SLACK = 192, 32
 #: Inner product from which on candidates matter; sets the weight of the parallel error.
 THRESHOLD = 0.2
+#: Share of the sample's neighbours that the probed parts must hold.
+PROBED = 0.99
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that no square overflows or vanishes."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1, initial=0.0))
+    return np.ldexp(x, -exponent[:, None])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+class Probes(V.Parts):
+    """Parts of directions; a query needs the `probes` nearest."""
+
+    def __init__(self, sample: np.ndarray, parts: int, k: int):
+        unit = _unit(sample) if len(sample) else np.zeros((0, 1))
+        super().__init__(V.centres(unit, parts) if len(unit) else np.zeros((1, 1)))
+        self.probes = len(self.centre)
+        if self.probes > 1:
+            own = V.nearest_centre(unit, self.centre)
+            asks = unit[:512]
+            near = asks @ unit.T
+            near[np.arange(len(asks)), np.arange(len(asks))] = -np.inf
+            nearest = own[np.argpartition(-near, min(k, near.shape[1] - 1), axis=1)[:, :k]]
+            order = self._order(asks)
+            rank = np.empty_like(order)
+            np.put_along_axis(rank, order, np.arange(order.shape[1])[None], axis=1)
+            self.probes = int(np.quantile(np.take_along_axis(rank, nearest, axis=1), PROBED)) + 1
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        return _unit(x)
+
+    def _order(self, unit: np.ndarray) -> np.ndarray:
+        c = V.pad(self.centre, unit.shape[1])
+        return np.argsort(((c * c).sum(axis=1) / 2)[None] - unit @ c[:, : unit.shape[1]].T, axis=1, kind="stable")
+
+    def route(self, ids, x, stats):
+        near = self._order(_unit(x))[:, : self.probes]
+        return np.repeat(np.arange(len(x)), near.shape[1]), near.ravel()
+
+
 class Codes:
     """Code words for every two dimensions and the assignment that minimises the anisotropic loss."""
 
@@ -123,13 +164,14 @@ def searcher(codes: Codes, k: int):
     """The cell function for vectors.search."""
 
     def cell(ids: np.ndarray, vec: np.ndarray):
+        vec = scaled(vec)
         norms = np.sqrt((vec * vec).sum(axis=1))
         bytes_ = codes.encode(vec[:, : codes.width] / norms[:, None])
         keep = min(len(ids), max(RERANK, 4 * k) + 1)
 
         def ask(q_ids: np.ndarray, q_vec: np.ndarray):
             at, cand, score = [], [], []
-            for i, q in enumerate(q_vec):
+            for i, q in enumerate(scaled(q_vec)):
                 length = np.sqrt((q * q).sum())
                 tables = codes.tables(q[: codes.width] / length)
                 sums = np.zeros(len(ids), np.uint32)
@@ -153,9 +195,7 @@ def searcher(codes: Codes, k: int):
 def nearest(df: DataFrame, k: int = 5, query_every: int = 50, sample: int = SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found by cosine."""
     vectors = V.usable(df, id_col, vec_col, nonzero=True)
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
-    got = [np.array(v, float) for v in rows.column("v").to_pylist()]
-    width = max((len(v) for v in got), default=0)
-    x = np.array([np.pad(v, (0, width - len(v))) for v in got]).reshape(len(got), width)
+    _, x = V.sampled(vectors, sample)
     codes = Codes(_unit(x) if len(x) else x)
-    return V.search(vectors, query_every, k, searcher(codes, k), "double")
+    parts = min(V.PARTS, max(1, -(-vectors.count() // V.CELL_ROWS)))
+    return V.search(vectors, query_every, k, Probes(x, parts, k), searcher(codes, k), "double")

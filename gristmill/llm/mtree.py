@@ -9,15 +9,21 @@ distance first and skips, by the triangle inequality over the stored distances,
 found so far, mostly without computing its distance. Products are exact integers; bounds have a margin
 for rounding, so results are exact.
 
+Whole parts are pruned before anything is sent: a part keeps the covering radius r of its centre c and its largest norm n, a query q
+the k-th best product t among a bounded sample, and only parts with min(q.c + |q| r, |q| n) >= t can hold an answer.
+
 Defined results: vectors that are null or hold null or non-finite components take no part; zero vectors do;
 vectors of different lengths are compared as if the shorter ended in zeros; ties go to the smaller id;
-repeated vectors are separate candidates; fewer candidates than k give them all; an empty table gives an
+repeated vectors are separate candidates, but rows alike in id and vector are one; where products may exceed 2^53 they are
+counted in whole numbers of any size, and scores beyond 64 bits become the nearest 64-bit number; fewer candidates than k give them all; an empty table gives an
 empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -128,11 +134,70 @@ class MTree:
         return best_rows, best
 
 
+class Bounded(V.Parts):
+    """Parts of integer vectors; a query needs those whose bounds reach its threshold."""
+
+    def __init__(self, ids: np.ndarray, sample: np.ndarray, parts: int, k: int, scale: int):
+        self.k, self.scale, self.ids = k, scale, ids
+        self.sample = self.place(sample)
+        super().__init__(V.centres(self.sample, parts) if len(ids) else np.zeros((1, 1)))
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.clip(np.floor(self.scale * x), -1e100, 1e100)  # beyond that bounds are infinite and prune nothing
+
+    def measure(self, x: np.ndarray, part: np.ndarray) -> np.ndarray:
+        z = self.place(x)
+        gap = z - V.pad(self.centre, z.shape[1])[part][:, : z.shape[1]]
+        return np.sqrt(np.stack([(gap * gap).sum(axis=1), (z * z).sum(axis=1)], axis=1))
+
+    def route(self, ids, x, stats):
+        if len(stats) == 1:
+            return np.arange(len(ids)), np.zeros(len(ids), np.int64)
+        z = self.place(x)
+        width = max(z.shape[1], self.sample.shape[1])
+        z, c, sample = V.pad(z, width), V.pad(self.centre, width), V.pad(self.sample, width)
+        length = np.sqrt((z * z).sum(axis=1))
+        least = np.full(len(z), -np.inf)
+        for lo in range(0, len(z), 256):
+            product = np.where(ids[lo : lo + 256, None] == self.ids[None], -np.inf, z[lo : lo + 256] @ sample.T)
+            if product.shape[1] > self.k:
+                least[lo : lo + 256] = np.partition(product, product.shape[1] - self.k, axis=1)[:, product.shape[1] - self.k]
+        most = np.minimum(z @ c.T + length[:, None] * stats[None, :, 0], length[:, None] * stats[None, :, 1])
+        slack = 1e-9 * (np.abs(least)[:, None] + length[:, None] * np.maximum(stats[None, :, 1], 0)) + 1e-6
+        return np.nonzero((stats[None, :, 1] >= 0) & ~(most + slack < least[:, None]))
+
+
+def _whole(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as Python integers."""
+    return np.array([math.floor(Fraction(v) * scale) for v in x.ravel().tolist()], object).reshape(x.shape)
+
+
+def _any_size(ids: np.ndarray, vec: np.ndarray, q_vec: np.ndarray, k: int, scale: int):
+    """The k + 1 best by whole numbers of any size, for cells that doubles can't hold."""
+    z, low, high = _whole(vec, scale), -(1 << 63), (1 << 63) - 1
+    at, cand, score = [], [], []
+    for i, q in enumerate(_whole(q_vec, scale)):
+        product = [min(high, max(low, sum(a * b for a, b in zip(row, q, strict=True)))) for row in z]
+        best = sorted(range(len(ids)), key=lambda r: (-product[r], ids[r]))[: k + 1]
+        at.append(np.full(len(best), i))
+        cand.append(ids[best])
+        score.append(np.array([product[r] for r in best], np.int64))
+    return np.concatenate(at), np.concatenate(cand), np.concatenate(score)
+
+
 def searcher(k: int, scale: int):
     def cell(ids: np.ndarray, vec: np.ndarray):
-        tree = MTree(np.floor(scale * vec))
+        with np.errstate(over="ignore"):
+            large = float(np.abs(np.floor(scale * vec)).max(initial=0.0))
+        fits = large**2 * vec.shape[1] < 1 << 53 if large < 1e100 else False
+        tree = MTree(np.floor(scale * vec)) if fits else None
 
         def ask(q_ids: np.ndarray, q_vec: np.ndarray):
+            with np.errstate(over="ignore"):
+                top = float(np.abs(np.floor(scale * q_vec)).max(initial=0.0))
+            if not fits or top > 1e100 or max(top, large) ** 2 * vec.shape[1] >= 1 << 53:
+                return _any_size(ids, vec, q_vec, k, scale)
             at, cand, score = [], [], []
             for i, q in enumerate(np.floor(scale * q_vec)):
                 rows, product = tree.search(q, k + 1)  # one more: the query itself may be among them
@@ -148,4 +213,7 @@ def searcher(k: int, scale: int):
 
 def top_products(df: DataFrame, k: int = 20, query_every: int = 20, scale: int = SCALE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest integer products, exactly."""
-    return V.search(V.usable(df, id_col, vec_col), query_every, k, searcher(k, scale), "long")
+    vectors = V.usable(df, id_col, vec_col)
+    parts = min(V.PARTS, max(1, -(-vectors.count() // V.CELL_ROWS)))
+    ids, x = V.sampled(vectors)
+    return V.search(vectors, query_every, k, Bounded(ids, x, parts, k, scale), searcher(k, scale), "long")
