@@ -7,17 +7,19 @@ with a smaller id, or earlier in the same one. Overlaps count; strings are judge
    of windows with one anchor form a context. Equal windows have equal anchors, so
    windows whose anchor stands at one place only can't repeat and leave early. Grams that stand in
    very many places yield to others, so no anchor gathers much distinct text.
-2. Contexts of repeated anchors go to the shard of their anchor. Equal contexts collapse to the earliest.
-3. Each shard builds suffix arrays over blocks of contexts: Larsson-Sadakane refinement of the
-   still unsorted groups, as deep as the comparison needs; Kasai's bound gives common prefixes; runs of
-   `length` common bytes are one string, whose earliest place stays. Blocks merge by
-   binary search of one block's strings in the sorted strings of another.
+2. Contexts of repeated anchors go to the bucket of their anchor, so equal strings meet in one bucket. Equal contexts
+   collapse to the earliest before anything is sorted: a large group of copies costs one.
+3. The contexts of a bucket are cut into shards of bounded size. Each shard has a suffix array: Larsson-Sadakane
+   refinement of the still unsorted groups, as deep as the comparison needs; Kasai's bound gives common prefixes; runs of
+   `length` common bytes are one string, whose earliest place stays. Shards of a bucket merge by
+   binary search of one shard's strings in the sorted strings of another.
 4. Removed intervals return to their documents.
 
 Rows travel between steps as packed Arrow payloads, a payload for each chunk and target.
 
 Defined results: a null text is empty; texts shorter than `length` lose nothing; a repeated row (same id and
-text) counts as one place, so its copies fare alike; a null id sorts first; an empty table gives an empty
+text) counts as one place, so its copies fare alike; rows that share an id but not the text are judged as one document
+whose texts start alike at 0; a null id sorts first; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -37,13 +39,17 @@ LENGTH = 100
 GRAM = 32
 #: Bytes of text that one numpy pass takes; longer texts are cut into slices that overlap by length - 1.
 CHUNK = 1 << 21
-#: Bytes of contexts under one suffix array.
-BLOCK = 3 << 20
-#: Shards of contexts for each shuffle partition; a shard is mostly one block.
-SHARDS = 4
+#: Bits of a place in a chunk: hashes are compared by the same bits whatever the length of their chunk.
+PLACE_BITS = CHUNK.bit_length() + 1
+#: Bytes of contexts of a shard, under one suffix array.
+BLOCK = 3 << 19
+#: Buckets of contexts for each task of texts.
+BUCKETS = 2
+#: Bytes of text that a task holds, on the mean.
+TASK_BYTES = 1 << 25
 #: A gram that a chunk holds this often is reported; the sums decide which are frequent.
 REPORT = 8
-#: Frequent grams that tasks are told of at most: 16 MB.
+#: Frequent grams that tasks are told of at most: 16 MB. They only balance the load; no string is lost without them.
 FREQUENT = 1 << 20
 NULL_ID = -(1 << 63)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93)]
@@ -88,7 +94,7 @@ def contexts_of(units: list[tuple[int, int, bytes]], length: int, frequent: np.n
     sizes = np.array([len(u[2]) for u in units])
     begin = np.cumsum(sizes) - sizes
     h = gram_hashes(buf)
-    bits = np.uint64(int(len(buf)).bit_length())
+    bits = np.uint64(PLACE_BITS)
     key = (h >> (bits + np.uint64(1))) << bits | np.arange(len(h), dtype=np.uint64)
     if len(frequent):
         key |= _is_frequent(h, frequent, table).astype(np.uint64) << np.uint64(63)
@@ -397,8 +403,8 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not GRAM <= length <= GRAM + 255:
         raise ValueError("length must lie between 32 and 287")
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    n = max(shuffle_partitions(spark), -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // TASK_BYTES))
     told = spark.sparkContext.broadcast(_frequent_grams(texts, length, n))
 
     def anchors(batches):
@@ -474,7 +480,7 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             known = seen.setdefault(text, k)
             if known == k:
                 first.append(k)
-                shard.append(zlib.crc32(text[a : a + GRAM]) % (SHARDS * n))
+                shard.append(zlib.crc32(text[a : a + GRAM]) % (BUCKETS * n))
             elif doc[known] != d or place[known] != p:
                 later.append(k)
         out = []
@@ -570,7 +576,7 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stored = texts.mapInArrow(sent, SCHEMA)
     replies = dealt(texts.mapInArrow(anchors, SCHEMA)).mapInArrow(answers, SCHEMA)
     contexts = dealt(stored.unionByName(replies)).mapInArrow(cut_out, SCHEMA)
-    intervals = dealt(contexts, SHARDS * n).mapInArrow(judged, SCHEMA)
+    intervals = dealt(contexts, BUCKETS * n).mapInArrow(judged, SCHEMA)
     return dealt(stored.unionByName(intervals)).mapInArrow(finished, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
