@@ -11,7 +11,7 @@ from gristmill.functions.dialect import DUCK, SPARK
 from gristmill.operators import fitting, refine
 from gristmill.operators import posting as P
 from gristmill.plans.catalog import register
-from gristmill.plans.dual import dual, run
+from gristmill.plans.dual import dual, run, table
 from gristmill.plans.score_queries import R6, answers, phrases, ratings, requirements, signals
 from gristmill.plans.text_queries import _headed, _some
 
@@ -20,7 +20,7 @@ def _over(build, *tables):
     """The builder's relation as a frame over sf_dir."""
 
     def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return run(spark, f"SELECT * FROM {build(SPARK, lambda t: f'gm_{t}')} q_", **{f"gm_{t}": spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in tables})
+        return run(spark, lambda t: f"SELECT * FROM {build(SPARK, t)} q_", **{t: table(spark, sf_dir, t) for t in tables})
 
     return frame
 
