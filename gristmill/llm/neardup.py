@@ -39,7 +39,7 @@ FIELDS = 4  # 64-bit words of a fingerprint
 RADIUS = 63
 RECALL = 0.98
 #: Rows of a bucket, in the order of their fingerprints, that each is compared with; the exact join finds what lies further apart.
-REACH = 2048
+REACH = 128
 #: Counters that estimate how many texts have a shingle; they only order shingles, so their collisions cost time, not links.
 COUNTERS, SLICES = 1 << 20, 16
 #: Bits of the table that tells tasks which ids are wanted; ids that fall on a set bit by chance go at the join.
@@ -380,9 +380,15 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id
     pairs = cut(proposals(first.select(F.col("first_id").alias("id"), "fp"), plan_tables(first.count(), similarity)))
     found = cut(verified(pairs, texts, first, similarity))
     occurrences = cut(postings(texts, first, similarity))
+    roots = connected_components(found)
     for every in (False, True):  # a link between neighbours joins whole clumps, so that few pairs are left for the last round
-        pairs = cut(crossings(occurrences, connected_components(found), similarity, every))
-        found = cut(found.unionByName(verified(pairs, texts, first, similarity)))
+        pairs = cut(crossings(occurrences, roots, similarity, every))
+        if pairs.isEmpty():  # no two components share a prefix token
+            break
+        more = cut(verified(pairs, texts, first, similarity))
+        if not more.isEmpty():
+            found = cut(found.unionByName(more))
+            roots = connected_components(found) if not every else roots
     return found.unionByName(copies)
 
 

@@ -74,7 +74,8 @@ def integer_weights(counts: dict[str, int], weights: Weights) -> dict[str, int]:
 
 
 def _longs(values: list[int]) -> Column:
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+    """A list of any length as one literal."""
+    return F.from_json(F.lit(str(values)), "array<bigint>")
 
 
 def _state(total: int) -> dict[str, str]:

@@ -163,7 +163,7 @@ def test_packing_queries_all_terms():
     assert all((i + 1) % 3 for i in order[:20])
 
 
-def test_mixture_reaches_sequences(spark):
+def test_mixture_reaches_sequences(spark, tmp_path):
     """Every shard of the sequences has the sources at their target shares, also where one has texts of one kind."""
     import corpus_pipeline
 
@@ -174,11 +174,12 @@ def test_mixture_reaches_sequences(spark):
         text = " ".join(["one kind of page with the same words"] * 5) if source == "small" else " ".join(f"w{rng.randrange(900)}" for _ in range(38))
         rows.append((i, text, source, 160))
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
-    mixed = corpus_pipeline.mixture(spark, docs, "").cache()
-    place = {r.doc_id: r.place for r in mixed.collect()}
-    pieces = sorted(corpus_pipeline.pack(spark, mixed, "").collect(), key=lambda r: (r.sequence_id, r.offset))
+    corpus_pipeline.mixture(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    placed, name = corpus_pipeline.in_file_order(mixed)
+    place = {r.doc_id: n for n, r in enumerate(placed.orderBy(name).collect())}
     shards = {}
-    for r in pieces:
+    for r in corpus_pipeline.pack(spark, mixed, "").collect():
         shards.setdefault(r.sequence_id >> 32, set()).add(r.doc_id)
     order = [shards[k] for k in sorted(shards)]
     assert sum(map(len, order)) == len(place) == 1000
