@@ -54,3 +54,17 @@ TRIGRAM_SIMILAR, ALL_PAIRS = 0.35, 40
 SUMMARY_RUNES, FALLBACK_RUNES = 600, 1500
 TEXT_BYTES = 48 * 1024
 SKILL_ITEMS = 6
+
+# Strings that look like keys, and the bytes of a provider's message that are kept.
+SECRET_LIKE = "(?i)(bearer\\s+\\S+|\\bsk-[a-z0-9_\\-]{8,}|\\b[a-z0-9_\\-]{32,}\\b)"
+MESSAGE_BYTES = 512
+
+# Glyphs of list items in PDF text, and lines that are headings of a resume.
+BULLETS = "•●◦▪■‣"
+PDF_HEADINGS = (
+    "summary", "professional summary", "profile", "professional profile", "about", "about me", "objective", "career objective", "experience", "work experience", "professional experience",
+    "employment", "employment history", "work history", "career history", "skills", "technical skills", "core skills", "key skills", "technologies", "tech stack", "tools", "skills & tools",
+    "education", "certifications", "certificates", "licenses & certifications", "education & certifications", "projects", "personal projects", "side projects", "selected projects",
+    "awards", "publications", "languages", "volunteering", "interests",
+)
+PDF_BYTES, PDF_PAGES, PDF_DEPTH, PDF_NODES, RESULT_BYTES = 10 << 20, 20, 32, 1000, 4 << 20

@@ -166,7 +166,8 @@ def set_jaccard(d, a, b):
 def similar(d, a, b, ga, gb):
     """Two values share a telling word or a third of their trigrams."""
     plain = d.words(*X.STOPWORDS, *X.GENERIC)
-    word = d.any(title_words(d, a), "va", f"NOT {d.has(plain, 'va')} AND {d.has(title_words(d, b), 'va')}")
+    said = lambda s: d.split(squeeze(d, f"lower({s})"), " ")
+    word = d.any(said(a), "va", f"va <> '' AND NOT {d.has(plain, 'va')} AND {d.has(said(b), 'va')}")
     return f"({word} OR {set_jaccard(d, ga, gb)} >= {X.TRIGRAM_SIMILAR})"
 
 
@@ -176,7 +177,7 @@ def resume_section(d, h):
 
 
 def redact(d, s):
-    return d.sub(s, "(?i)(bearer\\s+\\S+|sk-[a-z0-9_-]{8,}|api[_-]?key\\s*[=:]\\s*\\S+)", "[redacted]")
+    return d.sub(s, X.SECRET_LIKE, "[redacted]")
 
 
 def judge_normal(d, s):

@@ -1,7 +1,9 @@
-"""Questions to answers: keys, providers and checks of what comes back.
+"""Requests to answers: keys, providers, recordings and checks of what comes back.
 
-questions(state, question_id, options array<string>, ...) become answers with probs map<string, double> and choice.
-A provider is a function from questions to answers; the engine never needs to know which one it has.
+A request is a row with a `state` (JSON) and `questions`, an array of QUESTION; a provider is a function from requests to the same rows
+with `answers`, an array of ANSWER in the order of the questions. The engine never needs to know which provider it has.
+
+Kinds: choice picks one of the options; score is the mean index over ordered options; noul is the probability of yes.
 """
 
 from __future__ import annotations
@@ -12,49 +14,93 @@ import time
 from collections.abc import Callable
 from urllib import error, request
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.settings.config import Settings
+
 Provider = Callable[[DataFrame], DataFrame]
+QUESTION = "struct<id:string,kind:string,instructions:string,options:array<string>,criteria:string>"
+ANSWER = "struct<id:string,choice:string,probs:map<string,double>,noul:double,score:double,confidence:double>"
 RETRIED = (429, 529)
 MAX_RETRIES, FIRST_WAIT, LONGEST_WAIT = 4, 0.5, 16.0
 TOLERANCE = 1e-6
 
 
-def with_key(questions: DataFrame) -> DataFrame:
-    """With `request_key`: SHA-256 of state, question and options in canonical JSON; equal requests share a key."""
-    return questions.withColumn("request_key", F.sha2(F.to_json(F.struct("state", "question_id", "options"), {"ignoreNullFields": "false"}), 256))
+def question(id: Column, kind: str, instructions: Column, options: Column, criteria: Column) -> Column:
+    """A QUESTION; instructions and criteria are structs, maps or strings, and become JSON."""
+    text = lambda c, plain: c if plain else F.to_json(c)
+    plain = [isinstance(c, _Text) for c in (instructions, criteria)]
+    instructions, criteria = (c.column if isinstance(c, _Text) else c for c in (instructions, criteria))
+    return F.struct(id.alias("id"), F.lit(kind).alias("kind"), text(instructions, plain[0]).alias("instructions"), options.cast("array<string>").alias("options"), text(criteria, plain[1]).alias("criteria"))
+
+
+class _Text:
+    def __init__(self, column: Column):
+        self.column = column
+
+
+def as_json(value) -> _Text:
+    """A constant of a question, as JSON text."""
+    return _Text(F.lit(json.dumps(value, sort_keys=True, ensure_ascii=False)))
+
+
+def with_key(requests: DataFrame) -> DataFrame:
+    """With `request_key`: SHA-256 of state and questions in canonical JSON; equal requests share a key."""
+    return requests.withColumn("request_key", F.sha2(F.to_json(F.struct("state", "questions"), {"ignoreNullFields": "false"}), 256))
 
 
 def replay(stored: DataFrame, missing_fails: bool = True) -> Provider:
-    """Answers from stored(request_key, probs), the earliest recording's copy if several; a miss fails the job, or stays null."""
+    """Answers from stored(request_key, answers), one copy if there are several; a miss fails the job, or stays null."""
 
-    def ask(questions: DataFrame) -> DataFrame:
-        one = stored.groupBy("request_key").agg(F.first("probs").alias("probs"), F.lit(True).alias("known"))
-        out = with_key(questions).join(one, "request_key", "left")
+    def ask(requests: DataFrame) -> DataFrame:
+        one = stored.groupBy("request_key").agg(F.first("answers").alias("answers"), F.lit(True).alias("known_"))
+        out = with_key(requests).join(one, "request_key", "left")
         if missing_fails:
-            lost = F.raise_error(F.concat(F.lit("no recording of request "), F.col("request_key"))).cast("map<string,double>")
-            out = out.withColumn("probs", F.when(F.col("known"), F.col("probs")).otherwise(lost))
-        return out.drop("known").withColumn("choice", chosen("probs", "options"))
+            lost = F.raise_error(F.concat(F.lit("no recording of request "), F.substring("request_key", 1, 12), F.lit(": inputs or tuning differ from the recorded run"))).cast(f"array<{ANSWER}>")
+            out = out.withColumn("answers", F.when(F.col("known_"), F.col("answers")).otherwise(lost))
+        return out.drop("known_")
 
     return ask
 
 
-def lexical(questions: DataFrame) -> DataFrame:
-    """Deterministic answers for tests: an option's weight is one more than the number of its words that the state holds."""
-    words = lambda s: F.filter(F.split(F.lower(s), "[^\\p{L}\\p{Nd}]+"), lambda w: w != "")
-    out = with_key(questions).withColumn("held_", words(F.coalesce("state", F.lit(""))))
-    weights = F.transform("options", lambda o: 1.0 + F.size(F.array_intersect(words(o), F.col("held_"))))
-    out = out.withColumn("weights_", weights).withColumn("total_", F.aggregate("weights_", F.lit(0.0), lambda s, w: s + w))
-    probs = F.map_from_arrays("options", F.transform("weights_", lambda w: F.try_divide(w, F.col("total_"))))
-    return out.withColumn("probs", probs).withColumn("choice", chosen("probs", "options")).drop("held_", "weights_", "total_")
+def record(answered: DataFrame, path: str) -> None:
+    """Appends the answered requests to the recording at path; replay keeps one copy a key."""
+    known = answered.where(F.col("answers").isNotNull()).select("request_key", "answers").dropDuplicates(["request_key"])
+    known.write.mode("append").parquet(path)
 
 
-def chosen(probs: str, options: str) -> Column:
-    """The likeliest option, the first on ties; null if no option has any mass. An absent option counts as 0."""
-    p = lambda o: F.coalesce(F.try_element_at(F.col(probs), o), F.lit(0.0))
-    top = F.array_max(F.transform(options, p))
-    return F.when(top > 0, F.element_at(F.filter(options, lambda o: p(o) == top), 1))
+def recording(spark: SparkSession, path: str) -> DataFrame:
+    """stored(request_key, answers) of a recording: Parquet, or JSON of {"version": 1, "exchanges": {key: {"answers": {...}}}}.
+
+    A foreign version raises.
+    """
+    if not path.endswith(".json"):
+        return spark.read.parquet(path)
+    answer = "map<string,struct<choice:string,probabilities:map<string,double>,noul:double,score:double,confidence:double>>"
+    rows = spark.read.schema(f"version int, exchanges map<string,struct<model:string,answers:{answer}>>").json(path, multiLine=True)
+    wrong = F.raise_error(F.concat(F.lit("recording version "), F.coalesce(F.col("version").cast("string"), F.lit("none")), F.lit(", want 1"))).cast("map<string,struct<model:string,answers:" + answer + ">>")
+    each = rows.select(F.explode(F.when(F.col("version") == 1, F.col("exchanges")).otherwise(wrong)).alias("request_key", "reply"))
+    named = F.transform(F.map_entries("reply.answers"), lambda e: F.struct(e["key"].alias("id"), e["value"]["choice"].alias("choice"), e["value"]["probabilities"].alias("probs"), e["value"]["noul"].alias("noul"), e["value"]["score"].alias("score"), e["value"]["confidence"].alias("confidence")))
+    return each.select("request_key", named.alias("answers"))
+
+
+def lexical(requests: DataFrame) -> DataFrame:
+    """Deterministic answers for tests and demonstrations.
+
+    An option's weight is 4 to the number of its words, twenty at most, that stand in the state or the instructions; noul is the share of
+    the instructions' words that stand in the state. It says nothing about any model's quality.
+    """
+    plain = lambda s: f"lower(regexp_replace({s}, '\\\\\\\\[nrtbf]', ' '))"  # noqa: E731  JSON's line breaks part words
+    words = lambda s: f"filter(split({plain(s)}, '[^\\\\p{{L}}\\\\p{{Nd}}]+'), w -> w <> '')"
+    weights = f"transform(q.options, o -> power(4D, least(20, size(array_intersect({words('o')}, concat(held_, {words('q.instructions')}))))))"
+    share = f"coalesce(try_divide(CAST(size(array_intersect({words('q.instructions')}, held_)) AS DOUBLE), size(array_distinct({words('q.instructions')}))), 0D)"
+    total = "aggregate(ws, 0D, (a, w) -> a + w)"
+    answer = f"""named_struct('id', q.id, 'choice', if(q.kind = 'choice', q.options[array_position(ws, array_max(ws)) - 1], NULL),
+        'probs', if(q.kind = 'choice', map_from_arrays(q.options, transform(ws, w -> w / {total})), NULL), 'noul', if(q.kind = 'noul', {share}, NULL),
+        'score', if(q.kind = 'score', aggregate(transform(ws, (w, i) -> w * i), 0D, (a, w) -> a + w) / {total}, NULL), 'confidence', if(q.kind = 'choice', array_max(ws) / {total}, NULL))"""
+    out = with_key(requests).withColumn("held_", F.expr(words("coalesce(state, '')")))
+    return out.withColumn("answers", F.expr(f"transform(questions, q -> transform(array({weights}), ws -> {answer})[0])").cast(f"array<{ANSWER}>")).drop("held_")
 
 
 def wait_before(attempt: int, retry_after: str | None = None, jitter: Callable[[], float] = random.random) -> float:
@@ -64,43 +110,102 @@ def wait_before(attempt: int, retry_after: str | None = None, jitter: Callable[[
     return max(wait, float(asked))
 
 
-def http(url: str, headers: dict[str, str], concurrency: int, timeout: float = 30.0) -> Provider:
+def post(url: str, headers: dict[str, str], body: bytes, timeout: float, retries: int = MAX_RETRIES) -> tuple[dict | None, str | None]:
+    """(reply, None) or (None, error) after up to `retries` repeats."""
+    for attempt in range(retries + 1):
+        try:
+            with request.urlopen(request.Request(url, body, {"Content-Type": "application/json", **headers}), timeout=timeout) as reply:
+                return json.load(reply), None
+        except error.HTTPError as e:
+            if attempt == retries or not (e.code in RETRIED or e.code >= 500):
+                return None, f"status {e.code}"
+            time.sleep(wait_before(attempt, e.headers.get("Retry-After")))
+        except (OSError, ValueError) as e:
+            return None, type(e).__name__
+    return None, "retries used up"
+
+
+def http(url: str, headers: dict[str, str], concurrency: int, timeout: float = 30.0, retries: int = MAX_RETRIES) -> Provider:
     """One POST a distinct request, at most `concurrency` at a time; errors stay in the row.
 
-    The body is {state, question_id, options}, the reply {probs}.
+    The body is {state, questions: {id: {type, instructions, criteria}}}, the reply {answers: {id: {choice, probabilities, noul, score, confidence}}}.
     """
-
-    def post(body: bytes) -> tuple[dict | None, str | None]:
-        for attempt in range(MAX_RETRIES + 1):
-            try:
-                with request.urlopen(request.Request(url, body, {"Content-Type": "application/json", **headers}), timeout=timeout) as reply:
-                    return json.load(reply)["probs"], None
-            except error.HTTPError as e:
-                if attempt == MAX_RETRIES or not (e.code in RETRIED or e.code >= 500):
-                    return None, f"status {e.code}"
-                time.sleep(wait_before(attempt, e.headers.get("Retry-After")))
-            except (OSError, ValueError, KeyError) as e:
-                return None, type(e).__name__
-        return None, "retries used up"
+    one = "map<string,struct<choice:string,probabilities:map<string,double>,noul:double,score:double,confidence:double>>"
 
     def batches(frames):
         for frame in frames:
-            replies = [post(json.dumps({"state": s, "question_id": q, "options": list(o)}).encode()) for s, q, o in zip(frame["state"], frame["question_id"], frame["options"], strict=True)]
-            yield frame[["request_key"]].assign(said=[json.dumps(p) if p is not None else None for p, _ in replies], error=[e for _, e in replies])
+            said, errors = [], []
+            for state, questions in zip(frame["state"], frame["questions"], strict=True):
+                asked = {q["id"]: {"type": q["kind"], "instructions": json.loads(q["instructions"]), "criteria": json.loads(q["criteria"])} for q in json.loads(questions)}
+                reply, wrong = post(url, headers, json.dumps({"state": json.loads(state) if state else None, "questions": asked}).encode(), timeout, retries)
+                said.append(json.dumps(reply["answers"]) if reply and "answers" in reply else None)
+                errors.append(wrong if wrong or said[-1] else "no answers in the reply")
+            yield frame[["request_key"]].assign(said=said, error=errors)
+
+    def ask(requests: DataFrame) -> DataFrame:
+        keyed = with_key(requests)
+        once = keyed.select("request_key", "state", F.to_json("questions").alias("questions")).dropDuplicates(["request_key"]).repartition(concurrency, "request_key")
+        replies = once.mapInPandas(batches, "request_key string, said string, error string")
+        named = lambda q: F.struct(q["id"].alias("id"), F.try_element_at("by_", q["id"]).alias("a"))
+        out = keyed.join(replies, "request_key", "left").withColumn("by_", F.from_json("said", one))
+        found = F.transform(F.filter(F.transform("questions", named), lambda x: x["a"].isNotNull()), lambda x: F.struct(x["id"].alias("id"), x["a"]["choice"].alias("choice"), x["a"]["probabilities"].alias("probs"), x["a"]["noul"].alias("noul"), x["a"]["score"].alias("score"), x["a"]["confidence"].alias("confidence")))
+        return out.withColumn("answers", found).drop("said", "by_")
+
+    return ask
 
-    def ask(questions: DataFrame) -> DataFrame:
-        keyed = with_key(questions)
-        once = keyed.select("request_key", "state", "question_id", "options").dropDuplicates(["request_key"]).repartition(concurrency, "request_key")
-        answers = once.mapInPandas(batches, "request_key string, said string, error string")
-        return keyed.join(answers, "request_key", "left").withColumn("probs", F.from_json("said", "map<string,double>")).drop("said").withColumn("choice", chosen("probs", "options"))
+
+def provider(spark: SparkSession, settings: Settings) -> Provider:
+    """Replay where a recording is named, HTTP with a base URL (recorded where a record is named), else the lexical one."""
+    if settings.replay_file:
+        return replay(recording(spark, settings.replay_file))
+    if not settings.base_url:
+        return lexical
+    live = http(settings.base_url, {"Authorization": f"Bearer {settings.api_key}"}, settings.max_concurrency, settings.timeout, settings.max_retries)
+    if not settings.record_file:
+        return live
+
+    def ask(requests: DataFrame) -> DataFrame:
+        answered = live(requests).persist()  # asked once, though read twice
+        record(answered, settings.record_file)
+        return answered
 
     return ask
 
 
-def problems(answers: DataFrame) -> DataFrame:
-    """(request_key, problem): answers that are missing, hold a number outside 0 to 1, or name what was not offered."""
-    values = F.map_values("probs")
-    wrong = F.when(F.col("probs").isNull(), "missing")
-    wrong = wrong.when(F.exists(values, lambda p: p.isNull() | F.isnan(p) | (p < -TOLERANCE) | (p > 1 + TOLERANCE)), "out of range")
-    wrong = wrong.when(F.size(F.array_except(F.map_keys("probs"), "options")) > 0, "not an option")
-    return answers.select("request_key", wrong.alias("problem")).where("problem IS NOT NULL")
+def answers(answered: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., id, kind, options, answer): a row for each question, its answer null if there is none."""
+    each = answered.select(*keys, "answers", F.explode("questions").alias("q"))
+    found = F.filter("answers", lambda a: a["id"] == F.col("q.id"))
+    return each.select(*keys, F.col("q.id").alias("id"), F.col("q.kind").alias("kind"), F.col("q.options").alias("options"), F.get(found, F.lit(0)).alias("answer"))
+
+
+def problems(answered: DataFrame) -> DataFrame:
+    """(request_key, id, problem): answers that are missing, hold numbers out of range, or name what was not offered."""
+    a = F.col("answer")
+    out_of = lambda p, top: p.isNull() | F.isnan(p) | (p < -TOLERANCE) | (p > top + TOLERANCE)
+    is_in = lambda p: out_of(p, F.lit(1.0))
+    wrong = F.when(a.isNull(), "missing")
+    wrong = wrong.when(a["confidence"].isNotNull() & is_in(a["confidence"]), "confidence out of range")
+    wrong = wrong.when(F.exists(F.map_values(a["probs"]), is_in), "probability out of range")
+    wrong = wrong.when((F.col("kind") == "noul") & is_in(a["noul"]), "noul missing or out of range")
+    wrong = wrong.when((F.col("kind") == "score") & out_of(a["score"], F.size("options") - 1), "score missing or out of range")
+    choice = F.col("kind") == "choice"
+    wrong = wrong.when(choice & a["choice"].isNull(), "no choice").when(choice & (F.coalesce(F.size(a["probs"]), F.lit(0)) <= 0), "empty distribution")
+    wrong = wrong.when(choice & ~F.array_contains("options", a["choice"]), "choice is not an option")
+    wrong = wrong.when(choice & (F.size(F.array_except(F.map_keys(a["probs"]), "options")) > 0), "probability of what is not an option")
+    return answers(answered, "request_key").select("request_key", "id", wrong.alias("problem")).where("problem IS NOT NULL")
+
+
+def p(probs: Column, option) -> Column:
+    """The probability of an option; an absent one counts as 0."""
+    return F.coalesce(F.try_element_at(probs, option if isinstance(option, Column) else F.lit(option)), F.lit(0.0))
+
+
+def argmax(probs: Column, options: Column) -> Column:
+    """The likeliest of the options, the first on ties; null if none has any mass."""
+    top = F.array_max(F.transform(options, lambda o: p(probs, o)))
+    return F.when(top > 0, F.get(F.filter(options, lambda o: p(probs, o) == top), F.lit(0)))
+
+
+def mass(probs: Column, options: Column) -> Column:
+    return F.aggregate(F.transform(options, lambda o: p(probs, o)), F.lit(0.0), lambda a, x: a + x)

@@ -19,12 +19,13 @@ def _pick(column: str, values: dict[str, float]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col(column))
 
 
-def score_fit(coverage: DataFrame, members: DataFrame) -> DataFrame:
-    """(pair, fit, gaps) of coverage(pair, req_ord, req_id, tier, coverage) and members(pair, group_ord, group_id, member_id).
+def score_fit(coverage: DataFrame, members: DataFrame, credit: dict[str, float] | None = None, tier_weight: dict[str, float] | None = None) -> DataFrame:
+    """(pair, fit, by_tier, gaps) of coverage(pair, req_ord, req_id, tier, coverage) and members(pair, group_ord, group_id, member_id).
 
     A group is one item: its best member's coverage and strongest member's tier; a requirement belongs to its
-    first group. Unknown tiers count as mentioned.
+    first group. Unknown tiers count as mentioned. by_tier: the unweighted credit of each tier that occurs.
     """
+    credit, tier_weight = credit or X.CREDIT, tier_weight or X.TIER_WEIGHT
     first = members.groupBy("pair", F.col("member_id").alias("req_id")).agg(F.min_by("group_id", "group_ord").alias("group_id"))
     ranks = {"strong": 3, "partial": 2, "weak": 1, "none": 0}
     tiers = {"required": 2, "preferred": 1, "mentioned": 0}
@@ -32,10 +33,11 @@ def score_fit(coverage: DataFrame, members: DataFrame) -> DataFrame:
     rows = coverage.join(first, ["pair", "req_id"], "left").withColumn("item", F.coalesce("group_id", "req_id"))
     items = rows.groupBy("pair", "item").agg(F.max(rank("coverage", ranks)).alias("c"), F.max(rank("tier", tiers)).alias("t"), F.min("req_ord").alias("ord"))
     named = items.withColumn("coverage", F.element_at(F.array(F.lit("none"), F.lit("weak"), F.lit("partial"), F.lit("strong")), F.col("c") + 1)).withColumn("tier", F.element_at(F.array(F.lit("mentioned"), F.lit("preferred"), F.lit("required")), F.col("t") + 1))
-    weighted = named.withColumn("w", _pick("tier", X.TIER_WEIGHT)).withColumn("credit", _pick("coverage", X.CREDIT))
+    weighted = named.withColumn("w", _pick("tier", tier_weight)).withColumn("credit", _pick("coverage", credit))
     gap = F.when((F.col("tier") == "required") & (F.col("coverage") == "none"), F.struct("ord", "item"))
-    out = weighted.groupBy("pair").agg(F.round(100 * F.sum(F.col("w") * F.col("credit")) / F.sum("w")).cast("int").alias("fit"), F.array_sort(F.collect_list(gap)).alias("g"))
-    return out.select("pair", "fit", F.transform("g", lambda x: x["item"]).alias("gaps"))
+    own = [F.when(F.count(F.when(F.col("tier") == t, 1)) > 0, F.struct(F.lit(t).alias("key"), F.round(100 * F.avg(F.when(F.col("tier") == t, F.col("credit")))).cast("int").alias("value"))) for t in X.TIER_WEIGHT]
+    out = weighted.groupBy("pair").agg(F.round(100 * F.sum(F.col("w") * F.col("credit")) / F.sum("w")).cast("int").alias("fit"), F.map_from_entries(F.filter(F.array(*own), lambda x: x.isNotNull())).alias("by_tier"), F.array_sort(F.collect_list(gap)).alias("g"))
+    return out.select("pair", "fit", "by_tier", F.transform("g", lambda x: x["item"]).alias("gaps"))
 
 
 def agreement(scores: DataFrame) -> DataFrame:

@@ -138,7 +138,7 @@ dual("a25_counts_pivot", lambda d, t: f"SELECT tier, count(CASE WHEN coverage =
 dual("a26_noise", lambda d, t: f"SELECT s_nationkey, CAST(median(s_suppkey % 37) AS DOUBLE) AS med, max(s_suppkey % 37) - min(s_suppkey % 37) AS spread FROM {t('supplier')} GROUP BY s_nationkey", "supplier")
 dual("f3_requirement_mass", lambda d, t: f"SELECT req, {R6('sum(p)')} AS mass FROM {answers(d, t)} a_ WHERE k < 4 GROUP BY req HAVING sum(p) >= {X.REQUIREMENT_MASS}", "events")
 dual("f4_filler", lambda d, t: f"SELECT req FROM (SELECT req, coalesce(max(CASE WHEN opt = 'o1' THEN p END), 0) AS p FROM {answers(d, t)} a_ GROUP BY req) x_ WHERE p >= {X.KEEP_MASS}", "events")
-dual("f5_retrieval_floor", lambda d, t: f"SELECT req, opt FROM {answers(d, t)} a_ WHERE p >= 0.1 AND opt <> 'o4'", "events")
+dual("f5_retrieval_floor", lambda d, t: f"SELECT req, opt FROM {answers(d, t)} a_ WHERE p >= {X.RETRIEVE_FLOOR} AND opt <> 'o4'", "events")
 dual("f6_gate", lambda d, t: f"SELECT req, CASE WHEN g THEN 'graded' ELSE 'ungated' END AS gate FROM (SELECT req, max(CASE WHEN k = 1 THEN p END) >= 0.3 AS g, sum(CASE WHEN k < 4 THEN p ELSE 0 END) AS mass FROM {answers(d, t)} a_ GROUP BY req) x_ WHERE g OR mass >= 0.5", "events")
 dual("f7_without_mentioned", lambda d, t: f"SELECT pair, req, CASE WHEN count(*) OVER (PARTITION BY pair, grp) >= 2 AND grp IS NOT NULL THEN grp END AS grp FROM {requirements(d, t)} r_ WHERE tier <> 'mentioned'", "lineitem", "orders")
 dual("f9_strict_match", lambda d, t: f"SELECT a.grp AS grp, a.id AS a_id, b.id AS b_id FROM (SELECT grp, id, {T.normal(d, 'v')} AS n FROM {phrases(d, t)} a_) a JOIN (SELECT grp, id, {T.normal(d, 'upper(v)')} AS n FROM {phrases(d, t)} b_) b ON a.grp = b.grp AND a.n = b.n AND a.id < b.id", "lineitem", "part")
@@ -186,6 +186,5 @@ dual("k8_confusion_pivot", lambda d, t: f"SELECT tier, count(CASE WHEN coverage
 dual("k11_pairs_by_error", lambda d, t: f"SELECT report, pair, CAST(row_number() OVER (PARTITION BY report ORDER BY coalesce(abs(score - reference), -1) DESC, pair) AS BIGINT) AS ord FROM {match(d, t)} m_", "orders")
 dual("k13_metrics_text", lambda d, t: f"SELECT concat(event_type, ' n=', CAST(count(*) AS STRING), ' max=', CAST(max(user_id) AS STRING)) AS line FROM {t('events')} GROUP BY event_type", "events")
 dual("k14_upsert", lambda d, t: f"SELECT coalesce(n.k, o.k) AS k, coalesce(n.v, o.v) AS v FROM (SELECT c_custkey AS k, 1 AS v FROM {t('customer')} WHERE c_acctbal > 0) o FULL OUTER JOIN (SELECT c_custkey AS k, 2 AS v FROM {t('customer')} WHERE c_mktsegment = 'BUILDING') n ON o.k = n.k", "customer")
-dual("s11_violations", lambda d, t: f"SELECT 'dup' AS problem, CAST(doc_id AS STRING) AS id FROM {t('documents')} GROUP BY doc_id HAVING count(*) > 1 UNION ALL SELECT 'group', CAST(grp AS STRING) FROM {requirements(d, t)} r_ WHERE grp IS NOT NULL GROUP BY grp HAVING count(*) < 2", "documents", "lineitem", "orders")
 dual("s14_load_pairs", lambda d, t: f"SELECT d.doc_id AS doc_id, l.quality AS quality, coalesce(l.doc_id IS NOT NULL, false) AS labelled, (CAST(d.doc_id AS STRING) LIKE '1%' OR CAST(d.doc_id AS STRING) LIKE '27%') AS selected FROM {t('documents')} d LEFT JOIN {t('labels')} l ON d.doc_id = l.doc_id", "documents", "labels")
 dual("s24_pool_reports", lambda d, t: f"SELECT user_id, {R6('avg(coalesce(CASE WHEN event_id % 6 = 0 THEN NULL ELSE value END, 0))')} AS v FROM {t('events')} GROUP BY user_id", "events")

@@ -58,7 +58,7 @@ dual("t27_stem", lambda d, t: f"SELECT w, {T.stem(d, 'w')} AS stem FROM (SELECT
 dual("t28_report_cells", lambda d, t: f"SELECT o_orderkey, concat(substr(o_orderpriority, 1, 7), '…') AS clip, replace(o_orderpriority, '-', '\\\\|') AS cell, coalesce(CAST(CAST(round(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice / 1000 END) AS BIGINT) AS STRING), '–') AS fit FROM {t('orders')}" if d.name == "spark" else f"SELECT o_orderkey, concat(substr(o_orderpriority, 1, 7), '…') AS clip, replace(o_orderpriority, '-', '\\|') AS cell, coalesce(CAST(CAST(round(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice / 1000 END) AS BIGINT) AS STRING), '–') AS fit FROM {t('orders')}", "orders")
 dual("t29_baseline_reply", lambda d, t: f"SELECT event_id, greatest(0, least(100, CAST(round(CAST({d.json('j', 'n')} AS DOUBLE)) AS BIGINT))) AS score FROM (SELECT event_id, {d.get('r', '(?s)[{].*[}]')} AS j FROM (SELECT event_id, concat({d.lit('Sure: {' + chr(34) + 'n' + chr(34) + ': ')}, CAST(event_id % 150 AS STRING), {d.lit('.5} bye')}) AS r FROM {t('events')}) x_) y_", "events")
 dual("t30_judge_norm", lambda d, t: f"SELECT doc_id, {T.judge_normal(d, 'text')} AS norm FROM {t('documents')}", "documents")
-dual("t31_redact", lambda d, t: f"SELECT event_id, {T.redact(d, 's')} AS s FROM (SELECT event_id, concat(event_type, ' Bearer tok', CAST(event_id AS STRING), ' sk-abcdefgh', CAST(user_id AS STRING), ' end') AS s FROM {t('events')}) x_", "events")
+dual("t31_redact", lambda d, t: f"SELECT event_id, {T.redact(d, 's')} AS s FROM (SELECT event_id, concat(event_type, ' Bearer tok', CAST(event_id AS STRING), ' sk-abcdefgh', CAST(user_id AS STRING), ' task-list end ', md5(CAST(event_id AS STRING)), ' x', substr(md5(event_type), 1, 20)) AS s FROM {t('events')}) x_", "events")
 dual("f2_title_fragment", lambda d, t: f"SELECT p_partkey, {T.is_title_fragment(d, T.title_words(d, 'v'), T.title_words(d, 'ttl'))} AS fragment FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN concat(p_brand, ' Engineer') WHEN 1 THEN p_brand ELSE concat('Senior ', p_brand, ' engineer') END AS v, concat('Senior ', p_brand, ' Engineer') AS ttl FROM {t('part')}) x_", "part")
 dual("m6_trigram_jaccard", lambda d, t: f"SELECT a.grp AS grp, a.id AS a_id, b.id AS b_id, round({T.set_jaccard(d, 'a.g', 'b.g')}, 6) AS j FROM (SELECT grp, id, {T.trigrams(d, 'v')} AS g FROM {phrases(d, t)} a_) a JOIN (SELECT grp, id, {T.trigrams(d, 'v')} AS g FROM {phrases(d, t)} b_) b ON a.grp = b.grp AND a.id < b.id", "lineitem", "part")
 dual("f1_section_filter", lambda d, t: f"SELECT doc_id, ord, ref FROM (SELECT doc_id, ord, ref, strong, {T.resume_section(d, 'heading')} AS section FROM {P.sentences(d, _headed(d, t))} q_) r_ WHERE NOT strong AND section NOT IN ('summary', 'other')", "documents")
@@ -120,3 +120,14 @@ checked("t17_options", _t17, lambda d, t: _folded(d, P.options(d, _sentence_sour
 checked("t18_windows", _t18, lambda d, t: _folded(d, P.windows(d, _sentence_source(d, t), "doc_id, ord", True), "doc_id, ord", "text", "start, n"), "documents")
 checked("t23_fallback_summary", _t23, lambda d, t: f"SELECT doc_id, {T.truncate_words(d, 's', X.FALLBACK_RUNES)} AS summary FROM (SELECT doc_id, {d.ordered('CASE WHEN ' + d.like('text', '[.]$') + ' THEN text ELSE concat(text, ' + d.lit('.') + ') END', 'ord', ' ')} AS s FROM {P.sentences(d, _some(d, t))} q_ WHERE NOT strong GROUP BY doc_id) y_", "documents")
 checked("w6_ngram_frames", _w6, lambda d, t: f"SELECT n, count(*) AS windows, count(DISTINCT text) AS texts FROM {P.windows(d, _sentence_source(d, t), 'doc_id, ord', False)} q_ GROUP BY n", "documents")
+
+
+def _w7(docs: DataFrame) -> DataFrame:
+    """How often "such" parts a clause, as before "as", and how often it doesn't."""
+    rows = C.with_tokens(_said(docs), False).withColumn("w", F.expr("transform(toks, t -> lower(t.text))"))
+    pairs = F.expr("transform(filter(transform(w, (x, i) -> named_struct('x', x, 'next', coalesce(get(w, i + 1), ''))), p -> p.x IN ('such', 'comme', 'wie', 'como', 'as')), p -> p)")
+    each = C.exploded(rows.withColumn("p", pairs).select("doc_id", "p"), "p", "n", "q")
+    return each.groupBy(F.col("q.x").alias("w")).agg(F.count("*").alias("n"), F.count(F.when((F.col("q.x") == "such") & (F.col("q.next") == "as"), 1)).alias("parts"))
+
+
+checked("w7_such_as", _w7, lambda d, t: f"SELECT w, count(*) AS n, count(CASE WHEN w = 'such' AND next_w = 'as' THEN 1 END) AS parts FROM (SELECT lower(text) AS w, lead(lower(text)) OVER (PARTITION BY doc_id, ord ORDER BY tok) AS next_w FROM {P.tokens(d, _sentence_source(d, t), 'doc_id, ord', False)} q_) x_ WHERE w IN ('such', 'comme', 'wie', 'como', 'as') GROUP BY w", "documents")
