@@ -16,8 +16,8 @@ def parse_reply(reply: Column) -> tuple[Column, Column, Column, Column]:
     """(score, gaps, strengths, error) of the outermost braces; scores rounded and clamped to 0..100, lists cut to eight."""
     body = F.regexp_extract(reply, "(?s)\\{.*\\}", 0)
     parsed = F.from_json(body, "score string, gaps array<string>, strengths array<string>")
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.try_to_number(parsed["score"], F.lit("S999999999.999999")).cast("double")))).cast("int")
-    score = F.coalesce(score, F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), parsed["score"].try_cast("double")))).cast("int"))
+    said = parsed["score"].try_cast("double")
+    score = F.when(said.isNotNull() & ~F.isnan(said), F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), said))).cast("int"))
     few = lambda c: F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, ITEMS)
     wrong = F.when(body == "", "no JSON object in the reply").when(score.isNull(), "no score in the reply")
     return score, few(parsed["gaps"]), few(parsed["strengths"]), wrong

@@ -61,7 +61,7 @@ def tallies(rows: DataFrame) -> DataFrame:
 
 def confusion(rows: DataFrame) -> DataFrame:
     """(want, strong, partial, weak, none)."""
-    return rows.groupBy("want").pivot("got", ["strong", "partial", "weak", "none"]).agg(F.count("*")).na.fill(0)
+    return rows.groupBy("want").pivot("got", ["strong", "partial", "weak", "none"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def checker_totals(links: DataFrame, tallied: DataFrame, fits: DataFrame) -> DataFrame:

@@ -104,12 +104,10 @@ dual("m4_pearson", lambda d, t: f"SELECT grp, {R6('coalesce(' + d.div('n * sxy -
 dual("m5_kendall_tau_b", lambda d, t: f"SELECT grp, {R6('coalesce(' + d.div('c', 'nullif(sqrt(CAST(n0 - tx AS DOUBLE) * (n0 - ty)), 0)') + ', 0)')} AS tau FROM (SELECT a.grp AS grp, sum(sign(a.x - b.x) * sign(a.y - b.y)) AS c, count(*) AS n0, sum(CASE WHEN a.x = b.x THEN 1 ELSE 0 END) AS tx, sum(CASE WHEN a.y = b.y THEN 1 ELSE 0 END) AS ty FROM {ratings(d, t)} a JOIN {ratings(d, t)} b ON a.grp = b.grp AND a.id < b.id GROUP BY a.grp) g_", "lineitem")
 dual("m7_fuzzy_jaccard", lambda d, t: f"SELECT a_id, b_id, {R6(T.fuzzy_jaccard(d, 'ca', 'cb'))} AS j FROM (SELECT a.item_id AS a_id, b.item_id AS b_id, a.c AS ca, b.c AS cb FROM (SELECT item_id, {T.content(d, 'text')} AS c FROM {t('benchmark')}) a JOIN (SELECT item_id, {T.content(d, 'text')} AS c FROM {t('benchmark')}) b ON b.item_id = a.item_id + 1) p_", "benchmark")
 dual("m9_normal_equations", lambda d, t: f"SELECT resume % 8 AS fold, {R6('sum(a * a)')} AS s_aa, {R6('sum(a * b)')} AS s_ab, {R6('sum(b * b)')} AS s_bb, {R6('sum(a * reference)')} AS s_ay, {R6('sum(b * reference)')} AS s_by, {R6('sum(c * c)')} AS s_cc FROM (SELECT resume, reference, (1 - blocker) AS c, role_match * (1 - blocker) AS a, experience_short * (1 - blocker) AS b FROM {signals(d, t)} s_) f_ GROUP BY resume % 8", "orders")
-dual("m10_predict", lambda d, t: f"SELECT pair, CAST({'bround(v)' if d.name == 'spark' else 'round_even(v, 0)'} AS BIGINT) AS predicted FROM (SELECT pair, greatest(0, least(100, 10 + CAST(reference AS DOUBLE) / 2)) AS v FROM {signals(d, t)} s_) v_", "orders")
 dual("m12_feature_products", lambda d, t: f"SELECT pair, round(role_match * experience_short, 9) AS ab, round(role_match * blocker, 9) AS ac FROM {signals(d, t)} s_", "orders")
 dual("m13_calibrated_fit", lambda d, t: f"SELECT pair, CAST(floor(10 * {d.div('sum(w * c)', 'sum(w)')} + CAST(0.5 AS DOUBLE)) AS BIGINT) AS fit FROM (SELECT pair, {WEIGHT2} AS w, {CREDIT10} AS c FROM {items(d, t)} i_) x_ GROUP BY pair", "lineitem", "orders")
 dual("m14_credit_grid", lambda d, t: f"SELECT partial, weak, {R6(d.div('sum(m * err)', 'sum(m)'))} AS mae FROM (SELECT partial, weak, m, abs(100 * CAST(20 * strong + n_partial * partial + n_weak * weak AS DOUBLE) / (20 * n) - reference) AS err FROM {_grid(d, _tallies(d, t))} g_) x_ GROUP BY partial, weak", "lineitem", "orders")
 dual("m15_price", lambda d, t: f"SELECT event_id, round(CASE WHEN tin < 1 THEN CAST(chars AS DOUBLE) / 16 ELSE CAST(tin AS DOUBLE) / 4 END / 1000 + CAST(tout AS DOUBLE) / 500, 9) AS milli_usd FROM (SELECT event_id, user_id % 900 AS tin, event_id % 300 AS tout, {d.length('props')} AS chars FROM {t('events')}) e_", "events")
-dual("m16_bootstrap", lambda d, t: f"SELECT report, count(*) AS reps, {R6(_percentile(d, 'mae', 0.025))} AS low, {R6(_percentile(d, 'mae', 0.975))} AS high FROM (SELECT report, rep, avg(CAST(err AS DOUBLE)) AS mae FROM {_resamples(d, t, 200)} r_ GROUP BY report, rep) x_ GROUP BY report", "orders")
 dual("m17_legacy_match", lambda d, t: f"SELECT pair, CAST(round(greatest(0, least(100, 44.2 + 31.7 * role_match + 46.2 * experience_short - 17.5 * blocker))) AS BIGINT) AS score FROM {signals(d, t)} s_", "orders")
 dual("a1_tier_for", lambda d, t: f"SELECT pair, CASE max({TIER_RANK}) WHEN 2 THEN 'required' WHEN 1 THEN 'preferred' ELSE 'mentioned' END AS tier FROM {requirements(d, t)} r_ GROUP BY pair", "lineitem", "orders")
 dual("a2_unique_values", lambda d, t: f"SELECT lower(event_type) AS v, count(*) AS mentions, min(event_id) AS first_ref, count(DISTINCT user_id) AS refs FROM {t('events')} GROUP BY lower(event_type)", "events")
@@ -130,7 +128,6 @@ dual("a17_group_pairs_f1", lambda d, t: f"SELECT {R6(d.div('2 * sum(CASE WHEN e.
 dual("a18_confusion", lambda d, t: f"SELECT tier, coverage, count(*) AS n FROM {requirements(d, t)} r_ GROUP BY tier, coverage", "lineitem", "orders")
 dual("a19_best_strength", lambda d, t: f"SELECT pair, max({RANK}) AS best FROM {requirements(d, t)} r_ GROUP BY pair", "lineitem", "orders")
 dual("a20_ratio", lambda d, t: f"SELECT s_nationkey, {R6('coalesce(' + d.div('sum(CASE WHEN s_acctbal > 5000 THEN 1 ELSE 0 END)', 'sum(CASE WHEN s_acctbal > 0 THEN 1 ELSE 0 END)') + ', 0)')} AS ratio FROM {t('supplier')} GROUP BY s_nationkey", "supplier")
-dual("a21_percentiles", lambda d, t: f"SELECT event_type, max(n) AS n, min(CASE WHEN upto >= greatest(1, CAST(floor(0.5 * n + 0.5) AS BIGINT)) THEN v END) AS p50, min(CASE WHEN upto >= greatest(1, CAST(floor(0.95 * n + 0.5) AS BIGINT)) THEN v END) AS p95, max(v) AS worst FROM (SELECT event_type, v, CAST(sum(c) OVER (PARTITION BY event_type ORDER BY v ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto, CAST(sum(c) OVER (PARTITION BY event_type) AS BIGINT) AS n FROM (SELECT event_type, user_id AS v, count(*) AS c FROM {t('events')} GROUP BY event_type, user_id) c_) x_ GROUP BY event_type", "events")
 dual("a22_labels_hash", lambda d, t: f"SELECT substr({d.sha("concat(CAST(count(*) AS STRING), ':', CAST(sum(h1) AS STRING), ':', CAST(sum(h2) AS STRING))")}, 1, 12) AS labels_hash FROM (SELECT {d.hex24('h', 1)} AS h1, {d.hex24('h', 7)} AS h2 FROM (SELECT {d.sha("concat(CAST(doc_id AS STRING), ':', CAST(quality AS STRING), ':', CAST(toxic AS STRING))")} AS h FROM {t('labels')}) x_) y_", "labels")
 dual("a23_judge_median", lambda d, t: f"SELECT user_id, CAST({'median' if d.name == 'duck' else 'median'}(event_id % 101) AS DOUBLE) AS score, {R6('avg(CAST(event_id % 3 AS DOUBLE) / 2)')} AS quote_rate FROM {t('events')} GROUP BY user_id", "events")
 dual("a24_resume_mae", lambda d, t: f"SELECT resume, {R6('avg(CAST(abs(score - reference) AS DOUBLE))')} AS mae FROM {match(d, t)} m_ GROUP BY resume", "orders")
@@ -158,7 +155,6 @@ dual("j6_shortest_context", lambda d, t: f"SELECT conv_id, text FROM (SELECT con
 dual("j7_unit_requirement", lambda d, t: f"SELECT a.grp AS pair, a.id AS unit, b.id AS req FROM {ratings(d, t)} a JOIN {ratings(d, t)} b ON a.grp = b.grp", "lineitem")
 dual("j8_linked_units", lambda d, t: f"SELECT c_custkey FROM {t('customer')} WHERE c_custkey IN (SELECT o_custkey FROM {t('orders')})", "customer", "orders")
 dual("j9_first_group", lambda d, t: f"SELECT pair, req, min(grp) AS grp FROM {requirements(d, t)} r_ GROUP BY pair, req", "lineitem", "orders")
-dual("j10_resolve_quote", lambda d, t: f"SELECT item_id, min(doc_id) AS doc_id FROM {t('benchmark')} b JOIN {t('documents')} x ON contains(x.text, b.text) GROUP BY item_id HAVING count(*) = 1", "benchmark", "documents")
 dual("j12_want_got", lambda d, t: f"SELECT coalesce(w.k, g.k) AS k, CASE WHEN w.k IS NULL THEN 'false' WHEN g.k IS NULL THEN 'missed' ELSE 'correct' END AS link FROM (SELECT o_orderkey AS k FROM {t('orders')} WHERE o_orderstatus = 'F') w FULL OUTER JOIN (SELECT o_orderkey AS k FROM {t('orders')} WHERE o_totalprice > 100000) g ON w.k = g.k", "orders")
 dual("j14_pairs_current", lambda d, t: f"SELECT o.o_orderkey AS pair, c.c_acctbal AS reference FROM {t('orders')} o LEFT JOIN (SELECT * FROM {t('customer')} WHERE c_acctbal > 0) c ON o.o_custkey = c.c_custkey", "orders", "customer")
 dual("j15_replay", lambda d, t: f"SELECT a.event_id AS event_id, b.score AS score FROM (SELECT event_id, {d.sha('concat(event_type, CAST(event_id AS STRING))')} AS request FROM {t('events')}) a LEFT JOIN (SELECT {d.sha('concat(event_type, CAST(event_id AS STRING))')} AS request, event_id % 5 AS score FROM {t('events')} WHERE event_type <> 'error') b ON a.request = b.request", "events")

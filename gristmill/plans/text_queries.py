@@ -61,7 +61,6 @@ dual("t30_judge_norm", lambda d, t: f"SELECT doc_id, {T.judge_normal(d, 'text')}
 dual("t31_redact", lambda d, t: f"SELECT event_id, {T.redact(d, 's')} AS s FROM (SELECT event_id, concat(event_type, ' Bearer tok', CAST(event_id AS STRING), ' sk-abcdefgh', CAST(user_id AS STRING), ' task-list end ', md5(CAST(event_id AS STRING)), ' x', substr(md5(event_type), 1, 20)) AS s FROM {t('events')}) x_", "events")
 dual("f2_title_fragment", lambda d, t: f"SELECT p_partkey, {T.is_title_fragment(d, T.title_words(d, 'v'), T.title_words(d, 'ttl'))} AS fragment FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN concat(p_brand, ' Engineer') WHEN 1 THEN p_brand ELSE concat('Senior ', p_brand, ' engineer') END AS v, concat('Senior ', p_brand, ' Engineer') AS ttl FROM {t('part')}) x_", "part")
 dual("m6_trigram_jaccard", lambda d, t: f"SELECT a.grp AS grp, a.id AS a_id, b.id AS b_id, round({T.set_jaccard(d, 'a.g', 'b.g')}, 6) AS j FROM (SELECT grp, id, {T.trigrams(d, 'v')} AS g FROM {phrases(d, t)} a_) a JOIN (SELECT grp, id, {T.trigrams(d, 'v')} AS g FROM {phrases(d, t)} b_) b ON a.grp = b.grp AND a.id < b.id", "lineitem", "part")
-dual("f1_section_filter", lambda d, t: f"SELECT doc_id, ord, ref FROM (SELECT doc_id, ord, ref, strong, {T.resume_section(d, 'heading')} AS section FROM {P.sentences(d, _headed(d, t))} q_) r_ WHERE NOT strong AND section NOT IN ('summary', 'other')", "documents")
 
 
 # The operators below run inside the row; their checks are relational: windows and joins over exploded words.
