@@ -14,6 +14,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,12 +58,13 @@ def _parser() -> _Parser:
     return p
 
 
-def _one(rows: DataFrame, path: str, kinds: tuple[str, ...]) -> DataFrame:
+def _one(read: Callable[[], DataFrame], path: str, kinds: tuple[str, ...]) -> DataFrame:
     """The one row of a file that was read; its error is the user's."""
     if Path(path).suffix.lower() not in kinds:
         raise InputError(f"{path}: expected {', '.join(kinds)}")
     if not Path(path).is_file():
         raise InputError(f"{path}: no such file")
+    rows = read()
     found = rows.collect()
     if not found or found[0].error:
         raise InputError(f"{path}: {found[0].error if found else 'unreadable'}")
@@ -74,12 +76,12 @@ def _run(spark: SparkSession, a: argparse.Namespace, settings: config.Settings,
     provider = ask.provider(spark, settings)
     uri = lambda p: Path(p).absolute().as_uri() if Path(p).exists() else p
     if a.command in ("score", "check"):
-        people = _one(loaders.read_resumes(spark, uri(a.resume)), a.resume, (".md", ".txt", ".pdf"))
+        people = _one(lambda: loaders.read_resumes(spark, uri(a.resume)), a.resume, (".md", ".txt", ".pdf"))
     if a.command in ("score", "extract"):
         path = a.jd if a.command == "score" else a.posting
-        jobs = _one(loaders.read_postings(spark, uri(path)), path, (".txt", ".md"))
+        jobs = _one(lambda: loaders.read_postings(spark, uri(path)), path, (".txt", ".md"))
     if a.command == "check":
-        results = _one(loaders.read_results(spark, uri(a.requirements)), a.requirements, (".json",))
+        results = _one(lambda: loaders.read_results(spark, uri(a.requirements)), a.requirements, (".json",))
         reqs, groups, context = loaders.result_tables(results)
         if wrong := [r.problem for r in loaders.result_violations(reqs, groups, context).collect()]:
             raise InputError(f"{a.requirements}: invalid result: " + "; ".join(sorted(wrong)))
