@@ -89,19 +89,19 @@ def lines_sql(docs: str, min_sites: int = MIN_SITES) -> str:
     """DuckDB text of the same removal: a relation with the columns of `docs`, and lines_removed."""
     return f"""
     (WITH docs AS (SELECT * FROM {docs}),
-    parts AS (SELECT doc_id, coalesce(source, '') AS site, string_split(text, chr(10)) AS ls FROM docs WHERE text IS NOT NULL),
-    lines AS (SELECT doc_id, site, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM parts),
+    parts AS (SELECT doc_id, text, coalesce(source, '') AS site, string_split(text, chr(10)) AS ls FROM docs WHERE text IS NOT NULL),
+    lines AS (SELECT doc_id, text, site, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM parts),
     spread AS (SELECT line FROM lines WHERE trim(line, ' ') <> '' GROUP BY line HAVING count(DISTINCT site) >= {min_sites}),
     kept AS (
-      SELECT l.doc_id, count(s.line) AS cut,
+      SELECT l.doc_id, l.text, count(s.line) AS cut,
              coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE s.line IS NULL), '') AS rest
-      FROM lines l LEFT JOIN spread s ON l.line = s.line GROUP BY l.doc_id)
+      FROM (SELECT DISTINCT doc_id, text, line, pos FROM lines) l LEFT JOIN spread s ON l.line = s.line GROUP BY l.doc_id, l.text)
     SELECT d.* REPLACE (CASE WHEN d.text IS NULL THEN NULL ELSE k.rest END AS text), coalesce(k.cut, 0)::BIGINT AS lines_removed
-    FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id)"""
+    FROM docs d LEFT JOIN kept k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.text = k.text)"""
 
 
 def digest_sql(min_sites: int = MIN_SITES) -> str:
+    full = "(SELECT doc_id, text, source, len(string_split(coalesce(text, ''), chr(10)))::BIGINT AS n_lines FROM documents)"
     return f"""
-    SELECT c.doc_id, len(string_split(coalesce(o.text, ''), chr(10)))::BIGINT AS n_lines, c.lines_removed AS n_removed,
-           length(coalesce(c.text, ''))::BIGINT AS kept_chars, md5(coalesce(c.text, '')) AS kept_md5
-    FROM {lines_sql("documents", min_sites)} c JOIN documents o ON c.doc_id = o.doc_id"""
+    SELECT doc_id, n_lines, lines_removed AS n_removed, length(coalesce(text, ''))::BIGINT AS kept_chars, md5(coalesce(text, '')) AS kept_md5
+    FROM {lines_sql(full, min_sites)} c"""
