@@ -44,6 +44,9 @@ REACH = 128
 COUNTERS, SLICES = 1 << 20, 16
 #: Bits of the table that tells tasks which ids are wanted; ids that fall on a set bit by chance go at the join.
 WANTED = 1 << 26
+#: Partners of a set in each round of the exact join. A few join whole clumps, so that few pairs of different components are
+#: left for the last round, which takes all.
+ROUNDS = (8, 8, None)
 #: Pairs that a task expands at once.
 PAIRS = 1 << 20
 _MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -290,10 +293,11 @@ def postings(texts: DataFrame, first: DataFrame, similarity: float) -> DataFrame
     return found.join(first.select("digest", F.col("first_id").alias("id")), "digest").select("token", "id", "size", "pos")
 
 
-def crossings(occurrences: DataFrame, roots: DataFrame, similarity: float, every: bool) -> DataFrame:
+def crossings(occurrences: DataFrame, roots: DataFrame, similarity: float, partners_of: int | None) -> DataFrame:
     """(a, b): pairs of different components that share a prefix token and may have the similarity.
 
-    every: all of them; else one pair for neighbouring components of a token.
+    partners_of: for each set of a token the next so many of other components, and as many members of the token's largest
+    component; None: all of them.
     """
 
     def run(batches):
@@ -308,7 +312,16 @@ def crossings(occurrences: DataFrame, roots: DataFrame, similarity: float, every
         new_run = new_token | np.append(True, root[1:] != root[:-1])
         token_end = np.append(np.flatnonzero(new_token)[1:], n)[np.cumsum(new_token) - 1]
         run_end = np.append(np.flatnonzero(new_run)[1:], n)[np.cumsum(new_run) - 1]
-        partners = token_end - run_end if every else (new_run & (run_end < token_end)).astype(np.int64)
+        after = token_end - run_end if partners_of is None else np.minimum(token_end - run_end, partners_of)
+        # the largest run of each token takes in what lies alone
+        run = np.cumsum(new_run) - 1
+        begin = np.flatnonzero(new_run)
+        length = np.diff(np.append(begin, n))
+        of = (np.cumsum(new_token) - 1)[begin]
+        by = np.lexsort((length, of))
+        big = by[np.append(of[by][1:] != of[by][:-1], True)][of][run]
+        into = np.zeros(n, np.int64) if partners_of is None else np.where((run != big) & (length[big] > 1), np.minimum(partners_of, length[big]), 0)
+        partners = after + into
         rows = np.flatnonzero(partners)
         done = np.cumsum(partners[rows])
         lo = 0
@@ -318,7 +331,9 @@ def crossings(occurrences: DataFrame, roots: DataFrame, similarity: float, every
             lo = hi
             many = partners[at]
             i = np.repeat(at, many)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + run_end[i]
+            nth = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+            hub = big[i]
+            j = np.where(nth < after[i], run_end[i] + nth, begin[hub] + (ident[i] % 7919 * 31 + (nth - after[i]) * 104729) % length[hub])
             common = np.minimum(size[i] - pos[i], size[j] - pos[j])  # at most, if this is their first common token
             may = common >= similarity / (1 + similarity) * (size[i] + size[j]) - 1e-6
             may &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6
@@ -381,14 +396,14 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id
     found = cut(verified(pairs, texts, first, similarity))
     occurrences = cut(postings(texts, first, similarity))
     roots = connected_components(found)
-    for every in (False, True):  # a link between neighbours joins whole clumps, so that few pairs are left for the last round
-        pairs = cut(crossings(occurrences, roots, similarity, every))
+    for partners_of in ROUNDS:
+        pairs = cut(crossings(occurrences, roots, similarity, partners_of))
         if pairs.isEmpty():  # no two components share a prefix token
             break
         more = cut(verified(pairs, texts, first, similarity))
         if not more.isEmpty():
             found = cut(found.unionByName(more))
-            roots = connected_components(found) if not every else roots
+            roots = connected_components(found) if partners_of else roots
     return found.unionByName(copies)
 
 
