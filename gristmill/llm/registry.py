@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gristmill.llm import anisotropic, linespread, mil, mtree, nnpu, packing, periods, pfair, simhash, skipchain, suffix
+from gristmill.llm import anisotropic, impacts, linespread, mil, mtree, nnpu, packing, periods, pfair, simhash, skipchain, suffix
 from gristmill.llm.common import table
 
 #: Target weights of op4_pfair; sources not named share the mean of these.
@@ -56,14 +56,22 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impacts.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    operators = (op1_anisotropic, op2_mil, op3_linespread, op4_pfair, op5_skipchain, op6_nnpu, op7_simhash, op8_mtree, op9_packing, op10_suffix, op12_periods)
+    operators = (op1_anisotropic, op2_mil, op3_linespread, op4_pfair, op5_skipchain, op6_nnpu, op7_simhash, op8_mtree, op9_packing, op10_suffix, op11_impacts, op12_periods)
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in operators}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_linespread": linespread.digest_sql(), "op4_pfair": "SELECT doc_id, source, n_chars, block, release, deadline, slot, place FROM " + pfair.mix_sql("documents", TARGETS)}
+    return {
+        "op3_linespread": linespread.digest_sql(),
+        "op4_pfair": "SELECT doc_id, source, n_chars, block, release, deadline, slot, place FROM " + pfair.mix_sql("documents", TARGETS),
+        "op11_impacts": impacts.search_sql(),
+    }
