@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gristmill.llm import anisotropic, impacts, linespread, mil, mtree, nnpu, packing, periods, pfair, simhash, skipchain, suffix
+from gristmill.llm import anisotropic, impacts, linespread, mil, mtree, nnpu, packing, periods, pfair, simhash, skipchain, suffix, telephony
 from gristmill.llm.common import table
 
 #: Target weights of op4_pfair; sources not named share the mean of these.
@@ -64,8 +64,12 @@ def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    operators = (op1_anisotropic, op2_mil, op3_linespread, op4_pfair, op5_skipchain, op6_nnpu, op7_simhash, op8_mtree, op9_packing, op10_suffix, op11_impacts, op12_periods)
+    operators = (op1_anisotropic, op2_mil, op3_linespread, op4_pfair, op5_skipchain, op6_nnpu, op7_simhash, op8_mtree, op9_packing, op10_suffix, op11_impacts, op12_periods, op13_telephony)
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in operators}
 
 
