@@ -225,6 +225,11 @@ def commonness(texts: DataFrame) -> np.ndarray:
     return _added_up(texts.select("text"), count, lambda a, b: (0 if a is None else a) + b.astype(np.int64), COUNTERS // SLICES).ravel()
 
 
+def _place(texts: int) -> str:
+    """The type of a text's number among so many."""
+    return "<u2" if texts <= 1 << 16 else "<u4"
+
+
 def postings(texts: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
     """(token, id, size, pos): the prefix of each set, rare shingles first, without tokens of one set.
 
@@ -257,7 +262,7 @@ def postings(texts: DataFrame, first: DataFrame, similarity: float) -> DataFrame
                 blobs = []
                 for i, j in zip(cut_, np.append(cut_[1:], len(h))[: len(cut_)], strict=True):
                     docs, local = np.unique(of[i:j], return_inverse=True)
-                    blobs.append((j - i, len(docs), h[i:j].tobytes() + digest[docs].tobytes() + sizes[docs].astype("<u4").tobytes() + local.astype("<u2").tobytes() + np.minimum(place[i:j], 65535).astype("<u2").tobytes()))
+                    blobs.append((j - i, len(docs), h[i:j].tobytes() + digest[docs].tobytes() + sizes[docs].astype("<u4").tobytes() + local.astype(_place(len(docs))).tobytes() + np.minimum(place[i:j], 65535).astype("<u2").tobytes()))
                 if blobs:
                     yield pa.RecordBatch.from_arrays([pa.array(target[cut_]), *(pa.array([x[k] for x in blobs], pa.int32()) for k in (0, 1)), pa.array([x[2] for x in blobs], pa.binary())], names=["target", "n", "docs", "payload"])
 
@@ -265,9 +270,9 @@ def postings(texts: DataFrame, first: DataFrame, similarity: float) -> DataFrame
         parts = []
         for b in batches:
             for m, d, blob in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                local = np.frombuffer(blob, "<u2", m, 8 * m + 20 * d)
+                local = np.frombuffer(blob, _place(d), m, 8 * m + 20 * d)
                 digest = np.frombuffer(blob, "<u8", 2 * d, 8 * m).reshape(d, 2)[local]
-                parts.append((np.frombuffer(blob, "<u8", m), digest, np.frombuffer(blob, "<u4", d, 8 * m + 16 * d)[local], np.frombuffer(blob, "<u2", m, 10 * m + 20 * d)))
+                parts.append((np.frombuffer(blob, "<u8", m), digest, np.frombuffer(blob, "<u4", d, 8 * m + 16 * d)[local], np.frombuffer(blob, "<u2", m, 8 * m + 20 * d + local.nbytes)))
         if not parts:
             return
         token, digest, size, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -398,8 +403,8 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id
     roots = connected_components(found)
     for partners_of in ROUNDS:
         pairs = cut(crossings(occurrences, roots, similarity, partners_of))
-        if pairs.isEmpty():  # no two components share a prefix token
-            break
+        if pairs.isEmpty():  # a capped round looks at some partners only: the last one looks at all
+            continue
         more = cut(verified(pairs, texts, first, similarity))
         if not more.isEmpty():
             found = cut(found.unionByName(more))

@@ -185,3 +185,26 @@ def test_components(spark):
 
 def test_free_names():
     assert common.free_name("score", ["a"]) == "score" and common.free_name("score", ["Score", "score_"]) == "score__"
+
+
+def test_links_of_the_last_round_only(spark, monkeypatch):
+    """Rounds that look at some partners may find none where the last one, which looks at all, does."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(200)]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join([*base[:-1], "other"])), (3, " ".join(rng.choice(words) for _ in range(200)))], "doc_id long, text string")
+    plain, asked = neardup.crossings, []
+
+    def crossings(occurrences, roots, similarity, partners_of):
+        asked.append(partners_of)
+        pairs = plain(occurrences, roots, similarity, partners_of)
+        return pairs if partners_of is None else pairs.where("false")
+
+    monkeypatch.setattr(neardup, "proposals", lambda first, plan: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(neardup, "crossings", crossings)
+    assert [tuple(r) for r in neardup.links(docs).collect()] == [(2, 1)]
+    assert asked == list(neardup.ROUNDS)
+
+
+def test_numbers_of_many_texts_in_a_chunk(monkeypatch):
+    assert neardup._place(1 << 16) == "<u2" and neardup._place((1 << 16) + 1) == "<u4"
