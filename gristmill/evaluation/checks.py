@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.operators.score import agreement, kendall_tau_b
-
+from gristmill.operators.ranks import kendall_tau_b
+from gristmill.operators.score import agreement
 
 
 def rank(strength: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
 from gristmill.functions.dialect import SPARK as D
-from gristmill.operators import refine
+from gristmill.operators import ranks, refine
 
 TIERS = ("required", "preferred", "mentioned")
 KEY = "fixture_id"
@@ -131,13 +131,23 @@ def tier_order(expected: DataFrame, matched: DataFrame, predicted: DataFrame) ->
     rank = F.when(F.col("tier") == "required", 2).when(F.col("tier") == "preferred", 1).otherwise(0)
     rows = matched.join(expected.select(KEY, "exp_ord", rank.alias("r")), [KEY, "exp_ord"]).join(predicted.select(KEY, "pred_ord", "importance"), [KEY, "pred_ord"]).select(KEY, "exp_ord", "r", "importance")
     spread = predicted.groupBy(KEY).agg((F.min("importance") < F.max("importance")).alias("differ"))
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col(f"a.{KEY}") == F.col(f"b.{KEY}")) & (F.col("a.r") > F.col("b.r")))
-    right = F.when(F.col("a.importance") > F.col("b.importance"), 1.0).when(F.col("a.importance") == F.col("b.importance"), 0.5).otherwise(0.0)
-    out = pairs.groupBy(F.col(f"a.{KEY}").alias(KEY)).agg(F.avg(right).alias("t_"))
+    out = ranks.tier_order(rows, KEY, "r", "importance").withColumnRenamed("tier_order", "t_")
     return spread.join(out, KEY, "left").select(KEY, F.when(F.col("differ"), F.col("t_")).alias("tier_order"))
 
 
+def group_f1(wanted: DataFrame, got: DataFrame) -> DataFrame:
+    """(fixture_id, group_f1): F1 of the pairs of values that share a group; 0 without a hit, and no row where nothing was grouped.
+
+    wanted, got (fixture_id, grp, value): a value is in one group of a side, as labels and components are. Pairs are counted by the sizes of
+    groups and of their meets, and never made.
+    """
+    both = wanted.select(KEY, "value", F.col("grp").alias("w")).distinct().join(got.select(KEY, "value", F.col("grp").alias("g")).distinct(), [KEY, "value"], "full")
+    pairs = lambda of, name, *by: of.groupBy(KEY, *by).agg(F.count("*").alias("n_")).select(KEY, *[(F.expr("n_ * (n_ - 1) div 2") if n == name else F.lit(0).cast("long")).alias(n) for n in ("want", "got", "hit")])
+    every = pairs(both.where("w IS NOT NULL"), "want", "w").unionByName(pairs(both.where("g IS NOT NULL"), "got", "g")).unionByName(pairs(both.where("w IS NOT NULL AND g IS NOT NULL"), "hit", "w", "g"))
+    sums = every.groupBy(KEY).agg(*[F.sum(n).alias(n) for n in ("want", "got", "hit")])
+    return got.select(KEY).distinct().join(sums, KEY).select(KEY, F.coalesce(F.try_divide(2 * F.col("hit"), F.col("want") + F.col("got")), F.lit(0.0)).alias("group_f1"))
+
+
 def numbered(requirements: DataFrame, key: str = "posting_id") -> DataFrame:
     """Requirements as predictions: (fixture_id, pred_ord, ...)."""
     return requirements.withColumnRenamed(key, KEY).withColumn("pred_ord", F.row_number().over(Window.partitionBy(KEY).orderBy("req_ord")) - 1)

@@ -94,11 +94,11 @@ def golden_requirements(golden: DataFrame, expected: DataFrame) -> tuple[DataFra
 def run_checker(pairs: DataFrame, requirements: DataFrame, groups: DataFrame, context: DataFrame, resumes: DataFrame, link_labels: DataFrame, skip: DataFrame, provider: ask.Provider, tuning: Tuning, settings: Settings | None = None) -> CheckRun:
     """pairs(pair_id, posting_id, resume_id), link_labels(pair_id, value, quote, strength), skip(pair_id, value): coverage scored against labelled links."""
     found = check.check(pairs, requirements, groups, context, resumes, provider, tuning, settings)
-    return score_checks(pairs, found, resumes, link_labels, skip)
+    return score_checks(pairs, found, resumes, link_labels, skip, tuning)
 
 
-def score_checks(pairs: DataFrame, found: check.Coverage, resumes: DataFrame, link_labels: DataFrame, skip: DataFrame) -> CheckRun:
-    """The same for stored coverage, asking nothing."""
+def score_checks(pairs: DataFrame, found: check.Coverage, resumes: DataFrame, link_labels: DataFrame, skip: DataFrame, tuning: Tuning) -> CheckRun:
+    """The same for stored coverage, asking nothing; both Fit Scores take the tuning's weights."""
     named = lambda df: df.join(pairs.select("pair_id", *check.PAIR), list(check.PAIR))
     units = check.evidence_units(resumes).join(pairs.select("pair_id", "resume_id"), "resume_id").select("pair_id", F.col("id").alias("unit_id"), "text")
     wanted = extract.materialised(checks.resolve_quotes(link_labels, units))
@@ -107,7 +107,7 @@ def score_checks(pairs: DataFrame, found: check.Coverage, resumes: DataFrame, li
     rows = extract.materialised(checks.coverage_rows(coverage, wanted, skip))
     scored, tallied = checks.link_scores(links), checks.tallies(rows)
     groups = named(found.groups).select("pair_id", "group_ord", "group_id", F.explode("members").alias("member_id")).withColumnRenamed("pair_id", "pair")
-    fit = lambda c, name: check.score_fit(rows.select(F.col("pair_id").alias("pair"), "req_ord", F.col("id").alias("req_id"), "tier", F.col(c).alias("coverage")), groups).select("pair", F.col("fit").alias(name))
+    fit = lambda c, name: check.score_fit(rows.select(F.col("pair_id").alias("pair"), "req_ord", F.col("id").alias("req_id"), "tier", F.col(c).alias("coverage")), groups, **check.fit_weights(tuning)).select("pair", F.col("fit").alias(name))
     fits = fit("got", "got").join(fit("want", "want"), "pair")
     return CheckRun(links, scored, rows, tallied, checks.confusion(rows), checks.checker_totals(scored, tallied, fits), found)
 

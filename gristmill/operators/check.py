@@ -144,6 +144,11 @@ def _rank(strength: Column) -> Column:
     return F.when(strength == "strong", 3).when(strength == "partial", 2).when(strength == "weak", 1).otherwise(0)
 
 
+def fit_weights(tuning: Tuning) -> dict:
+    """What score_fit takes from a tuning."""
+    return {"credit": tuning["fit_score"]["credit"], "tier_weight": tuning["fit_score"]["tier_weight"]}
+
+
 def build_coverage(pairs: DataFrame, requirements: DataFrame, groups: DataFrame, judged: DataFrame, tuning: Tuning) -> Coverage:
     """The best link of every requirement, evidence strongest first, groups by their best member, and the Fit Score."""
     links = judged.where("linked").withColumn("r", _rank(F.col("strength")))
@@ -156,7 +161,7 @@ def build_coverage(pairs: DataFrame, requirements: DataFrame, groups: DataFrame,
     members = groups.select("posting_id", "group_ord", "group_id", "members", F.explode("members").alias("id")).join(each.select(*PAIR, "id", "coverage"), ["posting_id", "id"])
     sums = members.groupBy(*PAIR, "group_ord", "group_id", "members").agg(F.max_by("coverage", _rank(F.col("coverage"))).alias("coverage"))
     pair = F.struct(*PAIR)
-    fit = score_fit(each.select(pair.alias("pair"), "req_ord", F.col("id").alias("req_id"), "tier", "coverage"), members.select(pair.alias("pair"), "group_ord", "group_id", F.col("id").alias("member_id")), tuning["fit_score"]["credit"] | {"none": 0.0}, tuning["fit_score"]["tier_weight"])
+    fit = score_fit(each.select(pair.alias("pair"), "req_ord", F.col("id").alias("req_id"), "tier", "coverage"), members.select(pair.alias("pair"), "group_ord", "group_id", F.col("id").alias("member_id")), **fit_weights(tuning))
     fit = pairs.select(*PAIR).join(fit.select("pair.*", F.col("fit").alias("score"), "by_tier", "gaps"), list(PAIR), "left")
     units = links.select(*PAIR, "unit.*").dropDuplicates([*PAIR, "id"])
     return Coverage(each, sums, fit, units, judged)

@@ -1,15 +1,19 @@
 """Refinement of accepted values: request batches, alternative components, one-to-one label matching.
 
-All three are sequential inside one posting or fixture and independent between them, so each key's rows become one
-array that a higher-order function folds; a key holds what one posting holds, and nothing crosses keys.
+All three are sequential inside one posting or fixture and independent between them, so each key's rows are folded by one
+task, many keys at a time; a key holds what one posting holds (its rows must fit in a task), and nothing crosses keys.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import lexicon as X
+from gristmill.operators import folds
 
 
 def size_batches(questions: DataFrame, key: str, order: str, size: str, limit: int = X.REFINEMENT_BYTES) -> DataFrame:
@@ -32,25 +36,56 @@ def size_batches(questions: DataFrame, key: str, order: str, size: str, limit: i
 
 
 def components(links: DataFrame, key: str, a: str = "a", b: str = "b") -> DataFrame:
-    """(key, node, component): the smallest node that links inside the key reach, oneself included; links have no direction."""
-    sets = links.groupBy(key).agg(F.collect_set(F.struct(F.col(a).alias("a"), F.col(b).alias("b"))).alias("e"))
-    nodes = sets.withColumn("nodes", F.array_distinct(F.concat(F.transform("e", lambda x: x["a"]), F.transform("e", lambda x: x["b"]))))
+    """(key, node, component): the smallest node that links inside the key reach, oneself included; links have no direction.
 
-    def join(s, x):
-        p, q = s[x["a"]], s[x["b"]]
-        return F.transform_values(s, lambda _, root: F.when((root == p) | (root == q), F.least(p, q)).otherwise(root))
-
-    return nodes.select(key, F.explode(F.aggregate("e", F.map_from_arrays("nodes", "nodes"), join)).alias("node", "component"))
+    Trees of nodes with path halving, the smallest node on top; links with a null end are left out.
+    """
+    kinds = [links.schema[c].dataType.simpleString() for c in (key, a)]
+
+    def fold(table: pa.Table, group: np.ndarray) -> pa.Table:
+        ends = pa.chunked_array([table.column("a").combine_chunks(), table.column("b").combine_chunks()]).combine_chunks().dictionary_encode()
+        by_value = pc.sort_indices(ends.dictionary).to_numpy()
+        place = np.empty(len(by_value), np.int64)
+        place[by_value] = np.arange(len(by_value))
+        of = np.append(group, group) * len(place) + place[ends.indices.to_numpy()]
+        nodes, number = np.unique(of, return_inverse=True)
+        up = list(range(len(nodes)))
+
+        def top(i: int) -> int:
+            while up[i] != i:
+                up[i] = i = up[up[i]]
+            return i
+
+        for i, j in zip(number[: len(group)].tolist(), number[len(group) :].tolist(), strict=True):
+            i, j = top(i), top(j)
+            if i != j:
+                up[max(i, j)] = min(i, j)
+        roots = np.array([top(i) for i in range(len(nodes))], np.int64)
+        named = lambda x: ends.dictionary.take(pa.array(by_value[x % len(place)]))
+        keys = table.column("k").take(pa.array(folds.firsts(group)[nodes // len(place)]))
+        return pa.table({"k": keys, "node": named(nodes), "component": named(nodes[roots])})
+
+    whole = links.select(F.col(key).alias("k"), F.col(a).alias("a"), F.col(b).cast(kinds[1]).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    found = folds.by_key(whole, ["k"], [], f"k {kinds[0]}, node {kinds[1]}, component {kinds[1]}", fold)
+    return found.withColumnRenamed("k", key)
 
 
 def greedy_match(edges: DataFrame, key: str, left: str, right: str, order: list[str]) -> DataFrame:
-    """(key, left, right): edges in the given order, each taken while both its ends are free."""
-    kinds = {c: edges.schema[c].dataType.simpleString() for c in (left, right)}
-    rows = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(left).alias("l"), F.col(right).alias("r"))))
-    none = F.array().cast(f"array<struct<l:{kinds[left]},r:{kinds[right]}>>")
-
-    def take(s, x):
-        return F.when(F.exists(s, lambda y: (y["l"] == x["l"]) | (y["r"] == x["r"])), s).otherwise(F.concat(s, F.array(F.struct(x["l"].alias("l"), x["r"].alias("r")))))
-
-    taken = edges.groupBy(key).agg(rows.alias("rows")).select(key, F.explode(F.aggregate("rows", none, take)).alias("x"))
-    return taken.select(key, F.col("x.l").alias(left), F.col("x.r").alias(right))
+    """(key, left, right): edges in the given order, each taken while both its ends are free; a null is an end like others."""
+    kinds = [edges.schema[c].dataType.simpleString() for c in (key, left, right)]
+
+    def fold(table: pa.Table, group: np.ndarray) -> pa.Table:
+        ends = [table.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for c in ("l", "r")]
+        of = [np.unique(group * (int(e.max(initial=0)) + 1) + e, return_inverse=True)[1].tolist() for e in ends]
+        used = [bytearray(len(e)) for e in of]
+        taken = []
+        for i, (x, y) in enumerate(zip(*of, strict=True)):
+            if not used[0][x] and not used[1][y]:
+                used[0][x] = used[1][y] = 1
+                taken.append(i)
+        return table.select(["k", "l", "r"]).take(pa.array(taken, pa.int64()))
+
+    named = [f"o{i}" for i in range(len(order))]
+    rows = edges.select(F.col(key).alias("k"), *[F.col(c).alias(n) for c, n in zip(order, named, strict=True)], F.col(left).alias("l"), F.col(right).alias("r"))
+    found = folds.by_key(rows, ["k"], [*named, "l", "r"], f"k {kinds[0]}, l {kinds[1]}, r {kinds[2]}", fold)
+    return found.withColumnsRenamed({"k": key, "l": left, "r": right})

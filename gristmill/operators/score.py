@@ -16,16 +16,17 @@ def match_score(role_match: Column, experience_short: Column, blocker: Column, w
 
 
 def _pick(column: str, values: dict[str, float]) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col(column))
+    """The value of a name; what is missing counts 0."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col(column)), F.lit(0.0))
 
 
 def score_fit(coverage: DataFrame, members: DataFrame, credit: dict[str, float] | None = None, tier_weight: dict[str, float] | None = None) -> DataFrame:
     """(pair, fit, by_tier, gaps) of coverage(pair, req_ord, req_id, tier, coverage) and members(pair, group_ord, group_id, member_id).
 
     A group is one item: its best member's coverage and strongest member's tier; a requirement belongs to its
-    first group. Unknown tiers count as mentioned. by_tier: the unweighted credit of each tier that occurs.
+    first group. Unknown tiers count as mentioned, entries missing from the tables as 0. by_tier: the unweighted credit of each tier that occurs.
     """
-    credit, tier_weight = credit or X.CREDIT, tier_weight or X.TIER_WEIGHT
+    credit, tier_weight = X.CREDIT if credit is None else credit, X.TIER_WEIGHT if tier_weight is None else tier_weight
     first = members.groupBy("pair", F.col("member_id").alias("req_id")).agg(F.min_by("group_id", "group_ord").alias("group_id"))
     ranks = {"strong": 3, "partial": 2, "weak": 1, "none": 0}
     tiers = {"required": 2, "preferred": 1, "mentioned": 0}
@@ -34,9 +35,11 @@ def score_fit(coverage: DataFrame, members: DataFrame, credit: dict[str, float]
     items = rows.groupBy("pair", "item").agg(F.max(rank("coverage", ranks)).alias("c"), F.max(rank("tier", tiers)).alias("t"), F.min("req_ord").alias("ord"))
     named = items.withColumn("coverage", F.element_at(F.array(F.lit("none"), F.lit("weak"), F.lit("partial"), F.lit("strong")), F.col("c") + 1)).withColumn("tier", F.element_at(F.array(F.lit("mentioned"), F.lit("preferred"), F.lit("required")), F.col("t") + 1))
     weighted = named.withColumn("w", _pick("tier", tier_weight)).withColumn("credit", _pick("coverage", credit))
+    # nine digits first, so that a half is one whatever the order of the sum
+    whole = lambda share: F.round(F.round(100 * share, 9)).cast("int")
     gap = F.when((F.col("tier") == "required") & (F.col("coverage") == "none"), F.struct("ord", "item"))
-    own = [F.when(F.count(F.when(F.col("tier") == t, 1)) > 0, F.struct(F.lit(t).alias("key"), F.round(100 * F.avg(F.when(F.col("tier") == t, F.col("credit")))).cast("int").alias("value"))) for t in X.TIER_WEIGHT]
-    out = weighted.groupBy("pair").agg(F.round(100 * F.sum(F.col("w") * F.col("credit")) / F.sum("w")).cast("int").alias("fit"), F.map_from_entries(F.filter(F.array(*own), lambda x: x.isNotNull())).alias("by_tier"), F.array_sort(F.collect_list(gap)).alias("g"))
+    own = [F.when(F.count(F.when(F.col("tier") == t, 1)) > 0, F.struct(F.lit(t).alias("key"), whole(F.avg(F.when(F.col("tier") == t, F.col("credit")))).alias("value"))) for t in X.TIER_WEIGHT]
+    out = weighted.groupBy("pair").agg(whole(F.coalesce(F.try_divide(F.sum(F.col("w") * F.col("credit")), F.sum("w")), F.lit(0.0))).alias("fit"), F.map_from_entries(F.filter(F.array(*own), lambda x: x.isNotNull())).alias("by_tier"), F.array_sort(F.collect_list(gap)).alias("g"))
     return out.select("pair", "fit", "by_tier", F.transform("g", lambda x: x["item"]).alias("gaps"))
 
 
@@ -51,15 +54,6 @@ def agreement(scores: DataFrame) -> DataFrame:
     return s.select("n", "bias", "mae", "worst", "within_5", "within_10", F.coalesce(F.try_divide(F.col("sr") - F.col("ms") * F.col("mr"), spread), F.lit(0.0)).alias("pearson"))
 
 
-def kendall_tau_b(scores: DataFrame, group: str = "grp") -> DataFrame:
-    """(group, tau) over scores(group, id, x, y); pairs meet within a group only."""
-    a, b = scores.alias("a"), scores.alias("b")
-    pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.id") < F.col("b.id")))
-    dx, dy = F.signum(F.col("a.x") - F.col("b.x")), F.signum(F.col("a.y") - F.col("b.y"))
-    s = pairs.groupBy(F.col(f"a.{group}").alias(group)).agg(F.sum(dx * dy).alias("c"), F.sum(F.abs(dx)).alias("nx"), F.sum(F.abs(dy)).alias("ny"))
-    return s.select(group, F.coalesce(F.try_divide("c", F.sqrt(F.col("nx") * F.col("ny"))), F.lit(0.0)).alias("tau"))
-
-
 def top_k(answers: DataFrame, unit: str, k: int = X.RETRIEVE_K, floor: float = X.RETRIEVE_FLOOR) -> DataFrame:
     """answers(unit, option, p): the k best options of a unit with p at the floor or above, ties by option."""
     w = Window.partitionBy(unit).orderBy(F.col("p").desc(), "option")

@@ -12,7 +12,7 @@ from gristmill.operators import fitting, refine
 from gristmill.operators import posting as P
 from gristmill.plans.catalog import register
 from gristmill.plans.dual import dual, run, table
-from gristmill.plans.score_queries import R6, answers, phrases, ratings, requirements, signals
+from gristmill.plans.score_queries import R6, answers, ratings, requirements, signals
 from gristmill.plans.text_queries import _headed, _some
 
 
@@ -136,14 +136,6 @@ dual("a3_build_result", lambda d, t: f"SELECT posting, concat('req_', CAST(row_n
 dual("a6_linked_value", lambda d, t: f"SELECT req, max(CASE WHEN rn = 1 THEN opt END) AS linked FROM (SELECT req, opt, p, row_number() OVER (PARTITION BY req ORDER BY p DESC, opt) AS rn FROM {answers(d, t)} a_ WHERE opt <> 'o4') x_ GROUP BY req HAVING sum(p) >= {X.LINK_MASS}", "events")
 
 
-def _duplicate_options(d, t, all_pairs):
-    a = f"(SELECT grp, id, v, {T.trigrams(d, 'v')} AS g, count(*) OVER (PARTITION BY grp) AS n FROM {phrases(d, t)} p_)"
-    return f"SELECT a.grp AS grp, a.id AS a_id, b.id AS b_id FROM {a} a JOIN {a} b ON a.grp = b.grp AND a.id <> b.id WHERE a.n <= {all_pairs} OR {T.similar(d, 'a.v', 'b.v', 'a.g', 'b.g')}"
-
-
-dual("j4_duplicate_options", lambda d, t: _duplicate_options(d, t, 3), "lineitem", "part")
-
-
 def _first_sentence(d, t):
     rows = f"(SELECT doc_id, ord, lower(text) AS s FROM {P.sentences(d, _some(d, t))} q_ WHERE ord > 1)"
     word = lambda w: d.like("s", f"(^|[^\\p{{L}}\\p{{Nd}}]){w}($|[^\\p{{L}}\\p{{Nd}}])")

@@ -1,4 +1,4 @@
-"""Queries whose plain form doesn't grow: percentiles by ranges, resampling without a join, quotes by their words. The plain forms check them."""
+"""Queries whose plain form doesn't grow: percentiles by ranges, headings inside the row. The plain forms check them."""
 
 from __future__ import annotations
 
@@ -12,11 +12,11 @@ from gristmill.operators import candidates as C
 from gristmill.operators import posting as P
 from gristmill.plans.catalog import register
 from gristmill.plans.dual import check_text, checked, run, table
-from gristmill.plans.score_queries import R6, _percentile, _resamples, match, signals
+from gristmill.plans.score_queries import signals
 from gristmill.plans.text_queries import _headed
 
-#: Values of a range, and words of a quote that its documents are looked up by.
-RANGE, QUOTE_WORDS = 1024, 3
+#: Values of a range.
+RANGE = 1024
 
 
 def nearest_ranks(samples: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
@@ -42,52 +42,6 @@ checked(
 )
 
 
-def bootstrap(errors: DataFrame, group: str, order: str, error: str, reps: int = 200) -> DataFrame:
-    """(group, reps, low, high): 2.5 and 97.5 % points of the mean error over resamples of a group's rows, drawn by integer arithmetic in the row."""
-    rows = errors.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, error))), lambda x: x[error]).alias("es"))
-    pick = "es[CAST((rep * 7919 + slot * 104729 + rep * slot * 31 + (rep * rep) % 1009) % size(es) AS INT)]"
-    means = F.expr(f"transform(sequence(1L, {reps}L), rep -> aggregate(transform(sequence(0L, size(es) - 1L), slot -> {pick}), 0L, (a, x) -> a + x) / size(es))")
-    rows = rows.select(group, F.explode(means).alias("mae"))
-    return rows.groupBy(group).agg(F.count("*").alias("reps"), F.round(F.percentile("mae", 0.025), 6).alias("low"), F.round(F.percentile("mae", 0.975), 6).alias("high"))
-
-
-def _m16(spark, sf_dir: str) -> DataFrame:
-    rows = run(spark, lambda t: f"SELECT report, pair, abs(score - reference) AS err FROM {match(SPARK, t)} m_", orders=table(spark, sf_dir, "orders"))
-    return bootstrap(rows, "report", "pair", "err")
-
-
-register(
-    "m16_bootstrap",
-    _m16,
-    check_text(lambda d, t: f"SELECT report, count(*) AS reps, {R6(_percentile(d, 'mae', 0.025))} AS low, {R6(_percentile(d, 'mae', 0.975))} AS high FROM (SELECT report, rep, avg(CAST(err AS DOUBLE)) AS mae FROM {_resamples(d, t, 200)} r_ GROUP BY report, rep) x_ GROUP BY report"),
-)
-
-
-def holders(quotes: DataFrame, texts: DataFrame, quote_id: str, text_id: str, n: int = QUOTE_WORDS) -> DataFrame:
-    """(quote_id, text_id): the texts that contain a quote. quotes(quote_id, text), texts(text_id, text).
-
-    A text that holds a quote holds its inner words, so it is looked up by the first n of them; quotes with fewer are compared with all texts.
-    """
-    words = quotes.select(quote_id, F.col("text").alias("quote"), F.split("text", " ").alias("ws"))
-    long = words.where(F.size("ws") >= n + 2).select(quote_id, "quote", F.expr(f"xxhash64(slice(ws, 2, {n}))").alias("key"))
-    grams = texts.select(text_id, "text", F.split("text", " ").alias("ws")).withColumn("keys", F.expr(f"if(size(ws) >= {n}, array_distinct(transform(sequence(1, size(ws) - {n - 1}), i -> xxhash64(slice(ws, i, {n})))), array())"))
-    # the text joins again after its words have found a quote
-    met = grams.select(text_id, F.explode_outer("keys").alias("key")).join(long, "key").select(text_id, quote_id, "quote")
-    found = met.join(texts, text_id).where(F.contains("text", "quote")).select(quote_id, text_id)
-    short = words.where(F.size("ws") < n + 2)
-    rest = texts.join(short, F.contains(texts["text"], short["quote"])).select(quote_id, text_id)
-    return found.unionByName(rest).distinct()
-
-
-checked(
-    "j10_resolve_quote",
-    lambda quotes, docs: holders(quotes.select("item_id", "text"), docs.select("doc_id", "text"), "item_id", "doc_id").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n = 1").drop("n"),
-    lambda d, t: f"SELECT item_id, min(doc_id) AS doc_id FROM {t('benchmark')} b JOIN {t('documents')} x ON contains(x.text, b.text) GROUP BY item_id HAVING count(*) = 1",
-    "benchmark",
-    "documents",
-)
-
-
 def _headed_docs(spark, sf_dir: str) -> DataFrame:
     return run(spark, lambda t: f"SELECT * FROM {_headed(SPARK, t)}", documents=table(spark, sf_dir, "documents"))
 

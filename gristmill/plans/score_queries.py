@@ -97,11 +97,9 @@ WEIGHT2 = "CASE tier WHEN 'required' THEN 6 WHEN 'preferred' THEN 3 ELSE 2 END"
 R6 = "round({}, 6)".format
 N = "CAST(sum({}) AS BIGINT)".format
 
-dual("m1_match_score", lambda d, t: f"SELECT pair, reference, score FROM {match(d, t)} m_", "orders")
 dual("m2_percent", lambda d, t: f"SELECT s_nationkey, CAST(round(100 * CAST(sum(CASE WHEN s_acctbal > 0 THEN 1 ELSE 0 END) AS DOUBLE) / count(*)) AS BIGINT) AS pct FROM {t('supplier')} GROUP BY s_nationkey", "supplier")
 dual("m3_score_share", lambda d, t: f"SELECT event_id, CAST(event_id % 5 AS DOUBLE) / 4 AS share FROM {t('events')}", "events")
 dual("m4_pearson", lambda d, t: f"SELECT grp, {R6('coalesce(' + d.div('n * sxy - sx * sy', 'nullif(sqrt(n * sxx - sx * sx) * sqrt(n * syy - sy * sy), 0)') + ', 0)')} AS r FROM (SELECT grp, CAST(count(*) AS DOUBLE) AS n, CAST(sum(x) AS DOUBLE) AS sx, CAST(sum(y) AS DOUBLE) AS sy, CAST(sum(x * y) AS DOUBLE) AS sxy, CAST(sum(x * x) AS DOUBLE) AS sxx, CAST(sum(y * y) AS DOUBLE) AS syy FROM {ratings(d, t)} r_ GROUP BY grp) g_", "lineitem")
-dual("m5_kendall_tau_b", lambda d, t: f"SELECT grp, {R6('coalesce(' + d.div('c', 'nullif(sqrt(CAST(n0 - tx AS DOUBLE) * (n0 - ty)), 0)') + ', 0)')} AS tau FROM (SELECT a.grp AS grp, sum(sign(a.x - b.x) * sign(a.y - b.y)) AS c, count(*) AS n0, sum(CASE WHEN a.x = b.x THEN 1 ELSE 0 END) AS tx, sum(CASE WHEN a.y = b.y THEN 1 ELSE 0 END) AS ty FROM {ratings(d, t)} a JOIN {ratings(d, t)} b ON a.grp = b.grp AND a.id < b.id GROUP BY a.grp) g_", "lineitem")
 dual("m7_fuzzy_jaccard", lambda d, t: f"SELECT a_id, b_id, {R6(T.fuzzy_jaccard(d, 'ca', 'cb'))} AS j FROM (SELECT a.item_id AS a_id, b.item_id AS b_id, a.c AS ca, b.c AS cb FROM (SELECT item_id, {T.content(d, 'text')} AS c FROM {t('benchmark')}) a JOIN (SELECT item_id, {T.content(d, 'text')} AS c FROM {t('benchmark')}) b ON b.item_id = a.item_id + 1) p_", "benchmark")
 dual("m9_normal_equations", lambda d, t: f"SELECT resume % 8 AS fold, {R6('sum(a * a)')} AS s_aa, {R6('sum(a * b)')} AS s_ab, {R6('sum(b * b)')} AS s_bb, {R6('sum(a * reference)')} AS s_ay, {R6('sum(b * reference)')} AS s_by, {R6('sum(c * c)')} AS s_cc FROM (SELECT resume, reference, (1 - blocker) AS c, role_match * (1 - blocker) AS a, experience_short * (1 - blocker) AS b FROM {signals(d, t)} s_) f_ GROUP BY resume % 8", "orders")
 dual("m12_feature_products", lambda d, t: f"SELECT pair, round(role_match * experience_short, 9) AS ab, round(role_match * blocker, 9) AS ac FROM {signals(d, t)} s_", "orders")
@@ -116,19 +114,14 @@ dual("a5_decide_strength", lambda d, t: f"SELECT req, CASE WHEN s >= p AND s >=
 dual("a7_canonical_value", lambda d, t: f"SELECT user_id, event_type AS canonical FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) AS rn FROM {t('events')} GROUP BY user_id, event_type) x_ WHERE rn = 1", "events")
 dual("a8_importance", lambda d, t: f"SELECT user_id, max(CAST(event_id % 5 AS DOUBLE) / 4) AS importance FROM {t('events')} GROUP BY user_id", "events")
 dual("a9_coverage", lambda d, t: f"SELECT pair, item, coverage FROM {items(d, t)} i_", "lineitem", "orders")
-dual("a10_score_fit", lambda d, t: f"SELECT pair, CAST(round(10 * {d.div('sum(w * c)', 'sum(w)')}) AS BIGINT) AS fit, {N('gap')} AS gaps FROM (SELECT pair, {WEIGHT2} AS w, {CREDIT10} AS c, CASE WHEN tier = 'required' AND coverage = 'none' THEN 1 ELSE 0 END AS gap FROM {items(d, t)} i_) x_ GROUP BY pair", "lineitem", "orders")
 dual("a10_fit_by_tier", lambda d, t: f"SELECT pair, tier, CAST(round(10 * {d.div('sum(' + CREDIT10 + ')', 'count(*)')}) AS BIGINT) AS fit FROM {items(d, t)} i_ GROUP BY pair, tier", "lineitem", "orders")
 dual("a11_totals_by_tier", lambda d, t: f"SELECT coalesce(tier, 'all') AS tier, count(*) AS n, {N("CASE WHEN coverage <> 'none' THEN 1 ELSE 0 END")} AS covered FROM {items(d, t)} i_ GROUP BY GROUPING SETS ((tier), ())", "lineitem", "orders")
 dual("a12_checker_totals", lambda d, t: f"SELECT {R6('coalesce(' + d.div('sum(hit)', 'sum(got)') + ', 0)')} AS prec, {R6('coalesce(' + d.div('sum(hit)', 'sum(want)') + ', 0)')} AS rec, {N('got')} AS n_got, {N('want')} AS n_want FROM (SELECT CASE WHEN coverage = 'strong' THEN 1 ELSE 0 END AS got, CASE WHEN req % 3 = 0 THEN 1 ELSE 0 END AS want, CASE WHEN coverage = 'strong' AND req % 3 = 0 THEN 1 ELSE 0 END AS hit FROM {requirements(d, t)} r_) x_", "lineitem", "orders")
 dual("a13_baseline_totals", lambda d, t: f"SELECT {N('user_id % 900')} AS tokens, {N('CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 7 END')} AS cost, count(CASE WHEN event_id % 4 = 0 THEN NULL ELSE 1 END) AS known FROM {t('events')}", "events")
 dual("a14_e2e_totals", lambda d, t: f"SELECT {d.idiv('sum(greatest(event_id % 500, user_id % 700))', 'count(*)')} AS mean_ms, {N('CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END')} AS failures FROM {t('events')}", "events")
-dual("a15_agree", lambda d, t: f"SELECT count(*) AS n, {R6('avg(CAST(score - reference AS DOUBLE))')} AS bias, {R6('avg(CAST(abs(score - reference) AS DOUBLE))')} AS mae, max(abs(score - reference)) AS worst, count(CASE WHEN abs(score - reference) <= 5 THEN 1 END) AS within_5, count(CASE WHEN abs(score - reference) <= 10 THEN 1 END) AS within_10 FROM {match(d, t)} m_", "orders")
-dual("a16_tier_order", lambda d, t: f"SELECT a.grp AS grp, {R6('avg(CASE WHEN a.y > b.y THEN CAST(1 AS DOUBLE) WHEN a.y = b.y THEN CAST(0.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)')} AS ordered FROM {ratings(d, t)} a JOIN {ratings(d, t)} b ON a.grp = b.grp AND a.x % 3 > b.x % 3 GROUP BY a.grp", "lineitem")
-dual("a17_group_pairs_f1", lambda d, t: f"SELECT {R6(d.div('2 * sum(CASE WHEN e.a IS NOT NULL AND g.a IS NOT NULL THEN 1 ELSE 0 END)', 'count(e.a) + count(g.a)'))} AS f1 FROM (SELECT DISTINCT x.grp AS grp, least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM {ratings(d, t)} x JOIN {ratings(d, t)} y ON x.grp = y.grp AND x.id <> y.id) e FULL OUTER JOIN (SELECT DISTINCT x.grp AS grp, least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM {ratings(d, t)} x JOIN {ratings(d, t)} y ON x.grp = y.grp AND x.x % 5 = y.x % 5 AND x.id <> y.id) g ON e.grp = g.grp AND e.a = g.a AND e.b = g.b", "lineitem")
 dual("a18_confusion", lambda d, t: f"SELECT tier, coverage, count(*) AS n FROM {requirements(d, t)} r_ GROUP BY tier, coverage", "lineitem", "orders")
 dual("a19_best_strength", lambda d, t: f"SELECT pair, max({RANK}) AS best FROM {requirements(d, t)} r_ GROUP BY pair", "lineitem", "orders")
 dual("a20_ratio", lambda d, t: f"SELECT s_nationkey, {R6('coalesce(' + d.div('sum(CASE WHEN s_acctbal > 5000 THEN 1 ELSE 0 END)', 'sum(CASE WHEN s_acctbal > 0 THEN 1 ELSE 0 END)') + ', 0)')} AS ratio FROM {t('supplier')} GROUP BY s_nationkey", "supplier")
-dual("a22_labels_hash", lambda d, t: f"SELECT substr({d.sha("concat(CAST(count(*) AS STRING), ':', CAST(sum(h1) AS STRING), ':', CAST(sum(h2) AS STRING))")}, 1, 12) AS labels_hash FROM (SELECT {d.hex24('h', 1)} AS h1, {d.hex24('h', 7)} AS h2 FROM (SELECT {d.sha("concat(CAST(doc_id AS STRING), ':', CAST(quality AS STRING), ':', CAST(toxic AS STRING))")} AS h FROM {t('labels')}) x_) y_", "labels")
 dual("a23_judge_median", lambda d, t: f"SELECT user_id, CAST({'median' if d.name == 'duck' else 'median'}(event_id % 101) AS DOUBLE) AS score, {R6('avg(CAST(event_id % 3 AS DOUBLE) / 2)')} AS quote_rate FROM {t('events')} GROUP BY user_id", "events")
 dual("a24_resume_mae", lambda d, t: f"SELECT resume, {R6('avg(CAST(abs(score - reference) AS DOUBLE))')} AS mae FROM {match(d, t)} m_ GROUP BY resume", "orders")
 dual("a25_counts_pivot", lambda d, t: f"SELECT tier, count(CASE WHEN coverage = 'strong' THEN 1 END) AS strong, count(CASE WHEN coverage = 'partial' THEN 1 END) AS partial, count(CASE WHEN coverage = 'weak' THEN 1 END) AS weak, count(CASE WHEN coverage = 'none' THEN 1 END) AS none FROM {items(d, t)} i_ GROUP BY tier", "lineitem", "orders")
@@ -142,7 +135,6 @@ dual("f9_strict_match", lambda d, t: f"SELECT a.grp AS grp, a.id AS a_id, b.id A
 dual("f10_loose_match", lambda d, t: f"SELECT a.grp AS grp, a.id AS a_id, b.id AS b_id FROM (SELECT grp, id, {T.content(d, 'v')} AS c FROM {phrases(d, t)} a_) a JOIN (SELECT grp, id, {T.content(d, 'v')} AS c FROM {phrases(d, t)} b_) b ON a.grp = b.grp AND a.id <> b.id WHERE {T.loose_match(d, 'b.c', 'a.c')}", "lineitem", "part")
 dual("f12_contains_any", lambda d, t: f"SELECT doc_id FROM {t('documents')} WHERE {d.like('lower(text)', '(^|[^a-z0-9])(the|of|and)($|[^a-z0-9+#])')}", "documents")
 dual("f13_contains_word", lambda d, t: f"SELECT doc_id FROM {t('documents')} WHERE {d.like('lower(text)', '(^|[^\\p{L}\\p{Nd}])(est|zur|pour)($|[^\\p{L}\\p{Nd}])')}", "documents")
-dual("f14_similar", lambda d, t: f"SELECT a.grp AS grp, a.id AS a_id, b.id AS b_id FROM (SELECT grp, id, v, {T.trigrams(d, 'v')} AS g FROM {phrases(d, t)} a_) a JOIN (SELECT grp, id, v, {T.trigrams(d, 'v')} AS g FROM {phrases(d, t)} b_) b ON a.grp = b.grp AND a.id < b.id WHERE {T.similar(d, 'a.v', 'b.v', 'a.g', 'b.g')}", "lineitem", "part")
 dual("f15_skip", lambda d, t: f"SELECT o_orderkey FROM {t('orders')} LEFT ANTI JOIN {t('customer')} ON o_custkey = c_custkey AND c_acctbal < 0" if d.name == "spark" else f"SELECT o_orderkey FROM {t('orders')} ANTI JOIN {t('customer')} ON o_custkey = c_custkey AND c_acctbal < 0", "orders", "customer")
 dual("f16_quote_rate", lambda d, t: f"SELECT lang, round(avg(CASE WHEN {'contains' }(text, ' de ') THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 2) AS rate FROM {t('documents')} GROUP BY lang", "documents")
 dual("f17_invalid_answers", lambda d, t: f"SELECT req FROM {answers(d, t)} a_ GROUP BY req HAVING abs(sum(p) - 1) > 0.000001 OR min(p) < 0 OR max(p) > 1", "events")
@@ -168,7 +160,6 @@ dual("w5_blocks", lambda d, t: f"SELECT conv_id, turn, CAST(sum(CASE WHEN role =
 dual("w8_validation_batches", lambda d, t: f"SELECT user_id, event_id, {d.idiv('row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1', str(X.VALIDATION_BATCH))} AS batch FROM {t('events')}", "events")
 dual("w10_section_batches", lambda d, t: f"SELECT conv_id, turn, {d.idiv('turn', str(X.SECTION_BATCH))} AS batch FROM {t('conversations')}", "conversations")
 dual("o1_top_options", lambda d, t: f"SELECT req, opt, CAST(rn AS BIGINT) AS rn FROM (SELECT req, opt, row_number() OVER (PARTITION BY req ORDER BY p DESC, opt) AS rn FROM {answers(d, t)} a_) x_ WHERE rn <= 2", "events")
-dual("o2_retrieve", lambda d, t: f"SELECT unit, req, opt, CAST(rn AS BIGINT) AS rn FROM (SELECT unit, req, opt, row_number() OVER (PARTITION BY unit ORDER BY p DESC, req, opt) AS rn FROM {answers(d, t)} a_ WHERE p >= {X.RETRIEVE_FLOOR} AND k < 4) x_ WHERE rn <= {X.RETRIEVE_K}", "events")
 dual("o3_top_reject", lambda d, t: f"SELECT req, opt FROM (SELECT req, opt, row_number() OVER (PARTITION BY req ORDER BY p DESC, opt) AS rn FROM {answers(d, t)} a_ WHERE opt IN ('o2', 'o3')) x_ WHERE rn = 1", "events")
 dual("o4_evidence_order", lambda d, t: f"SELECT pair, req, CAST(row_number() OVER (PARTITION BY pair ORDER BY {RANK} DESC, req % 7 DESC, req) AS BIGINT) AS ord FROM {requirements(d, t)} r_", "lineitem", "orders")
 dual("o5_group_order", lambda d, t: f"SELECT pair, grp, CAST(row_number() OVER (PARTITION BY pair ORDER BY min(req)) AS BIGINT) AS ord FROM {requirements(d, t)} r_ WHERE grp IS NOT NULL GROUP BY pair, grp", "lineitem", "orders")

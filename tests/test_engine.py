@@ -3,7 +3,7 @@ import pytest
 
 from gristmill.functions import text as T
 from gristmill.functions.dialect import DUCK, SPARK
-from gristmill.operators import posting, resume, score
+from gristmill.operators import posting, ranks, resume, score
 from gristmill.plans import catalog
 from gristmill.streaming.score_stream import score_stream
 
@@ -60,8 +60,12 @@ def test_match_and_fit(spark):
     row = score.score_fit(coverage, members).first()
     assert row.fit == round(100 * (3 * 1 + 0 + 1 * 0.3) / 7) and row.gaps == ["r3"]
     assert score.score_fit(coverage.where("false"), members).count() == 0
+    # a table of credits without an entry counts it as 0, in the tiers too
+    half = spark.createDataFrame([("p", 1, "r1", "required", "strong"), ("p", 2, "r2", "required", "none"), ("q", 1, "r1", "required", "none")], "pair string, req_ord int, req_id string, tier string, coverage string")
+    fits = {r.pair: (r.fit, r.by_tier) for r in score.score_fit(half, members.where("false"), {"strong": 1.0, "partial": 0.6, "weak": 0.3}).collect()}
+    assert fits == {"p": (50, {"required": 50}), "q": (0, {"required": 0})}
     ties = spark.createDataFrame([(1, 1, 1, 1), (1, 2, 1, 2), (1, 3, 2, 3)], "grp int, id int, x int, y int")
-    assert score.kendall_tau_b(ties).first().tau == pytest.approx(2 / 6**0.5)
+    assert ranks.kendall_tau_b(ties).first().tau == pytest.approx(2 / 6**0.5)
 
 
 @pytest.mark.parametrize("name", ["m1_match_score", "a10_score_fit", "o2_retrieve", "t25_normalize", "f15_skip", "w3_carry_forward"])
