@@ -17,6 +17,7 @@ from urllib import error, request
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.operators.failures import materialised
 from gristmill.settings.config import Settings
 
 Provider = Callable[[DataFrame], DataFrame]
@@ -51,14 +52,16 @@ def with_key(requests: DataFrame) -> DataFrame:
 
 
 def replay(stored: DataFrame, missing_fails: bool = True) -> Provider:
-    """Answers from stored(request_key, answers), one copy if there are several; a miss fails the job, or stays null."""
+    """Answers from stored(request_key, answers), one copy if there are several; a miss fails the job, or stays null with its `error`."""
 
     def ask(requests: DataFrame) -> DataFrame:
         one = stored.groupBy("request_key").agg(F.first("answers").alias("answers"), F.lit(True).alias("known_"))
         out = with_key(requests).join(one, "request_key", "left")
+        lost = F.concat(F.lit("no recording of request "), F.substring("request_key", 1, 12), F.lit(": inputs or tuning differ from the recorded run"))
         if missing_fails:
-            lost = F.raise_error(F.concat(F.lit("no recording of request "), F.substring("request_key", 1, 12), F.lit(": inputs or tuning differ from the recorded run"))).cast(f"array<{ANSWER}>")
-            out = out.withColumn("answers", F.when(F.col("known_"), F.col("answers")).otherwise(lost))
+            out = out.withColumn("answers", F.when(F.col("known_"), F.col("answers")).otherwise(F.raise_error(lost).cast(f"array<{ANSWER}>")))
+        else:
+            out = out.withColumn("error", F.when(F.col("known_").isNull(), lost))
         return out.drop("known_")
 
     return ask
@@ -157,7 +160,7 @@ def http(url: str, headers: dict[str, str], concurrency: int, timeout: float = 3
 def provider(spark: SparkSession, settings: Settings) -> Provider:
     """Replay where a recording is named, HTTP with a base URL (recorded where a record is named), else the lexical one."""
     if settings.replay_file:
-        return replay(recording(spark, settings.replay_file))
+        return replay(recording(spark, settings.replay_file), missing_fails=False)
     if not settings.base_url:
         return lexical
     live = http(settings.base_url, {"Authorization": f"Bearer {settings.api_key}"}, settings.max_concurrency, settings.timeout, settings.max_retries)
@@ -179,23 +182,40 @@ def answers(answered: DataFrame, *keys: str) -> DataFrame:
     return each.select(*keys, F.col("q.id").alias("id"), F.col("q.kind").alias("kind"), F.col("q.options").alias("options"), F.get(found, F.lit(0)).alias("answer"))
 
 
-def problems(answered: DataFrame) -> DataFrame:
-    """(request_key, id, problem): answers that are missing, hold numbers out of range, or name what was not offered."""
-    a = F.col("answer")
+def _problem(a: Column, kind: Column, options: Column) -> Column:
+    """What is wrong with an answer to a question of this kind and options, null if nothing is."""
     out_of = lambda p, top: p.isNull() | F.isnan(p) | (p < -TOLERANCE) | (p > top + TOLERANCE)
     is_in = lambda p: out_of(p, F.lit(1.0))
     wrong = F.when(a.isNull(), "missing")
     wrong = wrong.when(a["confidence"].isNotNull() & is_in(a["confidence"]), "confidence out of range")
     wrong = wrong.when(F.exists(F.map_values(a["probs"]), is_in), "probability out of range")
-    wrong = wrong.when((F.col("kind") == "noul") & is_in(a["noul"]), "noul missing or out of range")
-    wrong = wrong.when((F.col("kind") == "score") & out_of(a["score"], F.size("options") - 1), "score missing or out of range")
-    choice = F.col("kind") == "choice"
+    wrong = wrong.when((kind == "noul") & is_in(a["noul"]), "noul missing or out of range")
+    wrong = wrong.when((kind == "score") & out_of(a["score"], F.size(options) - 1), "score missing or out of range")
+    choice = kind == "choice"
     wrong = wrong.when(choice & a["choice"].isNull(), "no choice").when(choice & (F.coalesce(F.size(a["probs"]), F.lit(0)) <= 0), "empty distribution")
-    wrong = wrong.when(choice & ~F.array_contains("options", a["choice"]), "choice is not an option")
-    wrong = wrong.when(choice & (F.size(F.array_except(F.map_keys(a["probs"]), "options")) > 0), "probability of what is not an option")
+    wrong = wrong.when(choice & ~F.array_contains(options, a["choice"]), "choice is not an option")
+    return wrong.when(choice & (F.size(F.array_except(F.map_keys(a["probs"]), options)) > 0), "probability of what is not an option")
+
+
+def problems(answered: DataFrame) -> DataFrame:
+    """(request_key, id, problem): answers that are missing, hold numbers out of range, or name what was not offered."""
+    wrong = _problem(F.col("answer"), F.col("kind"), F.col("options"))
     return answers(answered, "request_key").select("request_key", "id", wrong.alias("problem")).where("problem IS NOT NULL")
 
 
+def asked(provider: Provider, requests: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., answers, wrong), written: a provider's answers, each request asked once.
+
+    wrong: the provider's error, or the first answer that `problems` would name.
+    """
+    out = provider(requests)
+    failed = F.col("error").cast("string") if "error" in out.columns else F.lit(None).cast("string")
+    of = lambda q: F.get(F.filter("answers", lambda a: a["id"] == q["id"]), F.lit(0))
+    named = lambda q: F.concat(q["id"], F.lit(": "), _problem(of(q), q["kind"], q["options"]))
+    first = F.get(F.filter(F.transform("questions", named), lambda x: x.isNotNull()), F.lit(0))
+    return materialised(out.select(*keep, "answers", F.coalesce(failed, first).alias("wrong")))
+
+
 def p(probs: Column, option) -> Column:
     """The probability of an option; an absent one counts as 0."""
     return F.coalesce(F.try_element_at(probs, option if isinstance(option, Column) else F.lit(option)), F.lit(0.0))

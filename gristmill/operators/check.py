@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.dialect import SPARK as D
 from gristmill.operators import ask, resume
-from gristmill.operators.extract import answer_of, materialised
+from gristmill.operators.extract import answer_of
+from gristmill.operators.failures import Failures, materialised, settled
 from gristmill.operators.prompts import NONE, Prompts
 from gristmill.operators.score import match_score, score_fit
 from gristmill.plans.dual import run
@@ -56,41 +57,46 @@ def _ranked(probs: Column, options: Column, n: int, floor: float) -> Column:
     return F.transform(F.slice(F.filter(F.array_sort(rows), lambda x: -x["p"] >= floor), 1, n), lambda x: x["o"])
 
 
-def retrieve(units: DataFrame, provider: ask.Provider, prompts: Prompts, settings: Settings) -> DataFrame:
-    """units(pair..., unit, options, contexts) with `retrieved`: the options that a unit may support.
+def retrieve(units: DataFrame, offers: DataFrame, provider: ask.Provider, prompts: Prompts, settings: Settings, failures: Failures | None = None) -> DataFrame:
+    """units(pair..., unit) with `retrieved`: the options of its posting that a unit may support.
 
-    Each round but the last offers only the likeliest of the round before; one option left ends it; the last keeps retrieval_k at the floor or above.
+    offers(posting_id, options, contexts): a posting's options once, with the sentence of each or null. A unit carries the places of what it is still
+    offered, and meets the options of its posting only to be asked. Each round but the last offers only the likeliest of the round before; one
+    option left ends it; the last keeps retrieval_k at the floor or above.
     """
-    rows, done = units.withColumn("offered", F.col("options")), None
-    keep = [c for c in units.columns]
+    rows, done = units.withColumn("places", F.lit(None).cast("array<int>")), None
+    keep = list(units.columns)
     for size in (*settings.narrow_sizes, 0):
-        question = prompts.retrieval_question(F.lit("retrieval"), F.col("offered"), F.map_filter("contexts", lambda k, v: v.isNotNull()))
-        answered = materialised(provider(rows.withColumn("state", _state(F.col("unit"))).withColumn("questions", F.array(question))).select(*keep, "offered", "answers"))
-        answered = answered.withColumn("a", answer_of(F.lit("retrieval")))
+        offered = F.when(F.col("places").isNull(), F.col("options")).otherwise(F.transform("places", lambda i: F.get("options", i)))
+        asked = rows.join(offers, "posting_id").withColumn("offered", offered)
+        question = prompts.retrieval_question(F.lit("retrieval"), F.col("offered"), F.map_filter("contexts", lambda k, v: v.isNotNull() & F.array_contains("offered", k)))
+        requests = asked.withColumn("state", _state(F.col("unit"))).withColumn("questions", F.array(question)).drop("options", "contexts")
+        answered = ask.asked(provider, requests, *keep, "places", "offered").withColumn("a", answer_of(F.lit("retrieval")))
         fine = (F.col("a.choice") == NONE) | F.array_contains("offered", F.col("a.choice"))
-        probs = F.when(F.coalesce(fine, F.lit(False)), F.col("a.probs")).otherwise(F.raise_error(F.lit("retrieval: the answer is not an option")).cast("map<string,double>"))
-        answered = answered.withColumn("probs", probs)
+        wrong = F.when(~F.coalesce(fine, F.lit(False)), F.lit("retrieval: the answer is not an option"))
+        answered = settled(answered, F.coalesce(wrong, F.col("wrong")), "retrieval", failures).withColumn("probs", F.col("a.probs"))
         if not size:
             last = answered.withColumn("retrieved", _ranked(F.col("probs"), F.col("offered"), settings.retrieval_k, settings.retrieval_floor)).select(*keep, "retrieved")
             return last if done is None else done.unionByName(last)
         answered = answered.withColumn("next", _ranked(F.col("probs"), F.col("offered"), size, 0.0))
         ended = answered.where(F.size("next") <= 1).withColumn("retrieved", _ranked(F.col("probs"), F.col("offered"), 1, settings.retrieval_floor)).select(*keep, "retrieved")
         done = ended if done is None else done.unionByName(ended)
-        rows = answered.where(F.size("next") > 1).select(*keep, F.col("next").alias("offered"))
+        at = lambda o: (F.array_position("offered", o) - 1).cast("int")
+        rows = answered.where(F.size("next") > 1).select(*keep, F.transform("next", lambda o: F.when(F.col("places").isNull(), at(o)).otherwise(F.get("places", at(o)))).alias("places"))
     raise AssertionError("the last round returns")
 
 
-def _ask_pairs(rows: DataFrame, provider: ask.Provider, name: str, build) -> DataFrame:
+def _ask_pairs(rows: DataFrame, provider: ask.Provider, name: str, build, failures: Failures | None) -> DataFrame:
     """(pair..., unit_id, k, answer): one request a unit with a question for each of its rows (k, unit, value, context)."""
     packed = rows.groupBy(*PAIR, F.col("unit.id").alias("unit_id")).agg(F.first("unit").alias("unit"), F.array_sort(F.collect_list(F.struct("k", "value", "context"))).alias("items"))
     named = lambda x: F.concat(F.lit(f"{name}_"), x["k"].cast("string"))
     requests = packed.withColumn("state", _state(F.col("unit"))).withColumn("questions", F.transform("items", lambda x: build(named(x), x["value"], x["context"])))
-    answered = materialised(provider(requests).select(*PAIR, "unit_id", "items", "answers"))
+    answered = settled(ask.asked(provider, requests, *PAIR, "unit_id", "items"), F.col("wrong"), name, failures)
     each = answered.select(*PAIR, "unit_id", "answers", F.explode("items").alias("x"))
     return each.select(*PAIR, "unit_id", "x.k", answer_of(named(F.col("x"))).alias("answer"))
 
 
-def judge_strength(pairs: DataFrame, provider: ask.Provider, prompts: Prompts, settings: Settings) -> DataFrame:
+def judge_strength(pairs: DataFrame, provider: ask.Provider, prompts: Prompts, settings: Settings, failures: Failures | None = None) -> DataFrame:
     """pairs(pair..., unit, k, id, value, context) with gate, mass, strength, linked, capped and reason.
 
     The gate decides where there is one; units that only list things are capped at weak, and where the settings say so
@@ -99,20 +105,22 @@ def judge_strength(pairs: DataFrame, provider: ask.Provider, prompts: Prompts, s
     keys = [*PAIR, "unit_id", "k"]
     rows = pairs.withColumn("unit_id", F.col("unit.id")).withColumn("is_capped", F.col("unit.section").isin(*CAPPED))
     gated = settings.gate_threshold > 0
-    rows = rows.join(_ask_pairs(pairs, provider, "gate", prompts.gate_question).withColumnRenamed("answer", "gate_answer"), keys, "left") if gated else rows.withColumn("gate_answer", F.lit(None).cast(ask.ANSWER))
-    gate = F.when(F.col("gate_answer.noul").isNotNull(), F.col("gate_answer.noul")).otherwise(F.raise_error(F.concat(F.lit("no gate answer for "), F.col("value"))).cast("double")) if gated else F.lit(None).cast("double")
-    rows = materialised(rows.withColumn("gate", gate).drop("gate_answer"))
+    if gated:  # pairs that failed there have no answers, and go
+        rows = rows.join(_ask_pairs(pairs, provider, "gate", prompts.gate_question, failures), keys)
+        rows = materialised(rows.withColumn("gate", F.col("answer.noul")).drop("answer"))
+    else:
+        rows = rows.withColumn("gate", F.lit(None).cast("double"))
     graded = F.lit(True)
     if gated and settings.skip_capped_grading:
         graded = graded & ~F.col("is_capped")
     if gated and settings.gate_first:
         graded = graded & (F.col("gate") >= settings.gate_threshold)
-    said = _ask_pairs(rows.where(graded).select(*PAIR, "unit", "k", "value", "context"), provider, "req", prompts.strength_question)
+    said = _ask_pairs(rows.where(graded).select(*PAIR, "unit", "k", "value", "context"), provider, "req", prompts.strength_question, failures)
     rows = rows.join(said, keys, "left")
-    probs, known = F.col("answer.probs"), F.col("answer").isNotNull()
-    fine = F.col("answer.choice").isin(*prompts.strengths)
-    probs = F.when(~known | F.coalesce(fine, F.lit(False)), probs).otherwise(F.raise_error(F.concat(F.lit("not a strength for "), F.col("value"))).cast("map<string,double>"))
-    rows = rows.withColumn("probs", probs).withColumn("graded", known)
+    rows = failures.without(rows) if failures else rows
+    known = F.col("answer").isNotNull()
+    wrong = F.when(known & ~F.coalesce(F.col("answer.choice").isin(*prompts.strengths), F.lit(False)), F.concat(F.lit("not a strength for "), F.col("value")))
+    rows = settled(rows, wrong, "strength", failures).withColumn("probs", F.col("answer.probs")).withColumn("graded", known)
     grades = F.array(*[F.lit(g) for g in GRADES])
     best = F.coalesce(ask.argmax(F.col("probs"), grades), F.lit("strong"))
     rows = rows.withColumn("mass", F.when(F.col("graded"), ask.mass(F.col("probs"), grades)).otherwise(F.col("gate") if gated else F.lit(0.0)))
@@ -138,6 +146,8 @@ class Coverage:
     units: DataFrame
     #: (posting_id, resume_id, unit_id, id, strength, p, gate, linked, capped, reason): every judged pair
     judged: DataFrame
+    #: (posting_id, resume_id, stage, error, rows): pairs that were lost on the way, none in a strict run
+    failures: DataFrame | None = None
 
 
 def _rank(strength: Column) -> Column:
@@ -167,20 +177,33 @@ def build_coverage(pairs: DataFrame, requirements: DataFrame, groups: DataFrame,
     return Coverage(each, sums, fit, units, judged)
 
 
-def check(pairs: DataFrame, requirements: DataFrame, groups: DataFrame, context: DataFrame, resumes: DataFrame, provider: ask.Provider, tuning: Tuning, settings: Settings | None = None) -> Coverage:
-    """pairs(posting_id, resume_id): every resume's evidence units against every requirement of the posting."""
+def retrieval_space(asked: DataFrame) -> DataFrame:
+    """(posting_id, options, contexts): the options of check_requirements in order, and the sentence of each, null where there is none."""
+    offers = asked.groupBy("posting_id").agg(F.array_sort(F.collect_list(F.struct("req_ord", "option", "context"))).alias("o"))
+    return offers.select("posting_id", F.transform("o", lambda x: x["option"]).alias("options"), F.map_from_entries(F.transform("o", lambda x: F.struct(x["option"], F.when(x["context"] != "", x["context"])))).alias("contexts"))
+
+
+def check(pairs: DataFrame, requirements: DataFrame, groups: DataFrame, context: DataFrame, resumes: DataFrame, provider: ask.Provider, tuning: Tuning, settings: Settings | None = None, strict: bool = True) -> Coverage:
+    """pairs(posting_id, resume_id): every resume's evidence units against every requirement of the posting.
+
+    strict: a wrong answer fails the job; else it loses its pair, and `failures` says why.
+    """
     settings, prompts = settings or Settings(), Prompts(tuning)
+    failures = None if strict else Failures(*PAIR)
     if settings.skip_mentioned:
         requirements, groups = without_mentioned(requirements, groups)
     asked = materialised(check_requirements(requirements, context))
-    offers = asked.groupBy("posting_id").agg(F.array_sort(F.collect_list(F.struct("req_ord", "option", "context"))).alias("o"))
-    offers = offers.select("posting_id", F.transform("o", lambda x: x["option"]).alias("options"), F.map_from_entries(F.transform("o", lambda x: F.struct(x["option"], F.when(x["context"] != "", x["context"])))).alias("contexts"))
+    offers = materialised(retrieval_space(asked))
     units = evidence_units(resumes).select("resume_id", F.struct("ord", "id", "text", "section", "role", "company", "dates").alias("unit"))
-    rows = pairs.select(*PAIR).join(units, "resume_id").join(offers, "posting_id")
-    found = materialised(retrieve(rows, provider, prompts, settings))
+    rows = pairs.select(*PAIR).join(units, "resume_id").join(offers.select("posting_id"), "posting_id", "left_semi").select(*PAIR, "unit")
+    found = materialised(retrieve(rows, offers, provider, prompts, settings, failures))
     each = found.select(*PAIR, "unit", F.posexplode("retrieved").alias("k", "option")).join(asked.select("posting_id", "id", "value", "option", "context"), ["posting_id", "option"])
-    judged = materialised(judge_strength(each.select(*PAIR, "unit", "k", "id", "value", "context"), provider, prompts, settings))
-    return build_coverage(pairs, requirements, groups, judged, tuning)
+    judged = materialised(judge_strength(each.select(*PAIR, "unit", "k", "id", "value", "context"), provider, prompts, settings, failures))
+    if failures:
+        pairs, judged = failures.without(pairs), failures.without(judged)
+    out = build_coverage(pairs, requirements, groups, judged, tuning)
+    out.failures = failures.table(pairs.sparkSession) if failures else None
+    return out
 
 
 def coverage_json(c: Coverage, model: str = "") -> DataFrame:
@@ -196,17 +219,24 @@ def coverage_json(c: Coverage, model: str = "") -> DataFrame:
     return rows.select(*PAIR, F.to_json(body, {"ignoreNullFields": "false"}).alias("coverage"))
 
 
-def holistic(pairs: DataFrame, provider: ask.Provider, tuning: Tuning) -> DataFrame:
+def holistic(pairs: DataFrame, provider: ask.Provider, tuning: Tuning, strict: bool = True) -> DataFrame:
     """(pair columns..., role_match, experience_short, blocker, match_score): three questions over each whole pair.
 
-    pairs: any columns with posting (as the extractor reads it) and resume texts. A missing answer fails the job.
+    pairs: any columns with posting (as the extractor reads it) and resume texts. A missing answer fails the job; if not strict, its pair has no
+    score and says why in `error`.
     """
     prompts = Prompts(tuning)
     keys = [c for c in pairs.columns if c not in ("posting", "resume")]
     requests = pairs.select(*keys, F.to_json(F.struct(F.col("posting").alias("job_posting"), "resume")).alias("state"), prompts.holistic_questions().alias("questions"))
-    answered = materialised(provider(requests).select(*keys, "answers"))
-    must = lambda id, field: F.when(answer_of(F.lit(id))[field].isNotNull(), answer_of(F.lit(id))[field]).otherwise(F.raise_error(F.lit(f"{id}: no {field} answer")).cast("double"))
-    rows = answered.select(*keys, (must("role_match", "score") / (len(prompts.role_match["levels"]) - 1)).alias("role_match"), must("experience_short", "noul").alias("experience_short"), must("blocker", "noul").alias("blocker"))
+    answered = ask.asked(provider, requests, *keys)
+    parts = [("role_match", "score"), ("experience_short", "noul"), ("blocker", "noul")]
+    said = {id: answer_of(F.lit(id))[field] for id, field in parts}
+    none = F.coalesce(*[F.when(said[id].isNull(), F.lit(f"{id}: no {field} answer")) for id, field in parts])
+    wrong = F.coalesce(none, F.col("wrong"))
+    rows = settled(answered, wrong, "holistic", None) if strict else answered.withColumn("error", wrong)
+    kept = lambda c: c if strict else F.when(F.col("error").isNull(), c)
+    scale = {"role_match": len(prompts.role_match["levels"]) - 1}
+    rows = rows.select(*keys, *[kept(said[id] / scale.get(id, 1)).alias(id) for id, _ in parts], *([] if strict else ["error"]))
     weights = tuple(tuning["match_score"][k] for k in ("intercept", "role_match", "experience_short"))
     return rows.withColumn("match_score", match_score(F.col("role_match"), F.col("experience_short"), F.col("blocker"), weights))
 
@@ -214,6 +244,6 @@ def holistic(pairs: DataFrame, provider: ask.Provider, tuning: Tuning) -> DataFr
 def match_json(scored: DataFrame, tuning: Tuning, model: str = "") -> DataFrame:
     """The keys of scored with `match`: schema version 1 as JSON text."""
     signals = ("role_match", "experience_short", "blocker")
-    keys = [c for c in scored.columns if c not in (*signals, "match_score")]
+    keys = [c for c in scored.columns if c not in (*signals, "match_score", "error")]
     body = F.struct(F.lit("1").alias("schema_version"), F.lit(model).alias("model"), F.lit(tuning.hash).alias("tuning"), "match_score", F.struct(*signals).alias("signals"))
     return scored.select(*keys, F.to_json(body).alias("match"))

@@ -1,7 +1,7 @@
 """Postings to requirements: sections, candidates, validation, refinement, result.
 
-Every round builds requests, asks a provider once and decides by plain expressions; what a provider said is materialised, so nothing is
-asked twice. Postings run side by side: a key holds what one posting holds.
+Every round builds requests, asks a provider once and decides by plain expressions; what a provider said is written, so nothing is
+asked twice. Postings run side by side: a key holds what one posting holds. With a table of failures a wrong answer loses its posting alone.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from gristmill.functions import text as T
 from gristmill.functions.dialect import SPARK as D
 from gristmill.operators import ask, refine
 from gristmill.operators import candidates as C
+from gristmill.operators.failures import Failures, materialised, settled
 from gristmill.operators.prompts import KEEP, Prompts
 from gristmill.settings.config import Settings
 from gristmill.settings.tuning import SECTIONS, Tuning
@@ -26,13 +27,6 @@ KEEP_MASS, MERGE_MASS, ALTERNATIVE_MASS = X.KEEP_MASS, X.LINK_MASS, X.LINK_MASS
 Generator = Callable[[DataFrame], DataFrame]
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder where one is set, which outlives executors; else kept in memory and on disk."""
-    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    return df.persist()
-
-
 def prepared(postings: DataFrame) -> DataFrame:
     """(posting_id, title, text): the title is the first line that says something; below a full-description marker only that is read."""
     return postings.select("posting_id", F.expr(T.title(D, "text")).alias("title"), F.expr(T.posting_text(D, "text")).alias("text"))
@@ -42,21 +36,18 @@ def answer_of(id: Column) -> Column:
     return F.get(F.filter("answers", lambda a: a["id"] == id), F.lit(0))
 
 
-def _must(found: Column, ok: Column, *message: Column) -> Column:
-    """found where ok, else the job fails with the message."""
-    return F.when(ok, found).otherwise(F.raise_error(F.concat(*message)).cast("string"))
-
-
-def label_sections(postings: DataFrame, provider: ask.Provider, prompts: Prompts, batch: int = X.SECTION_BATCH) -> DataFrame:
+def label_sections(postings: DataFrame, provider: ask.Provider, prompts: Prompts, batch: int = X.SECTION_BATCH, failures: Failures | None = None) -> DataFrame:
     """(posting_id, ord, ref, text, heading, strong, section, confidence): a choice for every sentence, `batch` a request."""
     said = C.not_empty(C.with_sentences(postings).select("posting_id", "title", F.col("text").alias("posting"), "sentences"), "sentences")
     parts = said.withColumn("batch", F.explode(F.expr(f"sequence(0, (size(sentences) - 1) div {batch})"))).withColumn("part", F.expr(f"slice(sentences, CAST(batch AS INT) * {batch} + 1, {batch})"))
     name = lambda s: F.concat(F.lit("section_"), (s["ord"] - 1).cast("string"))
     requests = parts.select("posting_id", "batch", "part", F.to_json(F.struct(F.col("title").alias("job_title"), F.col("posting").alias("job_posting"))).alias("state"), F.transform("part", lambda s: prompts.section_question(name(s), s["text"], s["heading"])).alias("questions"))
-    answered = materialised(provider(requests).select("posting_id", "part", "answers"))
-    each = answered.select("posting_id", "answers", F.explode("part").alias("s")).withColumn("a", answer_of(name(F.col("s"))))
-    section = _must(F.col("a.choice"), F.coalesce(F.col("a.choice").isin(*SECTIONS), F.lit(False)), F.lit("sentence "), F.col("s.ref"), F.lit(": unknown section "), F.coalesce(F.col("a.choice"), F.lit("none")))
-    return each.select("posting_id", "s.*", section.alias("section"), F.col("a.confidence").alias("confidence"))
+    answered = ask.asked(provider, requests, "posting_id", "part")
+    each = answered.select("posting_id", "answers", "wrong", F.explode("part").alias("s")).withColumn("a", answer_of(name(F.col("s"))))
+    unknown = F.concat(F.lit("sentence "), F.col("s.ref"), F.lit(": unknown section "), F.coalesce(F.col("a.choice"), F.lit("none")))
+    wrong = F.when(~F.coalesce(F.col("a.choice").isin(*SECTIONS), F.lit(False)), unknown)
+    good = settled(each, F.coalesce(wrong, F.col("wrong")), "sections", failures)
+    return good.select("posting_id", "s.*", F.col("a.choice").alias("section"), F.col("a.confidence").alias("confidence"))
 
 
 def job_summary(postings: DataFrame, labelled: DataFrame, generator: Generator | None = None) -> DataFrame:
@@ -85,7 +76,7 @@ def generate_candidates(labelled: DataFrame, longest: int = X.MAX_WINDOW, skip_r
     return found.withColumnRenamed("text", "chunk").select("posting_id", "ord", "ref", "section", "sentence", "chunk_no", "chunk", "options")
 
 
-def validation_round(chunks: DataFrame, summaries: DataFrame, provider: ask.Provider, prompts: Prompts, least: float = X.REQUIREMENT_MASS, batch: int = X.VALIDATION_BATCH) -> DataFrame:
+def validation_round(chunks: DataFrame, summaries: DataFrame, provider: ask.Provider, prompts: Prompts, least: float = X.REQUIREMENT_MASS, batch: int = X.VALIDATION_BATCH, failures: Failures | None = None) -> DataFrame:
     """(posting_id, ord, ref, section, sentence, chunk_no, chunk, options, mass, best, best_p, selected, reason, parts): a choice for every chunk.
 
     A chunk is accepted where its options together hold `least`; parts are the names that its best option stands for.
@@ -96,12 +87,13 @@ def validation_round(chunks: DataFrame, summaries: DataFrame, provider: ask.Prov
     name = lambda x: F.concat(F.lit("chunk_"), (x["n"] % batch).cast("string"))
     state = F.to_json(F.struct(F.col("summary").alias("job_summary"), "section", "sentence"))
     requests = packed.join(summaries.select("posting_id", "summary"), "posting_id").withColumn("state", state).withColumn("questions", F.transform("items", lambda x: prompts.validation_question(name(x), x["chunk"], x["options"])))
-    answered = materialised(provider(requests.drop("summary")).select("posting_id", "ord", "ref", "section", "sentence", "items", "answers"))
-    each = answered.select("posting_id", "ord", "ref", "section", "sentence", "answers", F.explode("items").alias("x")).withColumn("a", answer_of(name(F.col("x"))))
+    answered = ask.asked(provider, requests.drop("summary"), "posting_id", "ord", "ref", "section", "sentence", "items")
+    each = answered.select("posting_id", "ord", "ref", "section", "sentence", "answers", "wrong", F.explode("items").alias("x")).withColumn("a", answer_of(name(F.col("x"))))
     probs, options, rejects = F.col("a.probs"), F.col("x.options"), F.array(*[F.lit(r) for r in sorted(prompts.validation["reject_options"])])
     offered = F.array_contains(F.concat(options, rejects), F.col("a.choice")) & F.map_contains_key(probs, F.col("a.choice"))
-    choice = _must(F.col("a.choice"), F.coalesce(offered, F.lit(False)), F.lit("chunk "), F.col("x.chunk"), F.lit(": the answer is not an option"))
-    out = each.select("posting_id", "ord", "ref", "section", "sentence", "x.chunk_no", "x.chunk", "x.options", choice.alias("choice"), ask.mass(probs, options).alias("mass"), ask.argmax(probs, options).alias("best"), probs.alias("probs"))
+    wrong = F.when(~F.coalesce(offered, F.lit(False)), F.concat(F.lit("chunk "), F.col("x.chunk"), F.lit(": the answer is not an option")))
+    each = settled(each, F.coalesce(wrong, F.col("wrong")), "validation", failures)
+    out = each.select("posting_id", "ord", "ref", "section", "sentence", "x.chunk_no", "x.chunk", "x.options", F.col("a.choice").alias("choice"), ask.mass(probs, options).alias("mass"), ask.argmax(probs, options).alias("best"), probs.alias("probs"))
     out = out.withColumn("best_p", ask.p(F.col("probs"), F.col("best"))).withColumn("ok", (F.col("mass") >= least) & F.col("best").isNotNull())
     single = ~F.col("best").rlike("[ \t]") & F.col("best").contains("/") & F.forall(F.split("best", "/"), lambda s: (F.length(s) >= 3) & s.rlike("\\p{L}"))
     parts = F.when(F.col("ok"), F.when(single, F.split("best", "/")).otherwise(F.array("best")))
@@ -151,7 +143,7 @@ def refinement_questions(values: DataFrame, prompts: Prompts, skip_importance: b
     return flat.select("posting_id", F.col("question.id").alias("id"), "question")
 
 
-def classify_batched(questions: DataFrame, states: DataFrame, provider: ask.Provider, limit: int = X.REFINEMENT_BYTES) -> DataFrame:
+def classify_batched(questions: DataFrame, states: DataFrame, provider: ask.Provider, limit: int = X.REFINEMENT_BYTES, failures: Failures | None = None) -> DataFrame:
     """(posting_id, id, options, answer): requests whose questions together stay under `limit` characters; answers of all batches.
 
     states: (posting_id, state).
@@ -160,7 +152,8 @@ def classify_batched(questions: DataFrame, states: DataFrame, provider: ask.Prov
     dealt = sized.drop("size").join(refine.size_batches(sized, "posting_id", "id", "size", limit), ["posting_id", "id"])
     packed = dealt.groupBy("posting_id", "batch").agg(F.array_sort(F.collect_list(F.struct("id", "question"))).alias("q"))
     requests = packed.join(states, "posting_id").select("posting_id", "batch", "state", F.transform("q", lambda x: x["question"]).alias("questions"))
-    return materialised(ask.answers(provider(requests).select("posting_id", "questions", "answers"), "posting_id")).drop("kind")
+    answered = settled(ask.asked(provider, requests, "posting_id", "questions"), F.col("wrong"), "refinement", failures)
+    return ask.answers(answered, "posting_id").drop("kind")
 
 
 def _linked(answer: str, options: str, reasons: list[str], least: float) -> Column:
@@ -178,10 +171,10 @@ class Refined:
     groups: DataFrame
 
 
-def refinement_round(values: DataFrame, summaries: DataFrame, provider: ask.Provider, prompts: Prompts, skip_importance: bool = False) -> Refined:
+def refinement_round(values: DataFrame, summaries: DataFrame, provider: ask.Provider, prompts: Prompts, skip_importance: bool = False, failures: Failures | None = None) -> Refined:
     """Drops filler, merges values that name each other as duplicates, groups alternatives, and weighs importance."""
     states = summaries.select("posting_id", F.to_json(F.struct(F.col("title").alias("job_title"), F.col("summary").alias("job_summary"))).alias("state"))
-    said = classify_batched(refinement_questions(values, prompts, skip_importance), states, provider)
+    said = classify_batched(refinement_questions(values, prompts, skip_importance), states, provider, failures=failures)
     parts = F.split("id", "_(?=[0-9]+$)")
     said = said.withColumn("what", parts[0]).withColumn("i", parts[1].cast("int"))
     of = lambda k, c: F.first(F.when(F.col("what") == k, F.col(c)), ignorenulls=True).alias(f"{k}_{c}")
@@ -191,7 +184,7 @@ def refinement_round(values: DataFrame, summaries: DataFrame, provider: ask.Prov
     keep_p, probs = ask.p(F.col("filler_answer.probs"), KEEP), F.col("filler_answer.probs")
     top = F.array_max(F.array(*[ask.p(probs, r) for r in reasons]))
     rows = values.join(wide, ["posting_id", "i"])
-    score = F.lit(0.0) if skip_importance else F.when(F.col("importance_answer.score").isNotNull(), F.col("importance_answer.score") / (levels - 1)).otherwise(F.raise_error(F.concat(F.lit("no importance of "), F.col("value"))).cast("double"))
+    score = F.lit(0.0) if skip_importance else F.col("importance_answer.score") / (levels - 1)
     rows = rows.select(
         "posting_id", "i", "value", F.size("mentions").alias("mentions_n"), (keep_p >= KEEP_MASS).alias("keep"), keep_p.alias("keep_p"),
         F.when(keep_p < KEEP_MASS, F.coalesce(*[F.when(ask.p(probs, r) == top, r) for r in reasons])).alias("filler"),
@@ -230,6 +223,8 @@ class Extraction:
     validated: DataFrame
     refined: Refined | None = None
     title_drops: DataFrame | None = None
+    #: (posting_id, stage, error, rows): postings that were lost on the way, none in a strict run
+    failures: DataFrame | None = None
 
 
 def build_result(found: DataFrame, values: DataFrame, refined: Refined, labelled: DataFrame) -> Extraction:
@@ -251,19 +246,23 @@ def build_result(found: DataFrame, values: DataFrame, refined: Refined, labelled
     return Extraction(reqs.drop("canonical"), groups, context, labelled, rows)
 
 
-def extract(postings: DataFrame, provider: ask.Provider, tuning: Tuning, settings: Settings | None = None, generator: Generator | None = None) -> Extraction:
-    """All seven stages over postings(posting_id, text)."""
+def extract(postings: DataFrame, provider: ask.Provider, tuning: Tuning, settings: Settings | None = None, generator: Generator | None = None, strict: bool = True) -> Extraction:
+    """All seven stages over postings(posting_id, text). strict: a wrong answer fails the job; else it loses its posting, and `failures` says why."""
     settings, prompts = settings or Settings(), Prompts(tuning)
+    failures = None if strict else Failures("posting_id")
     docs = prepared(postings)
-    labelled = label_sections(docs, provider, prompts, settings.section_batch)
+    labelled = label_sections(docs, provider, prompts, settings.section_batch, failures)
     summaries = materialised(job_summary(docs, labelled, generator))
     chunks = generate_candidates(labelled, settings.max_window_words, settings.skip_responsibilities)
-    validated = validation_round(chunks, summaries, provider, prompts, settings.requirement_mass)
+    validated = validation_round(chunks, summaries, provider, prompts, settings.requirement_mass, failures=failures)
     found, drops = without_titles(accepted(validated), docs)
     values = materialised(unique_values(found))
-    refined = refinement_round(values, summaries, provider, prompts, settings.skip_importance)
+    refined = refinement_round(values, summaries, provider, prompts, settings.skip_importance, failures)
+    if failures:  # what a stage gave before a later one lost the posting
+        found, labelled, validated, drops = (failures.without(df) for df in (found, labelled, validated, drops))
     out = build_result(found, values, refined, labelled)
     out.validated, out.refined, out.title_drops = validated, refined, drops
+    out.failures = failures.table(postings.sparkSession) if failures else None
     return out
 
 

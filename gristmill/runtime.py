@@ -8,7 +8,9 @@ import logging
 import sys
 import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import FIRST_EXCEPTION, CancelledError, ThreadPoolExecutor, wait
 from contextlib import contextmanager
 from pathlib import Path
 from typing import TextIO
@@ -109,6 +111,39 @@ def deadline(spark: SparkSession, seconds: float) -> Iterator[None]:
         context.removeJobTag(group)
 
 
+def together(spark: SparkSession, *tasks: Callable[[], object], most: int = 8) -> list:
+    """What the tasks return, run side by side, at most so many at a time.
+
+    The first error cancels the jobs of its siblings, tasks that haven't begun don't begin, and the error is raised once all have stopped.
+    """
+    context, tag = spark.sparkContext, f"together-{uuid.uuid4().hex}"
+    inherited, failed = context.getJobTags(), threading.Event()
+
+    def run(task):
+        if failed.is_set():
+            raise CancelledError("a sibling failed")
+        for t in (*inherited, tag):
+            context.addJobTag(t)
+        try:
+            return task()
+        except BaseException:
+            failed.set()
+            raise
+        finally:
+            context.clearJobTags()
+
+    with ThreadPoolExecutor(max(1, most)) as pool:
+        futures = [pool.submit(run, t) for t in tasks]
+        done, rest = wait(futures, return_when=FIRST_EXCEPTION)
+        first = next((f.exception() for f in futures if f in done and f.exception()), None)
+        while first and rest:  # a job that a sibling starts meanwhile is cancelled too
+            context.cancelJobsWithTag(tag)
+            _, rest = wait(rest, timeout=0.2)
+    if first:
+        raise first
+    return [f.result() for f in futures]
+
+
 class _Json(logging.Formatter):
     _OWN = frozenset(vars(logging.makeLogRecord({}))) | {"message", "asctime"}
 

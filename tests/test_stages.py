@@ -97,7 +97,8 @@ def test_narrowing_and_options(spark):
     rows = {r.id: (r.option, r.context) for r in check.check_requirements(reqs, context).collect()}
     assert rows == {"req_1": ("Go", "short"), "req_2": ("go (req_2)", "a longer sentence"), "req_3": ("None (req_3)", "")}
     options = [f"o{i:02}" for i in range(30)]
-    unit = spark.createDataFrame([("p", "r", (1, "e1", "o05 o07 stand here", "experience", "", "", ""), options, dict.fromkeys(options, ""))], "posting_id string, resume_id string, unit struct<ord:long,id:string,text:string,section:string,role:string,company:string,dates:string>, options array<string>, contexts map<string,string>")
+    unit = spark.createDataFrame([("p", "r", (1, "e1", "o05 o07 stand here", "experience", "", "", ""))], "posting_id string, resume_id string, unit struct<ord:long,id:string,text:string,section:string,role:string,company:string,dates:string>")
+    offers = spark.createDataFrame([("p", options, dict.fromkeys(options, ""))], "posting_id string, options array<string>, contexts map<string,string>")
     asked = []
 
     def provider(requests):
@@ -106,10 +107,13 @@ def test_narrowing_and_options(spark):
 
     from gristmill.operators.prompts import Prompts
 
-    got = check.retrieve(unit, provider, Prompts(tuning.load()), Settings()).first().retrieved
+    got = check.retrieve(unit, offers, provider, Prompts(tuning.load()), Settings()).first().retrieved
     assert got[:2] == ["o05", "o07"] and len(got) == 8 and [n[0].n for n in asked] == [31, 17]
-    alone = unit.withColumn("options", F.slice("options", 6, 1))
-    assert check.retrieve(alone, ask.lexical, Prompts(tuning.load()), Settings()).first().retrieved == ["o05"]
+    alone = offers.withColumn("options", F.slice("options", 6, 1))
+    assert check.retrieve(unit, alone, ask.lexical, Prompts(tuning.load()), Settings()).first().retrieved == ["o05"]
+    # a round's places point into the posting's options, and the next round's into the same
+    twice = check.retrieve(unit, offers, ask.lexical, Prompts(tuning.load()), Settings(narrow_sizes=(20, 4), retrieval_k=3)).first().retrieved
+    assert twice == ["o05", "o07", "o00"]
 
 
 def test_holistic(spark):
@@ -144,5 +148,59 @@ def test_summaries_and_unknown_sections(spark):
         extract.label_sections(docs, wrong, Prompts(tuning.load())).collect()
 
 
+def _poisoned(provider, word, change):
+    """The provider, but requests with the word have their answers changed."""
+
+    def ask_(requests):
+        out = provider(requests)
+        return out.withColumn("answers", F.when(F.col("state").contains(word), change(F.col("answers"))).otherwise(F.col("answers")))
+
+    return ask_
+
+
+NOWHERE = lambda answers: F.transform(answers, lambda a: a.withField("choice", F.when(a["choice"].isNotNull(), F.lit("nowhere"))).withField("score", F.when(a["score"].isNotNull(), F.lit(99.0))))
+
+
+def test_one_poisoned_answer_loses_one_posting(spark):
+    rows = [(f"p{i:03}", f"Title {i}\n# Requirements\n- Python and SQL required" + ("\nzyzzyva" if i == 42 else "")) for i in range(100)]
+    postings = spark.createDataFrame(rows, "posting_id string, text string")
+    e = extract.extract(postings, _poisoned(scripted, "zyzzyva", NOWHERE), tuning.load(), strict=False)
+    assert {r.posting_id for r in e.requirements.collect()} == {p for p, _ in rows} - {"p042"}
+    (lost,) = e.failures.collect()
+    assert (lost.posting_id, lost.stage) == ("p042", "sections") and "unknown section nowhere" in lost.error
+    results = {r.posting_id for r in extract.result_json(e).collect()}
+    assert len(results) == 99 and "p042" not in results
+    with pytest.raises(Exception, match="unknown section nowhere"):
+        extract.extract(postings, _poisoned(scripted, "zyzzyva", NOWHERE), tuning.load()).requirements.collect()
+
+
+@pytest.mark.parametrize("id, stage", [("section_", "sections"), ("chunk_", "validation"), ("importance_", "refinement")])
+def test_every_stage_of_extraction_notes_its_failures(spark, id, stage):
+    postings = spark.createDataFrame([("bad", POSTING), ("good", POSTING.replace("Senior", "Junior"))], "posting_id string, text string")
+    wrong = lambda answers: F.when(F.exists(answers, lambda a: a["id"].startswith(id)), NOWHERE(answers)).otherwise(answers)
+    e = extract.extract(postings, _poisoned(scripted, "Senior Data", wrong), tuning.load(), strict=False)
+    assert [(r.posting_id, r.stage) for r in e.failures.collect()] == [("bad", stage)]
+    assert {r.posting_id for r in e.requirements.collect()} == {r.posting_id for r in e.labelled.collect()} == {"good"}
+
+
+@pytest.mark.parametrize("id, stage", [("retrieval", "retrieval"), ("gate_", "gate"), ("req_", "req")])
+def test_every_stage_of_checking_notes_its_failures(spark, extraction, id, stage):
+    resumes = spark.createDataFrame([("bad", RESUME.replace("Ann", "Zyzzy")), ("good", RESUME)], "resume_id string, text string").withColumn("text", F.when(F.col("resume_id") == "bad", F.concat("text", F.lit("- zyzzyva Python\n"))).otherwise(F.col("text")))
+    pairs = spark.createDataFrame([("p1", "bad"), ("p1", "good")], "posting_id string, resume_id string")
+    wrong = lambda answers: F.when(F.exists(answers, lambda a: a["id"].startswith(id)), F.transform(NOWHERE(answers), lambda a: a.withField("noul", F.when(a["noul"].isNotNull(), F.lit(7.0))))).otherwise(answers)
+    only = lambda df: df.where("posting_id = 'p1'")
+    c = check.check(pairs, only(extraction.requirements), only(extraction.groups), only(extraction.context), resumes, _poisoned(scripted, "zyzzyva", wrong), tuning.load(), Settings(skip_capped_grading=False, gate_first=False), strict=False)
+    assert [(r.resume_id, r.stage) for r in c.failures.collect()] == [("bad", stage)]
+    assert {r.resume_id for r in c.fit.collect()} == {r.resume_id for r in c.requirements.collect()} == {"good"}
+    assert {r.resume_id for r in check.coverage_json(c).collect()} == {"good"}
+
+
+def test_holistic_errors_stay_in_the_row(spark):
+    pairs = spark.createDataFrame([("a", POSTING, RESUME), ("b", POSTING, RESUME + "zyzzyva")], "pair_id string, posting string, resume string")
+    rows = {r.pair_id: r for r in check.holistic(pairs, _poisoned(ask.lexical, "zyzzyva", lambda a: F.filter(a, lambda x: x["id"] != "blocker")), tuning.load(), strict=False).collect()}
+    assert rows["a"].error is None and rows["a"].match_score is not None
+    assert rows["b"].error == "blocker: no noul answer" and rows["b"].match_score is None
+
+
 def test_keep_is_fixed():
     assert KEEP == "specific_requirement"
