@@ -233,19 +233,19 @@ def complete(url: str, key: str, model: str, timeout: float) -> Callable[[str, s
     return ask_one
 
 
-def generated(rows: DataFrame, key: str, system: str, prompt: str, settings: Settings) -> DataFrame:
-    """(key, said, input_tokens, output_tokens, cost, seconds, error): a completion for every row's prompt, `generator_concurrency` at a time.
+def generated(rows: DataFrame, key: str, system: str, prompt: str, settings: Settings, runs: int = 1) -> DataFrame:
+    """(key, run, said, input_tokens, output_tokens, cost, seconds, error): completions for every row's prompt, `generator_concurrency` at a time.
 
-    Failures stay in the row. Equal prompts are asked once.
+    Failures stay in the row. Equal prompts are asked once a run; runs count from 0.
     """
     send = complete(settings.generator_url, settings.generator_key, settings.generator_model, settings.generator_timeout)
 
     def batches(frames):
         for frame in frames:
             out = [send(system, p) for p in frame["prompt"]]
-            yield frame[["prompt"]].assign(said=[o["text"] or None for o in out], **{k: [o[k] for o in out] for k in ("input_tokens", "output_tokens", "cost", "seconds", "error")})
+            yield frame[["prompt", "run"]].assign(said=[o["text"] or None for o in out], **{k: [o[k] for o in out] for k in ("input_tokens", "output_tokens", "cost", "seconds", "error")})
 
-    asked = rows.select(key, F.col(prompt).alias("prompt"))
-    once = asked.select("prompt").distinct().repartition(settings.generator_concurrency)
-    said = once.mapInPandas(batches, "prompt string, said string, input_tokens long, output_tokens long, cost double, seconds double, error string")
-    return asked.join(said, "prompt", "left").drop("prompt")
+    asked = rows.select(key, F.col(prompt).alias("prompt"), F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
+    once = asked.select("prompt", "run").distinct().repartition(settings.generator_concurrency)
+    said = once.mapInPandas(batches, "prompt string, run int, said string, input_tokens long, output_tokens long, cost double, seconds double, error string")
+    return asked.join(said, ["prompt", "run"], "left").drop("prompt")

@@ -1,4 +1,4 @@
-"""Text of PDF resumes: a small reader for plain files, in Python workers, with bounds on pages, depth and size.
+"""Text of PDF resumes: a small reader for plain files, in a child process of each task, with bounds on time, memory, pages, depth and size.
 
 It reads uncompressed and Flate-compressed objects and streams, classic and stream cross references alike (objects are found by
 scanning), page trees with cycles, and text shown with Tj, TJ, ' and ". Glyphs go through a font's ToUnicode map where it has one, else
@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import lexicon as X
+from gristmill.sources.guarded import SECONDS, Child, ChildError, ItemError
 
 _OBJECT = re.compile(rb"(?<![0-9])([0-9]+)[ \r\n\t]+[0-9]+[ \r\n\t]+obj\b")
 _REF = re.compile(rb"([0-9]+)\s+[0-9]+\s+R\b")
@@ -202,22 +205,28 @@ def normalise(text: Column) -> Column:
     return F.array_join(F.aggregate(lines, start, step)["out"], "\n")
 
 
-def read_pdfs(spark: SparkSession, path: str, id_name: str = "resume_id") -> DataFrame:
-    """(id, text, error): each .pdf whole; the error says why there is no text."""
+def read_pdfs(spark: SparkSession, path: str, id_name: str = "resume_id", seconds: float = SECONDS, reader: Callable[[bytes], str] = text_of) -> DataFrame:
+    """(id, text, error): each .pdf whole; the error says why there is no text.
+
+    Files are read in a child process of the task, which has `seconds` for each: one that loops, or takes the memory, loses its own row.
+    """
+    work = cloudpickle.dumps(reader)
 
     def run(batches):
         import pandas as pd
 
-        for b in batches:
-            texts, errors = [], []
-            for raw in b["content"]:
-                try:
-                    texts.append(text_of(raw) if raw is not None else None)
-                    errors.append(None if raw is not None else "too large")
-                except PdfError as e:
-                    texts.append(None)
-                    errors.append(str(e))
-            yield pd.DataFrame({"path": b["path"], "raw": texts, "error": errors})
+        with Child(work, seconds) as child:
+            for b in batches:
+                texts, errors = [], []
+                for raw in b["content"]:
+                    try:
+                        texts.append(child(raw) if raw is not None else None)
+                        errors.append(None if raw is not None else "too large")
+                    except (ItemError, ChildError) as e:
+                        texts.append(None)
+                        known = isinstance(e, ChildError) or e.kind == "PdfError"
+                        errors.append(str(e) if known else f"the reader failed: {e.kind}")
+                yield pd.DataFrame({"path": b["path"], "raw": texts, "error": errors})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
     some = files.select("path", F.when(F.col("length") <= X.PDF_BYTES, F.col("content")).alias("content"))
