@@ -13,17 +13,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder, so that a lost executor asks nothing again.
-
-    The folder is the session's own or the one named in spark.checkpoint.dir; where none is named, a temporary one on a single machine, an error on a cluster.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors reach: the session's checkpoint folder, or the one named in spark.checkpoint.dir; where none is
+    named, a temporary one on a single machine, an error on a cluster."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share: answers are written there")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gristmill-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """Written to the shared folder, so that a lost executor asks nothing again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

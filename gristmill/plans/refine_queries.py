@@ -151,7 +151,6 @@ dual("f18_is_option", lambda d, t: f"SELECT req, opt, {d.has(d.words('o1', 'o2',
 dual("s26_probe_pairs", lambda d, t: f"SELECT 'subset' AS pool, doc_id FROM {t('documents')} WHERE doc_id IN (SELECT doc_id FROM {t('labels')}) UNION ALL SELECT 'final', item_id FROM {t('benchmark')}", "documents", "labels", "benchmark")
 dual("s25_probe_means", lambda d, t: f"SELECT user_id, event_type, {R6('avg(CAST(event_id % 5 AS DOUBLE) / 4)')} AS share FROM {t('events')} GROUP BY user_id, event_type", "events")
 dual("t10_entry_headers", lambda d, t: f"SELECT doc_id, line_no, {d.at('bits', '1')} AS role, {d.at('bits', '2')} AS company, {d.at('bits', '3')} AS dates FROM (SELECT doc_id, line_no, {d.map(d.split('body', '|'), 'ep', 'trim(ep)')} AS bits FROM {P.headed_lines(d, _headed(d, t))} h_ WHERE {d.like('mk', '^##')}) b_", "documents")
-dual("e8_tier_of", lambda d, t: f"SELECT pair, req, coalesce(CASE WHEN coverage = 'none' THEN NULL ELSE tier END, max(tier) OVER (PARTITION BY pair), '') AS tier FROM {requirements(d, t)} r_", "lineitem", "orders")
 dual("e5_score_check", lambda d, t: f"SELECT pair, count(*) AS n, count(CASE WHEN g = w THEN 1 END) AS exact, count(CASE WHEN abs(g - w) <= 1 THEN 1 END) AS near, CAST(sum(g) AS BIGINT) AS got, CAST(sum(w) AS BIGINT) AS want FROM (SELECT pair, CASE coverage WHEN 'strong' THEN 3 WHEN 'partial' THEN 2 WHEN 'weak' THEN 1 ELSE 0 END AS g, req * 31 % 4 AS w FROM {requirements(d, t)} r_) x_ GROUP BY pair", "lineitem", "orders")
 dual("k7_metric_table", lambda d, t: f"SELECT ord, concat('| ', tier, ' | ', CAST(n AS STRING), ' | ', CAST(CAST(round(100 * CAST(hit AS DOUBLE) / n) AS BIGINT) AS STRING), '% |') AS line FROM (SELECT CASE tier WHEN 'required' THEN 1 WHEN 'preferred' THEN 2 ELSE 3 END AS ord, tier, count(*) AS n, sum(CASE WHEN coverage <> 'none' THEN 1 ELSE 0 END) AS hit FROM {requirements(d, t)} r_ GROUP BY tier) x_", "lineitem", "orders")
 dual("k10_notes", lambda d, t: f"SELECT pair, {d.ordered(chr(39).join(['concat(', '- ', ', CAST(req AS STRING), ', ': ', ', coverage)']), 'req', chr(10))} AS notes FROM (SELECT pair, req, min(coverage) AS coverage FROM {requirements(d, t)} r_ WHERE coverage IN ('none', 'weak') GROUP BY pair, req) y_ GROUP BY pair", "lineitem", "orders")

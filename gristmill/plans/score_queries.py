@@ -115,14 +115,7 @@ dual("a7_canonical_value", lambda d, t: f"SELECT user_id, event_type AS canonica
 dual("a8_importance", lambda d, t: f"SELECT user_id, max(CAST(event_id % 5 AS DOUBLE) / 4) AS importance FROM {t('events')} GROUP BY user_id", "events")
 dual("a9_coverage", lambda d, t: f"SELECT pair, item, coverage FROM {items(d, t)} i_", "lineitem", "orders")
 dual("a10_fit_by_tier", lambda d, t: f"SELECT pair, tier, CAST(round(10 * {d.div('sum(' + CREDIT10 + ')', 'count(*)')}) AS BIGINT) AS fit FROM {items(d, t)} i_ GROUP BY pair, tier", "lineitem", "orders")
-dual("a11_totals_by_tier", lambda d, t: f"SELECT coalesce(tier, 'all') AS tier, count(*) AS n, {N("CASE WHEN coverage <> 'none' THEN 1 ELSE 0 END")} AS covered FROM {items(d, t)} i_ GROUP BY GROUPING SETS ((tier), ())", "lineitem", "orders")
-dual("a12_checker_totals", lambda d, t: f"SELECT {R6('coalesce(' + d.div('sum(hit)', 'sum(got)') + ', 0)')} AS prec, {R6('coalesce(' + d.div('sum(hit)', 'sum(want)') + ', 0)')} AS rec, {N('got')} AS n_got, {N('want')} AS n_want FROM (SELECT CASE WHEN coverage = 'strong' THEN 1 ELSE 0 END AS got, CASE WHEN req % 3 = 0 THEN 1 ELSE 0 END AS want, CASE WHEN coverage = 'strong' AND req % 3 = 0 THEN 1 ELSE 0 END AS hit FROM {requirements(d, t)} r_) x_", "lineitem", "orders")
-dual("a13_baseline_totals", lambda d, t: f"SELECT {N('user_id % 900')} AS tokens, {N('CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 7 END')} AS cost, count(CASE WHEN event_id % 4 = 0 THEN NULL ELSE 1 END) AS known FROM {t('events')}", "events")
-dual("a14_e2e_totals", lambda d, t: f"SELECT {d.idiv('sum(greatest(event_id % 500, user_id % 700))', 'count(*)')} AS mean_ms, {N('CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END')} AS failures FROM {t('events')}", "events")
-dual("a18_confusion", lambda d, t: f"SELECT tier, coverage, count(*) AS n FROM {requirements(d, t)} r_ GROUP BY tier, coverage", "lineitem", "orders")
-dual("a19_best_strength", lambda d, t: f"SELECT pair, max({RANK}) AS best FROM {requirements(d, t)} r_ GROUP BY pair", "lineitem", "orders")
 dual("a20_ratio", lambda d, t: f"SELECT s_nationkey, {R6('coalesce(' + d.div('sum(CASE WHEN s_acctbal > 5000 THEN 1 ELSE 0 END)', 'sum(CASE WHEN s_acctbal > 0 THEN 1 ELSE 0 END)') + ', 0)')} AS ratio FROM {t('supplier')} GROUP BY s_nationkey", "supplier")
-dual("a23_judge_median", lambda d, t: f"SELECT user_id, CAST({'median' if d.name == 'duck' else 'median'}(event_id % 101) AS DOUBLE) AS score, {R6('avg(CAST(event_id % 3 AS DOUBLE) / 2)')} AS quote_rate FROM {t('events')} GROUP BY user_id", "events")
 dual("a24_resume_mae", lambda d, t: f"SELECT resume, {R6('avg(CAST(abs(score - reference) AS DOUBLE))')} AS mae FROM {match(d, t)} m_ GROUP BY resume", "orders")
 dual("a25_counts_pivot", lambda d, t: f"SELECT tier, count(CASE WHEN coverage = 'strong' THEN 1 END) AS strong, count(CASE WHEN coverage = 'partial' THEN 1 END) AS partial, count(CASE WHEN coverage = 'weak' THEN 1 END) AS weak, count(CASE WHEN coverage = 'none' THEN 1 END) AS none FROM {items(d, t)} i_ GROUP BY tier", "lineitem", "orders")
 dual("a26_noise", lambda d, t: f"SELECT s_nationkey, CAST(median(s_suppkey % 37) AS DOUBLE) AS med, max(s_suppkey % 37) - min(s_suppkey % 37) AS spread FROM {t('supplier')} GROUP BY s_nationkey", "supplier")
@@ -135,9 +128,6 @@ dual("f9_strict_match", lambda d, t: f"SELECT a.grp AS grp, a.id AS a_id, b.id A
 dual("f10_loose_match", lambda d, t: f"SELECT a.grp AS grp, a.id AS a_id, b.id AS b_id FROM (SELECT grp, id, {T.content(d, 'v')} AS c FROM {phrases(d, t)} a_) a JOIN (SELECT grp, id, {T.content(d, 'v')} AS c FROM {phrases(d, t)} b_) b ON a.grp = b.grp AND a.id <> b.id WHERE {T.loose_match(d, 'b.c', 'a.c')}", "lineitem", "part")
 dual("f12_contains_any", lambda d, t: f"SELECT doc_id FROM {t('documents')} WHERE {d.like('lower(text)', '(^|[^a-z0-9])(the|of|and)($|[^a-z0-9+#])')}", "documents")
 dual("f13_contains_word", lambda d, t: f"SELECT doc_id FROM {t('documents')} WHERE {d.like('lower(text)', '(^|[^\\p{L}\\p{Nd}])(est|zur|pour)($|[^\\p{L}\\p{Nd}])')}", "documents")
-dual("f15_skip", lambda d, t: f"SELECT o_orderkey FROM {t('orders')} LEFT ANTI JOIN {t('customer')} ON o_custkey = c_custkey AND c_acctbal < 0" if d.name == "spark" else f"SELECT o_orderkey FROM {t('orders')} ANTI JOIN {t('customer')} ON o_custkey = c_custkey AND c_acctbal < 0", "orders", "customer")
-dual("f16_quote_rate", lambda d, t: f"SELECT lang, round(avg(CASE WHEN {'contains' }(text, ' de ') THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 2) AS rate FROM {t('documents')} GROUP BY lang", "documents")
-dual("f17_invalid_answers", lambda d, t: f"SELECT req FROM {answers(d, t)} a_ GROUP BY req HAVING abs(sum(p) - 1) > 0.000001 OR min(p) < 0 OR max(p) > 1", "events")
 dual("f19_capped_units", lambda d, t: f"SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'weak' ELSE 'strong' END AS strength FROM {t('events')}", "events")
 dual("j1_chunk_sentence", lambda d, t: f"SELECT l_orderkey, l_linenumber, o_orderpriority FROM {t('lineitem')} JOIN {t('orders')} ON l_orderkey = o_orderkey", "lineitem", "orders")
 dual("j2_mentions", lambda d, t: f"SELECT DISTINCT conv_id, role FROM {t('conversations')}", "conversations")
@@ -147,11 +137,8 @@ dual("j6_shortest_context", lambda d, t: f"SELECT conv_id, text FROM (SELECT con
 dual("j7_unit_requirement", lambda d, t: f"SELECT a.grp AS pair, a.id AS unit, b.id AS req FROM {ratings(d, t)} a JOIN {ratings(d, t)} b ON a.grp = b.grp", "lineitem")
 dual("j8_linked_units", lambda d, t: f"SELECT c_custkey FROM {t('customer')} WHERE c_custkey IN (SELECT o_custkey FROM {t('orders')})", "customer", "orders")
 dual("j9_first_group", lambda d, t: f"SELECT pair, req, min(grp) AS grp FROM {requirements(d, t)} r_ GROUP BY pair, req", "lineitem", "orders")
-dual("j12_want_got", lambda d, t: f"SELECT coalesce(w.k, g.k) AS k, CASE WHEN w.k IS NULL THEN 'false' WHEN g.k IS NULL THEN 'missed' ELSE 'correct' END AS link FROM (SELECT o_orderkey AS k FROM {t('orders')} WHERE o_orderstatus = 'F') w FULL OUTER JOIN (SELECT o_orderkey AS k FROM {t('orders')} WHERE o_totalprice > 100000) g ON w.k = g.k", "orders")
 dual("j14_pairs_current", lambda d, t: f"SELECT o.o_orderkey AS pair, c.c_acctbal AS reference FROM {t('orders')} o LEFT JOIN (SELECT * FROM {t('customer')} WHERE c_acctbal > 0) c ON o.o_custkey = c.c_custkey", "orders", "customer")
 dual("j15_replay", lambda d, t: f"SELECT a.event_id AS event_id, b.score AS score FROM (SELECT event_id, {d.sha('concat(event_type, CAST(event_id AS STRING))')} AS request FROM {t('events')}) a LEFT JOIN (SELECT {d.sha('concat(event_type, CAST(event_id AS STRING))')} AS request, event_id % 5 AS score FROM {t('events')} WHERE event_type <> 'error') b ON a.request = b.request", "events")
-dual("j18_retrieval_recall", lambda d, t: f"SELECT {R6(d.div('sum(CASE WHEN r.opt IS NOT NULL THEN 1 ELSE 0 END)', 'count(*)'))} AS recall FROM (SELECT DISTINCT req FROM {answers(d, t)} a_) w LEFT JOIN (SELECT req, opt FROM {answers(d, t)} b_ WHERE k = 1 AND p >= 0.25) r ON w.req = r.req", "events")
-dual("j19_common_ids", lambda d, t: f"SELECT d.doc_id AS doc_id, l.quality AS quality FROM {t('documents')} d JOIN {t('labels')} l ON d.doc_id = l.doc_id", "documents", "labels")
 dual("j20_gap_values", lambda d, t: f"SELECT pair, {d.ordered('CAST(req AS STRING)', 'req', ' / ')} AS gaps FROM {requirements(d, t)} r_ WHERE tier = 'required' AND coverage = 'none' GROUP BY pair", "lineitem", "orders")
 dual("w2_numbering", lambda d, t: f"SELECT conv_id, turn, concat('e', CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS STRING)) AS id FROM {t('conversations')}", "conversations")
 dual("w3_carry_forward", lambda d, t: f"SELECT conv_id, turn, {d.last('CASE WHEN turn % 3 = 0 THEN role END', 'PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')} AS current_role_ FROM {t('conversations')}", "conversations")
@@ -163,15 +150,11 @@ dual("o1_top_options", lambda d, t: f"SELECT req, opt, CAST(rn AS BIGINT) AS rn
 dual("o3_top_reject", lambda d, t: f"SELECT req, opt FROM (SELECT req, opt, row_number() OVER (PARTITION BY req ORDER BY p DESC, opt) AS rn FROM {answers(d, t)} a_ WHERE opt IN ('o2', 'o3')) x_ WHERE rn = 1", "events")
 dual("o4_evidence_order", lambda d, t: f"SELECT pair, req, CAST(row_number() OVER (PARTITION BY pair ORDER BY {RANK} DESC, req % 7 DESC, req) AS BIGINT) AS ord FROM {requirements(d, t)} r_", "lineitem", "orders")
 dual("o5_group_order", lambda d, t: f"SELECT pair, grp, CAST(row_number() OVER (PARTITION BY pair ORDER BY min(req)) AS BIGINT) AS ord FROM {requirements(d, t)} r_ WHERE grp IS NOT NULL GROUP BY pair, grp", "lineitem", "orders")
-dual("o6_top_disagreements", lambda d, t: f"SELECT pair, abs(score - reference) AS err FROM {match(d, t)} m_ ORDER BY err DESC, pair LIMIT 10", "orders")
 dual("u1_union_first", lambda d, t: f"SELECT v, src FROM (SELECT v, src, row_number() OVER (PARTITION BY lower(v) ORDER BY src) AS rn FROM (SELECT DISTINCT c_name AS v, 1 AS src FROM {t('customer')} UNION ALL SELECT DISTINCT upper(c_name), 2 FROM {t('customer')}) u_) x_ WHERE rn = 1", "customer")
 dual("u6_pair_intersection", lambda d, t: f"SELECT l_suppkey AS a, l_partkey AS b FROM {t('lineitem')} WHERE l_returnflag = 'A' INTERSECT SELECT l_suppkey, l_partkey FROM {t('lineitem')} WHERE l_returnflag = 'R'", "lineitem")
-dual("u7_cascade", lambda d, t: f"SELECT CASE WHEN p_size < 10 THEN 'filler' WHEN p_retailprice < 1000 THEN 'acceptable' WHEN p_partkey % 5 = 0 THEN 'duplicate' ELSE 'extra' END AS kind, count(*) AS n FROM {t('part')} GROUP BY 1", "part")
 dual("e3_attribute_miss", lambda d, t: f"SELECT req, min(stage) AS stage FROM (SELECT req, CASE WHEN coverage = 'none' THEN '1 refinement' WHEN tier = 'mentioned' THEN '2 chunk' ELSE '3 sentence' END AS stage FROM {requirements(d, t)} r_ UNION ALL SELECT req, '4 not in text' FROM {requirements(d, t)} q_) x_ GROUP BY req", "lineitem", "orders")
-dual("e9_compare_judge", lambda d, t: f"SELECT m.pair AS pair, m.score AS score, m.reference AS reference, j.judged AS judged FROM {match(d, t)} m JOIN (SELECT o_orderkey, o_custkey % 101 AS judged FROM {t('orders')} WHERE o_orderstatus <> 'P') j ON j.o_orderkey = m.pair", "orders")
 dual("k8_confusion_pivot", lambda d, t: f"SELECT tier, count(CASE WHEN coverage = 'strong' THEN 1 END) AS strong, count(CASE WHEN coverage = 'weak' THEN 1 END) AS weak FROM {requirements(d, t)} r_ GROUP BY tier", "lineitem", "orders")
 dual("k11_pairs_by_error", lambda d, t: f"SELECT report, pair, CAST(row_number() OVER (PARTITION BY report ORDER BY coalesce(abs(score - reference), -1) DESC, pair) AS BIGINT) AS ord FROM {match(d, t)} m_", "orders")
 dual("k13_metrics_text", lambda d, t: f"SELECT concat(event_type, ' n=', CAST(count(*) AS STRING), ' max=', CAST(max(user_id) AS STRING)) AS line FROM {t('events')} GROUP BY event_type", "events")
-dual("k14_upsert", lambda d, t: f"SELECT coalesce(n.k, o.k) AS k, coalesce(n.v, o.v) AS v FROM (SELECT c_custkey AS k, 1 AS v FROM {t('customer')} WHERE c_acctbal > 0) o FULL OUTER JOIN (SELECT c_custkey AS k, 2 AS v FROM {t('customer')} WHERE c_mktsegment = 'BUILDING') n ON o.k = n.k", "customer")
 dual("s14_load_pairs", lambda d, t: f"SELECT d.doc_id AS doc_id, l.quality AS quality, coalesce(l.doc_id IS NOT NULL, false) AS labelled, (CAST(d.doc_id AS STRING) LIKE '1%' OR CAST(d.doc_id AS STRING) LIKE '27%') AS selected FROM {t('documents')} d LEFT JOIN {t('labels')} l ON d.doc_id = l.doc_id", "documents", "labels")
 dual("s24_pool_reports", lambda d, t: f"SELECT user_id, {R6('avg(coalesce(CASE WHEN event_id % 6 = 0 THEN NULL ELSE value END, 0))')} AS v FROM {t('events')} GROUP BY user_id", "events")
