@@ -36,10 +36,16 @@ def answer_of(id: Column) -> Column:
     return F.get(F.filter("answers", lambda a: a["id"] == id), F.lit(0))
 
 
+def section_batches(postings: DataFrame, batch: int = X.SECTION_BATCH) -> DataFrame:
+    """(posting_id, title, posting, batch, part): a posting's sentences in order, `batch` at a time; postings without any have no row."""
+    said = C.not_empty(C.with_sentences(postings).select("posting_id", "title", F.col("text").alias("posting"), "sentences"), "sentences")
+    cut = said.withColumn("batch", F.explode(F.expr(f"sequence(0, (size(sentences) - 1) div {batch})")))
+    return cut.withColumn("part", F.expr(f"slice(sentences, CAST(batch AS INT) * {batch} + 1, {batch})")).drop("sentences")
+
+
 def label_sections(postings: DataFrame, provider: ask.Provider, prompts: Prompts, batch: int = X.SECTION_BATCH, failures: Failures | None = None) -> DataFrame:
     """(posting_id, ord, ref, text, heading, strong, section, confidence): a choice for every sentence, `batch` a request."""
-    said = C.not_empty(C.with_sentences(postings).select("posting_id", "title", F.col("text").alias("posting"), "sentences"), "sentences")
-    parts = said.withColumn("batch", F.explode(F.expr(f"sequence(0, (size(sentences) - 1) div {batch})"))).withColumn("part", F.expr(f"slice(sentences, CAST(batch AS INT) * {batch} + 1, {batch})"))
+    parts = section_batches(postings, batch)
     name = lambda s: F.concat(F.lit("section_"), (s["ord"] - 1).cast("string"))
     requests = parts.select("posting_id", "batch", "part", F.to_json(F.struct(F.col("title").alias("job_title"), F.col("posting").alias("job_posting"))).alias("state"), F.transform("part", lambda s: prompts.section_question(name(s), s["text"], s["heading"])).alias("questions"))
     answered = ask.asked(provider, requests, "posting_id", "part")

@@ -22,7 +22,7 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
 
 def _load() -> None:
     """Importing these modules registers their queries."""
-    from gristmill.plans import group_queries, judge_queries, refine_queries, scale_queries, score_queries, stage_queries, text_queries  # noqa: F401
+    from gristmill.plans import group_queries, judge_queries, refine_queries, round_queries, scale_queries, score_queries, stage_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -108,11 +108,8 @@ dual("m14_credit_grid", lambda d, t: f"SELECT partial, weak, {R6(d.div('sum(m *
 dual("m15_price", lambda d, t: f"SELECT event_id, round(CASE WHEN tin < 1 THEN CAST(chars AS DOUBLE) / 16 ELSE CAST(tin AS DOUBLE) / 4 END / 1000 + CAST(tout AS DOUBLE) / 500, 9) AS milli_usd FROM (SELECT event_id, user_id % 900 AS tin, event_id % 300 AS tout, {d.length('props')} AS chars FROM {t('events')}) e_", "events")
 dual("m17_legacy_match", lambda d, t: f"SELECT pair, CAST(round(greatest(0, least(100, 44.2 + 31.7 * role_match + 46.2 * experience_short - 17.5 * blocker))) AS BIGINT) AS score FROM {signals(d, t)} s_", "orders")
 dual("a1_tier_for", lambda d, t: f"SELECT pair, CASE max({TIER_RANK}) WHEN 2 THEN 'required' WHEN 1 THEN 'preferred' ELSE 'mentioned' END AS tier FROM {requirements(d, t)} r_ GROUP BY pair", "lineitem", "orders")
-dual("a2_unique_values", lambda d, t: f"SELECT lower(event_type) AS v, count(*) AS mentions, min(event_id) AS first_ref, count(DISTINCT user_id) AS refs FROM {t('events')} GROUP BY lower(event_type)", "events")
 dual("a4_decide", lambda d, t: f"SELECT req, {R6('sum(p)')} AS mass, max(CASE WHEN rn = 1 THEN opt END) AS choice FROM (SELECT *, row_number() OVER (PARTITION BY req ORDER BY p DESC, k) AS rn FROM {answers(d, t)} a_ WHERE k < 4) x_ GROUP BY req", "events")
 dual("a5_decide_strength", lambda d, t: f"SELECT req, CASE WHEN s >= p AND s >= w THEN 'strong' WHEN p >= w THEN 'partial' ELSE 'weak' END AS strength, {R6('s + p + w')} AS mass FROM (SELECT req, max(CASE WHEN k = 1 THEN p END) AS s, max(CASE WHEN k = 2 THEN p END) AS p, max(CASE WHEN k = 3 THEN p END) AS w FROM {answers(d, t)} a_ GROUP BY req) x_", "events")
-dual("a7_canonical_value", lambda d, t: f"SELECT user_id, event_type AS canonical FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) AS rn FROM {t('events')} GROUP BY user_id, event_type) x_ WHERE rn = 1", "events")
-dual("a8_importance", lambda d, t: f"SELECT user_id, max(CAST(event_id % 5 AS DOUBLE) / 4) AS importance FROM {t('events')} GROUP BY user_id", "events")
 dual("a9_coverage", lambda d, t: f"SELECT pair, item, coverage FROM {items(d, t)} i_", "lineitem", "orders")
 dual("a10_fit_by_tier", lambda d, t: f"SELECT pair, tier, CAST(round(10 * {d.div('sum(' + CREDIT10 + ')', 'count(*)')}) AS BIGINT) AS fit FROM {items(d, t)} i_ GROUP BY pair, tier", "lineitem", "orders")
 dual("a20_ratio", lambda d, t: f"SELECT s_nationkey, {R6('coalesce(' + d.div('sum(CASE WHEN s_acctbal > 5000 THEN 1 ELSE 0 END)', 'sum(CASE WHEN s_acctbal > 0 THEN 1 ELSE 0 END)') + ', 0)')} AS ratio FROM {t('supplier')} GROUP BY s_nationkey", "supplier")
@@ -120,21 +117,16 @@ dual("a24_resume_mae", lambda d, t: f"SELECT resume, {R6('avg(CAST(abs(score - r
 dual("a25_counts_pivot", lambda d, t: f"SELECT tier, count(CASE WHEN coverage = 'strong' THEN 1 END) AS strong, count(CASE WHEN coverage = 'partial' THEN 1 END) AS partial, count(CASE WHEN coverage = 'weak' THEN 1 END) AS weak, count(CASE WHEN coverage = 'none' THEN 1 END) AS none FROM {items(d, t)} i_ GROUP BY tier", "lineitem", "orders")
 dual("a26_noise", lambda d, t: f"SELECT s_nationkey, CAST(median(s_suppkey % 37) AS DOUBLE) AS med, max(s_suppkey % 37) - min(s_suppkey % 37) AS spread FROM {t('supplier')} GROUP BY s_nationkey", "supplier")
 dual("f3_requirement_mass", lambda d, t: f"SELECT req, {R6('sum(p)')} AS mass FROM {answers(d, t)} a_ WHERE k < 4 GROUP BY req HAVING sum(p) >= {X.REQUIREMENT_MASS}", "events")
-dual("f4_filler", lambda d, t: f"SELECT req FROM (SELECT req, coalesce(max(CASE WHEN opt = 'o1' THEN p END), 0) AS p FROM {answers(d, t)} a_ GROUP BY req) x_ WHERE p >= {X.KEEP_MASS}", "events")
 dual("f5_retrieval_floor", lambda d, t: f"SELECT req, opt FROM {answers(d, t)} a_ WHERE p >= {X.RETRIEVE_FLOOR} AND opt <> 'o4'", "events")
-dual("f6_gate", lambda d, t: f"SELECT req, CASE WHEN g THEN 'graded' ELSE 'ungated' END AS gate FROM (SELECT req, max(CASE WHEN k = 1 THEN p END) >= 0.3 AS g, sum(CASE WHEN k < 4 THEN p ELSE 0 END) AS mass FROM {answers(d, t)} a_ GROUP BY req) x_ WHERE g OR mass >= 0.5", "events")
 dual("f7_without_mentioned", lambda d, t: f"SELECT pair, req, CASE WHEN count(*) OVER (PARTITION BY pair, grp) >= 2 AND grp IS NOT NULL THEN grp END AS grp FROM {requirements(d, t)} r_ WHERE tier <> 'mentioned'", "lineitem", "orders")
 dual("f9_strict_match", lambda d, t: f"SELECT a.grp AS grp, a.id AS a_id, b.id AS b_id FROM (SELECT grp, id, {T.normal(d, 'v')} AS n FROM {phrases(d, t)} a_) a JOIN (SELECT grp, id, {T.normal(d, 'upper(v)')} AS n FROM {phrases(d, t)} b_) b ON a.grp = b.grp AND a.n = b.n AND a.id < b.id", "lineitem", "part")
 dual("f10_loose_match", lambda d, t: f"SELECT a.grp AS grp, a.id AS a_id, b.id AS b_id FROM (SELECT grp, id, {T.content(d, 'v')} AS c FROM {phrases(d, t)} a_) a JOIN (SELECT grp, id, {T.content(d, 'v')} AS c FROM {phrases(d, t)} b_) b ON a.grp = b.grp AND a.id <> b.id WHERE {T.loose_match(d, 'b.c', 'a.c')}", "lineitem", "part")
 dual("f12_contains_any", lambda d, t: f"SELECT doc_id FROM {t('documents')} WHERE {d.like('lower(text)', '(^|[^a-z0-9])(the|of|and)($|[^a-z0-9+#])')}", "documents")
 dual("f13_contains_word", lambda d, t: f"SELECT doc_id FROM {t('documents')} WHERE {d.like('lower(text)', '(^|[^\\p{L}\\p{Nd}])(est|zur|pour)($|[^\\p{L}\\p{Nd}])')}", "documents")
-dual("f19_capped_units", lambda d, t: f"SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'weak' ELSE 'strong' END AS strength FROM {t('events')}", "events")
 dual("j1_chunk_sentence", lambda d, t: f"SELECT l_orderkey, l_linenumber, o_orderpriority FROM {t('lineitem')} JOIN {t('orders')} ON l_orderkey = o_orderkey", "lineitem", "orders")
 dual("j2_mentions", lambda d, t: f"SELECT DISTINCT conv_id, role FROM {t('conversations')}", "conversations")
 dual("j3_same_sentence", lambda d, t: f"SELECT a.l_partkey AS v, b.l_partkey AS other, min(a.l_orderkey) AS first_ref FROM {t('lineitem')} a JOIN {t('lineitem')} b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY a.l_partkey, b.l_partkey", "lineitem")
 dual("j5_mutual", lambda d, t: f"SELECT DISTINCT a.u AS a_id, a.v AS b_id FROM (SELECT DISTINCT l_suppkey AS u, l_partkey % 100 AS v FROM {t('lineitem')}) a JOIN (SELECT DISTINCT l_suppkey AS u, l_partkey % 100 AS v FROM {t('lineitem')}) b ON a.u = b.v AND a.v = b.u WHERE a.u < a.v", "lineitem")
-dual("j6_shortest_context", lambda d, t: f"SELECT conv_id, text FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY {d.octets('text')}, turn) AS rn FROM {t('conversations')}) x_ WHERE rn = 1", "conversations")
-dual("j7_unit_requirement", lambda d, t: f"SELECT a.grp AS pair, a.id AS unit, b.id AS req FROM {ratings(d, t)} a JOIN {ratings(d, t)} b ON a.grp = b.grp", "lineitem")
 dual("j8_linked_units", lambda d, t: f"SELECT c_custkey FROM {t('customer')} WHERE c_custkey IN (SELECT o_custkey FROM {t('orders')})", "customer", "orders")
 dual("j9_first_group", lambda d, t: f"SELECT pair, req, min(grp) AS grp FROM {requirements(d, t)} r_ GROUP BY pair, req", "lineitem", "orders")
 dual("j14_pairs_current", lambda d, t: f"SELECT o.o_orderkey AS pair, c.c_acctbal AS reference FROM {t('orders')} o LEFT JOIN (SELECT * FROM {t('customer')} WHERE c_acctbal > 0) c ON o.o_custkey = c.c_custkey", "orders", "customer")
@@ -145,7 +137,6 @@ dual("w3_carry_forward", lambda d, t: f"SELECT conv_id, turn, {d.last('CASE WHEN
 dual("w4_result_order", lambda d, t: f"SELECT pair, req, CAST(row_number() OVER (PARTITION BY pair ORDER BY (req * 7919) % 5 DESC, req) AS BIGINT) AS ord FROM {requirements(d, t)} r_", "lineitem", "orders")
 dual("w5_blocks", lambda d, t: f"SELECT conv_id, turn, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM {t('conversations')}", "conversations")
 dual("w8_validation_batches", lambda d, t: f"SELECT user_id, event_id, {d.idiv('row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1', str(X.VALIDATION_BATCH))} AS batch FROM {t('events')}", "events")
-dual("w10_section_batches", lambda d, t: f"SELECT conv_id, turn, {d.idiv('turn', str(X.SECTION_BATCH))} AS batch FROM {t('conversations')}", "conversations")
 dual("o1_top_options", lambda d, t: f"SELECT req, opt, CAST(rn AS BIGINT) AS rn FROM (SELECT req, opt, row_number() OVER (PARTITION BY req ORDER BY p DESC, opt) AS rn FROM {answers(d, t)} a_) x_ WHERE rn <= 2", "events")
 dual("o3_top_reject", lambda d, t: f"SELECT req, opt FROM (SELECT req, opt, row_number() OVER (PARTITION BY req ORDER BY p DESC, opt) AS rn FROM {answers(d, t)} a_ WHERE opt IN ('o2', 'o3')) x_ WHERE rn = 1", "events")
 dual("o4_evidence_order", lambda d, t: f"SELECT pair, req, CAST(row_number() OVER (PARTITION BY pair ORDER BY {RANK} DESC, req % 7 DESC, req) AS BIGINT) AS ord FROM {requirements(d, t)} r_", "lineitem", "orders")
