@@ -9,8 +9,8 @@ similarity is `similarity` or more, counted exactly.
 
 The tables only save work. What they leave apart is joined exactly: under one order of all shingles, rare ones
 first, two similar sets share a shingle among the first n - ceil(similarity n) + 1 of each, so every pair of different
-components that shares one there, and whose sizes and places allow the similarity, is verified too. Thus the
-components are those of all pairs at the similarity, up to 64-bit hashes of shingles. Components keep their smallest id.
+components that shares one there, and whose sizes, places and counts of shingles by hash allow the similarity, is verified
+too, once. Thus the components are those of all pairs at the similarity, up to 64-bit hashes of shingles. Components keep their smallest id.
 
 Shingles are hashed anew from the texts wherever they are needed: they take more room than the texts.
 
@@ -26,7 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm import simhash
@@ -46,9 +46,13 @@ COUNTERS, SLICES = 1 << 20, 16
 WANTED = 1 << 26
 #: Partners of a set in each round of the exact join. A few join whole clumps, so that few pairs of different components are
 #: left for the last round, which takes all.
-ROUNDS = (8, 8, None)
+ROUNDS = (4, 4, None)
+#: Counts of a set's shingles by their hash, a byte each: what two sets have in common is at most the sum of the lesser counts.
+BINS = 256
+#: Pairs of a set that are verified in a round with capped partners, those with the most in common at most; the last round verifies all.
+BEST = 3
 #: Pairs that a task expands at once.
-PAIRS = 1 << 20
+PAIRS = 1 << 19
 _MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -350,7 +354,37 @@ def crossings(occurrences: DataFrame, roots: DataFrame, similarity: float, partn
     # tokens of one component stay behind: the shingles of a large group of near copies
     mixed = named.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("token")
     named = named.join(mixed, "token", "left_semi")
-    return named.repartition(shuffle_partitions(occurrences.sparkSession), "token").mapInArrow(run, "a long, b long").distinct()
+    # by a hash of the token: a repartition by the token itself would be left out after the join by it, and its rows spread if that join becomes a broadcast
+    return named.repartition(shuffle_partitions(occurrences.sparkSession), F.xxhash64("token")).mapInArrow(run, "a long, b long").distinct()
+
+
+def bins(h: np.ndarray) -> bytes | None:
+    """The counts of a set; null where one doesn't fit a byte."""
+    n = np.bincount((h >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else None
+
+
+def hopeful(pairs: DataFrame, first: DataFrame, similarity: float, best: int | None) -> DataFrame:
+    """The pairs that can have the similarity by the counts of their sets; best: so many of each set, those with the most in common at most."""
+
+    def run(batches):
+        for b in batches:
+            known = np.flatnonzero(np.array(b.column(2).is_valid()) & np.array(b.column(3).is_valid()))
+            share = np.ones(b.num_rows)
+            if len(known):
+                x, y = (np.frombuffer(b"".join(c.take(pa.array(known)).to_pylist()), np.uint8).reshape(-1, BINS) for c in (b.column(2), b.column(3)))
+                common = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+                share[known] = common / np.maximum(x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64) - common, 1)
+            may = pa.array(share >= similarity - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(may), b.column(1).filter(may), pa.array(share).filter(may)], names=["a", "b", "share"])
+
+    counts = first.select(F.col("first_id").alias("id"), "bins")
+    both = pairs.join(counts.withColumnsRenamed({"id": "a", "bins": "x"}), "a").join(counts.withColumnsRenamed({"id": "b", "bins": "y"}), "b")
+    found = both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, share double")
+    if best:
+        order = Window.partitionBy("a").orderBy(F.desc("share"), "b")
+        found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= best)
+    return found.select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
@@ -375,8 +409,9 @@ def verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, similarity: f
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + len(digests)], pa.array(digests, pa.binary()), lists], names=["id", "digest", "s"])
 
-    known = first.select("digest", F.col("first_id").alias("id")).join(named, "id", "left_semi")
-    have = texts.mapInArrow(sets, "id long, digest binary, s array<long>").join(known, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("id", "s")
+    known = first.select(F.col("digest").alias("own"), F.col("first_id").alias("id")).join(named, "id", "left_semi")
+    # digests are of one length, so that one begins with the other if they are equal; as a join key they would have the sets dealt out by it, and again by id
+    have = texts.mapInArrow(sets, "id long, digest binary, s array<long>").join(known, "id").where(F.startswith("digest", "own")).dropDuplicates(["id"]).select("id", "s")
     both = pairs.join(have.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(have.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
@@ -391,20 +426,24 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id
                 n = len(ends) - 1
                 fp = set_prints(h, np.repeat(np.arange(n), np.diff(ends)), n)
                 digests = [_digest(h[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + n], pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in fp.astype("<u8")], pa.binary())], names=["id", "digest", "fp"])
+                counts = [bins(h[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + n], pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in fp.astype("<u8")], pa.binary()), pa.array(counts, pa.binary())], names=["id", "digest", "fp", "bins"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.col("id").isNotNull())
-    prints = cut(texts.mapInArrow(run, "id long, digest binary, fp binary"))
-    first = cut(prints.groupBy("digest").agg(F.min("id").alias("first_id"), F.min("fp").alias("fp")))
+    prints = cut(texts.mapInArrow(run, "id long, digest binary, fp binary, bins binary"))
+    first = cut(prints.groupBy("digest").agg(F.min("id").alias("first_id"), F.min("fp").alias("fp"), F.min("bins").alias("bins")))
     copies = prints.join(first.select("digest", "first_id"), "digest").where("id <> first_id").select(F.col("id").alias("a"), F.col("first_id").alias("b"))
     pairs = cut(proposals(first.select(F.col("first_id").alias("id"), "fp"), plan_tables(first.count(), similarity)))
     found = cut(verified(pairs, texts, first, similarity))
     occurrences = cut(postings(texts, first, similarity))
     roots = connected_components(found)
+    seen = pairs
     for partners_of in ROUNDS:
-        pairs = cut(crossings(occurrences, roots, similarity, partners_of))
+        fresh = crossings(occurrences, roots, similarity, partners_of).join(seen, ["a", "b"], "left_anti")
+        pairs = cut(hopeful(fresh, first, similarity, BEST if partners_of else None))
         if pairs.isEmpty():  # a capped round looks at some partners only: the last one looks at all
             continue
+        seen = seen.unionByName(pairs)
         more = cut(verified(pairs, texts, first, similarity))
         if not more.isEmpty():
             found = cut(found.unionByName(more))

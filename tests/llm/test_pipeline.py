@@ -206,5 +206,18 @@ def test_links_of_the_last_round_only(spark, monkeypatch):
     assert asked == list(neardup.ROUNDS)
 
 
+def test_counts_refute_no_true_pair():
+    rng = np.random.default_rng(4)
+    for n, change in ((3, 0), (40, 4), (400, 40), (400, 120), (90_000, 9000)):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.append(a[change:], rng.integers(0, 1 << 63, change, dtype=np.uint64))
+        x, y = neardup.bins(a), neardup.bins(b)
+        if n > 255 * neardup.BINS:
+            assert x is None
+        else:
+            at_most = np.minimum(*(np.frombuffer(v, np.uint8).astype(int) for v in (x, y))).sum()
+            assert at_most >= n - change
+
+
 def test_numbers_of_many_texts_in_a_chunk(monkeypatch):
     assert neardup._place(1 << 16) == "<u2" and neardup._place((1 << 16) + 1) == "<u4"
