@@ -4,6 +4,7 @@ score -jd job.txt -resume resume.md [-o score.json] [-q]
 extract [-o result.json] [-debug trace.json] [-q] job.txt
 check -requirements result.json -resume resume.md [-o coverage.json] [-debug trace.json] [-q]
 query NAME TABLES OUT      runs a registered query over a folder of tables and writes Parquet
+serve                      answers a client's tool calls, JSON-RPC by lines on standard input and output
 
 Answers come from a recording, from a classifier's address, or by words (see gristmill.settings.config); without -q a summary goes to
 standard error. Exit 0: done; 1: the run failed; 2: wrong arguments or inputs.
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from gristmill.operators import ask, check, extract
 from gristmill.plans import catalog
 from gristmill.runtime import Metrics, deadline, logger, stage
+from gristmill.server import Server
 from gristmill.settings import config, tuning
 from gristmill.sinks.files import emit_json, write_json
 from gristmill.sources import loaders
@@ -52,6 +54,7 @@ def _parser() -> _Parser:
         s.add_argument("-q", action="store_true")
         if name != "score":
             s.add_argument("-debug", default="")
+    sub.add_parser("serve")
     q = sub.add_parser("query")
     for n in ("name", "tables", "out"):
         q.add_argument(n)
@@ -134,6 +137,8 @@ def main(args: list[str]) -> int:
     try:
         if a.command == "query":
             catalog.queries()[a.name](spark, a.tables).write.mode("errorifexists").parquet(a.out)
+        elif a.command == "serve":
+            Server(spark, settings, words).serve(sys.stdin, sys.stdout)
         else:
             _run(spark, a, settings, words, metrics)
     except InputError as e:
@@ -143,7 +148,7 @@ def main(args: list[str]) -> int:
         print(f"{a.command}: {e}", file=sys.stderr)
         return FAILED
     finally:
-        if a.command != "query" and not a.q:
+        if a.command not in ("query", "serve") and not a.q:
             print("--- run summary ---", file=sys.stderr)
             metrics.write(sys.stderr)
     return OK

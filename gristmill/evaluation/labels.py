@@ -98,7 +98,8 @@ def totals(scores: DataFrame) -> DataFrame:
     return s.withColumn("f1_loose", F.coalesce(F.try_divide(2 * F.col("precision_loose") * F.col("recall_loose"), both), F.lit(0.0)))
 
 
-def _word_in(text: str, variant: str) -> Column:
+def word_in(text: str, variant: str) -> Column:
+    """True where a text holds a variant as a word of its own, whatever the case and the kind of quotes; both are names of columns."""
     straight = lambda s: f"lower(translate({s}, '’‘“”', '\\'\\'\"\"'))"
     return F.expr(f"{variant} <> '' AND {straight(text)} RLIKE concat('(^|[^a-z0-9])', regexp_replace({straight(variant)}, '([\\\\\\\\.\\\\[\\\\]{{}}()*+?^$|])', '\\\\\\\\$1'), '($|[^a-z0-9+#])')")
 
@@ -119,7 +120,7 @@ def misses(expected: DataFrame, matched: DataFrame, values: DataFrame, validated
     place = F.struct(F.col("ord").cast("long").alias("a"), F.col("chunk_no").cast("long").alias("b"))
     # a chunk with a strict candidate wins over an earlier one with a loose one
     second = near.select(*keys, F.when(F.col("is_strict"), 1).otherwise(2).alias("rank"), place.alias("at"), F.when(F.col("selected"), "not_selected").otherwise("rejected").alias("stage"))
-    words = lost.select(*keys, F.explode("variants").alias("w_")).join(sentences.withColumnRenamed("text", "t_"), KEY).where(_word_in("t_", "w_"))
+    words = lost.select(*keys, F.explode("variants").alias("w_")).join(sentences.withColumnRenamed("text", "t_"), KEY).where(word_in("t_", "w_"))
     third = words.select(*keys, F.lit(3).alias("rank"), F.struct(F.col("ord").cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("at"), F.when(F.col("dropped"), "section_dropped").otherwise("no_candidate").alias("stage"))
     none = lost.select(*keys, F.lit(4).alias("rank"), F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("at"), F.lit("not_in_text").alias("stage"))
     every = first.unionByName(second).unionByName(third).unionByName(none)

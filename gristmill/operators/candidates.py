@@ -109,11 +109,15 @@ def _windows(toks: str, longest: int) -> str:
     return f"filter({every}, w -> {D.like('w.text', '[\\p{L}]')})"
 
 
+def with_windows(rows: DataFrame, slashes: bool, text: str = "text", longest: int = X.MAX_WINDOW) -> DataFrame:
+    """rows with `windows` (start, n, text) of one tokenization, by start and length."""
+    return with_tokens(rows, slashes, text, "wi_toks").withColumn("windows", F.expr(_windows("wi_toks", longest))).drop("wi_toks")
+
+
 def windows(rows: DataFrame, slashes: bool, text: str = "text", longest: int = X.MAX_WINDOW) -> DataFrame:
     """The columns of rows but `text`, with start, n and text: a row for each window of one tokenization."""
     rest = [c for c in rows.columns if c != text]
-    out = with_tokens(rows, slashes, text, "wi_toks").withColumn("windows", F.expr(_windows("wi_toks", longest)))
-    return exploded(out.select(*rest, "windows"), "windows", "n_", "w_").select(*rest, "w_.*")
+    return exploded(with_windows(rows, slashes, text, longest).select(*rest, "windows"), "windows", "n_", "w_").select(*rest, "w_.*")
 
 
 def _generic(s: str) -> str:

@@ -19,6 +19,19 @@ def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def feature(name: str) -> Column:
+    """A feature of a pair by its name: a signal's column, one of the scaled ones, or a product of features joined by *.
+
+    Missing gaps count 0; months of a gap count up to two years, in years of twelve months.
+    """
+    if "*" in name:
+        first, rest = name.split("*", 1)
+        return feature(first) * feature(rest)
+    some = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    scaled = {"fit": lambda: F.col("fit") / 100, "resp": lambda: F.col("responsibilities"), "dom": lambda: F.col("domain_mismatch"), "gap": lambda: some("primary_gap"), "loc": lambda: some("location_mismatch"), "months": lambda: F.least(some("gap_months"), F.lit(24.0)) / 12}
+    return scaled[name]() if name in scaled else F.col(name)
+
+
 def products(rows: DataFrame, group: str, features: list[str], target: str) -> DataFrame:
     """(group, s array): sums of the features' products, row by row, then of their products with the target."""
     pairs = [F.col(x) * F.col(y) for x in features for y in features] + [F.col(x) * F.col(target) for x in features]

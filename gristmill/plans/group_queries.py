@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gristmill.evaluation import labels as L
 from gristmill.functions import lexicon as X
-from gristmill.operators import digests, quotes, ranks, resample, score, similar
+from gristmill.operators import digests, fitting, quotes, ranks, resample, score, similar
 from gristmill.plans.catalog import register
 from gristmill.plans.dual import table
 
@@ -266,3 +266,62 @@ register(
     SELECT unit, option, rank::INT AS rank FROM (
         SELECT unit, option, row_number() OVER (PARTITION BY unit ORDER BY p DESC, option) AS rank FROM p WHERE p >= {X.RETRIEVE_FLOOR} AND option <> 'none') WHERE rank <= {X.RETRIEVE_K}""",
 )
+
+
+# Features of pairs, their sums of products by fold, and predictions.
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = 1 - F.col("blocker")
+    return signals(spark, sf_dir).select("pair", (F.col("report") % 40 % 8).alias("fold"), F.col("reference").cast("double").alias("y"), left.alias("c"), (F.col("role_match") * left).alias("a"), (F.col("experience_short") * left).alias("b"))
+
+
+_FEATURES = """
+    signals AS (
+        SELECT o_orderkey AS pair, o_custkey % 40 % 8 AS fold, (round(o_totalprice)::BIGINT % 101)::DOUBLE AS y, (o_orderkey * 7919 % 401)::DOUBLE / 400 AS rm, (o_orderkey * 104729 % 1000)::DOUBLE / 1000 AS es,
+            1 - CASE WHEN o_orderkey % 5 = 0 THEN (o_custkey % 100)::DOUBLE / 100 ELSE 0.0::DOUBLE END AS c FROM orders),
+    features AS (SELECT pair, fold, y, c, rm * c AS a, es * c AS b FROM signals)"""
+_PRODUCTS = [x + y for x in "cab" for y in "cab"] + [x + "y" for x in "cab"]
+
+
+def m9_normal_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = fitting.products(_features(spark, sf_dir), "fold", ["c", "a", "b"], "y")
+    return sums.select("fold", *[F.round(F.col("s")[i], 6).alias(f"s_{n}") for i, n in enumerate(_PRODUCTS)])
+
+
+register("m9_normal_equations", m9_normal_equations, f"WITH {_FEATURES} SELECT fold, " + ", ".join(f"round(sum({x} * {y}), 6) AS s_{x}{y}" for x, y in _PRODUCTS) + " FROM features GROUP BY fold")
+register(
+    "m10_predict",
+    lambda spark, sf: _features(spark, sf).select("pair", fitting.predicted(F.array(*[F.lit(w) for w in X.MATCH_WEIGHTS]), ["c", "a", "b"]).alias("predicted")),
+    f"WITH {_FEATURES} SELECT pair, round_even(greatest(0.0, least(100.0, {X.MATCH_WEIGHTS[0]}::DOUBLE * c + {X.MATCH_WEIGHTS[1]}::DOUBLE * a + ({X.MATCH_WEIGHTS[2]})::DOUBLE * b)), 0)::BIGINT AS predicted FROM features",
+)
+
+
+def m12_feature_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select("event_id", (e % 101).alias("fit"), (e * 7 % 11 / 10).alias("responsibilities"), (e * 3 % 7 / 10).alias("domain_mismatch"), F.when(e % 4 > 0, e % 40).alias("gap_months"), (e % 9 / 8).alias("blocker"))
+    names = ("fit", "months", "fit*resp", "resp*dom*months", "blocker*gap")
+    return rows.withColumn("primary_gap", F.when(e % 3 > 0, e % 3 / 2)).select("event_id", *[F.round(fitting.feature(n), 9).alias(n.replace("*", "_")) for n in names])
+
+
+register(
+    "m12_feature_products",
+    m12_feature_products,
+    """
+    WITH f AS (
+        SELECT event_id, (event_id % 101)::DOUBLE / 100 AS fit, (event_id * 7 % 11)::DOUBLE / 10 AS resp, (event_id * 3 % 7)::DOUBLE / 10 AS dom, CASE WHEN event_id % 4 > 0 THEN least(event_id % 40, 24)::DOUBLE / 12 ELSE 0 END AS months,
+            (event_id % 9)::DOUBLE / 8 AS blocker, (event_id % 3)::DOUBLE / 2 AS gap FROM events)
+    SELECT event_id, round(fit, 9) AS fit, round(months, 9) AS months, round(fit * resp, 9) AS fit_resp, round(resp * dom * months, 9) AS resp_dom_months, round(blocker * gap, 9) AS blocker_gap FROM f""",
+)
+
+
+# whether a text names a value as a word of its own; a plus or a hash behind it makes another word.
+def f12_contains_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = F.element_at(F.array(*[F.lit(x) for x in ("#", "+", " ", "-", "s", ".")]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_type", F.lit(" "), F.upper("p_name"), mark, F.lit("x")).alias("text"), F.substring_index("p_name", " ", -1).alias("name"))
+    return rows.where(L.word_in("text", "name")).select("p_partkey")
+
+
+register(
+    "f12_contains_any",
+    f12_contains_any,
+    """SELECT p_partkey FROM part WHERE regexp_matches(lower(p_type || ' ' || p_name) || ['#', '+', ' ', '-', 's', '.'][p_partkey % 6 + 1] || 'x', '(^|[^a-z0-9])' || split_part(p_name, ' ', -1) || '($|[^a-z0-9+#])')""",
+)

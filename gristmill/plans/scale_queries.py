@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions import lexicon as X
 from gristmill.functions import text as T
 from gristmill.functions.dialect import DUCK, SPARK
 from gristmill.operators import candidates as C
 from gristmill.operators import posting as P
 from gristmill.plans.catalog import register
 from gristmill.plans.dual import check_text, checked, run, table
-from gristmill.plans.score_queries import signals
 from gristmill.plans.text_queries import _headed
 
 #: Values of a range.
@@ -55,14 +53,3 @@ def _f1(spark, sf_dir: str) -> DataFrame:
 
 
 register("f1_section_filter", _f1, check_text(lambda d, t: f"SELECT doc_id, ord, ref FROM (SELECT doc_id, ord, ref, strong, {T.resume_section(d, 'heading')} AS section FROM {P.sentences(d, _headed(d, t))} q_) r_ WHERE NOT strong AND section NOT IN ('summary', 'other')"))
-
-
-def _m10(spark, sf_dir: str) -> DataFrame:
-    """Refitted predictions: the weights over (1, role match, short experience), discounted, clamped, halves to even."""
-    base, role, short = X.MATCH_WEIGHTS
-    rows = run(spark, lambda t: f"SELECT * FROM {signals(SPARK, t)} s_", orders=table(spark, sf_dir, "orders"))
-    raw = (base + role * F.col("role_match") + short * F.col("experience_short")) * (1 - F.col("blocker"))
-    return rows.select("pair", F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))).cast("long").alias("predicted"))
-
-
-register("m10_predict", _m10, f"SELECT pair, round_even(greatest(0.0, least(100.0, ({X.MATCH_WEIGHTS[0]} + {X.MATCH_WEIGHTS[1]} * role_match + ({X.MATCH_WEIGHTS[2]}) * experience_short) * (1 - blocker))), 0)::BIGINT AS predicted FROM {signals(DUCK, lambda t: t)} s_")

@@ -79,18 +79,6 @@ def _grid(d, tallies):
     return f"(SELECT {keep}, p1 - 1 AS partial, w1 - 1 AS weak FROM {b} td_)"
 
 
-def _resamples(d, t, reps):
-    """(report, rep, err): a pair's error drawn for each slot of each resample of its report."""
-    a = f"(SELECT report, abs(score - reference) AS err, row_number() OVER (PARTITION BY report ORDER BY pair) - 1 AS idx, count(*) OVER (PARTITION BY report) AS n FROM {match(d, t)} m_)"
-    slots = d.explode(f"(SELECT report, idx AS slot, n, {d.seq(str(reps))} AS reps FROM {a} a_) s_", "report, slot, n", "reps", "pos", "rep")
-    picks = f"(SELECT report, rep, (rep * 7919 + slot * 104729 + rep * slot * 31 + (rep * rep) % 1009) % n AS idx FROM {slots} k_)"
-    return f"(SELECT p.report AS report, p.rep AS rep, b.err AS err FROM {picks} p JOIN {a} b ON p.report = b.report AND p.idx = b.idx)"
-
-
-def _percentile(d, x, q):
-    return f"percentile({x}, {q})" if d.name == "spark" else f"quantile_cont({x}, {q})"
-
-
 #: Credits in tenths and weights in halves, so that sums are whole numbers and rounding doesn't depend on their order.
 CREDIT10 = "CASE coverage WHEN 'strong' THEN 10 WHEN 'partial' THEN 6 WHEN 'weak' THEN 3 ELSE 0 END"
 WEIGHT2 = "CASE tier WHEN 'required' THEN 6 WHEN 'preferred' THEN 3 ELSE 2 END"
@@ -101,8 +89,6 @@ dual("m2_percent", lambda d, t: f"SELECT s_nationkey, CAST(round(100 * CAST(sum(
 dual("m3_score_share", lambda d, t: f"SELECT event_id, CAST(event_id % 5 AS DOUBLE) / 4 AS share FROM {t('events')}", "events")
 dual("m4_pearson", lambda d, t: f"SELECT grp, {R6('coalesce(' + d.div('n * sxy - sx * sy', 'nullif(sqrt(n * sxx - sx * sx) * sqrt(n * syy - sy * sy), 0)') + ', 0)')} AS r FROM (SELECT grp, CAST(count(*) AS DOUBLE) AS n, CAST(sum(x) AS DOUBLE) AS sx, CAST(sum(y) AS DOUBLE) AS sy, CAST(sum(x * y) AS DOUBLE) AS sxy, CAST(sum(x * x) AS DOUBLE) AS sxx, CAST(sum(y * y) AS DOUBLE) AS syy FROM {ratings(d, t)} r_ GROUP BY grp) g_", "lineitem")
 dual("m7_fuzzy_jaccard", lambda d, t: f"SELECT a_id, b_id, {R6(T.fuzzy_jaccard(d, 'ca', 'cb'))} AS j FROM (SELECT a.item_id AS a_id, b.item_id AS b_id, a.c AS ca, b.c AS cb FROM (SELECT item_id, {T.content(d, 'text')} AS c FROM {t('benchmark')}) a JOIN (SELECT item_id, {T.content(d, 'text')} AS c FROM {t('benchmark')}) b ON b.item_id = a.item_id + 1) p_", "benchmark")
-dual("m9_normal_equations", lambda d, t: f"SELECT resume % 8 AS fold, {R6('sum(a * a)')} AS s_aa, {R6('sum(a * b)')} AS s_ab, {R6('sum(b * b)')} AS s_bb, {R6('sum(a * reference)')} AS s_ay, {R6('sum(b * reference)')} AS s_by, {R6('sum(c * c)')} AS s_cc FROM (SELECT resume, reference, (1 - blocker) AS c, role_match * (1 - blocker) AS a, experience_short * (1 - blocker) AS b FROM {signals(d, t)} s_) f_ GROUP BY resume % 8", "orders")
-dual("m12_feature_products", lambda d, t: f"SELECT pair, round(role_match * experience_short, 9) AS ab, round(role_match * blocker, 9) AS ac FROM {signals(d, t)} s_", "orders")
 dual("m13_calibrated_fit", lambda d, t: f"SELECT pair, CAST(floor(10 * {d.div('sum(w * c)', 'sum(w)')} + CAST(0.5 AS DOUBLE)) AS BIGINT) AS fit FROM (SELECT pair, {WEIGHT2} AS w, {CREDIT10} AS c FROM {items(d, t)} i_) x_ GROUP BY pair", "lineitem", "orders")
 dual("m14_credit_grid", lambda d, t: f"SELECT partial, weak, {R6(d.div('sum(m * err)', 'sum(m)'))} AS mae FROM (SELECT partial, weak, m, abs(100 * CAST(20 * strong + n_partial * partial + n_weak * weak AS DOUBLE) / (20 * n) - reference) AS err FROM {_grid(d, _tallies(d, t))} g_) x_ GROUP BY partial, weak", "lineitem", "orders")
 dual("m15_price", lambda d, t: f"SELECT event_id, round(CASE WHEN tin < 1 THEN CAST(chars AS DOUBLE) / 16 ELSE CAST(tin AS DOUBLE) / 4 END / 1000 + CAST(tout AS DOUBLE) / 500, 9) AS milli_usd FROM (SELECT event_id, user_id % 900 AS tin, event_id % 300 AS tout, {d.length('props')} AS chars FROM {t('events')}) e_", "events")
@@ -121,7 +107,6 @@ dual("f5_retrieval_floor", lambda d, t: f"SELECT req, opt FROM {answers(d, t)} a
 dual("f7_without_mentioned", lambda d, t: f"SELECT pair, req, CASE WHEN count(*) OVER (PARTITION BY pair, grp) >= 2 AND grp IS NOT NULL THEN grp END AS grp FROM {requirements(d, t)} r_ WHERE tier <> 'mentioned'", "lineitem", "orders")
 dual("f9_strict_match", lambda d, t: f"SELECT a.grp AS grp, a.id AS a_id, b.id AS b_id FROM (SELECT grp, id, {T.normal(d, 'v')} AS n FROM {phrases(d, t)} a_) a JOIN (SELECT grp, id, {T.normal(d, 'upper(v)')} AS n FROM {phrases(d, t)} b_) b ON a.grp = b.grp AND a.n = b.n AND a.id < b.id", "lineitem", "part")
 dual("f10_loose_match", lambda d, t: f"SELECT a.grp AS grp, a.id AS a_id, b.id AS b_id FROM (SELECT grp, id, {T.content(d, 'v')} AS c FROM {phrases(d, t)} a_) a JOIN (SELECT grp, id, {T.content(d, 'v')} AS c FROM {phrases(d, t)} b_) b ON a.grp = b.grp AND a.id <> b.id WHERE {T.loose_match(d, 'b.c', 'a.c')}", "lineitem", "part")
-dual("f12_contains_any", lambda d, t: f"SELECT doc_id FROM {t('documents')} WHERE {d.like('lower(text)', '(^|[^a-z0-9])(the|of|and)($|[^a-z0-9+#])')}", "documents")
 dual("f13_contains_word", lambda d, t: f"SELECT doc_id FROM {t('documents')} WHERE {d.like('lower(text)', '(^|[^\\p{L}\\p{Nd}])(est|zur|pour)($|[^\\p{L}\\p{Nd}])')}", "documents")
 dual("j1_chunk_sentence", lambda d, t: f"SELECT l_orderkey, l_linenumber, o_orderpriority FROM {t('lineitem')} JOIN {t('orders')} ON l_orderkey = o_orderkey", "lineitem", "orders")
 dual("j2_mentions", lambda d, t: f"SELECT DISTINCT conv_id, role FROM {t('conversations')}", "conversations")

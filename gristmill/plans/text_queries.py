@@ -94,9 +94,8 @@ def _t17(docs: DataFrame) -> DataFrame:
 
 
 def _t18(docs: DataFrame) -> DataFrame:
-    found = C.windows(_said(docs), True)
-    rows = found.groupBy("doc_id", "ord").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("start", "n", "text"))).alias("w"))
-    return rows.select("doc_id", "ord", "n", F.md5(F.expr("array_join(transform(w, x -> x.text), '|')")).alias("digest"))
+    found = C.not_empty(C.with_windows(_said(docs), True), "windows")
+    return _digest(found, "windows", "x.text").select("doc_id", "ord", "n", "digest")
 
 
 def _t23(docs: DataFrame) -> DataFrame:

@@ -67,3 +67,30 @@ def test_replayed_run_needs_no_classifier(folder, spark, capsys, monkeypatch):
     monkeypatch.setenv("CLASSIFIER_REPLAY", f"{folder}/rec")
     assert main(["score", "-q", "-jd", f"{folder}/job.txt", "-resume", f"{folder}/ann.md"]) == 0
     assert json.loads(capsys.readouterr().out)["match_score"] == want
+
+
+def test_server_answers_tool_calls(spark):
+    from io import StringIO
+
+    from gristmill.server import Server
+    from gristmill.settings import tuning
+    from gristmill.settings.config import Settings
+    from test_stages import scripted
+
+    server = Server(spark, Settings(deadline=300.0), tuning.load(), scripted)
+    said = server.answer(json.dumps({"jsonrpc": "2.0", "id": 1, "method": "initialize", "params": {}}))
+    assert said["result"]["serverInfo"]["name"] == "gristmill"
+    call = lambda n, **a: server.answer(json.dumps({"jsonrpc": "2.0", "id": n, "method": "tools/call", "params": {"name": n, "arguments": a}}))
+    result = call("extract", job_description=POSTING)["result"]
+    assert not result["isError"] and result["structuredContent"]["requirements"][0]["value"] == "SQL"
+    coverage = call("check", requirements=result["structuredContent"], resume=RESUME)["result"]["structuredContent"]
+    assert coverage["fit"]["score"] == 77
+    assert call("extract", job_description=" \n")["result"] == {"content": [{"type": "text", "text": "extract: job_description: blank"}], "isError": True}
+    assert "schema_version" in call("check", requirements={}, resume=RESUME)["result"]["content"][0]["text"]
+    assert call("nothing")["error"]["code"] == -32602 and call("score", resume=RESUME)["error"]["code"] == -32602
+    out = StringIO()
+    lines = ["", "{", '{"jsonrpc": "2.0", "method": "notifications/initialized"}', '{"id": 7, "method": "tools/list"}', '{"id": 8, "method": "other"}', "[]"]
+    server.serve(iter(line + "\n" for line in lines), out)
+    replies = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [r.get("error", {}).get("code") for r in replies] == [-32700, None, -32601, -32600]
+    assert [t["name"] for t in replies[1]["result"]["tools"]] == ["score", "extract", "check"]
