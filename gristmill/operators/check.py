@@ -74,7 +74,7 @@ def retrieve(units: DataFrame, offers: DataFrame, provider: ask.Provider, prompt
         answered = ask.asked(provider, requests, *keep, "places", "offered").withColumn("a", answer_of(F.lit("retrieval")))
         fine = (F.col("a.choice") == NONE) | F.array_contains("offered", F.col("a.choice"))
         wrong = F.when(~F.coalesce(fine, F.lit(False)), F.lit("retrieval: the answer is not an option"))
-        answered = settled(answered, F.coalesce(wrong, F.col("wrong")), "retrieval", failures).withColumn("probs", F.col("a.probs"))
+        answered = settled(answered, F.coalesce(F.col("failed"), wrong, F.col("wrong")), "retrieval", failures).withColumn("probs", F.col("a.probs"))
         if not size:
             last = answered.withColumn("retrieved", _ranked(F.col("probs"), F.col("offered"), settings.retrieval_k, settings.retrieval_floor)).select(*keep, "retrieved")
             return last if done is None else done.unionByName(last)
@@ -232,7 +232,7 @@ def holistic(pairs: DataFrame, provider: ask.Provider, tuning: Tuning, strict: b
     parts = [("role_match", "score"), ("experience_short", "noul"), ("blocker", "noul")]
     said = {id: answer_of(F.lit(id))[field] for id, field in parts}
     none = F.coalesce(*[F.when(said[id].isNull(), F.lit(f"{id}: no {field} answer")) for id, field in parts])
-    wrong = F.coalesce(none, F.col("wrong"))
+    wrong = F.coalesce(F.col("failed"), none, F.col("wrong"))
     rows = settled(answered, wrong, "holistic", None) if strict else answered.withColumn("error", wrong)
     kept = lambda c: c if strict else F.when(F.col("error").isNull(), c)
     scale = {"role_match": len(prompts.role_match["levels"]) - 1}

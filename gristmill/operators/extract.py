@@ -49,10 +49,10 @@ def label_sections(postings: DataFrame, provider: ask.Provider, prompts: Prompts
     name = lambda s: F.concat(F.lit("section_"), (s["ord"] - 1).cast("string"))
     requests = parts.select("posting_id", "batch", "part", F.to_json(F.struct(F.col("title").alias("job_title"), F.col("posting").alias("job_posting"))).alias("state"), F.transform("part", lambda s: prompts.section_question(name(s), s["text"], s["heading"])).alias("questions"))
     answered = ask.asked(provider, requests, "posting_id", "part")
-    each = answered.select("posting_id", "answers", "wrong", F.explode("part").alias("s")).withColumn("a", answer_of(name(F.col("s"))))
+    each = answered.select("posting_id", "answers", "failed", "wrong", F.explode("part").alias("s")).withColumn("a", answer_of(name(F.col("s"))))
     unknown = F.concat(F.lit("sentence "), F.col("s.ref"), F.lit(": unknown section "), F.coalesce(F.col("a.choice"), F.lit("none")))
     wrong = F.when(~F.coalesce(F.col("a.choice").isin(*SECTIONS), F.lit(False)), unknown)
-    good = settled(each, F.coalesce(wrong, F.col("wrong")), "sections", failures)
+    good = settled(each, F.coalesce(F.col("failed"), wrong, F.col("wrong")), "sections", failures)
     return good.select("posting_id", "s.*", F.col("a.choice").alias("section"), F.col("a.confidence").alias("confidence"))
 
 
@@ -94,11 +94,11 @@ def validation_round(chunks: DataFrame, summaries: DataFrame, provider: ask.Prov
     state = F.to_json(F.struct(F.col("summary").alias("job_summary"), "section", "sentence"))
     requests = packed.join(summaries.select("posting_id", "summary"), "posting_id").withColumn("state", state).withColumn("questions", F.transform("items", lambda x: prompts.validation_question(name(x), x["chunk"], x["options"])))
     answered = ask.asked(provider, requests.drop("summary"), "posting_id", "ord", "ref", "section", "sentence", "items")
-    each = answered.select("posting_id", "ord", "ref", "section", "sentence", "answers", "wrong", F.explode("items").alias("x")).withColumn("a", answer_of(name(F.col("x"))))
+    each = answered.select("posting_id", "ord", "ref", "section", "sentence", "answers", "failed", "wrong", F.explode("items").alias("x")).withColumn("a", answer_of(name(F.col("x"))))
     probs, options, rejects = F.col("a.probs"), F.col("x.options"), F.array(*[F.lit(r) for r in sorted(prompts.validation["reject_options"])])
     offered = F.array_contains(F.concat(options, rejects), F.col("a.choice")) & F.map_contains_key(probs, F.col("a.choice"))
     wrong = F.when(~F.coalesce(offered, F.lit(False)), F.concat(F.lit("chunk "), F.col("x.chunk"), F.lit(": the answer is not an option")))
-    each = settled(each, F.coalesce(wrong, F.col("wrong")), "validation", failures)
+    each = settled(each, F.coalesce(F.col("failed"), wrong, F.col("wrong")), "validation", failures)
     out = each.select("posting_id", "ord", "ref", "section", "sentence", "x.chunk_no", "x.chunk", "x.options", F.col("a.choice").alias("choice"), ask.mass(probs, options).alias("mass"), ask.argmax(probs, options).alias("best"), probs.alias("probs"))
     out = out.withColumn("best_p", ask.p(F.col("probs"), F.col("best"))).withColumn("ok", (F.col("mass") >= least) & F.col("best").isNotNull())
     single = ~F.col("best").rlike("[ \t]") & F.col("best").contains("/") & F.forall(F.split("best", "/"), lambda s: (F.length(s) >= 3) & s.rlike("\\p{L}"))

@@ -32,17 +32,15 @@ def a23_judge_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge.medians(*_replies(spark, sf_dir)).select("pair", "score", F.size("scores").alias("n"), F.array_join(F.slice("scores", 1, 5), " ").alias("first"), "quote_rate")
 
 
-register(
-    "a23_judge_median",
-    a23_judge_median,
-    """
-    WITH r AS (SELECT user_id AS u, event_id AS e, CASE WHEN event_id % 4 > 0 THEN event_id % 101 END AS score FROM events),
+_JUDGED = """
+    r AS (SELECT user_id AS u, event_id AS e, CASE WHEN event_id % 4 > 0 THEN event_id % 101 END AS score FROM events),
     -- the first quote always stands in the resume, the second one where its number is the pair's or 3, the third is empty
-    q AS (SELECT u, e, score, CASE WHEN e % 6 = 0 THEN NULL WHEN e % 2 = 0 THEN 1 + (e % 7 = u OR e % 7 = 3)::INT ELSE (e % 7 = u OR e % 7 = 3)::INT END AS hits, 2 - e % 2 AS told FROM r)
-    SELECT u::VARCHAR AS pair, median(score)::DOUBLE AS score, count(score)::INT AS n, array_to_string(list(score ORDER BY e) FILTER (score IS NOT NULL)[1:5], ' ') AS first,
-        round(avg(round(hits / told, 2)), 2) AS quote_rate
-    FROM q GROUP BY u HAVING count(score) > 0""",
-)
+    q AS (SELECT u, e, score, CASE WHEN e % 6 = 0 THEN NULL WHEN e % 2 = 0 THEN 1 + (e % 7 = u OR e % 7 = 3)::INT ELSE (e % 7 = u OR e % 7 = 3)::INT END AS hits, 2 - e % 2 AS told FROM r),
+    j AS (
+        SELECT u::VARCHAR AS pair, median(score)::DOUBLE AS score, count(score)::INT AS n, array_to_string(list(score ORDER BY e) FILTER (score IS NOT NULL)[1:5], ' ') AS first,
+            round(avg(round(hits / told, 2)), 2) AS quote_rate FROM q GROUP BY u HAVING count(score) > 0)"""
+register("a23_judge_median", a23_judge_median, f"WITH {_JUDGED} SELECT * FROM j")
+register("f16_quote_rate", lambda spark, sf: a23_judge_median(spark, sf).select("pair", "quote_rate"), f"WITH {_JUDGED} SELECT pair, quote_rate FROM j")
 
 
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
