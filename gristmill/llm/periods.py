@@ -187,7 +187,7 @@ def looped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     h = F.crc32(F.col(id_col).cast("string").cast("binary"))
     words = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col), h.alias("h"), F.when(h % 10 == 0, F.array_remove(F.split(F.col(text_col), SPACES), "")).alias("words"))
     n, g = F.size("words"), F.floor(F.col("h") / 10)
-    a = g % n
+    a = F.try_mod(g, n)  # null where there are no words: such a text stays as it is
     p = 1 + F.floor((n - a) / (3 + g % 8))
     sized = words.select("*", a.cast("int").alias("a"), p.cast("int").alias("p"), n.alias("n"))
     unit, before = F.slice("words", F.col("a") + 1, F.col("p")), F.slice("words", F.lit(1), F.col("a"))

@@ -100,3 +100,11 @@ def test_collapse_keeps_columns(spark, odd_docs, no_docs):
     clash = periods.collapse(odd_docs.withColumnRenamed("fp", "Runs"))
     assert clash.columns[-2:] == ["runs_", "collapsed"] and clash.count() == odd_docs.count()
     assert periods.digest(no_docs).count() == 0
+
+
+def test_texts_without_words_repeat_nothing(spark):
+    ids = [i for i in range(300) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = [(i, ("", " ", "\n\t ", None)[k % 4]) for k, i in enumerate(ids)]
+    got = sorted(tuple(r) for r in periods.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(got) > 20
+    assert got == [expected(i, t) for i, t in rows]
