@@ -56,6 +56,22 @@ def test_suffix_blocks_against_dictionary():
             assert suffix.repeated_windows(texts, np.array(counts), np.arange(60) << 20, 40, block).tolist() == want
 
 
+def test_suffix_shards_between_anchors():
+    rng = np.random.default_rng(6)
+    anchors = np.sort(rng.integers(0, 40, 300))
+    sizes = np.where(anchors == 7, 90, rng.integers(1, 9, 300))
+    cuts = suffix.families(anchors, sizes, 100)
+    assert [lo for lo, _ in cuts] == [0, *[hi for _, hi in cuts[:-1]]] and cuts[-1][1] == 300 and len(cuts) > 5
+    held = [set(anchors[lo:hi].tolist()) for lo, hi in cuts]
+    assert sum(map(len, held)) == len(set.union(*held)) and {7} in held
+    assert all(sizes[lo:hi].sum() <= 100 for (lo, hi), h in zip(cuts, held, strict=True) if len(h) > 1)
+    assert suffix.families(anchors[:0], sizes[:0]) == []
+    for width in (20, 62):  # with room for the places, and without
+        key = rng.integers(0, 50, 1000) << width - 6
+        order, ranked = suffix.sorted_order(key, width)
+        assert order.tolist() == np.argsort(key, kind="stable").tolist() and ranked.tolist() == sorted(key.tolist())
+
+
 def test_suffix_documents(spark, odd_docs, no_docs):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 6))) for _ in range(400)]
