@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +52,8 @@ ROUNDS = (4, 4, None)
 BINS = 256
 #: Pairs of a set that are verified in a round with capped partners, those with the most in common at most; the last round verifies all.
 BEST = 3
-#: Pairs that a task expands at once.
-PAIRS = 1 << 19
+#: Pairs that a task expands at once, and pairs whose counts it compares at once.
+PAIRS, COMPARED = 1 << 19, 1 << 14
 _MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -302,20 +303,41 @@ def postings(texts: DataFrame, first: DataFrame, similarity: float) -> DataFrame
     return found.join(first.select("digest", F.col("first_id").alias("id")), "digest").select("token", "id", "size", "pos")
 
 
-def crossings(occurrences: DataFrame, roots: DataFrame, similarity: float, partners_of: int | None) -> DataFrame:
-    """(a, b): pairs of different components that share a prefix token and may have the similarity.
+class Occurrences(NamedTuple):
+    #: (token, id, size, pos), of postings
+    rows: DataFrame
+    #: (id, bins)
+    counts: DataFrame
+
+
+def at_most(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """What the similarity of pairs of sets can be by their counts, a row a set."""
+    common = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+    return common / np.maximum(x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64) - common, 1)
+
+
+def crossings(occurrences: Occurrences, roots: DataFrame, similarity: float, partners_of: int | None) -> DataFrame:
+    """(a, b, share): pairs of different components that share a prefix token and may have the similarity, by places, sizes and counts; share: what
+    it can be by the counts.
 
     partners_of: for each set of a token the next so many of other components, and as many members of the token's largest
-    component; None: all of them.
+    component; None: all of them. A task compares the counts of what meets there, so pairs that they refute are never rows.
     """
 
     def run(batches):
-        parts = [tuple(c.to_numpy(zero_copy_only=False) for c in b.columns) for b in batches if b.num_rows]
+        parts, counts, known = [], [], []
+        for b in batches:
+            if b.num_rows:
+                parts.append(tuple(c.to_numpy(zero_copy_only=False) for c in b.columns[:5]))
+                known.append(np.array(b.column(5).is_valid()))
+                counts.append(np.frombuffer(b"".join(x or bytes(BINS) for x in b.column(5).to_pylist()), np.uint8).reshape(-1, BINS))
         if not parts:
             return
         token, ident, size, pos, root = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ids, where, number = np.unique(ident, return_index=True, return_inverse=True)
+        counts, known = np.concatenate(counts)[where], np.concatenate(known)[where]
         order = np.lexsort((ident, root, token))
-        token, ident, size, pos, root = token[order], ident[order], size[order].astype(np.int64), pos[order].astype(np.int64), root[order]
+        token, ident, number, size, pos, root = token[order], ident[order], number[order], size[order].astype(np.int64), pos[order].astype(np.int64), root[order]
         n = len(token)
         new_token = np.append(True, token[1:] != token[:-1])
         new_run = new_token | np.append(True, root[1:] != root[:-1])
@@ -346,16 +368,21 @@ def crossings(occurrences: DataFrame, roots: DataFrame, similarity: float, partn
             common = np.minimum(size[i] - pos[i], size[j] - pos[j])  # at most, if this is their first common token
             may = common >= similarity / (1 + similarity) * (size[i] + size[j]) - 1e-6
             may &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6
-            i, j = ident[i[may]], ident[j[may]]
-            pairs = np.unique(np.stack([np.maximum(i, j), np.minimum(i, j)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    named = occurrences.join(roots.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "size", "pos", F.coalesce("root", "id").alias("root"))
+            i, j = number[i[may]], number[j[may]]
+            a, b = np.divmod(np.unique(np.maximum(i, j) * len(ids) + np.minimum(i, j)), len(ids))
+            share = np.ones(len(a))
+            for k in range(0, len(a), COMPARED):
+                some = slice(k, k + COMPARED)
+                share[some] = np.where(known[a[some]] & known[b[some]], at_most(counts[a[some]], counts[b[some]]), 1)
+            may = share >= similarity - 1e-9
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a[may]]), pa.array(ids[b[may]]), pa.array(share[may])], names=["a", "b", "share"])
+
+    named = occurrences.rows.join(roots.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "size", "pos", F.coalesce("root", "id").alias("root"))
     # tokens of one component stay behind: the shingles of a large group of near copies
     mixed = named.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("token")
-    named = named.join(mixed, "token", "left_semi")
+    named = named.join(mixed, "token", "left_semi").join(occurrences.counts, "id").select("token", "id", "size", "pos", "root", "bins")
     # by a hash of the token: a repartition by the token itself would be left out after the join by it, and its rows spread if that join becomes a broadcast
-    return named.repartition(shuffle_partitions(occurrences.sparkSession), F.xxhash64("token")).mapInArrow(run, "a long, b long").distinct()
+    return named.repartition(shuffle_partitions(named.sparkSession), F.xxhash64("token")).mapInArrow(run, "a long, b long, share double").distinct()
 
 
 def bins(h: np.ndarray) -> bytes | None:
@@ -364,27 +391,10 @@ def bins(h: np.ndarray) -> bytes | None:
     return n.astype(np.uint8).tobytes() if n.max() < 256 else None
 
 
-def hopeful(pairs: DataFrame, first: DataFrame, similarity: float, best: int | None) -> DataFrame:
-    """The pairs that can have the similarity by the counts of their sets; best: so many of each set, those with the most in common at most."""
-
-    def run(batches):
-        for b in batches:
-            known = np.flatnonzero(np.array(b.column(2).is_valid()) & np.array(b.column(3).is_valid()))
-            share = np.ones(b.num_rows)
-            if len(known):
-                x, y = (np.frombuffer(b"".join(c.take(pa.array(known)).to_pylist()), np.uint8).reshape(-1, BINS) for c in (b.column(2), b.column(3)))
-                common = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-                share[known] = common / np.maximum(x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64) - common, 1)
-            may = pa.array(share >= similarity - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(may), b.column(1).filter(may), pa.array(share).filter(may)], names=["a", "b", "share"])
-
-    counts = first.select(F.col("first_id").alias("id"), "bins")
-    both = pairs.join(counts.withColumnsRenamed({"id": "a", "bins": "x"}), "a").join(counts.withColumnsRenamed({"id": "b", "bins": "y"}), "b")
-    found = both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, share double")
-    if best:
-        order = Window.partitionBy("a").orderBy(F.desc("share"), "b")
-        found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= best)
-    return found.select("a", "b")
+def likeliest(pairs: DataFrame, n: int) -> DataFrame:
+    """n pairs of each a at most, those with the most in common at most. pairs: (a, b, share)."""
+    order = Window.partitionBy("a").orderBy(F.desc("share"), "b")
+    return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
@@ -417,8 +427,27 @@ def verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, similarity: f
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def links(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b): pairs of ids, a > b, whose texts are copies or near copies; all components of such pairs come out whole."""
+class Linked(NamedTuple):
+    #: (a, b): near copies among the sets, and copies of ids that have several sets
+    near: DataFrame
+    #: (a, b): the other copies, each with its set's smallest id; no other link has their a
+    copies: DataFrame
+    #: (node, root) of near
+    roots: DataFrame
+
+
+def grown(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) with more links: only the components that these join are gone through again."""
+    at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_"))
+    ends = more.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left")
+    joined = connected_components(ends.select(F.coalesce("a_", "a").alias("a"), F.coalesce("b_", "b").alias("b")))
+    new = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    before = roots.join(new, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return cut(before.unionByName(joined.join(roots.select("node"), "node", "left_anti")))
+
+
+def linked(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> Linked:
+    """All links of copies and near copies that its components need."""
 
     def run(batches):
         for b in batches:
@@ -433,26 +462,32 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id
     prints = cut(texts.mapInArrow(run, "id long, digest binary, fp binary, bins binary"))
     first = cut(prints.groupBy("digest").agg(F.min("id").alias("first_id"), F.min("fp").alias("fp"), F.min("bins").alias("bins")))
     copies = prints.join(first.select("digest", "first_id"), "digest").where("id <> first_id").select(F.col("id").alias("a"), F.col("first_id").alias("b"))
+    several = cut(prints.groupBy("id").agg((F.min("digest") < F.max("digest")).alias("several")).where("several").select(F.col("id").alias("a")))
     pairs = cut(proposals(first.select(F.col("first_id").alias("id"), "fp"), plan_tables(first.count(), similarity)))
-    found = cut(verified(pairs, texts, first, similarity))
-    occurrences = cut(postings(texts, first, similarity))
+    found = cut(verified(pairs, texts, first, similarity).unionByName(copies.join(several, "a", "left_semi")))
+    occurrences = Occurrences(cut(postings(texts, first, similarity)), first.select(F.col("first_id").alias("id"), "bins"))
     roots = connected_components(found)
     seen = pairs
     for partners_of in ROUNDS:
         fresh = crossings(occurrences, roots, similarity, partners_of).join(seen, ["a", "b"], "left_anti")
-        pairs = cut(hopeful(fresh, first, similarity, BEST if partners_of else None))
+        pairs = cut((likeliest(fresh, BEST) if partners_of else fresh).select("a", "b"))
         if pairs.isEmpty():  # a capped round looks at some partners only: the last one looks at all
             continue
         seen = seen.unionByName(pairs)
         more = cut(verified(pairs, texts, first, similarity))
         if not more.isEmpty():
-            found = cut(found.unionByName(more))
-            roots = connected_components(found) if partners_of else roots
-    return found.unionByName(copies)
+            found, roots = found.unionByName(more), grown(roots, more)
+    return Linked(found, copies.join(several, "a", "left_anti"), roots)
+
+
+def links(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b): pairs of ids, a > b, whose texts are copies or near copies; all components of such pairs come out whole."""
+    out = linked(docs, similarity, id_col, text_col)
+    return out.near.unionByName(out.copies)
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without those whose component has a smaller id."""
-    roots = connected_components(links(docs, similarity, id_col, text_col))
-    gone = roots.where("node <> root").select(F.col("node").alias("__gone"))
+    out = linked(docs, similarity, id_col, text_col)
+    gone = out.roots.where("node <> root").select(F.col("node").alias("__gone")).unionByName(out.copies.select(F.col("a").alias("__gone")))
     return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")

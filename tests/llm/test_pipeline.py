@@ -206,6 +206,53 @@ def test_links_of_the_last_round_only(spark, monkeypatch):
     assert asked == list(neardup.ROUNDS)
 
 
+def test_clumps_that_share_rare_shingles_make_no_pairs(spark, monkeypatch):
+    """Two clumps of near copies with a passage in common: their counts refute every pair between them before it is a row."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(9000)]
+    passage, rows = [rng.choice(words) for _ in range(40)], []
+    for _ in range(2):
+        base = [rng.choice(words) for _ in range(260)]
+        rows += [(len(rows) + k, " ".join([*(passage if k < 15 else []), *base[:-1], f"end{k}"])) for k in range(40)]
+    plain, made = neardup.crossings, []
+
+    def crossings(*a):
+        made.append(plain(*a).where("a >= 40 AND b < 40").count())
+        return plain(*a)
+
+    monkeypatch.setattr(neardup, "crossings", crossings)
+    assert sorted(r.doc_id for r in neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [0, 40]
+    assert len(made) == len(neardup.ROUNDS) and max(made) == 0
+
+
+def test_an_id_with_several_texts_ties_their_copies(spark):
+    rng = random.Random(6)
+    x, y, z = (" ".join(rng.choice(["river", "stone", "light", "hand", "tree", "cloud"]) for _ in range(80)) for _ in range(3))
+    rows = [(3, x), (5, x), (5, y), (4, y + " end"), (9, y), (7, z), (8, z)]
+    assert sorted(r.doc_id for r in neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [3, 7]
+
+
+def test_small_graphs_are_not_dealt_out(spark):
+    """The rounds over a small graph run in one task each, however many partitions the session has."""
+    from gristmill.llm.graph import connected_components
+
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("small-graphs", "")
+    try:
+        got = connected_components(spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")).collect()
+        jobs = spark.sparkContext.statusTracker()
+        stages = {s for j in jobs.getJobIdsForGroup("small-graphs") for s in jobs.getJobInfo(j).stageIds}
+        tasks = sum(i.numTasks for s in stages if (i := jobs.getStageInfo(s)))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert {r.node for r in got} == set(range(61)) and {r.root for r in got} == {0}
+    assert tasks < 400
+
+
 def test_counts_refute_no_true_pair():
     rng = np.random.default_rng(4)
     for n, change in ((3, 0), (40, 4), (400, 40), (400, 120), (90_000, 9000)):
