@@ -68,8 +68,8 @@ class _Index(dict):
 _SIMPLE = re.compile("[\x00-\u012f\u0131-\u017f]*").fullmatch
 #: A run of these letters is one unit of the vocabulary's pattern.
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
-#: A lone final stop or comma after such a letter is a unit of its own.
-_FINAL = re.compile("(?<=[a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f])([.,])(?=[ \n]|\\Z)").sub
+#: A lone final stop or comma after such a letter is a unit of its own. The mark comes first, so that letters are not looked at twice.
+_FINAL = re.compile("[.,](?=[ \n]|\\Z)(?<=[a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f][.,])").sub
 
 
 def _byte_letters() -> list[str]:
@@ -109,10 +109,11 @@ class WordEncoder:
         flat: list[int] = []
         size = []
         for i, w in enumerate(words):
-            if _PLAIN(w):
-                ids = [t.id for t in model(w if w.isascii() else w.encode().decode("latin-1").translate(letters))]
-                flat += ids
-                size.append(len(ids))
+            if w.isascii() and w.isalpha() and w.islower() or _PLAIN(w):
+                before = len(flat)
+                for t in model(w if w.isascii() else w.encode().decode("latin-1").translate(letters)):
+                    flat.append(t.id)
+                size.append(len(flat) - before)
             else:
                 rest.append(i)
                 size.append(0)
@@ -142,7 +143,7 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.index) > CACHE_WORDS:
             self._forget()
-        simple = (_FINAL(r" \1", t.lower()) if _SIMPLE(t) else t for t in (t or "" for t in texts))
+        simple = (_FINAL(r" \g<0>", t.lower()) if _SIMPLE(t) else t for t in (t or "" for t in texts))
         split = [t.replace("\n", " ").split(" ") for t in simple]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         words = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int32, int(counts.sum()))

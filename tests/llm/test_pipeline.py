@@ -268,3 +268,17 @@ def test_counts_refute_no_true_pair():
 
 def test_numbers_of_many_texts_in_a_chunk(monkeypatch):
     assert neardup._place(1 << 16) == "<u2" and neardup._place((1 << 16) + 1) == "<u4"
+
+
+def test_final_marks_are_set_apart():
+    """The pattern that looks for the mark first finds what one finds that looks for the letter first."""
+    import re
+
+    rng = random.Random(8)
+    plain = re.compile("(?<=[a-zß-öø-įı-ſ])([.,])(?=[ \n]|\\Z)").sub
+    for _ in range(3000):
+        text = "".join(rng.choice("ab.,  \né×İZ9-") for _ in range(rng.randrange(12)))
+        assert packing._FINAL(r" \g<0>", text) == plain(r" \1", text)
+    encoder = packing.WordEncoder(packing.tokenizer_path())
+    texts = ["The end, the End. a.b, ab1 x2. été, ÉTÉ. café.\nNo", "MIXED Caseİ words, Ångström. tail.", "", "...,,, .a ,b"]
+    assert [x.tolist() for x in encoder.encode(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
