@@ -55,12 +55,17 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 
 def chunks_by_bytes(texts: list, limit: int = 1 << 21):
     """Index ranges of texts whose total length stays near the limit; one long text stands alone."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > start and size + n > limit:
+    yield from chunks_by_size((len(t) if t else 0 for t in texts), limit)
+
+
+def chunks_by_size(sizes, limit: int):
+    """Index ranges of sizes whose sum stays near the limit; one large size stands alone."""
+    start = total = end = 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > limit:
             yield start, i
-            start, size = i, 0
-        size += n
-    if len(texts) > start:
-        yield start, len(texts)
+            start, total = i, 0
+        total += n
+        end = i + 1
+    if end > start:
+        yield start, end

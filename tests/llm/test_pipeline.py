@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,3 +283,13 @@ def test_final_marks_are_set_apart():
     encoder = packing.WordEncoder(packing.tokenizer_path())
     texts = ["The end, the End. a.b, ab1 x2. été, ÉTÉ. café.\nNo", "MIXED Caseİ words, Ångström. tail.", "", "...,,, .a ,b"]
     assert [x.tolist() for x in encoder.encode(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_shingles_are_held_a_small_slice_at_a_time():
+    texts = [None, b"", "ünicode text".encode(), *([b"one two three four five six " * 4000] * 30), b"x" * 2_000_000, b"a b c d e f"]
+    slices = [(lo, len(ends) - 1, h, ends) for lo, h, ends in neardup._sets(pa.array(texts, pa.binary()))]
+    assert [lo for lo, *_ in slices] == [0, *np.cumsum([n for _, n, *_ in slices])[:-1]] and sum(n for _, n, *_ in slices) == len(texts)
+    assert all(n == 1 or sum(len(t or b"") for t in texts[lo : lo + n]) <= 1 << 19 for lo, n, *_ in slices)
+    for lo, n, h, ends in slices:
+        for k in range(n):
+            assert (h[ends[k] : ends[k + 1]] == neardup.shingle_set(texts[lo + k] or b"")).all()
