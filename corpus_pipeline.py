@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import linespread, mil, neardup, packing, pfair
-from gristmill.llm.common import free_name, shared_folder, shuffle_partitions, table
+from gristmill.llm.common import free_name, shared_folder, shuffle_partitions, small_batches, table
 
 #: Of target shares by characters: 1 keeps the sources' own shares, 0 makes them equal.
 TEMPERATURE = 0.5
@@ -32,6 +32,7 @@ def _only(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects."""
+    small_batches(spark)
     model = mil.fit(docs, table(spark, sf_dir, "labels"))
     score = free_name("score", docs.columns)
     return _only(mil.score(docs, model).where(F.col(score) >= mil.KEEP_AT), docs.columns)
@@ -48,6 +49,7 @@ def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of copies and near copies."""
+    small_batches(spark)
     return _only(neardup.deduplicate(docs), docs.columns)
 
 
@@ -77,6 +79,7 @@ def in_file_order(docs: DataFrame) -> tuple[DataFrame, str | None]:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in training windows; retrieval stays within consecutive ranges of the mixture's order."""
+    small_batches(spark)
     placed, place = in_file_order(docs)
     return packing.pack(placed, order_col=place)
 

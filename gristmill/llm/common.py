@@ -17,6 +17,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bytes of a batch of rows between Spark and a Python worker. Under Spark's own limits (10,000 rows, 64 MB) documents came in batches of 34 MB.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python in batches of BATCH_BYTES at most; a lower limit of its own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).removesuffix("b"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """The folder named in spark.checkpoint.dir, which all machines must share; a temporary one where none is named and all run on this machine."""
     jsc = spark.sparkContext._jsc.sc()

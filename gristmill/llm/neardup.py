@@ -400,23 +400,35 @@ def likeliest(pairs: DataFrame, n: int) -> DataFrame:
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 
 
+def _wanted_at(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(byte, bit of it) of ids in the table of WANTED bits."""
+    at = (_mix(ids.view(np.uint64)[:, None]) % np.uint64(WANTED)).astype(np.int64)
+    return at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8)
+
+
+def mark_wanted(bits: np.ndarray, ids: np.ndarray) -> None:
+    """Sets the bits of ids. A byte for each would take eight times the room, most of it for a few ids too."""
+    byte, bit = _wanted_at(ids)
+    np.bitwise_or.at(bits, byte, bit)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose sets have the similarity. texts: (id, text)."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def mark(batches):
-        bits = np.zeros(WANTED, bool)
+        bits = np.zeros(WANTED // 8, np.uint8)
         for b in batches:
-            bits[_mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[:, None]) % np.uint64(WANTED)] = True
+            mark_wanted(bits, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
         if bits.any():
-            yield _slices(np.packbits(bits))
+            yield _slices(bits)
 
     wanted = texts.sparkSession.sparkContext.broadcast(_added_up(named, mark, lambda a, b: b if a is None else a | b, WANTED // 8 // SLICES).ravel())  # WANTED / 8 bytes
 
     def sets(batches):
         for b in batches:
-            at = (_mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[:, None]) % np.uint64(WANTED)).astype(np.int64)
-            b = b.filter(pa.array((wanted.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            byte, bit = _wanted_at(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            b = b.filter(pa.array((wanted.value[byte] & bit).astype(bool)))
             for lo, h, ends in _sets(b.column(1)):
                 digests = [_digest(h[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))

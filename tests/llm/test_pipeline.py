@@ -1,11 +1,13 @@
 """The stages one by one and together, over tables with nulls, copies, repeated ids and clashing names."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -293,3 +295,52 @@ def test_shingles_are_held_a_small_slice_at_a_time():
     for lo, n, h, ends in slices:
         for k in range(n):
             assert (h[ends[k] : ends[k + 1]] == neardup.shingle_set(texts[lo + k] or b"")).all()
+
+
+def test_wanted_ids_take_a_bit_each(spark, monkeypatch):
+    """A task that marks a few wanted ids holds no byte for each bit of the table, and the pairs found stay the same."""
+    seen = []
+
+    def added_up(df, run, combine, width):
+        ids = np.array([r[0] for r in df.collect()], np.int64)
+        tracemalloc.start()
+        try:
+            (slices,) = run([pa.RecordBatch.from_arrays([pa.array(ids)], names=["id"])])
+            seen.append(tracemalloc.get_traced_memory()[1])
+        finally:
+            tracemalloc.stop()
+        table = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x) for x in slices.column(1).to_pylist()), np.uint8)
+        want = neardup._mix(ids.view(np.uint64)[:, None]) % np.uint64(neardup.WANTED)
+        assert len(table) == neardup.WANTED // 8 and np.flatnonzero(np.unpackbits(table)).tolist() == sorted(want.tolist())
+        return table
+
+    monkeypatch.setattr(neardup, "_added_up", added_up)
+    long = [f"word{i}" for i in range(200)]
+    rows = [(1, " ".join(long)), (-7, " ".join([*long[:-1], "end"])), (1 << 40, " ".join(reversed(long))), (9, "not asked for")]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    first = spark.createDataFrame([(bytearray(neardup._digest(neardup.shingle_set(t.encode()))), i) for i, t in rows], "digest binary, first_id long")
+    pairs = spark.createDataFrame([(1, -7), (1 << 40, 1)], "a long, b long")
+    assert [(r.a, r.b) for r in neardup.verified(pairs, texts, first, 0.8).collect()] == [(1, -7)]
+    assert seen[0] < neardup.WANTED // 2  # bytes
+
+
+def test_stages_hand_over_small_batches(spark):
+    """Texts go to Python a few MB at a time; a lower limit of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('text ', 1000) AS text").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    try:
+        spark.conf.set(key, str(64 << 20))
+        dict(corpus_pipeline.STAGES)["pack"](spark, docs.where("false"), "")
+        got = docs.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in got) == 3000 and max(r["size"] for r in got) < 1.25 * common.BATCH_BYTES
+        spark.conf.set(key, "1000000")
+        common.small_batches(spark)
+        assert int(spark.conf.get(key).removesuffix("b")) == 1_000_000
+    finally:
+        spark.conf.set(key, before)
